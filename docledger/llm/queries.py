@@ -2,11 +2,45 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from . import language, toxicity
+from .bpe import round_trip_digests
 from .common import documents
 from .exact_dedup import exact_duplicates
+from .packing import pack
 from .sharding import kd_shards
 
 
+def remainder(n, doc_id="doc_id"):
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
+
+
+def vocabulary():
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = language.fit(docs, remainder(3) != 1, sample_rows=3000)
+    return language.predict(docs, model, remainder(3) == 1)
+
+
+def op2_toxicity(spark, sf_dir):
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels, remainder(5) != 0, sample_rows=8000)
+    return toxicity.score(docs, model, remainder(5) == 0)
+
+
+def op5_packing(spark, sf_dir):
+    return pack(documents(spark, sf_dir), vocabulary(), window=2048)
+
+
+def op10_bpe(spark, sf_dir):
+    return round_trip_digests(documents(spark, sf_dir), vocabulary())
+
+
 def op7_kd_tree_sharding(spark, sf_dir):
     return kd_shards(documents(spark, sf_dir), shards=24)
 
@@ -15,7 +49,7 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op7_kd_tree_sharding, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op5_packing, op7_kd_tree_sharding, op8_exact_dedup, op10_bpe)}
 
 ORACLES = {
     "op8_exact_dedup": """
