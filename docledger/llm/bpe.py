@@ -189,7 +189,13 @@ class ByteBPE:
         made = []
         for cache, chunks, space in ((self.plain, plain, ""), (self.spaced, spaced, " ")):
             for c in chunks.difference(cache):
-                made.append((cache, c, found := self.words.findall(space + c)))
+                if c.isalpha():
+                    found = [space + c]
+                elif c[-1:] in ",." and c[:-1].isalpha():
+                    found = [space + c[:-1], c[-1]]
+                else:
+                    found = self.words.findall(space + c)
+                made.append((cache, c, found))
                 words.update(found)
         new = list(words.difference(self.short))
         self._learn(new)

@@ -9,6 +9,7 @@ from . import language, toxicity
 from .bpe import round_trip_digests
 from .common import documents
 from .exact_dedup import exact_duplicates
+from .ngram_join import jaccard_components
 from .packing import pack
 from .sharding import kd_shards
 
@@ -33,6 +34,10 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.score(docs, model, remainder(5) == 0)
 
 
+def op3_ngram_jaccard(spark, sf_dir):
+    return jaccard_components(documents(spark, sf_dir), n=3, percent=90)
+
+
 def op5_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir), vocabulary(), window=2048)
 
@@ -49,7 +54,7 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op5_packing, op7_kd_tree_sharding, op8_exact_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_ngram_jaccard, op5_packing, op7_kd_tree_sharding, op8_exact_dedup, op10_bpe)}
 
 ORACLES = {
     "op8_exact_dedup": """
