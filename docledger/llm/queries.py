@@ -11,6 +11,7 @@ from .common import documents
 from .exact_dedup import exact_duplicates
 from .ngram_join import jaccard_components
 from .packing import pack
+from .repeats import remove_repeats
 from .sharding import kd_shards
 
 
@@ -42,6 +43,10 @@ def op5_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir), vocabulary(), window=2048)
 
 
+def op6_repeats(spark, sf_dir):
+    return remove_repeats(documents(spark, sf_dir), length=400).drop("kept")
+
+
 def op10_bpe(spark, sf_dir):
     return round_trip_digests(documents(spark, sf_dir), vocabulary())
 
@@ -54,7 +59,7 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_ngram_jaccard, op5_packing, op7_kd_tree_sharding, op8_exact_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_ngram_jaccard, op5_packing, op6_repeats, op7_kd_tree_sharding, op8_exact_dedup, op10_bpe)}
 
 ORACLES = {
     "op8_exact_dedup": """
