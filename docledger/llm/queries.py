@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import language, toxicity
+from . import chat, language, toxicity
 from .bpe import round_trip_digests
 from .common import documents
 from .exact_dedup import exact_duplicates
+from .media import media_columns
 from .ngram_join import jaccard_components
 from .packing import pack
 from .repeats import remove_repeats
@@ -39,6 +40,10 @@ def op3_ngram_jaccard(spark, sf_dir):
     return jaccard_components(documents(spark, sf_dir), n=3, percent=90)
 
 
+def op4_chat_format(spark, sf_dir):
+    return chat.render(chat.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def op5_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir), vocabulary(), window=2048)
 
@@ -47,6 +52,10 @@ def op6_repeats(spark, sf_dir):
     return remove_repeats(documents(spark, sf_dir), length=400).drop("kept")
 
 
+def op9_media(spark, sf_dir):
+    return media_columns(documents(spark, sf_dir))
+
+
 def op10_bpe(spark, sf_dir):
     return round_trip_digests(documents(spark, sf_dir), vocabulary())
 
@@ -59,7 +68,7 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_ngram_jaccard, op5_packing, op6_repeats, op7_kd_tree_sharding, op8_exact_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_ngram_jaccard, op4_chat_format, op5_packing, op6_repeats, op7_kd_tree_sharding, op8_exact_dedup, op9_media, op10_bpe)}
 
 ORACLES = {
     "op8_exact_dedup": """
