@@ -46,8 +46,13 @@ def with_group(df: DataFrame, keys: list[str], aggs: dict[str, Column], total: i
     spark = df.sparkSession
     most = max(64, total // (4 * partitions(spark)))
     digest = F.xxhash64(*keys)
-    counts = df.groupBy(digest.alias("_h")).count().where(F.col("count") > most)
-    hot = [r[0] for r in counts.select("_h").collect()]
+    # a hot key's bucket is hot; counts of buckets take one short row from each task
+    bucket = F.pmod(digest, F.lit(1 << 16))
+    heavy = [r[0] for r in df.groupBy(bucket.alias("_b")).count().where(F.col("count") > most).collect()]
+    hot = []
+    if heavy:
+        some = df if len(heavy) > 1 << 12 else df.where(bucket.isin(heavy))
+        hot = [r[0] for r in some.groupBy(digest.alias("_h")).count().where(F.col("count") > most).collect()]
     over = Window.partitionBy(*keys)
     if not hot:
         return df.withColumns({k: v.over(over) for k, v in aggs.items()})
@@ -57,6 +62,14 @@ def with_group(df: DataFrame, keys: list[str], aggs: dict[str, Column], total: i
     return cold.unionByName(some.join(F.broadcast(stats), keys).select(*cold.columns))
 
 
+def only(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose ``key`` is in ``ids``, one for each; null is a key too."""
+    keyed = ids.select(F.col(key).alias("_key"))
+    out = docs.join(keyed, docs[key].eqNullSafe(keyed["_key"]), "left_semi")
+    twice = docs.groupBy(key).count().where("count > 1").limit(1).count()
+    return out.dropDuplicates([key]) if twice else out
+
+
 def dense_slots(df: DataFrame, classes: list[str], order: list[str], out: str) -> DataFrame:
     """Add ``out``: 0, 1, 2, ... within each class, in the given order, without a
     window over a whole class: a range sort, then offsets from the counts of each

@@ -16,8 +16,8 @@ from .common import materialise, with_group
 
 
 def block_names(docs: DataFrame, text: str = "text", keep: dict | None = None, block_bytes: int = 4096) -> DataFrame:
-    """One row per row of ``docs``: the columns of ``keep`` (name -> expression), and
-    its identity ``n_blocks, name``.
+    """One row per row of ``docs``: a row id ``row``, the columns of ``keep`` (name ->
+    expression), and its identity ``n_blocks, name``.
 
     A null text counts as empty and has one empty block; an empty table gives an empty
     result; repeated rows each keep a row; other columns of ``docs`` are not read."""
@@ -38,8 +38,8 @@ def block_names(docs: DataFrame, text: str = "text", keep: dict | None = None, b
     named = materialise(named, "blocks")
     heads = named.where("pos = 0").select("row", "n_blocks", "name", *keep)
     if (longest or 1) == 1:
-        return heads.drop("row")
-    done, level, width = heads.where("n_blocks = 1").drop("row"), named.where("n_blocks > 1").select("row", "pos", "id", "name"), longest
+        return heads
+    done, level, width = heads.where("n_blocks = 1"), named.where("n_blocks > 1").select("row", "pos", "id", "name"), longest
     while width > 1:
         even = F.col("pos") % 2 == 0
         pairs = level.groupBy("row", (F.col("pos") / 2).cast("int").alias("pos")).agg(
@@ -59,12 +59,10 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``.
 
     Texts are compared unchanged. The row with the largest doc_id of a group stays; if
-    several rows have that doc_id, all of them are marked as kept. Null texts count as
+    several rows have that doc_id, one of them. A null doc_id is the smallest. Null texts count as
     empty; an empty table gives an empty result; other columns are not read."""
     sha = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
     named = materialise(block_names(docs, text, {"doc_id": F.col(doc_id), "sha": sha}, block_bytes), "named")
-    aggs = {"keep_id": F.max("doc_id"), "group_size": F.count(F.lit(1))}
-    out = with_group(named, ["n_blocks", "name"], aggs, named.count())
-    return out.select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
-    )
+    at = F.struct("doc_id", "row")
+    out = with_group(named, ["n_blocks", "name"], {"keep": F.max(at), "group_size": F.count(F.lit(1))}, named.count())
+    return out.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("keep") == at).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

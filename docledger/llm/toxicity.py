@@ -133,3 +133,21 @@ def score(docs: DataFrame, model: ToxicityModel, held_out: Column, doc_id: str =
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int"))
+
+
+def clean(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below 0.5; nulls as in ``score``."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = _Features(model)
+        for b in batches:
+            for k in range(0, b.num_rows, 512):
+                part = b.slice(k, 512)
+                keep = []
+                for t in part.column(at).to_pylist():
+                    found = set().union(*filter(None, map(features.__getitem__, set((t or "").split()))))
+                    keep.append(model.score(sorted(found)) < 0.5)
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
