@@ -1,6 +1,6 @@
 """Registered queries of the ledger."""
 
-from . import ledger_queries
+from . import ledger_queries, text_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "ledger_queries"]
+__all__ = ["ORACLES", "QUERIES", "ledger_queries", "text_queries"]
