@@ -194,21 +194,21 @@ def content_digest(v):
     return v.hashed.select("id", "data_hash")
 
 
-@query("DUP1", f"SELECT b.id, x.f AS existing_id FROM batch b LEFT JOIN {BY('image_hash', 'f')} x USING (user_id, image_hash)", LEDGER)
+@query("DUP1", f"SELECT b.id, CAST(x.f AS DOUBLE) AS existing_id FROM batch b LEFT JOIN {BY('image_hash', 'f')} x USING (user_id, image_hash)", LEDGER)
 def by_image(v):
     batch, old = _split(v)
-    return dedupe.lookup(batch, old, "image_hash", "existing_id").select("id", "existing_id")
+    return dedupe.lookup(batch, old, "image_hash", "existing_id").select("id", *as_double("existing_id"))
 
 
-@query("DUP2", f"SELECT b.id, x.f AS existing_id FROM batch b LEFT JOIN {BY('data_hash', 'f')} x USING (user_id, data_hash)", LEDGER)
+@query("DUP2", f"SELECT b.id, CAST(x.f AS DOUBLE) AS existing_id FROM batch b LEFT JOIN {BY('data_hash', 'f')} x USING (user_id, data_hash)", LEDGER)
 def by_content(v):
     batch, old = _split(v)
-    return dedupe.lookup(batch, old, "data_hash", "existing_id").select("id", "existing_id")
+    return dedupe.lookup(batch, old, "data_hash", "existing_id").select("id", *as_double("existing_id"))
 
 
-@query("DUP3", f"SELECT b.id, coalesce(x.f, y.g) AS existing_id FROM batch b LEFT JOIN {BY('image_hash', 'f')} x USING (user_id, image_hash) LEFT JOIN {BY('data_hash', 'g')} y ON b.user_id = y.user_id AND b.data_hash = y.data_hash", LEDGER)
+@query("DUP3", f"SELECT b.id, CAST(coalesce(x.f, y.g) AS DOUBLE) AS existing_id FROM batch b LEFT JOIN {BY('image_hash', 'f')} x USING (user_id, image_hash) LEFT JOIN {BY('data_hash', 'g')} y ON b.user_id = y.user_id AND b.data_hash = y.data_hash", LEDGER)
 def by_both(v):
-    return dedupe.two_level(*_split(v)).select("id", "existing_id")
+    return dedupe.two_level(*_split(v)).select("id", *as_double("existing_id"))
 
 
 @query("DUP4", "SELECT id, min(id) OVER (PARTITION BY image_hash) AS first_id FROM hashed")
@@ -251,9 +251,9 @@ def rebuild(v):
 
 
 # ---- sinks and projections
-@query("SNK2", "SELECT id, user_id, 'pending' AS status, CAST(started_at AS VARCHAR) AS started_at, CAST(NULL AS INTEGER) AS input_tokens FROM receipts")
+@query("SNK2", "SELECT id, user_id, 'pending' AS status, CAST(started_at AS VARCHAR) AS started_at, CAST(NULL AS DOUBLE) AS input_tokens FROM receipts")
 def pending(v):
-    return v.receipts.select("id", "user_id", F.lit("pending").alias("status"), F.col("started_at").cast("string").alias("started_at"), F.lit(None).cast("int").alias("input_tokens"))
+    return v.receipts.select("id", "user_id", F.lit("pending").alias("status"), F.col("started_at").cast("string").alias("started_at"), F.lit(None).cast("double").alias("input_tokens"))
 
 
 @query("SNK3", "SELECT id, CASE WHEN id % 9 = 0 THEN 'failed' ELSE status END AS status, CASE WHEN id % 9 = 0 THEN 'error ' || id END AS error FROM receipts")

@@ -174,7 +174,7 @@ class Ledger:
             case(F.col("event_type"), STAGE).alias("stage"),
             (F.col("event_type") != "error").alias("success"),
             (F.col("event_type") == "purchase").alias("terminal"),
-            "ts",
+            F.col("ts").cast("timestamp").alias("ts"),
         )
 
     @cached_property
