@@ -62,6 +62,14 @@ def with_group(df: DataFrame, keys: list[str], aggs: dict[str, Column], total: i
     return cold.unionByName(some.join(F.broadcast(stats), keys).select(*cold.columns))
 
 
+def sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """All of a small table, else about ``rows`` rows, chosen by a hash of ``key``, whose values
+    are all but unique. No task hands on more than its own share."""
+    n = df.count()
+    below = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) < F.lit(int(rows / n * (1 << 30)) if n else 0)
+    return df if n <= rows else df.where(below)
+
+
 def only(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose ``key`` is in ``ids``, one for each; null is a key too."""
     keyed = ids.select(F.col(key).alias("_key"))

@@ -20,12 +20,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, with_group
+from .common import materialise, sample, with_group
 
 UNIT, HEADER, RATE = 64, 44, 8000
 LEAST, MOST, MASK_BITS = 4096, 65536, 13  # bytes of a chunk; 8 KB between cuts beyond LEAST on average
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b])) for b in range(256)], np.uint32)
-LEVEL = 9
+LEVEL, DICTIONARY = 15, 1 << 16
 
 
 def wav(data: bytes) -> bytes:
@@ -83,9 +83,23 @@ def _digests(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_bytes long, media binary, digests array<binary>")
 
 
-def _packed(docs: DataFrame) -> DataFrame:
+def dictionary(docs: DataFrame, sample_rows: int = 1000) -> bytes:
+    """A compression dictionary, trained on about ``sample_rows`` payloads; empty if they are
+    too few."""
+    some = sorted(sample(docs, "doc_id", sample_rows).collect(), key=lambda r: (r["doc_id"], bytes(r["data"])))
+    try:
+        return zstandard.train_dictionary(DICTIONARY, [c for r in some for c in chunks(wav(bytes(r["data"])))]).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
+def _dict(data: bytes) -> dict:
+    return {"dict_data": zstandard.ZstdCompressionDict(data)} if data else {}
+
+
+def _packed(docs: DataFrame, words: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True)
+        press = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True, **_dict(words))
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part, media, packed = b.slice(k, 256), [], []
@@ -98,8 +112,9 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, media binary, packed array<binary>")
 
 
-def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, n_bytes, media; stored: media, whole, owned, refs), both written.
+def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows: doc_id, n_bytes, media; stored: media, whole, owned, refs; the dictionary that chunks
+    are compressed with, one row), all written.
 
     ``owned`` has the chunks that a media row keeps (ord, digest, shared, packed), ``refs`` the
     (ord, digest) of those that another row owns; ``whole``: there are none of these."""
@@ -113,19 +128,22 @@ def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
     named = with_group(each, ["digest"], {"owner": F.min(at), "uses": F.count(F.lit(1))}, total)
     plan = named.select("media", F.struct("ord", "digest", (F.col("owner") == at).alias("own"), (F.col("uses") > 1).alias("shared")).alias("c"))
     plan = plan.groupBy("media").agg(F.sort_array(F.collect_list("c")).alias("plan")).join(media.select("media", F.col("rep").alias("doc_id")), "media")
-    both = _packed(docs).join(plan, ["doc_id", "media"])
+    words = dictionary(docs)
+    both = _packed(docs, words).join(plan, ["doc_id", "media"])
     owned = F.transform(F.filter("plan", lambda c: c["own"]), lambda c: F.struct(c["ord"].alias("ord"), c["digest"].alias("digest"), c["shared"].alias("shared"), F.get("packed", c["ord"]).alias("packed")))
     refs = F.transform(F.filter("plan", lambda c: ~c["own"]), lambda c: F.struct(c["ord"].alias("ord"), c["digest"].alias("digest")))
     stored = both.select("media", owned.alias("owned"), refs.alias("refs")).withColumn("whole", F.size("refs") == 0)
     rows = listed.select(F.nullif("doc_id", nobody).alias("doc_id"), "n_bytes", "media")
-    return rows, materialise(stored, "stored")
+    kept = docs.sparkSession.createDataFrame([(bytearray(words),)], "dictionary binary")
+    return rows, materialise(stored, "stored"), materialise(kept, "dictionary")
 
 
-def read_back(stored: DataFrame) -> DataFrame:
+def read_back(stored: DataFrame, kept: DataFrame) -> DataFrame:
     """media, file: every media file, reassembled from its chunk list and verified."""
+    words = bytes(kept.first()[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
+        unpack = zstandard.ZstdDecompressor(**_dict(words))
         for b in batches:
             for k in range(0, b.num_rows, 128):
                 part, files = b.slice(k, 128), []
@@ -140,14 +158,14 @@ def read_back(stored: DataFrame) -> DataFrame:
                         raise ValueError("a media file differs from its digest")
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(files, pa.binary())], ["media", "file"])
 
-    kept = F.transform("owned", lambda c: F.struct(c["ord"].alias("ord"), c["digest"].alias("digest"), c["packed"].alias("packed")))
+    own = F.transform("owned", lambda c: F.struct(c["ord"].alias("ord"), c["digest"].alias("digest"), c["packed"].alias("packed")))
     some = stored.where("not whole")
     wanted = some.select("media", F.explode("refs").alias("r")).select("media", "r.ord", "r.digest")
     givers = stored.select(F.explode(F.filter("owned", lambda c: c["shared"])).alias("o")).select("o.digest", "o.packed")
     fetched = wanted.join(givers, "digest").groupBy("media").agg(F.collect_list(F.struct("ord", "digest", "packed")).alias("fetched"))
-    parts = some.select("media", kept.alias("owned")).join(fetched, "media")
+    parts = some.select("media", own.alias("owned")).join(fetched, "media")
     none = F.array().cast("array<struct<ord:int,digest:binary,packed:binary>>")
-    alone = stored.where("whole").select("media", kept.alias("owned"), none.alias("fetched"))
+    alone = stored.where("whole").select("media", own.alias("owned"), none.alias("fetched"))
     return alone.mapInArrow(run, "media binary, file binary").unionByName(parts.mapInArrow(run, "media binary, file binary"))
 
 
@@ -158,7 +176,7 @@ def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     Null texts count as empty and have one unit of zero bytes; equal texts share one stored
     file; repeated rows keep a row each; an empty table gives an empty result; other columns are not
     read."""
-    rows, stored = store(docs, doc_id, text)
+    rows, stored, words = store(docs, doc_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -166,12 +184,15 @@ def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
             for k in range(b.num_rows):
                 file = b.column(1)[k].as_py()
                 payload = file[HEADER:]
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(file), features(payload)))
+                out.append((len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-UNIT:]), len(file), features(payload)))
             columns = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["media", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "feature"])
 
-    schema = "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, feature string"
-    seen = materialise(read_back(stored).mapInArrow(run, schema).dropDuplicates(["media"]), "features")
-    out = rows.join(seen, "media").withColumn("media_sha256", F.lower(F.hex("media")))
+    schema = "media binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, feature string"
+    seen = materialise(read_back(stored, words).mapInArrow(run, schema), "features")
+    if rows.groupBy("doc_id", "media").count().where("count > 1").limit(1).count():
+        seen = seen.dropDuplicates(["media"])  # rows that repeat id and text
+    hexed = {"media_sha256": F.lower(F.hex("media")), "payload_sha256": F.lower(F.hex("payload_sha256"))}
+    out = rows.join(seen, "media").withColumns(hexed)
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
