@@ -109,7 +109,7 @@ def _places(df: DataFrame) -> DataFrame:
     partition. Only conversations that lie across partitions need an offset: at most two
     stretches of each partition, whose counts the driver sums up."""
     spark = df.sparkSession
-    keys = ["conv_id", "turn", "role", "text"]
+    keys = ["conv_id", "turn", "role", F.xxhash64("text")]  # range bounds are sampled on the driver: no texts there
     laid = df.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys)
     laid = materialise(laid.withColumn("_pid", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), "turns")
     runs = laid.groupBy("_pid", "conv_id").agg(F.count(F.lit(1)).alias("n"))
@@ -192,8 +192,8 @@ def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     put before), merged (into the turn before), final, after (roles of empty turns at the end).
 
     Roles are compared in lower case without outer spaces; null and unknown roles get
-    a legal one. Null texts count as empty and stay; turns of equal number go by role and
-    text; repeated rows are turns of their own; rows without conv_id are one conversation; an
+    a legal one. Null texts count as empty and stay; turns of equal number go by role and a
+    digest of the text; repeated rows are turns of their own; rows without conv_id are one conversation; an
     empty table gives an empty result; other columns are not read."""
     kind = F.lower(F.trim(F.col(role)))
     code = F.when(kind == "system", SYSTEM).when(kind == "user", USER).when(kind == "assistant", ASSISTANT).otherwise(0)
