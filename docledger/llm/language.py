@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sample
+
 LETTERS = regex.compile(r"\p{L}+")
 BUCKETS = 1 << 15
 CACHE = 100_000
@@ -97,11 +99,11 @@ def train(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 4, r
 
 
 def fit(docs: DataFrame, learn: Column, sample_rows: int = 3000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel | None:
-    """Train on the ``sample_rows`` rows of smallest hash among those that ``learn``
-    allows and whose text and label are not null."""
+    """Train on about ``sample_rows`` rows, chosen by a hash of ``doc_id``, of those that
+    ``learn`` allows and whose text and label are not null."""
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    order = F.xxhash64(F.col(doc_id).cast("string"))
-    some = rows.select(order.alias("_o"), F.col(text).alias("t"), F.col(lang).alias("y")).orderBy("_o", "t").limit(sample_rows).collect()
+    some = sample(rows.select(F.col(doc_id).alias("_id"), F.col(text).alias("t"), F.col(lang).alias("y")), "_id", sample_rows).collect()
+    some.sort(key=lambda r: (zlib.crc32(str(r["_id"]).encode()), r["t"]))
     return train([r["t"] for r in some], [r["y"] for r in some])
 
 

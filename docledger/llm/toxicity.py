@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sample
+
 LETTERS = regex.compile(r"\p{L}+")
 BUCKETS = 1 << 20
 CACHE = 150_000
@@ -64,7 +66,7 @@ def train(texts: list[str], labels: list[int], least_g: float = 11.0, most: int
             for o, mean in ((c, k * n / len(y)), (n - c, (len(y) - k) * n / len(y))):
                 g += np.where(o > 0, 2 * o * np.log(o / mean), 0)
     # only what is rare among the other label, so that long texts do not add up frequent words
-    g[(k < 3) | (count[1] / n1 < 4 * count[0] / n0)] = 0
+    g[(k < 3) | (count[1] / n1 < 2 * count[0] / n0)] = 0
     chosen = np.argsort(-g, kind="stable")[:most]
     chosen = chosen[g[chosen] >= least_g]
     index = {int(b): i for i, b in enumerate(chosen)}
@@ -91,11 +93,11 @@ def train(texts: list[str], labels: list[int], least_g: float = 11.0, most: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int = 8000, doc_id: str = "doc_id", text: str = "text") -> ToxicityModel:
-    """Train on the ``sample_rows`` labelled rows of smallest hash among those that
-    ``learn`` (on ``doc_id``) allows. The sample's ids are what is broadcast."""
-    order = F.xxhash64(F.col("doc_id").cast("string"))
-    some = labels.select(F.col("doc_id"), F.col("toxic")).where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-    some = some.orderBy(order, "doc_id", "toxic").limit(sample_rows).withColumnRenamed("doc_id", "_id")
+    """Train on about ``sample_rows`` labelled rows, chosen by a hash of doc_id, of those that
+    ``learn`` (on ``doc_id``) allows. The sample's ids are what is broadcast; of labels that
+    repeat an id the largest counts."""
+    some = labels.where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    some = sample(some, "doc_id", sample_rows).withColumnRenamed("doc_id", "_id")
     texts = docs.select(F.col(doc_id).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = texts.join(F.broadcast(some), F.col("_doc") == F.col("_id")).select("_doc", "t", "toxic").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["_doc"]).encode()), r["_doc"]))
