@@ -103,8 +103,6 @@ def differences(v):
 
 @query("JN7", "SELECT receipt_id, string_agg(description || '=' || printf('%.2f', CAST(total_price AS DOUBLE)), ',' ORDER BY description, total_price) AS items FROM items GROUP BY 1")
 def normalised(v):
-    from ..functions.hashing import canonical_json  # noqa: F401
-
     lines = F.sort_array(F.collect_list(F.struct("description", "total_price")))
     text = F.transform(lines, lambda x: F.format_string("%s=%.2f", x["description"], x["total_price"].cast("double")))
     return v.items.groupBy("receipt_id").agg(F.array_join(text, ",").alias("items"))
