@@ -29,10 +29,9 @@ def by_status(v):
     return of_user(v.receipts, USER, "success").select("id", "status")
 
 
-@query("FLT2", f"SELECT id, CAST(receipt_date AS VARCHAR) AS receipt_date FROM receipts WHERE user_id <= {USER * 50} AND receipt_date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'")
+@query("FLT2", f"SELECT id, CAST(receipt_date AS VARCHAR) AS receipt_date FROM receipts WHERE user_id = {USER} AND receipt_date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'")
 def by_date(v):
-    r = v.receipts.where(F.col("user_id") <= USER * 50)
-    return r.where(F.col("receipt_date").between("1996-01-01", "1997-12-31")).select("id", F.col("receipt_date").cast("string").alias("receipt_date"))
+    return of_user(v.receipts, USER).where(F.col("receipt_date").between("1996-01-01", "1997-12-31")).select("id", F.col("receipt_date").cast("string").alias("receipt_date"))
 
 
 @query("FLT3", "SELECT receipt_id, line_number, description FROM items WHERE category = 'ECONOMY'")
@@ -50,9 +49,9 @@ def by_hash(v):
     return first_by(v.receipts.where(F.col("image_hash") == F.sha2(F.lit("42"), 256)), ["id"]).select("id", "image_hash")
 
 
-@query("TOP1", "SELECT id, CAST(total_amount AS DOUBLE) AS total_amount FROM (SELECT * FROM receipts WHERE user_id <= 20 ORDER BY total_amount DESC NULLS LAST, id LIMIT 50 OFFSET 10)")
+@query("TOP1", f"SELECT id, CAST(total_amount AS DOUBLE) AS total_amount FROM (SELECT * FROM receipts WHERE user_id = {USER} ORDER BY total_amount DESC NULLS LAST, id LIMIT 50 OFFSET 2)")
 def listing(v):
-    return page(v.receipts.where("user_id <= 20"), "total_amount", "started_at", offset=10).select("id", *as_double("total_amount"))
+    return page(of_user(v.receipts, USER), "total_amount", "started_at", offset=2).select("id", *as_double("total_amount"))
 
 
 @query("TOP2", "SELECT id, CAST(total_amount AS DOUBLE) AS total_amount FROM (SELECT * FROM receipts WHERE status = 'success' AND total_amount > 50 AND retry_count = 0 ORDER BY total_amount DESC, id LIMIT 20)")
@@ -66,10 +65,10 @@ def newest(v):
     return page(of_user(v.receipts, USER), "started_at", "id").select("id")
 
 
-@query("JN1", "SELECT id FROM receipts WHERE user_id <= 100 AND id IN (SELECT receipt_id FROM items WHERE category = 'PROMO')")
+@query("JN1", "SELECT id, user_id FROM receipts WHERE id IN (SELECT receipt_id FROM items WHERE category = 'PROMO')")
 def with_category(v):
     some = v.items.where("category = 'PROMO'").select(F.col("receipt_id").alias("id"))
-    return v.receipts.where("user_id <= 100").join(some, "id", "left_semi").select("id")
+    return v.receipts.join(some, "id", "left_semi").select("id", "user_id")
 
 
 @query("JN2", "SELECT receipt_id, line_number, CAST(total_price AS DOUBLE) AS total_price FROM items JOIN receipts ON receipt_id = id WHERE is_taxable AND status = 'success'")
@@ -114,9 +113,9 @@ def user_stats(v):
     return v.receipts.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "success").alias("n_success"), cost.alias("cost"))
 
 
-@query("AGG2", "SELECT merchant_name, count(*) AS n, CAST(sum(total_amount) AS DOUBLE) AS spent FROM receipts WHERE user_id <= 500 AND status = 'success' GROUP BY 1")
+@query("AGG2", "SELECT user_id, merchant_name, count(*) AS n, CAST(sum(total_amount) AS DOUBLE) AS spent FROM receipts WHERE status = 'success' GROUP BY ALL")
 def merchant_spend(v):
-    return v.receipts.where("user_id <= 500 and status = 'success'").groupBy("merchant_name").agg(F.count(F.lit(1)).alias("n"), F.sum("total_amount").cast("double").alias("spent"))
+    return v.receipts.where("status = 'success'").groupBy("user_id", "merchant_name").agg(F.count(F.lit(1)).alias("n"), F.sum("total_amount").cast("double").alias("spent"))
 
 
 @query("AGG5", "SELECT count(*) AS total, count(*) FILTER (status = 'success') AS n_success, count(*) FILTER (status = 'pending') AS n_partial, count(*) FILTER (status = 'failed') AS n_failure FROM receipts")

@@ -10,7 +10,8 @@ from ..operators import dedupe, trace, usage
 from ..operators.relational import as_double
 from .registry import query
 
-P = F.col("payload")
+def P():
+    return F.col("payload")
 #: A payload is an object, its total and its item sum, in SQL.
 PARSED = r"""parsed AS (SELECT doc_id, payload, json_valid(payload) AND coalesce(json_type(CASE WHEN json_valid(payload) THEN payload END) = 'OBJECT', FALSE) AS is_object,
   CASE WHEN json_valid(payload) THEN CAST(json_extract_string(payload, '$.total') AS DECIMAL(18,4)) END AS total,
@@ -20,13 +21,13 @@ messages AS (SELECT *, CASE WHEN NOT is_object THEN 'Failed to parse JSON' WHEN
 
 
 def _judged(v):
-    p = v.payloads.select("doc_id", "payload", validate.typed(P).alias("p"), validate.errors(P).alias("errors"))
+    p = v.payloads.select("doc_id", "payload", validate.typed(P()).alias("p"), validate.errors(P()).alias("errors"))
     return p.withColumn("error", F.get("errors", F.lit(0)))
 
 
 @query("VAL1", "SELECT doc_id, is_object AS valid, CASE WHEN NOT is_object THEN 'Failed to parse JSON' END AS error FROM parsed", PARSED)
 def content(v):
-    ok = validate.is_object(P)
+    ok = validate.is_object(P())
     return v.payloads.select("doc_id", ok.alias("valid"), F.when(~ok, validate.UNPARSED).alias("error"))
 
 

@@ -14,12 +14,13 @@ def _slips(v, **columns):
     return v.slips.select("doc_id", *[c.alias(k) for k, c in columns.items()])
 
 
-T = F.col("text")
+def T():
+    return F.col("text")
 
 
 @query("TXT1", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n\s*\n', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS cleaned FROM slips")
 def whitespace(v):
-    return _slips(v, cleaned=text.whitespace(T))
+    return _slips(v, cleaned=text.whitespace(T()))
 
 
 WORDS = r"""list_transform(regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+'), lambda w: {0})"""
@@ -31,30 +32,30 @@ COMMA = r"CASE WHEN regexp_matches({0}, '\d+,\d{{2}}') THEN replace({0}, ',', '.
 
 @query("TXT2", "SELECT doc_id, array_to_string(" + WORDS.replace("{0}", f"regexp_extract(w, '{PEELED}', 1) || {COMMA('(' + CONFUSED(CORE) + ')')} || regexp_extract(w, '{PEELED}', 3)") + ", ' ') AS cleaned FROM slips")
 def word_correction(v):
-    return _slips(v, cleaned=text.corrected(T))
+    return _slips(v, cleaned=text.corrected(T()))
 
 
 @query("TXT3", "SELECT doc_id, array_to_string(" + WORDS.replace("{0}", CONFUSED("w")) + ", ' ') AS cleaned FROM slips")
 def confusions(v):
-    words = F.transform(F.split(text.trimmed(T), r"(?U)\s+"), text.confusions)
+    words = F.transform(F.split(text.trimmed(T()), r"(?U)\s+"), text.confusions)
     return _slips(v, cleaned=F.array_join(words, " "))
 
 
 @query("TXT4", "SELECT doc_id, array_to_string(" + WORDS.replace("{0}", COMMA("w")) + ", ' ') AS cleaned FROM slips")
 def decimal_commas(v):
-    words = F.transform(F.split(text.trimmed(T), r"(?U)\s+"), text.decimal_comma)
+    words = F.transform(F.split(text.trimmed(T()), r"(?U)\s+"), text.decimal_comma)
     return _slips(v, cleaned=F.array_join(words, " "))
 
 
 @query("TXT5", r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\bT0TAL\b', 'TOTAL', 'g'), '(?i)\bAM0UNT\b', 'AMOUNT', 'g'),
     '(?i)\bSUBT0TAL\b', 'SUBTOTAL', 'g'), '(?i)\bCUST0MER\b', 'CUSTOMER', 'g'), '(?i)\bCASHIER\b', 'CASHIER', 'g') AS cleaned FROM slips""")
 def keyword_repairs(v):
-    return _slips(v, cleaned=text.keywords(T))
+    return _slips(v, cleaned=text.keywords(T()))
 
 
 # fragments: a word of a slip line each, with a made-up place and confidence by position
 def _fragments(v):
-    lines = v.slips.where("text is not null").select("doc_id", F.posexplode(F.split(T, "\n")).alias("row", "line"))
+    lines = v.slips.where("text is not null").select("doc_id", F.posexplode(F.split(T(), "\n")).alias("row", "line"))
     words = lines.select("doc_id", "row", F.posexplode(F.split("line", " ")).alias("col", "text"))
     y = (F.col("row") * 24 + F.col("col") % 3 * 2).cast("double")
     conf = (F.col("doc_id") * 7 + F.col("row") * 3 + F.col("col") * 5) % 10 / 10.0
@@ -68,7 +69,7 @@ fragments AS (SELECT doc_id, "row", col, text, ((doc_id * 7 + "row" * 3 + col *
 
 @query("TXT6", r"""SELECT doc_id, CAST("row" AS INTEGER) AS "row", CAST(col AS INTEGER) AS col, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM fragments WHERE confidence >= 0.7 AND regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''""", FRAGMENTS)
 def fragment_filter(v):
-    f = _fragments(v).withColumn("text", text.trimmed(T))
+    f = _fragments(v).withColumn("text", text.trimmed(T()))
     return f.where("confidence >= 0.7 and text <> ''").select("doc_id", "row", "col", "text")
 
 
@@ -83,7 +84,7 @@ def line_reconstruction(v):
     FROM (SELECT doc_id, l, list_filter(l, lambda x: regexp_matches(x, '(?i)TOTAL|AMOUNT|BALANCE|\d+\.\d{2}')) AS hits
     FROM (SELECT doc_id, list_transform(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS l FROM slips))""")
 def focused_context(v):
-    return _slips(v, context=text.focused(T))
+    return _slips(v, context=text.focused(T()))
 
 
 @query("TXT10", r"""SELECT doc_id, length(a) AS len_a, length(b) AS len_b, abs(length(a) - length(b)) AS len_diff, CAST(len(list_intersect(wa, wb)) AS BIGINT) AS common,
@@ -91,7 +92,7 @@ def focused_context(v):
     FROM (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(a), '\s+'), lambda x: x <> '')) AS wa, list_distinct(list_filter(regexp_split_to_array(lower(b), '\s+'), lambda x: x <> '')) AS wb
     FROM (SELECT doc_id, text AS a, replace(text, '.', ',') AS b FROM slips))""")
 def text_comparison(v):
-    return _slips(v, **text.comparison(T, F.replace(T, F.lit("."), F.lit(","))))
+    return _slips(v, **text.comparison(T(), F.replace(T(), F.lit("."), F.lit(","))))
 
 
 # ---- fields
@@ -112,7 +113,7 @@ found AS (SELECT doc_id, line_no, CASE WHEN regexp_matches(line, 'P1') THEN rege
 
 @query("EXT1", f"SELECT doc_id, {TOTAL} AS total FROM slips")
 def total(v):
-    return _slips(v, total=fields.total_amount(T))
+    return _slips(v, total=fields.total_amount(T()))
 
 
 @query("EXT2", "SELECT doc_id, line_no, description, price FROM found WHERE description IS NOT NULL", LINES)
@@ -134,14 +135,14 @@ MERCHANT = "coalesce(" + ", ".join(f"nullif(regexp_extract(text, '{p}', 1), '')"
 
 @query("EXT4", f"SELECT doc_id, {MERCHANT} AS merchant FROM slips")
 def merchant(v):
-    return _slips(v, merchant=fields.merchant(T))
+    return _slips(v, merchant=fields.merchant(T()))
 
 
 @query("EXT5", r"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'Store ' || doc_id ELSE list_filter(list_transform(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10))[1:3], lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')),
     lambda x: NOT regexp_matches(x, '\d') AND length(x) > 3 AND NOT regexp_matches(x, '(?i)^(TOTAL|SUBTOTAL|TAX)'))[1] END AS merchant FROM slips""")
 def merchant_fallback(v):
     given = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Store "), F.col("doc_id").cast("string")))
-    return _slips(v, merchant=fields.merchant_fallback(T, given))
+    return _slips(v, merchant=fields.merchant_fallback(T(), given))
 
 
 D = [r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}", r"\d{2,4}[/-]\d{1,2}[/-]\d{1,2}", r"\w{3,9}\s+\d{1,2},?\s+\d{4}", r"\d{1,2}\s+\w{3,9}\s+\d{4}"]
@@ -158,22 +159,22 @@ def _written(v):
 
 @query("EXT6", "SELECT doc_id, coalesce(" + ", ".join(f"nullif(regexp_extract(text, '{p}'), '')" for p in D) + ") AS date FROM written", WRITTEN)
 def date_string(v):
-    return _written(v).select("doc_id", fields.date_string(T).alias("date"))
+    return _written(v).select("doc_id", fields.date_string(T()).alias("date"))
 
 
 @query("EXT7", r"""SELECT doc_id, CAST(coalesce(CASE WHEN regexp_matches(text, '^\d{4}-\d{2}-\d{2}') THEN try_cast(left(text, 10) AS DATE) END, CAST(try_strptime(text, '%m/%d/%Y') AS DATE), CAST(try_strptime(text, '%d/%m/%Y') AS DATE)) AS VARCHAR) AS date FROM written""", WRITTEN)
 def date_parse(v):
-    return _written(v).select("doc_id", fields.date(T).cast("string").alias("date"))
+    return _written(v).select("doc_id", fields.date(T()).cast("string").alias("date"))
 
 
 @query("EXT8", f"SELECT s.doc_id, least(CAST(1 AS DOUBLE), CAST(0.3 AS DOUBLE) + CASE WHEN {TOTAL} > 0 THEN CAST(0.3 AS DOUBLE) ELSE 0 END + least(CAST(0.4 AS DOUBLE), n * CAST(0.1 AS DOUBLE))) AS confidence FROM slips s JOIN (SELECT doc_id, count(description) AS n FROM found GROUP BY 1) USING (doc_id)", LINES)
 def confidence(v):
-    return _slips(v, confidence=fields.confidence(fields.total_amount(T), F.size(fields.items(T))))
+    return _slips(v, confidence=fields.confidence(fields.total_amount(T()), F.size(fields.items(T()))))
 
 
 @query("EXT9", f"SELECT s.doc_id, {TOTAL} AS total, n AS n_items, {MERCHANT} AS merchant FROM slips s JOIN (SELECT doc_id, count(description) AS n FROM found GROUP BY 1) USING (doc_id)", LINES)
 def all_fields(v):
-    f = v.slips.select("doc_id", fields.all_fields(T).alias("f"))
+    f = v.slips.select("doc_id", fields.all_fields(T()).alias("f"))
     return f.select("doc_id", "f.total", F.size("f.items").cast("long").alias("n_items"), "f.merchant")
 
 
@@ -191,39 +192,39 @@ SCORE = f"CASE WHEN {NP} = 0 AND {KW} = 0 THEN least({RAW}, CAST(0.4 AS DOUBLE))
 SCORED = f"scored AS (SELECT doc_id, text, {SCORE} AS score, {Q1} AS q1, {Q2} AS q2, {Q3} AS q3, {Q4} AS q4, {Q5} AS q5 FROM slips)"
 
 for _id, _sql, _f in (("QLT1", "q1", quality.length_points), ("QLT2", "q2", quality.price_points), ("QLT3", "q3", quality.keyword_points), ("QLT4", "q4", quality.word_points), ("QLT5", "q5", quality.noise_points), ("QLT6", "score", quality.score)):
-    query(_id, f"SELECT doc_id, {_sql} AS points FROM scored", SCORED)(lambda v, f=_f: _slips(v, points=f(T)))
+    query(_id, f"SELECT doc_id, {_sql} AS points FROM scored", SCORED)(lambda v, f=_f: _slips(v, points=f(T())))
 
 
 @query("QLT7", f"SELECT doc_id, score, q1 / 20 AS text_length, q2 / 25 AS price_patterns, q3 / 20 AS total_keyword, q4 / 25 AS word_quality, q5 / 10 AS noise_penalty, length({ST}) AS length, CAST(len(string_split(text, chr(10))) AS BIGINT) AS line_count FROM scored", SCORED)
 def breakdown(v):
-    b = v.slips.select("doc_id", quality.breakdown(T).alias("b"))
+    b = v.slips.select("doc_id", quality.breakdown(T()).alias("b"))
     return b.select("doc_id", F.col("b.total_score").alias("score"), "b.components.*", F.col("b.stats.length").cast("long").alias("length"), F.col("b.stats.line_count").cast("long").alias("line_count"))
 
 
 @query("QLT8", "SELECT doc_id, CASE WHEN score < 0.6 THEN 'FALLBACK' ELSE 'PROCEED' END AS recommendation FROM scored", SCORED)
 def routing(v):
-    return _slips(v, recommendation=F.when(quality.falls_back(T, 0.6), "FALLBACK").otherwise("PROCEED"))
+    return _slips(v, recommendation=F.when(quality.falls_back(T(), 0.6), "FALLBACK").otherwise("PROCEED"))
 
 
 @query("QLT9", """SELECT doc_id, CASE WHEN r = '' THEN 'General quality concerns' ELSE r END AS reasoning FROM (SELECT doc_id, array_to_string(list_filter([CASE WHEN q1 / 20 < 0.5 THEN 'Text too short (' || length(text) || ' chars)' END,
     CASE WHEN q2 / 25 < 0.6 THEN 'Insufficient price patterns detected' END, CASE WHEN q3 / 20 < 0.5 THEN 'Missing TOTAL/AMOUNT keywords' END, CASE WHEN q4 / 25 < 0.6 THEN 'Low word quality (many noisy tokens)' END], lambda x: x IS NOT NULL), '; ') AS r FROM scored)""", SCORED)
 def reasons(v):
-    return _slips(v, reasoning=quality.reasoning(T))
+    return _slips(v, reasoning=quality.reasoning(T()))
 
 
 @query("QLT10", "SELECT doc_id, score * 100 AS confidence, 'primary' AS method, score > 0 AS success FROM scored", SCORED)
 def confidence_percent(v):
-    return _slips(v, confidence=quality.score(T) * 100, method=F.lit("primary"), success=quality.score(T) > 0)
+    return _slips(v, confidence=quality.score(T()) * 100, method=F.lit("primary"), success=quality.score(T()) > 0)
 
 
 @query("QLT11", """SELECT doc_id, CASE WHEN score >= 0.6 THEN 'primary' WHEN second IS NOT NULL THEN 'fallback' ELSE 'primary_low' END AS method, CASE WHEN score >= 0.6 OR second IS NULL THEN length(text) ELSE length(second) END AS n,
     CASE WHEN score >= 0.6 THEN 1 ELSE 2 END AS n_attempted FROM (SELECT *, CASE WHEN doc_id % 3 <> 0 THEN 'second ' || text END AS second FROM scored)""", SCORED)
 def source_resolution(v):
     """The primary text if it is good enough, else a secondary one, else the primary again."""
-    second = v.slips.where("doc_id % 3 <> 0").select("doc_id", F.concat(F.lit("second "), T).alias("second"))
-    both = v.slips.withColumn("good", quality.score(T) >= 0.6).join(second, "doc_id", "left")
+    second = v.slips.where("doc_id % 3 <> 0").select("doc_id", F.concat(F.lit("second "), T()).alias("second"))
+    both = v.slips.withColumn("good", quality.score(T()) >= 0.6).join(second, "doc_id", "left")
     method = F.when(F.col("good"), "primary").when(F.col("second").isNotNull(), "fallback").otherwise("primary_low")
-    chosen = F.when(F.col("good") | F.col("second").isNull(), T).otherwise(F.col("second"))
+    chosen = F.when(F.col("good") | F.col("second").isNull(), T()).otherwise(F.col("second"))
     tried = F.when(F.col("good"), F.array(F.lit("primary"))).otherwise(F.array(F.lit("primary"), F.lit("fallback")))
     return both.select("doc_id", method.alias("method"), F.char_length(chosen).cast("long").alias("n"), F.size(tried).alias("n_attempted"))
 
@@ -231,13 +232,13 @@ def source_resolution(v):
 @query("QLT12", "SELECT r.id AS doc_id, CAST(epoch_ms(completed_at) - epoch_ms(started_at) AS DOUBLE) AS duration_ms, round(score, 3) AS quality, length(text) AS text_length FROM receipts r JOIN scored s ON r.id = s.doc_id", SCORED)
 def run_record(v):
     ms = F.unix_millis("completed_at") - F.unix_millis("started_at")
-    s = v.slips.select("doc_id", F.round(quality.score(T), 3).alias("quality"), F.char_length("text").cast("long").alias("text_length"))
+    s = v.slips.select("doc_id", F.round(quality.score(T()), 3).alias("quality"), F.char_length("text").cast("long").alias("text_length"))
     return v.receipts.select(F.col("id").alias("doc_id"), ms.cast("double").alias("duration_ms")).join(s, "doc_id")
 
 
 @query("SET2", "SELECT doc_id, CAST(len(list_intersect(['red', 'blue', 'gear', 'TOTAL'], string_split(text, ' '))) AS BIGINT) AS common, CAST(len(list_distinct(list_concat(['red', 'blue', 'gear', 'TOTAL'], string_split(text, ' ')))) AS BIGINT) AS n_union FROM slips")
 def word_sets(v):
-    known, words = F.array(*map(F.lit, ("red", "blue", "gear", "TOTAL"))), F.split(T, " ")
+    known, words = F.array(*map(F.lit, ("red", "blue", "gear", "TOTAL"))), F.split(T(), " ")
     return _slips(v, common=F.size(F.array_intersect(known, words)).cast("long"), n_union=F.size(F.array_union(known, words)).cast("long"))
 
 
