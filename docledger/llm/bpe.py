@@ -12,11 +12,11 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = (1 << 31) - 1
 LONG_WORD = 64
-CACHE = 300_000  # entries that a dictionary may hold between batches
-BATCH = 512  # texts encoded together
+BATCH_BYTES = 1 << 24  # of texts encoded together
+#: Where a cut before each space could fall inside a run of white space.
+SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+RUNS = f"{SPACE} (?:{SPACE}|$)"
 
 
 def byte_symbols() -> list[str]:
@@ -36,6 +38,32 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes and beginnings of a string or binary column's values, and their bytes."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return np.diff(ends), ends[:-1], np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+
+
+def _spread(start: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for ``counts`` places each, one after the other."""
+    return np.repeat(start - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
+def _gathered(flat: np.ndarray, start: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return flat[_spread(start, counts)]
+
+
+def batches_of(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """(offset, length) of slices with about BATCH_BYTES of text."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes, dtype=np.int64) // BATCH_BYTES
+    at = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if b > a:
+            yield a, b - a
+
+
 class _Pairs:
     """(left id, right id) -> rank, by open addressing, for whole arrays at once."""
 
@@ -88,30 +116,31 @@ class ByteBPE:
         for s, i in self.special.items():
             self.tokens[i] = s.encode()
         self.words = regex.compile(PATTERN)
-        #: Where a cut before each space could fall inside a run of white space.
-        self.runs = re.compile(r"[\s\x1c-\x1f] (?:[\s\x1c-\x1f]|\Z)")
         self.pairs = _Pairs(self.merges)
         self.first = np.array(self.byte_ids, np.int32)
-        self.plain: dict[str, bytes] = {}  # ids of a piece before the first space
-        self.spaced: dict[str, bytes] = {}  # ids of a space and the piece after it
-        self.short: dict[str, bytes] = {}  # ids of a word
-
-    def _learn(self, words: list[str]) -> None:
-        """Put the ids of new words into ``short``."""
-        by_length: dict[int, list[tuple[str, bytes]]] = {}
-        for w in words:
-            data = w.encode("utf-8")
-            if len(data) > LONG_WORD:
-                self.short[w] = array("I", self._heap([self.byte_ids[b] for b in data])).tobytes()
-            else:
-                by_length.setdefault(len(data), []).append((w, data))
-        for n, same in by_length.items():
+
+    def _ranked(self, size: np.ndarray, begin: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many words of UTF-8 bytes, one after the other, and how many each has."""
+        counts, parts, order = np.zeros(len(size), np.int64), [], []
+        for n in np.unique(size).tolist():
+            same = np.flatnonzero(size == n)
             for k in range(0, len(same), 1 << 14):
-                part = same[k : k + (1 << 14)]
-                ids, sizes = self._scan(self.first[np.frombuffer(b"".join(d for _, d in part), np.uint8).reshape(-1, n)])
-                data = ids.astype("<u4").tobytes()
-                for r, ((w, _), m) in enumerate(zip(part, sizes.tolist(), strict=True)):
-                    self.short[w] = data[4 * n * r : 4 * (n * r + m)]
+                rows = same[k : k + (1 << 14)]
+                cells = data[begin[rows][:, None] + np.arange(n)]
+                if n > LONG_WORD:
+                    long = [self._heap([self.byte_ids[b] for b in row.tolist()]) for row in cells]
+                    counts[rows] = [len(x) for x in long]
+                    parts.append(np.array([i for x in long for i in x], np.uint32))
+                else:
+                    ids, counts[rows] = self._scan(self.first[cells])
+                    parts.append(ids[np.arange(n) < counts[rows][:, None]].astype(np.uint32))
+                order.append(rows)
+        if not parts:
+            return np.zeros(0, np.uint32), counts
+        order = np.concatenate(order)
+        start = np.zeros(len(size), np.int64)
+        start[order] = np.cumsum(counts[order]) - counts[order]
+        return _gathered(np.concatenate(parts), start, counts), counts
 
     def _scan(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merge every row of part ids; the rows and how many parts each has left."""
@@ -164,56 +193,85 @@ class ByteBPE:
                     heapq.heappush(heap, (m[0], left, m[1], ids[left], ids[right]))
         return [x for x in ids if x >= 0]
 
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers; a null text
-        has none. Words seen before come from bounded dictionaries."""
-        for cache in (self.plain, self.spaced, self.short):
-            if len(cache) > CACHE:
-                cache.clear()
-        parts: list[list] = []  # of each text: ids, words of a piece, or a piece cut before each space
-        plain, spaced, words = set(), set(), set()
-        for text in texts:
-            mine = []
-            special = text and self.special and any(s in text for s in self.special)
-            for piece in self.split_special.split(text) if special else [text] if text else []:
-                if special and piece in self.special:
-                    mine.append(array("I", [self.special[piece]]).tobytes())
-                elif self.runs.search(piece):
-                    mine.append(tuple(self.words.findall(piece)))
-                    words.update(mine[-1])
-                elif piece:
-                    mine.append(piece.split(" "))
-                    plain.add(mine[-1][0])
-                    spaced.update(mine[-1][1:])
-            parts.append(mine)
-        made = []
-        for cache, chunks, space in ((self.plain, plain, ""), (self.spaced, spaced, " ")):
-            for c in chunks.difference(cache):
-                if c.isalpha():
-                    found = [space + c]
-                elif c[-1:] in ",." and c[:-1].isalpha():
-                    found = [space + c[:-1], c[-1]]
-                else:
-                    found = self.words.findall(space + c)
-                made.append((cache, c, found))
-                words.update(found)
-        new = list(words.difference(self.short))
-        self._learn(new)
-        short, after = self.short.__getitem__, self.spaced.__getitem__
-        for cache, c, found in made:
-            cache[c] = short(found[0]) if len(found) == 1 else b"".join(map(short, found))
-        out = []
-        for mine in parts:
-            ids = [p if isinstance(p, bytes) else b"".join(map(short, p)) if isinstance(p, tuple) else self.plain[p[0]] + b"".join(map(after, p[1:])) for p in mine]
-            out.append(ids[0] if len(ids) == 1 else b"".join(ids))
-        for cache, c, _ in made:
-            if len(c) > LONG_WORD:
-                del cache[c]
-        for w in new:
-            if len(w) > LONG_WORD:
-                del self.short[w]
+    def _words(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts by the pattern alone, each as one array."""
+        found = [self.words.findall(t) for t in texts]
+        column = pa.array([w for f in found for w in f], pa.string()).dictionary_encode()
+        flat, counts = self._ranked(*_bytes(column.dictionary))
+        start = np.cumsum(counts) - counts
+        codes = column.indices.to_numpy(zero_copy_only=False)
+        ids = _gathered(flat, start[codes], counts[codes])
+        ends = np.concatenate([[0], np.cumsum(counts[codes])])[np.cumsum([0, *map(len, found)])]
+        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def _special(self, text: str) -> np.ndarray:
+        parts = self.split_special.split(text) if self.split_special else [text]
+        plain = iter(self._words([p for p in parts if p not in self.special]))
+        return np.concatenate([np.array([self.special[p]], np.uint32) if p in self.special else next(plain) for p in parts])
+
+    def encode_many(self, texts: pa.Array) -> list[np.ndarray]:
+        """For each text its ids; a null text has none.
+
+        Texts are cut before each space, which is where a word begins unless the space stands in
+        a run of white space; texts with such runs or special tokens go by the pattern as a
+        whole. Equal pieces are encoded once, and most pieces are one word and maybe a full
+        stop or comma, which columns tell without a look at each."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, RUNS)
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        odd = odd.to_numpy(zero_copy_only=False)
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        for k in np.flatnonzero(odd).tolist():
+            out[k] = self._special(texts[k].as_py())
+        good = np.flatnonzero(~odd)
+        if not len(good):
+            return out
+        cut = pc.split_pattern(texts.take(pa.array(good)), " ")
+        offsets, column = cut.offsets.to_numpy().astype(np.int64), cut.values.dictionary_encode()
+        codes, pieces = column.indices.to_numpy(zero_copy_only=False).astype(np.int64), column.dictionary
+        # distinct pieces after a space: a word, a word and a mark, or anything else
+        alone = pc.match_substring_regex(pieces, r"^\p{L}+$").to_numpy(zero_copy_only=False)
+        marked = pc.match_substring_regex(pieces, r"^\p{L}+[.,]$").to_numpy(zero_copy_only=False)
+        size, begin, data = _bytes(pieces)
+        simple = np.flatnonzero(alone | marked)
+        ids, counts = self._distinct((size - marked)[simple], begin[simple], data)
+        n_ids = np.zeros(len(pieces) + len(good), np.int64)
+        n_ids[simple] = counts + marked[simple]
+        other = np.flatnonzero(~(alone | marked))
+        rest = self._words([" " + p for p in pieces.take(pa.array(other)).to_pylist()])
+        heads = self._words(pieces.take(pa.array(codes[offsets[:-1]])).to_pylist())
+        n_ids[other], n_ids[len(pieces) :] = [len(x) for x in rest], [len(x) for x in heads]
+        start = np.cumsum(n_ids) - n_ids
+        table = np.zeros(int(n_ids.sum()), np.uint32)
+        table[_spread(start[simple], counts)] = ids
+        ends = np.flatnonzero(marked)
+        table[start[ends] + n_ids[ends] - 1] = self.first[data[begin[ends] + size[ends] - 1]]
+        for k, x in [*zip(other.tolist(), rest, strict=True), *zip(range(len(pieces), len(n_ids)), heads, strict=True)]:
+            table[start[k] : start[k] + len(x)] = x
+        codes[offsets[:-1]] = len(pieces) + np.arange(len(good))
+        flat = _gathered(table, start[codes], n_ids[codes])
+        ends = np.concatenate([[0], np.cumsum(n_ids[codes])])[offsets]
+        for k, a, b in zip(good.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            out[k] = flat[a:b]
         return out
 
+    def _distinct(self, size: np.ndarray, begin: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``_ranked`` for words with a space before each, where words repeat."""
+        flat = data[_spread(begin, size)]
+        ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        column = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(flat)]).dictionary_encode()
+        codes = column.indices.to_numpy(zero_copy_only=False)
+        n, b, d = _bytes(column.dictionary)
+        spaced = np.full(int(n.sum() + len(n)), 32, np.uint8)
+        at = np.cumsum(n + 1) - (n + 1)
+        spaced[_spread(at + 1, n)] = d[_spread(b, n)]
+        ids, counts = self._ranked(n + 1, at, spaced)
+        return _gathered(ids, (np.cumsum(counts) - counts)[codes], counts[codes]), counts[codes]
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        return [x.astype("<u4").tobytes() for x in self.encode_many(pa.array(texts, pa.string()))]
+
     def encode(self, text: str | None) -> bytes:
         return self.encode_batch([text])[0]
 
@@ -240,9 +298,9 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for b in batches:
-            for k in range(0, b.num_rows, BATCH):
-                part = b.slice(k, BATCH)
-                ids = pa.array(bpe.encode_batch(part.column(1).to_pylist()), pa.binary())
+            for at, n in batches_of(b.column(1)):
+                part = b.slice(at, n)
+                ids = pa.array([x.astype("<u4").tobytes() for x in bpe.encode_many(part.column(1))], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -255,8 +313,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for b in batches:
-            for k in range(0, b.num_rows, BATCH):
-                part = b.slice(k, BATCH)
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
                 texts = pa.array([bpe.decode(i or b"") for i in part.column(1).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts], ["doc_id", "ids", "text"])
 

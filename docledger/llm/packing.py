@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import BATCH, tokenizer
+from .bpe import batches_of, tokenizer
 from .common import dense_slots, materialise
 
 END = 1
@@ -29,11 +29,11 @@ def pieces(docs: DataFrame, path: str, window: int, doc_id: str, text: str) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, end = tokenizer(path), END.to_bytes(4, "little")
         for b in batches:
-            for k in range(0, b.num_rows, BATCH):
-                part = b.slice(k, BATCH)
+            for at, rows in batches_of(b.column(1)):
+                part = b.slice(at, rows)
                 out: list[tuple] = []
-                for d, ids in zip(part.column(0).to_pylist(), bpe.encode_batch(part.column(1).to_pylist()), strict=True):
-                    ids += end
+                for d, found in zip(part.column(0).to_pylist(), bpe.encode_many(part.column(1)), strict=True):
+                    ids = found.astype("<u4").tobytes() + end
                     n = len(ids) // 4
                     out += [(d, s, min(window, n - s), zlib.crc32(ids[4 * s : 4 * min(n, s + window)]), n) for s in range(0, n, window)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
