@@ -4,14 +4,14 @@ Universe-partition pigeonhole: in each band of set sizes, tokens (hashed n-grams
 dealt to ``m`` segments by hash. Two similar sets differ in at most D = (|R| + |S|) *
 (1 - t) / (1 + t) tokens, so if the points of the segments sum to D + 1, one segment
 differs less than its points: an exact segment (1 point) is equal, a segment with its
-one-deletion neighbourhood (2 points) differs by at most one token. How many segments of each kind
-a band has is chosen by a cost model: index rows against the candidates that
-nearly empty segments would make. Documents that share a signature are candidates, and all of
+one-deletion neighbourhood (2 points) differs by at most one token. Which kind a band has, and
+how many segments beyond the least (so that empty ones need no index row), is chosen
+by a cost model: index rows against the candidates that empty segments would make. Documents that share a signature are candidates, and all of
 them are verified on the texts' n-grams themselves.
 
 A signature's group is not expanded into pairs: every member is first held against the
-smallest one; only what is then still in different components goes on to more
-pivots, whose number doubles until no group is left."""
+smallest one. Only groups that are then still in different components go on: small ones by
+pairs, large ones in blocks whose intersections are counted by matrix products."""
 
 from __future__ import annotations
 
@@ -20,16 +20,20 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import materialise, with_group
 from .components import components
 
-RATIO, KAPPA, WORDS, MASK = 1.5, 20.0, 300_000, (1 << 64) - 1
+RATIO, WORDS, MASK = 1.5, 300_000, (1 << 64) - 1
+#: Cost of verifying a candidate, in index rows; share of the rows that are near in size.
+VERIFY, NEAR = 100.0, 0.04
+#: Signature groups of more documents are compared in blocks instead of by pairs.
+FEW, BLOCK = 48, 1024
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -59,41 +63,50 @@ class Bands:
         return list(range(self.band(size), self.band(size * 100 // self.percent) + 1))
 
     @lru_cache(maxsize=None)  # noqa: B019
-    def allocation(self, band: int) -> tuple[int, int]:
-        """(exact segments, segments with deletions); (0, 0): only equal sets are similar."""
+    def allocation(self, band: int) -> tuple[int, int, bool]:
+        """(segments, slack, with deletions); no segments: only equal sets are similar.
+
+        Exact segments: with ``slack`` more than needed, 1 + slack of them agree, so that
+        empty ones need not be indexed but for sets that have more empty ones. With
+        deletions half as many do, of twice the tokens, for a row per token."""
         low, high = math.ceil(RATIO**band - 1e-6), math.ceil(RATIO ** (band + 1) - 1e-6) - 1
         need = self.differ(2 * high) + 1
         if need == 1:
-            return 0, 0
-        best = None
-        for q in range(need // 2 + need % 2 + 1):
-            e = max(0, need - 2 * q)
-            c = low * self.percent / 100 / (e + q)
-            accidents = e * math.exp(-2 * c) + q * ((1 + c) * math.exp(-c)) ** 2
-            cost = e + q * (c + 2) + KAPPA * self.rows / 8 * accidents
-            if best is None or cost < best[0]:
-                best = cost, e, q
-        return best[1:]
+            return 0, 0, False
+        near, options = VERIFY * NEAR * self.rows, []
+        for slack in range(0, 4 + need // 2):
+            mean = need * math.exp(-low / (need + slack))
+            term, tail = math.exp(-mean), 1.0
+            for k in range(slack + 1):
+                tail, term = tail - term, term * mean / (k + 1)
+            options.append((need + slack + near * max(tail, 0) ** 2, need + slack, slack, False))
+        half, size = (need + 1) // 2, math.sqrt(low * high)
+        c = size / half
+        options.append((size + 2 * half + near * half * ((1 + c) * math.exp(-c)) ** 2, half, 0, True))
+        return min(options)[1:]
 
     def signatures(self, tokens: np.ndarray) -> np.ndarray:
         out = []
         for band in self.of(len(tokens)):
-            exact, deleted = self.allocation(band)
-            m = exact + deleted
+            m, slack, deletions = self.allocation(band)
             if not m:
                 continue
             segment = ((tokens >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
             order = np.argsort(segment, kind="stable")
-            own, spread = segment[order], mix(tokens[order] + np.uint64(band))
-            ends = np.searchsorted(own, np.arange(m + 1, dtype=np.uint64))
+            own, spread = segment[order].astype(np.int64), mix(tokens[order] + np.uint64(band))
+            ends = np.searchsorted(own, np.arange(m + 1))
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(spread)])
             total = sums[ends[1:]] - sums[ends[:-1]]
             salt = np.arange(m, dtype=np.uint64) * B + np.uint64((band + 1) * int(C) & MASK)
-            out.append(mix(total ^ salt))
-            if deleted:
-                late = own >= exact
-                k = own[late].astype(np.int64)
-                out.append(mix((total[k] - spread[late]) ^ salt[k]))
+            full, exact = ends[1:] > ends[:-1], mix(total ^ salt)
+            if not deletions:
+                # a prefix of the segments does for the smaller set of a pair, and the larger one's is longer
+                most = math.ceil(RATIO ** (band + 1) - 1e-6) - 1
+                k = self.differ(len(tokens) + min(most, len(tokens) * 100 // self.percent)) + 1 + slack
+                full, exact = full[:k], exact[:k]
+            out.append(exact if deletions or (~full).sum() > slack else exact[full])
+            if deletions:
+                out.append(mix((total[own] - spread) ^ salt[own]))
         return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
@@ -108,6 +121,12 @@ def shingles(text: str | None, n: int) -> set[bytes]:
     return {b" ".join(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
 
 
+def similar(a: str | None, b: str | None, n: int, percent: int) -> bool:
+    one, two = shingles(a, n), shingles(b, n)
+    common = len(one & two)
+    return 100 * common >= percent * (len(one) + len(two) - common)
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= WORDS:
@@ -169,6 +188,56 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return both.mapInArrow(run, "a long, b long")
 
 
+def _in_blocks(left: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) between components of large signature groups, found without pair rows.
+
+    Documents that share such signatures, directly or through others, make a cluster.
+    A cluster is dealt to blocks of about BLOCK documents, each two blocks (and each block with
+    itself) meet in a group of bounded size, and there the sizes of all intersections come from products
+    of token matrices. Of the links only those that join components are returned."""
+    edges = left.where("rep > lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
+    cluster = materialise(components(edges), "clusters")
+    sizes = cluster.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    comps = left.select(F.col("rep").alias("id"), "comp").distinct()
+    rows = cluster.join(sizes, "component").join(comps, F.col("node") == F.col("id")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = rows.select("component", "id", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    dealt = dealt.select(F.col("component").alias("cluster"), F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "id", "comp", "own").join(texts, "id")
+
+    def meet(key, pdf):
+        hashes = _Hashes()
+        grams = [tokens_of(t, n, hashes) for t in pdf["text"]]
+        ids, comp, own = pdf["id"].to_numpy(), pdf["comp"].to_numpy(), pdf["own"].to_numpy()
+        one, two = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
+        size, ends = np.array([len(g) for g in grams], np.float32), np.cumsum([len(g) for g in grams])
+        tokens, place, seen = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+        index = np.where(seen > 1, np.cumsum(seen > 1) - 1, -1)[place]  # tokens of several documents
+        listed = np.split(index, ends[:-1])
+        common = np.zeros((len(one), len(two)), np.float32)
+        for at in range(0, int((seen > 1).sum()), 2048):
+            dense = np.zeros((len(grams), 2048), np.float32)
+            for k, x in enumerate(listed):
+                dense[k, x[(x >= at) & (x < at + 2048)] - at] = 1
+            common += dense[one] @ dense[two].T
+        union = size[one][:, None] + size[two][None] - common
+        hit = (100 * common >= percent * union) & (comp[one][:, None] != comp[two][None])
+        root: dict = {}
+
+        def find(x):
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        out = []
+        for x, y in zip(*np.nonzero(hit), strict=True):
+            p, q = find(comp[one[x]]), find(comp[two[y]])
+            if p != q and similar(pdf["text"].iloc[one[x]], pdf["text"].iloc[two[y]], n, percent):
+                root[max(p, q)] = min(p, q)
+                out.append((ids[one[x]], ids[two[y]]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("cluster", "i", "j").applyInPandas(meet, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row.
 
@@ -191,30 +260,26 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: s
     reps = rows.where("n_shingles > 0").select(F.col("doc_id").alias("id"), "rep", "n_shingles")
     shared = materialise(shared.join(reps, "id").where("id = rep").select("sig", "rep", "n_shingles").distinct(), "shared")
 
-    # a document's place in its signature's group, without sorting a whole group of copies
-    over = Window.partitionBy("sig")
-    size = shared.count()
-    lead = with_group(shared, ["sig"], {"lead": F.min(F.struct("rep", "n_shingles"))}, size)
+    lead = with_group(shared, ["sig"], {"lead": F.min(F.struct("rep", "n_shingles"))}, shared.count())
     fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     pairs = lead.where((F.col("rep") > F.col("lead.rep")) & fits(F.col("n_shingles"), F.col("lead.n_shingles")))
     pairs = materialise(pairs.select(F.col("rep").alias("a"), F.col("lead.rep").alias("b")).distinct(), "pairs")
     need = shared.select(F.col("rep").alias("id")).distinct()
     texts = materialise(docs.withColumnRenamed("doc_id", "id").join(need, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    links, tried, first, last = materialise(_verified(pairs, texts, n, percent), "links"), pairs, 1, 1
-    while True:
-        known = components(links)
-        now = shared.join(known, shared["rep"] == known["node"], "left").select("sig", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp"))
-        now = materialise(now, "now")
-        mixed = now.groupBy("sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("k")).where((F.col("c1") < F.col("c2")) & (F.col("k") > last))
-        open_ = materialise(now.join(mixed.select("sig"), "sig").withColumn("rank", F.row_number().over(over.orderBy("rep"))), "open")
-        first, last = last + 1, 2 * last
-        pivots = open_.where(F.col("rank").between(first, last)).select("sig", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n_shingles").alias("nb"), F.col("rank").alias("rb"))
-        if not pivots.limit(1).count():
-            break
-        pairs = open_.join(pivots, "sig").where((F.col("rank") > F.col("rb")) & (F.col("comp") != F.col("cb")) & fits(F.col("n_shingles"), F.col("nb")))
-        pairs = pairs.select(F.col("rep").alias("a"), "b").distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        tried = materialise(tried.unionByName(pairs), "tried")
-        links = materialise(links.unionByName(_verified(pairs, texts, n, percent)), "links")
+    links = materialise(_verified(pairs, texts, n, percent), "links")
+    known = materialise(components(links), "known")
+
+    # signatures whose documents are still in different components
+    now = shared.join(known, shared["rep"] == known["node"], "left").select("sig", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp"))
+    mixed = now.groupBy("sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("rep").alias("lead"), F.count("*").alias("size")).where("c1 < c2")
+    left = materialise(now.join(mixed.select("sig", "lead", "size"), "sig"), "left")
+    few = left.where(F.col("size") <= FEW)
+    other = few.select("sig", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n_shingles").alias("nb"))
+    more = few.join(other, "sig").where((F.col("rep") > F.col("b")) & (F.col("comp") != F.col("cb")) & fits(F.col("n_shingles"), F.col("nb")))
+    more = materialise(more.select(F.col("rep").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    found = _verified(more, texts, n, percent).unionByName(_in_blocks(left.where(F.col("size") > FEW), texts, n, percent))
+    found = materialise(found, "links")
+    # what is known stands for the links that it came from
+    known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
     known = known.select(F.col("node").alias("rep"), "component")
     return rows.join(known, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
