@@ -15,25 +15,67 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import sample
 
-LETTERS = regex.compile(r"\p{L}+")
-BUCKETS = 1 << 15
-CACHE = 100_000
-
-
-def subwords(chunk: str) -> list[int]:
-    """Buckets of the subwords of every run of letters in a chunk without spaces."""
-    out = []
-    for word in LETTERS.findall(chunk.lower()):
-        marked = f"<{word[:64]}>"
-        grams = {marked[k : k + n] for n in (1, 2, 3, 4) for k in range(len(marked) - n + 1)} | {marked}
-        out += [zlib.crc32(g.encode()) % BUCKETS for g in grams]
-    return out
+BUCKETS = 1 << 16
+GRAMS = (1, 2, 3, 4, 5)  # bytes of a subword of a word between < and >
+BATCH_BYTES = 1 << 23
+
+
+class Words:
+    """The words (runs of letters, in lower case) of a column of texts: ``codes`` into the distinct
+    words, with ``ends`` of each text's; ``buckets`` of the distinct words' subwords, with ``starts``."""
+
+    def __init__(self, texts: pa.Array):
+        spaced = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"\P{L}+", " ")
+        cut = pc.split_pattern(pc.utf8_trim(spaced, " "), " ")
+        column = cut.values.dictionary_encode()
+        self.codes = column.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.ends = cut.offsets.to_numpy().astype(np.int64)
+        marked = pc.binary_join_element_wise("<", column.dictionary, ">", "")
+        empty = pc.equal(column.dictionary, "").to_numpy(zero_copy_only=False)
+        offsets = np.frombuffer(marked.buffers()[1], np.int32)[marked.offset : marked.offset + len(marked) + 1].astype(np.int64)
+        data = np.frombuffer(marked.buffers()[2] or b"", np.uint8)[offsets[0] if len(offsets) else 0 :].astype(np.uint64)
+        offsets = offsets - (offsets[0] if len(offsets) else 0)
+        owner = np.repeat(np.arange(len(marked)), np.diff(offsets))
+        left = offsets[owner + 1] - np.arange(len(owner))  # bytes from here to the end of the word
+        rolling, found, words = np.zeros(len(owner), np.uint64), [], []
+        for n in GRAMS:
+            fits = np.flatnonzero((left >= n) & ~empty[owner])
+            rolling = rolling[fits] * np.uint64(0x100000001B3) + data[fits + n - 1] + np.uint64(n) if n > 1 else data[fits] + np.uint64(1)
+            mixed = (rolling ^ (rolling >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+            found.append((mixed >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64))
+            words.append(owner[fits])
+            whole = np.zeros(len(owner), np.uint64)
+            whole[fits] = rolling
+            rolling = whole
+        words, found = np.concatenate(words), np.concatenate(found)
+        order = np.argsort(words, kind="stable")
+        self.buckets = found[order]
+        self.starts = np.searchsorted(words[order], np.arange(len(marked) + 1))
+
+    def bag(self, codes: np.ndarray) -> np.ndarray:
+        """Buckets of all subwords of some words."""
+        counts = np.diff(self.starts)[codes]
+        at = np.repeat(self.starts[codes] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+        return self.buckets[at]
+
+    def totals(self, table: np.ndarray) -> np.ndarray:
+        """For each text the sum of its subwords' rows of ``table``, and their number last."""
+        text, last = np.repeat(np.arange(len(self.ends) - 1), np.diff(self.ends)), len(self.ends) - 1
+        out = []
+        for column in [*table.T, None]:
+            if column is None:
+                words = np.diff(self.starts).astype(float)
+            else:
+                sums = np.concatenate([[0.0], np.cumsum(column[self.buckets])])
+                words = sums[self.starts[1:]] - sums[self.starts[:-1]]
+            out.append(np.bincount(text, words[self.codes], last))
+        return np.stack(out, 1)
 
 
 @dataclass
@@ -50,18 +92,19 @@ class LanguageModel:
         return e / e.sum()
 
 
-def train(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 4, rate: float = 0.5, seed: int = 1) -> LanguageModel | None:
+def train(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 5, rate: float = 0.5, seed: int = 1) -> LanguageModel | None:
     """None if there is nothing to learn from."""
     langs = sorted(set(labels))
-    rng, known = np.random.default_rng(seed), {}
-    bags = []
-    for text, label in zip(texts, labels, strict=True):
-        chunks = text.split()
-        spans = [chunks] + [chunks[k : k + int(n)] for n in rng.integers(3, 40, 2) if chunks for k in [int(rng.integers(len(chunks)))]]
+    rng, bags = np.random.default_rng(seed), []
+    words = Words(pa.array(texts, pa.string()))
+    for k, label in enumerate(labels):
+        codes = words.codes[words.ends[k] : words.ends[k + 1]]
+        starts = rng.integers(0, max(1, len(codes)), 2).tolist()
+        spans = [codes, *(codes[a : a + int(n)] for a, n in zip(starts, rng.integers(3, 40, 2), strict=True))]
         for span in spans:
-            ids = [b for c in span for b in (known.get(c) or known.setdefault(c, subwords(c)))]
-            if ids:
-                bags.append((*np.unique(np.array(ids, np.int32), return_counts=True), langs.index(label)))
+            ids = words.bag(span)
+            if len(ids):
+                bags.append((*np.unique(ids, return_counts=True), langs.index(label)))
     if not bags:
         return None
     held, fit = bags[::6], [b for k, b in enumerate(bags) if k % 6] or bags
@@ -107,27 +150,12 @@ def fit(docs: DataFrame, learn: Column, sample_rows: int = 3000, doc_id: str = "
     return train([r["t"] for r in some], [r["y"] for r in some])
 
 
-class _Words(dict):
-    """chunk -> row of summed logits and subword count; bounded, emptied when full."""
-
-    def __init__(self, model: LanguageModel):
-        self.model, self.rows = model, np.zeros((CACHE, len(model.langs) + 1))
-
-    def __missing__(self, chunk: str) -> int:
-        k = len(self)
-        ids = subwords(chunk)
-        self.rows[k, :-1], self.rows[k, -1] = self.model.table[ids].sum(0) if ids else 0, len(ids)
-        self[chunk] = k
-        return k
-
-    def total(self, text: str) -> np.ndarray:
-        out, chunks = np.zeros(self.rows.shape[1]), text.split()
-        for a in range(0, len(chunks), CACHE // 4):
-            part = chunks[a : a + CACHE // 4]
-            if len(self) + len(part) >= CACHE:
-                self.clear()
-            out += self.rows[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(0)
-        return out
+def slices(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """(offset, length) of slices with about BATCH_BYTES of text."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes, dtype=np.int64) // BATCH_BYTES
+    at = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]).tolist()
+    yield from ((a, b - a) for a, b in zip(at[:-1], at[1:], strict=True) if b > a)
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -139,19 +167,16 @@ def predict(docs: DataFrame, model: LanguageModel | None, held_out: Column, doc_
     langs = model.langs if model else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(model) if model else None
         for b in batches:
-            pred, score, ok = [], [], []
-            for k in range(0, b.num_rows, 256):
-                for t in b.column(2).slice(k, 256).to_pylist():
-                    total = words.total(t) if t and words is not None else None
-                    if total is None or not total[-1]:
-                        pred.append("und"), score.append(0.0), ok.append(False)
-                        continue
-                    p = model.scores(total[:-1], total[-1])
+            for at, n in slices(b.column(2)):
+                part = b.slice(at, n)
+                pred, score, ok = ["und"] * n, [0.0] * n, [False] * n
+                totals = Words(part.column(2)).totals(model.table) if model else np.zeros((n, 1))
+                for k in np.flatnonzero(totals[:, -1] > 0).tolist():
+                    p = model.scores(totals[k, :-1], totals[k, -1])
                     best = int(p.argmax())
-                    pred.append(langs[best]), score.append(float(p[best])), ok.append(bool(p[best] >= model.accept))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(ok, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "accepted"])
+                    pred[k], score[k], ok[k] = langs[best], float(p[best]), bool(p[best] >= model.accept)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(ok, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "accepted"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
