@@ -85,10 +85,29 @@ class Bands:
         options.append((size + 2 * half + near * half * ((1 + c) * math.exp(-c)) ** 2, half, 0, True))
         return min(options)[1:]
 
-    def signatures(self, tokens: np.ndarray) -> np.ndarray:
-        out = []
+    def prefix(self, size: int, band: int) -> int:
+        """How many of a band's exact segments a set of ``size`` needs: what does for the
+        smaller set of a pair, and the larger one's prefix is longer."""
+        most = math.ceil(RATIO ** (band + 1) - 1e-6) - 1
+        return self.differ(size + min(most, size * 100 // self.percent)) + 1 + self.allocation(band)[1]
+
+    def may_link(self, size_a: int, size_b: int, marks_a: list[bytes], marks_b: list[bytes]) -> bool:
+        """Whether enough segments agree, by one byte of each (which never hides that two agree)."""
+        (small, few), (large, more) = sorted(((size_a, marks_a), (size_b, marks_b)), key=lambda x: x[0])
+        band = self.band(large)
+        k = band - self.band(small)
+        if k >= len(few) or not few[k] or not more[0]:
+            return True
+        n = self.prefix(small, band)
+        same = np.count_nonzero(np.frombuffer(few[k][:n], np.uint8) == np.frombuffer(more[0][:n], np.uint8))
+        return same >= n - self.differ(small + large)
+
+    def signatures(self, tokens: np.ndarray, marks: list[bytes] | None = None) -> np.ndarray:
+        """What a set is indexed by; ``marks`` gets a byte of each exact segment, by band."""
+        out, marks = [], [] if marks is None else marks
         for band in self.of(len(tokens)):
             m, slack, deletions = self.allocation(band)
+            marks.append(b"")
             if not m:
                 continue
             segment = ((tokens >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
@@ -100,10 +119,9 @@ class Bands:
             salt = np.arange(m, dtype=np.uint64) * B + np.uint64((band + 1) * int(C) & MASK)
             full, exact = ends[1:] > ends[:-1], mix(total ^ salt)
             if not deletions:
-                # a prefix of the segments does for the smaller set of a pair, and the larger one's is longer
-                most = math.ceil(RATIO ** (band + 1) - 1e-6) - 1
-                k = self.differ(len(tokens) + min(most, len(tokens) * 100 // self.percent)) + 1 + slack
+                k = self.prefix(len(tokens), band)
                 full, exact = full[:k], exact[:k]
+                marks[-1] = exact.astype(np.uint8).tobytes()
             out.append(exact if deletions or (~full).sum() > slack else exact[full])
             if deletions:
                 out.append(mix((total[own] - spread) ^ salt[own]))
@@ -147,23 +165,24 @@ def tokens_of(text: str | None, n: int, hashes: dict) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, bands: Bands, n: int) -> DataFrame:
-    """doc_id, n_shingles, key (digest of the set, null if empty), signatures."""
+    """doc_id, n_shingles, key (digest of the set, null if empty), signatures, marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for b in batches:
             for k in range(0, b.num_rows, 512):
-                part, sizes, keys, signs = b.slice(k, 512), [], [], []
+                part, sizes, keys, signs, marks = b.slice(k, 512), [], [], [], []
                 for t in part.column(1).to_pylist():
                     tokens = tokens_of(t, n, hashes)
                     sizes.append(len(tokens))
                     keys.append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
-                    signs.append(bands.signatures(tokens) if len(tokens) else np.zeros(0, np.uint64))
+                    marks.append([])
+                    signs.append(bands.signatures(tokens, marks[-1]) if len(tokens) else np.zeros(0, np.uint64))
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in signs])]).astype(np.int32)
                 flat = pa.array(np.concatenate(signs).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "n_shingles", "key", "signatures"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(marks, pa.list_(pa.binary()))], ["doc_id", "n_shingles", "key", "signatures", "marks"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, key binary, signatures array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, key binary, signatures array<long>, marks array<binary>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -188,20 +207,100 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return both.mapInArrow(run, "a long, b long")
 
 
-def _in_blocks(left: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def _likely(pairs: DataFrame, marks: DataFrame, bands: Bands) -> DataFrame:
+    """The pairs (a, b) of which enough segments agree: a small row stands for a text here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            mask = pa.array([bands.may_link(*r) for r in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
+
+    one, two = (marks.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("marks").alias(f"m{x}")) for x in "ab")
+    both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ma", "mb")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _dealt(cluster: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (by id) of each cluster in groups of at most two blocks: every two blocks meet."""
+    sizes = cluster.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    all_ = cluster.join(sizes, "component").select("component", F.col("node").alias("id"), "blocks").withColumn("own", own)
+    dealt = all_.select("component", "id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    return dealt.select(F.col("component").alias("cluster"), F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "id", "own").join(rows, "id")
+
+
+def _spanning(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Places of the edges (a, b) that join what earlier ones do not."""
+    root: dict = {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        p, q = find(x), find(y)
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append(k)
+    return out
+
+
+def _families(cluster: DataFrame, marks: DataFrame, bands: Bands) -> DataFrame:
+    """Clusters split into the components of the pairs of which enough segments agree."""
+
+    def meet(key, pdf):
+        ids, own, size = pdf["id"].to_numpy(), pdf["own"].to_numpy(), pdf["n_shingles"].to_numpy()
+        band = np.array([bands.band(n) for n in size])
+        edges = []
+        for upper in np.unique(band).tolist():
+            # pairs whose larger set is in this band: the mark of a set one band below is its second
+            level = upper - band
+            there = [m[k] if 0 <= k < len(m) else None for m, k in zip(pdf["marks"], level.tolist(), strict=True)]
+            width = max((len(t) for t in there if t), default=0)
+            has = np.array([t is not None for t in there])
+            byte, bare = np.zeros((len(ids), width), np.uint8), np.array([not t for t in there])
+            for k, t in enumerate(there):
+                if t:
+                    byte[k, : len(t)] = np.frombuffer(t, np.uint8)
+            need = np.array([bands.prefix(n, upper) if h and not e else 0 for n, h, e in zip(size.tolist(), has, bare, strict=True)])
+            # count agreements on the smaller set's prefix, for rows in order of size
+            for x in np.flatnonzero(has & (own == key[1])).tolist():
+                y = np.flatnonzero(has & (own == key[2]) & ((level == 0) | (level[x] == 0)))
+                y = y[100 * np.minimum(size[y], size[x]) >= bands.percent * np.maximum(size[y], size[x])]
+                y = y[y > x] if key[1] == key[2] else y
+                if not len(y):
+                    continue
+                n = np.where(size[y] < size[x], need[y], need[x])
+                same = (byte[y] == byte[x]) & (np.arange(width) < n[:, None])
+                most = (size[y] + size[x]) * (100 - bands.percent) // (100 + bands.percent)
+                ok = (same.sum(1) >= n - most) | bare[y] | bare[x]
+                edges += [(ids[x], i) for i in ids[y[ok]].tolist()]
+                if len(edges) > 50_000:
+                    e = np.array(edges, np.int64)
+                    edges = e[_spanning(e[:, 0], e[:, 1])].tolist()
+        if not edges:
+            return pd.DataFrame(columns=["a", "b"], dtype="int64")
+        e = np.array(edges, np.int64)
+        return pd.DataFrame(e[_spanning(e[:, 0], e[:, 1])], columns=["a", "b"])
+
+    return components(_dealt(cluster, marks).groupBy("cluster", "i", "j").applyInPandas(meet, "a long, b long"))
+
+
+def _in_blocks(left: DataFrame, texts: DataFrame, marks: DataFrame, bands: Bands, n: int) -> DataFrame:
     """Links (a, b) between components of large signature groups, found without pair rows.
 
-    Documents that share such signatures, directly or through others, make a cluster.
-    A cluster is dealt to blocks of about BLOCK documents, each two blocks (and each block with
-    itself) meet in a group of bounded size, and there the sizes of all intersections come from products
-    of token matrices. Of the links only those that join components are returned."""
+    Documents that share such signatures, directly or through others, make a cluster, and
+    those of its pairs of which enough segments agree split it into families. What is dealt to blocks of about
+    BLOCK documents meets in groups of two blocks, and there the sizes of all intersections come from
+    products of token matrices. Of the links only those that join components are returned."""
+    percent = bands.percent
     edges = left.where("rep > lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
     cluster = materialise(components(edges), "clusters")
-    sizes = cluster.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    family = materialise(_families(cluster, marks, bands), "families")
     comps = left.select(F.col("rep").alias("id"), "comp").distinct()
-    rows = cluster.join(sizes, "component").join(comps, F.col("node") == F.col("id")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = rows.select("component", "id", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    dealt = dealt.select(F.col("component").alias("cluster"), F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "id", "comp", "own").join(texts, "id")
+    dealt = _dealt(family, texts.join(comps, "id"))
 
     def meet(key, pdf):
         hashes = _Hashes()
@@ -248,7 +347,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: s
     with a null component."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = docs.count()
-    sets = materialise(_sets(docs, Bands(percent, total), n), "sets")
+    bands = Bands(percent, total)
+    sets = materialise(_sets(docs, bands, n), "sets")
     columns = sets.select("doc_id", "n_shingles", "key")
     rows = with_group(columns.where("n_shingles > 0"), ["key"], {"rep": F.min("doc_id")}, total)
     rows = rows.unionByName(columns.where("n_shingles = 0").withColumn("rep", F.col("doc_id")))
@@ -263,9 +363,14 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: s
     lead = with_group(shared, ["sig"], {"lead": F.min(F.struct("rep", "n_shingles"))}, shared.count())
     fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     pairs = lead.where((F.col("rep") > F.col("lead.rep")) & fits(F.col("n_shingles"), F.col("lead.n_shingles")))
+    need = materialise(shared.select(F.col("rep").alias("id")).distinct(), "need")
+    marks = sets.select(F.col("doc_id").alias("id"), "n_shingles", "marks").join(need, "id", "left_semi")
+    texts = docs.withColumnRenamed("doc_id", "id").join(need, "id", "left_semi")
+    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():  # equal sets, or else any of them
+        marks, texts = marks.dropDuplicates(["id"]), texts.dropDuplicates(["id"])
+    marks, texts = materialise(marks, "marks"), materialise(texts, "texts")
     pairs = materialise(pairs.select(F.col("rep").alias("a"), F.col("lead.rep").alias("b")).distinct(), "pairs")
-    need = shared.select(F.col("rep").alias("id")).distinct()
-    texts = materialise(docs.withColumnRenamed("doc_id", "id").join(need, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    pairs = materialise(_likely(pairs, marks, bands), "likely")
     links = materialise(_verified(pairs, texts, n, percent), "links")
     known = materialise(components(links), "known")
 
@@ -276,8 +381,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: s
     few = left.where(F.col("size") <= FEW)
     other = few.select("sig", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n_shingles").alias("nb"))
     more = few.join(other, "sig").where((F.col("rep") > F.col("b")) & (F.col("comp") != F.col("cb")) & fits(F.col("n_shingles"), F.col("nb")))
-    more = materialise(more.select(F.col("rep").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    found = _verified(more, texts, n, percent).unionByName(_in_blocks(left.where(F.col("size") > FEW), texts, n, percent))
+    more = more.select(F.col("rep").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    more = materialise(_likely(more, marks, bands), "likely")
+    found = _verified(more, texts, n, percent).unionByName(_in_blocks(left.where(F.col("size") > FEW), texts, marks, bands, n))
     found = materialise(found, "links")
     # what is known stands for the links that it came from
     known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
