@@ -8,21 +8,28 @@ copies keeps one)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docledger.llm import toxicity
-from docledger.llm.common import documents, only, scratch
+from docledger.llm.common import documents, materialise, only, scratch
 from docledger.llm.exact_dedup import exact_duplicates
 from docledger.llm.ngram_join import jaccard_components
 from docledger.llm.packing import pack
 from docledger.llm.queries import remainder, vocabulary
-from docledger.llm.repeats import remove_repeats
+from docledger.llm.repeats import merged, repeat_spans
 
-#: Near copies: five-word shingles, similarity of 0.8 or more. Repeats: 400 bytes.
-WORDS, PERCENT, REPEAT, WINDOW, SAMPLE = 5, 80, 400, 2048, 8000
+#: Near copies: five-word shingles, similarity of 0.8 or more. Repeats: passages of more than 50
+#: words, however short these are, and strings of 400 bytes (scripts without spaces).
+WORDS, PERCENT, PASSAGE, REPEAT, WINDOW, SAMPLE = 5, 80, 51, 400, 2048, 8000
+
+
+def _rowed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a row id, written once: doc_id may be null or repeat."""
+    return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rowed")
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,17 +50,36 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without bytes of strings that occur elsewhere; a character that loses some of its
-    bytes goes. n_chars is counted anew where a text changed."""
-    kept = remove_repeats(docs, length=REPEAT).where("kept is not null")
-    kept = kept.select(F.col("doc_id").alias("_id"), F.try_validate_utf8(F.col("kept").cast("string")).alias("_whole"), "kept")
-    text = F.coalesce("_whole", _valid(F.col("kept")))
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left")
-    changed = F.col("kept").isNotNull()
-    new = {"text": F.when(changed, text).otherwise(F.col("text")), "n_chars": F.when(changed, F.char_length(text)).otherwise(F.col("n_chars"))}
+    """Documents without passages of PASSAGE words and strings of REPEAT bytes that occur
+    elsewhere; a character that loses some of its bytes goes. n_chars is counted anew where a text
+    changed."""
+    rowed = _rowed(docs)
+    passages = repeat_spans(rowed, PASSAGE, words=True, doc_id="_row").select(F.col("doc_id").alias("_row"), F.col("spans").alias("_passages"))
+    strings = repeat_spans(rowed, REPEAT, doc_id="_row").select(F.col("doc_id").alias("_row"), F.col("spans").alias("_strings"))
+    spans = passages.join(strings, "_row", "full_outer")
+    cut = rowed.select("_row", "text").join(spans, "_row").select("_row", F.coalesce("text", F.lit("")).cast("binary").alias("data"), "_passages", "_strings")
+    kept = cut.mapInArrow(_cut, "_row long, kept binary")
+    text = F.coalesce(F.try_validate_utf8(F.col("kept").cast("string")), _valid(F.col("kept")))
+    joined = rowed.join(kept.select("_row", text.alias("_text")), "_row", "left")
+    changed = F.col("_text").isNotNull()
+    new = {"text": F.when(changed, F.col("_text")).otherwise(F.col("text")), "n_chars": F.when(changed, F.char_length("_text")).otherwise(F.col("n_chars"))}
     return joined.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col(c)).alias(c) for c in docs.columns])
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_row, kept: bytes without two lists of spans."""
+    for b in batches:
+        for k in range(0, b.num_rows, 128):
+            part, out = b.slice(k, 128), []
+            for data, *lists in zip(*(c.to_pylist() for c in part.columns[1:]), strict=True):
+                at, kept = 0, []
+                for p, q in merged([(x["from"], x["end"]) for spans in lists for x in spans or []]):
+                    kept.append(data[at:p])
+                    at = q
+                out.append(b"".join([*kept, data[at:]]))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], ["_row", "kept"])
+
+
 def _valid(data):
     """The text of bytes without what is not valid UTF-8."""
     return F.replace(F.make_valid_utf8(data.cast("string")), F.lit("�"), F.lit(""))

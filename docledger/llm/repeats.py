@@ -1,8 +1,9 @@
 """Removal of long repeated strings across a corpus, by content-defined parsing.
 
-A rolling-hash trigger cuts every text: for each window of ``length`` bytes the trigger is
-the position of the smallest hash among the window's first SPAN positions, so equal
-windows have their trigger at the same place, wherever they stand. All windows of one
+Texts are sequences of units: their bytes, or their words (with what stands between them).
+A rolling-hash trigger cuts every text: for each window of ``length`` units the trigger is
+the position of the smallest hash among the window's first ``span_of(length)`` positions, so
+equal windows have their trigger at the same place, wherever they stand. All windows of one
 trigger form a run, whose text around the trigger is its phrase context. The
 dictionary of contexts is named by digests and counted by Spark:
 
@@ -28,20 +29,55 @@ from pyspark.sql import functions as F
 
 from .common import materialise, with_group
 
-SPAN, CELL = 256, 16
+LEAST, CELL = 24, 16
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def runs_of(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def span_of(length: int) -> int:
+    """The largest power of two up to two thirds of ``length``: a third at least is a run's core."""
+    return 1 << (2 * length // 3).bit_length() - 1
+
+
+class Units:
+    """A text as a sequence of units: bytes, or words, which ASCII white space separates. A
+    slice of it has the bytes from its first unit's start to its last one's end."""
+
+    def __init__(self, data: bytes, words: bool):
+        self.data, self.view, self.words, self.count = data, memoryview(data), words, len(data)
+        if words:
+            b = np.frombuffer(data, np.uint8)
+            word = np.concatenate([[False], (b != 32) & ((b < 9) | (b > 13)), [False]])
+            self.starts, self.ends = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(word[:-1] & ~word[1:])
+            self.count = len(self.starts)
+
+    def __len__(self) -> int:
+        return self.count
+
+    def place(self, a: int, b: int) -> tuple[int, int]:
+        """The bytes [from, end) of the units [a, b), which are not empty."""
+        return (int(self.starts[a]), int(self.ends[b - 1])) if self.words else (a, b)
+
+    def __getitem__(self, part: slice) -> memoryview:
+        a, b = self.place(part.start, part.stop)
+        return self.view[a:b]
+
+    def grams(self, count: int) -> np.ndarray:
+        """The eight bytes from each of the first ``count`` units' starts on."""
+        if not self.words:
+            return np.ndarray((count,), "<u8", self.data, strides=(1,))
+        return np.ndarray((len(self.data) - 7,), "<u8", self.data, strides=(1,))[self.starts[:count]]
+
+
+def runs_of(data: Units, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First window, last window and trigger of each run of windows with one trigger."""
-    windows = len(data) - length + 1
+    windows, span = len(data) - length + 1, span_of(length)
     if windows <= 0:
         return (np.zeros(0, np.int64),) * 3
-    count = windows + SPAN - 1
-    grams = np.ndarray((count,), "<u8", data, strides=(1,))
+    count = windows + span - 1
+    grams = data.grams(count)
     low = ((grams * FACTOR) & np.uint64(0xFFFFFFFF00000000)) | np.arange(count, dtype=np.uint64)
     step = 1
-    while step < SPAN:
+    while step < span:
         low = np.minimum(low[:-step], low[step:])
         step *= 2
     trigger = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -49,38 +85,38 @@ def runs_of(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return first, np.append(first[1:] - 1, windows - 1), trigger[first]
 
 
-def core(data: memoryview, t: int, length: int) -> int:
+def core(data: Units, t: int, length: int) -> int:
     """Digest of what all windows with trigger t share, as a signed 64-bit integer."""
-    return signed(xxhash.xxh3_64_intdigest(data[t : t + length - SPAN + 1]))
+    return signed(xxhash.xxh3_64_intdigest(data[t : t + length - span_of(length) + 1]))
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def around(data: memoryview, a: int, b: int, t: int) -> bytes:
+def around(data: Units, a: int, b: int, t: int) -> bytes:
     """Digest of the context [a, b) of trigger t, cut at the ends of the text."""
     a, b = max(0, a), min(len(data), b)
     return xxhash.xxh3_128_digest(data[a:b], seed=(t - a) << 32 | (b - t))
 
 
-def _parse(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, n_bytes, sha, cores: the digests of the runs' cores, in order."""
+def _parse(docs: DataFrame, length: int, words: bool) -> DataFrame:
+    """doc_id, n_bytes, n_units, sha, cores: the digests of the runs' cores, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 256):
-                part, size, sha, cores = b.slice(k, 256), [], [], []
+                part, size, units, sha, cores = b.slice(k, 256), [], [], [], []
                 for data in part.column(1).to_pylist():
-                    view = memoryview(data)
-                    size.append(len(data)), sha.append(hashlib.sha256(data).digest())
-                    cores.append([core(view, t, length) for t in runs_of(data, length)[2].tolist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(sha, pa.binary()), pa.array(cores, pa.list_(pa.int64()))], ["doc_id", "n_bytes", "sha", "cores"])
+                    view = Units(data, words)
+                    size.append(len(data)), units.append(len(view)), sha.append(hashlib.sha256(data).digest())
+                    cores.append([core(view, t, length) for t in runs_of(view, length)[2].tolist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(units, pa.int64()), pa.array(sha, pa.binary()), pa.array(cores, pa.list_(pa.int64()))], ["doc_id", "n_bytes", "n_units", "sha", "cores"])
 
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, sha binary, cores array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_bytes long, n_units long, sha binary, cores array<long>")
 
 
-def _contexts(texts: DataFrame, length: int) -> DataFrame:
+def _contexts(texts: DataFrame, length: int, words: bool) -> DataFrame:
     """rid, run, from, to (its windows), core, context, copies for the runs listed with
     each text."""
 
@@ -89,11 +125,11 @@ def _contexts(texts: DataFrame, length: int) -> DataFrame:
             for k in range(0, b.num_rows, 128):
                 out: list[tuple] = []
                 for rid, copies, data, listed in zip(*(c.to_pylist() for c in b.slice(k, 128).columns), strict=True):
-                    view = memoryview(data)
-                    first, last, ts = runs_of(data, length)
+                    view = Units(data, words)
+                    first, last, ts = runs_of(view, length)
                     for r in listed:
                         t = int(ts[r])
-                        out.append((rid, r, int(first[r]), int(last[r]), core(view, t, length), around(view, t - SPAN + 1, t + length, t), copies))
+                        out.append((rid, r, int(first[r]), int(last[r]), core(view, t, length), around(view, t - span_of(length) + 1, t + length, t), copies))
                 yield _batch(out, kinds)
 
     kinds = [("rid", pa.int64()), ("run", pa.int32()), ("from", pa.int64()), ("to", pa.int64()), ("core", pa.int64()), ("context", pa.binary()), ("copies", pa.int64())]
@@ -105,7 +141,7 @@ def _batch(rows: list[tuple], kinds: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], [n for n, _ in kinds])
 
 
-def _cells(texts: DataFrame, length: int) -> DataFrame:
+def _cells(texts: DataFrame, length: int, words: bool) -> DataFrame:
     """The same for the cells of the listed runs; ``from`` and ``to``: their windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,8 +149,8 @@ def _cells(texts: DataFrame, length: int) -> DataFrame:
             for k in range(0, b.num_rows, 128):
                 out: list[tuple] = []
                 for rid, data, listed in zip(*(c.to_pylist() for c in b.slice(k, 128).columns), strict=True):
-                    view = memoryview(data)
-                    first, last, ts = runs_of(data, length)
+                    view = Units(data, words)
+                    first, last, ts = runs_of(view, length)
                     for x in listed:
                         p, q, t = int(first[x["run"]]), int(last[x["run"]]), int(ts[x["run"]])
                         for j in range((t - q) // CELL, (t - p) // CELL + 1):
@@ -127,7 +163,7 @@ def _cells(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("rid", "data", "runs").mapInArrow(run, "rid long, from long, to long, t long, core long, context binary, copies long")
 
 
-def _singles(texts: DataFrame, length: int) -> DataFrame:
+def _singles(texts: DataFrame, length: int, words: bool) -> DataFrame:
     """rid, from, context, copies for every window of the listed cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +171,7 @@ def _singles(texts: DataFrame, length: int) -> DataFrame:
             for k in range(0, b.num_rows, 128):
                 out: list[tuple] = []
                 for rid, data, listed in zip(*(c.to_pylist() for c in b.slice(k, 128).columns), strict=True):
-                    view = memoryview(data)
+                    view = Units(data, words)
                     for x in listed:
                         out += [(rid, p, xxhash.xxh3_128_digest(view[p : p + length]), x["copies"]) for p in range(x["from"], x["to"] + 1)]
                 yield _batch(out, kinds)
@@ -144,8 +180,35 @@ def _singles(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("rid", "data", "runs").mapInArrow(run, "rid long, from long, context binary, copies long")
 
 
+def _spans(texts: DataFrame, words: bool) -> DataFrame:
+    """rid, spans: the bytes (from, end) of texts' marked intervals, in order, none touching another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 128):
+                out: list[tuple] = []
+                for rid, data, marks in zip(*(c.to_pylist() for c in b.slice(k, 128).columns), strict=True):
+                    view = Units(data, words)
+                    out.append((rid, [{"from": p, "end": q} for p, q in merged([view.place(x["from"], x["end"]) for x in marks])]))
+                yield _batch(out, kinds)
+
+    kinds = [("rid", pa.int64()), ("spans", pa.list_(pa.struct([("from", pa.int64()), ("end", pa.int64())])))]
+    return texts.select("rid", "data", "marks").mapInArrow(run, "rid long, spans array<struct<from:long,end:long>>")
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of intervals, in order."""
+    out: list[tuple[int, int]] = []
+    for p, q in sorted(spans):
+        if out and p <= out[-1][1]:
+            out[-1] = (out[-1][0], max(q, out[-1][1]))
+        else:
+            out.append((p, q))
+    return out
+
+
 def _kept(texts: DataFrame) -> DataFrame:
-    """rid, n_removed, n_spans, kept for texts with their marked intervals."""
+    """rid, n_removed, n_spans, kept for texts with their marked intervals of bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,20 +245,18 @@ def _mixed(named: DataFrame) -> DataFrame:
     return with_group(lead, ["core"], aggs, lead.count()).where("several > 1 and once = 1")
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes, null if unchanged).
+def _found(docs: DataFrame, length: int, words: bool, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(rows: rid, doc_id, n_bytes, sha, gone; marked: rid, data, marks), all written up to the marks.
 
-    Every byte covered by a ``length``-byte string that also starts elsewhere, in the
-    same or another row, goes; overlapping occurrences count, matches never cross rows. Null
-    texts count as empty; texts shorter than ``length`` keep all; of repeated rows each is an
-    occurrence; an empty table gives an empty result; other columns are not read."""
-    if length < SPAN + 8:
-        raise ValueError(f"length must be at least {SPAN + 8}")
+    ``gone``: the whole text goes, as it occurs again; ``marks``: the units [from, end) of each
+    other text that go, overlapping ones too."""
+    if length < LEAST:
+        raise ValueError(f"length must be at least {LEAST}")
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), data.alias("data"))
-    parsed = materialise(_parse(docs, length).withColumn("rid", F.monotonically_increasing_id()), "parsed")
+    parsed = materialise(_parse(docs, length, words).withColumn("rid", F.monotonically_increasing_id()), "parsed")
     total = parsed.count()
-    rows = with_group(parsed.select("rid", "doc_id", "n_bytes", "sha"), ["sha"], {"copies": F.count(F.lit(1)), "rep": F.min("rid")}, total)
+    rows = with_group(parsed.select("rid", "doc_id", "n_bytes", "n_units", "sha"), ["sha"], {"copies": F.count(F.lit(1)), "rep": F.min("rid")}, total)
     rows = materialise(rows, "rows")
 
     runs = parsed.select("rid", F.posexplode("cores").alias("run", "core"))
@@ -209,23 +270,43 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
         texts = texts.dropDuplicates(["rid"])  # rows that repeat id and text
     texts = materialise(texts, "texts")
 
-    named = materialise(_named(_contexts(texts, length), ["run"]), "contexts")
+    named = materialise(_named(_contexts(texts, length, words), ["run"]), "contexts")
     todo = _mixed(named).groupBy("rid").agg(F.collect_list(F.struct("run", "copies")).alias("runs"))
-    cells = materialise(_cells(texts.drop("runs", "copies").join(todo, "rid"), length), "cells")
+    cells = materialise(_cells(texts.drop("runs", "copies").join(todo, "rid"), length, words), "cells")
     cells_named = materialise(_named(cells, ["from"]), "cells-named")
     todo = _mixed(cells_named).groupBy("rid").agg(F.collect_list(F.struct("from", "to", "copies")).alias("runs"))
-    singles = materialise(_singles(texts.drop("runs", "copies").join(todo, "rid"), length), "singles")
+    singles = materialise(_singles(texts.drop("runs", "copies").join(todo, "rid"), length, words), "singles")
     single_marks = _named(singles, ["from"]).where("times > 1").select("rid", "from", (F.col("from") + length).alias("end"))
     cell_marks = cells_named.where("times > 1").select("rid", "from", (F.col("to") + length).alias("end"))
     run_marks = named.where("times > 1").select("rid", "from", (F.col("to") + length).alias("end"))
-    spans = run_marks.unionByName(cell_marks).unionByName(single_marks)
-    spans = spans.join(rows.where("copies = 1").select("rid"), "rid", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("from", "end")).alias("marks"))
-    cut = materialise(_kept(texts.select("rid", "data").join(spans, "rid")), "kept")
+    marks = run_marks.unionByName(cell_marks).unionByName(single_marks)
+    marks = marks.join(rows.where("copies = 1").select("rid"), "rid", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("from", "end")).alias("marks"))
+    gone = (F.col("copies") > 1) & (F.col("n_units") >= length)
+    return rows.select("rid", "doc_id", "n_bytes", "sha", gone.alias("gone")), texts.select("rid", "data").join(marks, "rid")
+
+
+def repeat_spans(docs: DataFrame, length: int, words: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, spans: the bytes (from, end) that ``remove_repeats`` removes, for rows that lose any.
+    With ``words``, ``length`` counts words: what goes are words, and the white space between them,
+    of passages of ``length`` whole words that also start elsewhere with the same bytes."""
+    rows, marked = _found(docs, length, words, doc_id, text)
+    out = rows.join(materialise(_spans(marked, words), "spans"), "rid", "left")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("n_bytes").alias("end")))
+    return out.select("doc_id", F.when(F.col("gone"), whole).otherwise(F.col("spans")).alias("spans")).where("spans is not null")
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes, null if unchanged).
+
+    Every byte covered by a ``length``-byte string that also starts elsewhere, in the
+    same or another row, goes; overlapping occurrences count, matches never cross rows. Null
+    texts count as empty; texts shorter than ``length`` keep all; of repeated rows each is an
+    occurrence; an empty table gives an empty result; other columns are not read."""
+    rows, marked = _found(docs, length, False, doc_id, text)
+    cut = materialise(_kept(marked), "kept")
 
-    gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    sha = F.lower(F.hex("sha"))
+    gone, sha, nothing = F.col("gone"), F.lower(F.hex("sha")), F.lit(b"")
     out = rows.join(cut, "rid", "left")
-    nothing = F.lit(b"")
     return out.select(
         "doc_id", "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),

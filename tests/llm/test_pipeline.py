@@ -1,11 +1,14 @@
 """Each stage of the pipeline against brute force on a small corpus."""
 
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
+from docledger.llm.repeats import repeat_spans
 
 from .test_operators import brute_components, brute_repeats, prose
 
@@ -63,3 +66,34 @@ def test_run(spark, corpus):
     rows = cp.run(spark, corpus)
     assert rows.agg(F.countDistinct("doc_id")).first()[0] > 40
     assert [n for n, _ in cp.STAGES] == ["toxicity", "exact_dedup", "ngram_jaccard", "repeats", "packing"]
+
+
+def plain(rng, n):
+    return " ".join("".join(rng.choice("aeilnorst") for _ in range(rng.randint(1, 5))) for _ in range(n))
+
+
+def test_passages_of_51_words(frame, spark):
+    rng = random.Random(21)
+    one, short, less = plain(rng, 51), " ".join(rng.choice("abcdefghijklmnop") for _ in range(51)), plain(rng, 50)
+    assert len(one) < 260 and len(short) == 101
+    around = [(plain(rng, 30), plain(rng, 90)) for _ in range(8)]
+    passages = [one, one, short, short, less, less, f"{one}  {short}", plain(rng, 51)]
+    texts = [f"{a} {p} {b}" for (a, b), p in zip(around, passages, strict=True)]
+    left = texts_of(cp.without_repeats(spark, frame(texts), ""))
+    for i, (a, b) in enumerate(around):
+        assert left[i] == (texts[i] if i in (4, 5, 7) else f"{a}    {b}" if i == 6 else f"{a}  {b}"), i
+
+
+@pytest.mark.parametrize("length", [24, 51])
+def test_word_spans(frame, length):
+    rng = random.Random(length)
+    base = [plain(rng, n) for n in (60, 90, 120, 51)]
+    texts = [*base, f"{base[0]} x {base[1]}", f"y {base[2]}", base[3], base[3], base[1].replace(" ", "  "), "", None, "\n" + base[0], "a " * 100, plain(rng, 400)]
+    units = [[(m.start(), m.end()) for m in re.finditer(r"[^ \n]+", t or "")] for t in texts]
+    seen = Counter(t[u[p][0] : u[p + length - 1][1]] for t, u in zip(texts, units, strict=True) for p in range(len(u) - length + 1))
+    found = {r["doc_id"]: r["spans"] for r in repeat_spans(frame(texts), length, words=True).collect()}
+    for i, (t, u) in enumerate(zip(texts, units, strict=True)):
+        spans = [(u[p][0], u[p + length - 1][1]) for p in range(len(u) - length + 1)]
+        gone = {x for p, q in spans if seen[t[p:q]] > 1 for x in range(p, q)}
+        got = {x for s in found.get(i, []) for x in range(s["from"], s["end"])}
+        assert {x for x in got if t[x] not in " \n"} == {x for x in gone if t[x] not in " \n"}, i
