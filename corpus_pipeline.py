@@ -3,8 +3,8 @@ that repeat across documents; the rest is packed into training sequences.
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before it kept, and returns a
 DataFrame that is written as Parquet and read again as the next stage's documents. Null
-texts count as empty, and doc_id tells rows apart (of rows that repeat it, a stage that drops
-copies keeps one)."""
+texts count as empty. Rows are told apart by a row id of the stage's own: doc_id may be null or
+repeat, and only orders the copies of a group."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docledger.llm import toxicity
-from docledger.llm.common import documents, materialise, only, scratch
+from docledger.llm.common import documents, only, rowed, scratch
 from docledger.llm.exact_dedup import exact_duplicates
 from docledger.llm.ngram_join import jaccard_components
 from docledger.llm.packing import pack
@@ -27,11 +27,6 @@ from docledger.llm.repeats import merged, repeat_spans
 WORDS, PERCENT, PASSAGE, REPEAT, WINDOW, SAMPLE = 5, 80, 51, 400, 2048, 8000
 
 
-def _rowed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a row id, written once: doc_id may be null or repeat."""
-    return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rowed")
-
-
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, fitted on labelled rows of ``docs``, scores below 0.5."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -40,27 +35,31 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the one with the largest doc_id."""
-    return only(docs, exact_duplicates(docs).where("kept").select("doc_id"))
+    rows = rowed(docs)
+    return only(rows, exact_duplicates(rows, more=("_row",)).where("kept")).select(docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id."""
-    found = jaccard_components(docs, n=WORDS, percent=PERCENT)
-    return only(docs, found.where("component_id <=> doc_id").select("doc_id"))
+    rows = rowed(docs)
+    found = jaccard_components(rows, n=WORDS, percent=PERCENT, doc_id="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    named = found.join(rows.select("_row", "doc_id"), "_row")
+    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("first"))
+    return only(rows, first.select("first._row")).select(docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of PASSAGE words and strings of REPEAT bytes that occur
     elsewhere; a character that loses some of its bytes goes. n_chars is counted anew where a text
     changed."""
-    rowed = _rowed(docs)
-    passages = repeat_spans(rowed, PASSAGE, words=True, doc_id="_row").select(F.col("doc_id").alias("_row"), F.col("spans").alias("_passages"))
-    strings = repeat_spans(rowed, REPEAT, doc_id="_row").select(F.col("doc_id").alias("_row"), F.col("spans").alias("_strings"))
+    rows = rowed(docs)
+    passages = repeat_spans(rows, PASSAGE, words=True, doc_id="_row").select(F.col("doc_id").alias("_row"), F.col("spans").alias("_passages"))
+    strings = repeat_spans(rows, REPEAT, doc_id="_row").select(F.col("doc_id").alias("_row"), F.col("spans").alias("_strings"))
     spans = passages.join(strings, "_row", "full_outer")
-    cut = rowed.select("_row", "text").join(spans, "_row").select("_row", F.coalesce("text", F.lit("")).cast("binary").alias("data"), "_passages", "_strings")
+    cut = rows.select("_row", "text").join(spans, "_row").select("_row", F.coalesce("text", F.lit("")).cast("binary").alias("data"), "_passages", "_strings")
     kept = cut.mapInArrow(_cut, "_row long, kept binary")
     text = F.coalesce(F.try_validate_utf8(F.col("kept").cast("string")), _valid(F.col("kept")))
-    joined = rowed.join(kept.select("_row", text.alias("_text")), "_row", "left")
+    joined = rows.join(kept.select("_row", text.alias("_text")), "_row", "left")
     changed = F.col("_text").isNotNull()
     new = {"text": F.when(changed, F.col("_text")).otherwise(F.col("text")), "n_chars": F.when(changed, F.char_length("_text")).otherwise(F.col("n_chars"))}
     return joined.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col(c)).alias(c) for c in docs.columns])

@@ -73,12 +73,14 @@ def sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df if n <= rows else df.where(below)
 
 
-def only(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose ``key`` is in ``ids``, one for each; null is a key too."""
-    keyed = ids.select(F.col(key).alias("_key"))
-    out = docs.join(keyed, docs[key].eqNullSafe(keyed["_key"]), "left_semi")
-    twice = docs.groupBy(key).count().where("count > 1").limit(1).count()
-    return out.dropDuplicates([key]) if twice else out
+def rowed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a unique row id ``_row``, written once: doc_id may be null or repeat."""
+    return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rowed")
+
+
+def only(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``_row`` is in ``rows``, without that column."""
+    return docs.join(rows.select("_row"), "_row", "left_semi").drop("_row")
 
 
 def dense_slots(df: DataFrame, classes: list[str], order: list[str], out: str) -> DataFrame:

@@ -55,14 +55,14 @@ def block_names(docs: DataFrame, text: str = "text", keep: dict | None = None, b
     return done.unionByName(long.select(*done.columns))
 
 
-def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 4096) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``.
+def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 4096, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 and the columns ``more`` for every row of ``docs``.
 
     Texts are compared unchanged. The row with the largest doc_id of a group stays; if
     several rows have that doc_id, one of them. A null doc_id is the smallest. Null texts count as
     empty; an empty table gives an empty result; other columns are not read."""
     sha = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
-    named = materialise(block_names(docs, text, {"doc_id": F.col(doc_id), "sha": sha}, block_bytes), "named")
+    named = materialise(block_names(docs, text, {"doc_id": F.col(doc_id), "sha": sha, **{c: F.col(c) for c in more}}, block_bytes), "named")
     at = F.struct("doc_id", "row")
     out = with_group(named, ["n_blocks", "name"], {"keep": F.max(at), "group_size": F.count(F.lit(1))}, named.count())
-    return out.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("keep") == at).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return out.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("keep") == at).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), *more)

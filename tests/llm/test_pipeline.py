@@ -97,3 +97,15 @@ def test_word_spans(frame, length):
         gone = {x for p, q in spans if seen[t[p:q]] > 1 for x in range(p, q)}
         got = {x for s in found.get(i, []) for x in range(s["from"], s["end"])}
         assert {x for x in got if t[x] not in " \n"} == {x for x in gone if t[x] not in " \n"}, i
+
+
+def test_null_and_repeated_ids(frame, spark):
+    rng = random.Random(31)
+    texts = [plain(rng, 40) for _ in range(7)]
+    rows = [*zip([None, None, None, 4, 4, 5, 6], texts, strict=True), (None, texts[3]), (9, texts[5] + " end")]
+    docs = frame([t for _, t in rows], [i for i, _ in rows])
+    kept = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    assert kept(cp.without_copies(spark, docs, "")) == sorted([*rows[:7], rows[8]], key=str)
+    near = kept(cp.without_near_copies(spark, docs, ""))
+    assert near == sorted([*rows[:3], *rows[4:7], rows[7]], key=str)
+    assert kept(cp.without_repeats(spark, docs, "")) == sorted(rows, key=str)
