@@ -129,7 +129,10 @@ def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
     plan = named.select("media", F.struct("ord", "digest", (F.col("owner") == at).alias("own"), (F.col("uses") > 1).alias("shared")).alias("c"))
     plan = plan.groupBy("media").agg(F.sort_array(F.collect_list("c")).alias("plan")).join(media.select("media", F.col("rep").alias("doc_id")), "media")
     words = dictionary(docs)
-    both = _packed(docs, words).join(plan, ["doc_id", "media"])
+    packed = _packed(docs, words)
+    if listed.groupBy("doc_id", "media").count().where("count > 1").limit(1).count():
+        packed = packed.dropDuplicates(["doc_id", "media"])  # rows that repeat id and text: a media is stored once
+    both = packed.join(plan, ["doc_id", "media"])
     owned = F.transform(F.filter("plan", lambda c: c["own"]), lambda c: F.struct(c["ord"].alias("ord"), c["digest"].alias("digest"), c["shared"].alias("shared"), F.get("packed", c["ord"]).alias("packed")))
     refs = F.transform(F.filter("plan", lambda c: ~c["own"]), lambda c: F.struct(c["ord"].alias("ord"), c["digest"].alias("digest")))
     stored = both.select("media", owned.alias("owned"), refs.alias("refs")).withColumn("whole", F.size("refs") == 0)
@@ -191,8 +194,6 @@ def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     schema = "media binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, feature string"
     seen = materialise(read_back(stored, words).mapInArrow(run, schema), "features")
-    if rows.groupBy("doc_id", "media").count().where("count > 1").limit(1).count():
-        seen = seen.dropDuplicates(["media"])  # rows that repeat id and text
     hexed = {"media_sha256": F.lower(F.hex("media")), "payload_sha256": F.lower(F.hex("payload_sha256"))}
     out = rows.join(seen, "media").withColumns(hexed)
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

@@ -267,6 +267,15 @@ def test_chunks_follow_the_content(spark, frame):
     assert {len(r["file"]) for r in read_back(stored, words).collect()} == {len(wav(long.encode())), len(wav(b"x" * 60150))}
 
 
+def test_media_of_repeated_and_null_ids(frame):
+    rng = random.Random(4)
+    long = "".join(rng.choice("abcdefghij") for _ in range(60000))
+    texts = [long, long, "start" * 30 + long, "start" * 30 + long, "end" + long, "end" + long]
+    rows = media_columns(frame(texts, [1, 1, None, None, 2, 2])).collect()
+    digest = lambda t: hashlib.sha256(wav(t.encode())).hexdigest()
+    assert sorted(r["media_sha256"] for r in rows) == sorted(map(digest, texts))
+
+
 # ---- classifiers
 def test_language_held_out():
     rng = random.Random(8)
