@@ -22,8 +22,7 @@ def ladder(severity: Column, quality: Column, has_second: Column) -> Column:
 
 def best(attempts: DataFrame, key: str = "item_id") -> DataFrame:
     """Per item: the first success, else the last attempt that parsed, else the last error."""
-    rank = F.when(F.col("success"), 1_000_000 - F.col("attempt")).when(F.col("parsed"), F.col("attempt"))
-    chosen = F.max_by("attempt", rank)
+    chosen = F.coalesce(F.min(F.when(F.col("success"), F.col("attempt"))), F.max(F.when(F.col("parsed"), F.col("attempt"))))
     last = F.max_by("error", F.col("attempt"))
     out = attempts.groupBy(key).agg(chosen.alias("attempt"), F.bool_or("success").alias("success"), last.alias("last_error"))
     return out.withColumn("error", F.when(F.col("attempt").isNull(), F.col("last_error"))).drop("last_error")

@@ -125,6 +125,12 @@ def test_best_attempt(spark):
     assert found == {1: (2, True, None), 2: (2, False, None), 3: (None, False, "e2")}
 
 
+def test_best_attempt_after_a_million(spark):
+    rows = [(1, 1_500_000, True, True, None), (1, 1_600_000, False, True, "e"), (1, 1_700_000, True, True, None)]
+    df = spark.createDataFrame(rows, "item_id long, attempt int, success boolean, parsed boolean, error string")
+    assert [tuple(r) for r in attempts.best(df).select("item_id", "attempt", "success", "error").collect()] == [(1, 1_500_000, True, None)]
+
+
 def test_invariants(spark):
     rows = [(1, 1, "OCR", True, False), (1, 2, "PERSIST", True, True), (1, 3, "PARSE", False, False), (2, 1, "VALIDATE", True, False), (2, 2, "PERSIST", True, True)]
     t = spark.createDataFrame(rows, "run_id long, seq int, stage string, success boolean, terminal boolean")
