@@ -58,30 +58,33 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     spans = passages.join(strings, "_row", "full_outer")
     cut = rows.select("_row", "text").join(spans, "_row").select("_row", F.coalesce("text", F.lit("")).cast("binary").alias("data"), "_passages", "_strings")
     kept = cut.mapInArrow(_cut, "_row long, kept binary")
-    text = F.coalesce(F.try_validate_utf8(F.col("kept").cast("string")), _valid(F.col("kept")))
-    joined = rows.join(kept.select("_row", text.alias("_text")), "_row", "left")
+    joined = rows.join(kept.select("_row", F.col("kept").cast("string").alias("_text")), "_row", "left")
     changed = F.col("_text").isNotNull()
     new = {"text": F.when(changed, F.col("_text")).otherwise(F.col("text")), "n_chars": F.when(changed, F.char_length("_text")).otherwise(F.col("n_chars"))}
     return joined.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col(c)).alias(c) for c in docs.columns])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_row, kept: bytes without two lists of spans."""
+    """_row, kept: bytes without two lists of spans, each widened to whole characters."""
     for b in batches:
         for k in range(0, b.num_rows, 128):
             part, out = b.slice(k, 128), []
             for data, *lists in zip(*(c.to_pylist() for c in part.columns[1:]), strict=True):
                 at, kept = 0, []
-                for p, q in merged([(x["from"], x["end"]) for spans in lists for x in spans or []]):
+                for p, q in merged([_whole(data, x["from"], x["end"]) for spans in lists for x in spans or []]):
                     kept.append(data[at:p])
                     at = q
                 out.append(b"".join([*kept, data[at:]]))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], ["_row", "kept"])
 
 
-def _valid(data):
-    """The text of bytes without what is not valid UTF-8."""
-    return F.replace(F.make_valid_utf8(data.cast("string")), F.lit("�"), F.lit(""))
+def _whole(data: bytes, p: int, q: int) -> tuple[int, int]:
+    """[p, q) with all bytes of the characters that it has some bytes of."""
+    while 0 < p < len(data) and data[p] & 0xC0 == 0x80:
+        p -= 1
+    while q < len(data) and data[q] & 0xC0 == 0x80:
+        q += 1
+    return p, q
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

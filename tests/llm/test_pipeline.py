@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +110,18 @@ def test_null_and_repeated_ids(frame, spark):
     near = kept(cp.without_near_copies(spark, docs, ""))
     assert near == sorted([*rows[:3], *rows[4:7], rows[7]], key=str)
     assert kept(cp.without_repeats(spark, docs, "")) == sorted(rows, key=str)
+
+
+def test_cuts_whole_characters(frame, spark):
+    rng = random.Random(41)
+    same = "".join(rng.choice("abcdefgh") for _ in range(500))
+    # the border of what repeats is within a character: its first byte (é, ê) or last one (é, ũ) repeats;
+    # 'Ж' and 'ѐ' (D0 96, D1 90) would leave D0 | 90, which is valid
+    texts = [f"\ufffd one \u00e9{same}\u0416 x", f"two \u0169{same}\u0417 y \ufffd", f"Ж{same}ѐ", f"б{same}ѐ z"]
+    left = texts_of(cp.without_repeats(spark, frame(texts), ""))
+    assert left[0] == "\ufffd one  x" and left[1] == "two  y \ufffd"
+    assert left[2] == "Ж" and left[3] == "б z"
+    half = "D" + same
+    assert cp._whole("Ж".encode() + b"x" + "ѐ".encode(), 1, 4) == (0, 5)
+    data = "Ж".encode() + half.encode() + "ѐ".encode()
+    assert list(cp._cut([pa.record_batch([pa.array([1]), pa.array([data]), pa.array([[{"from": 1, "end": len(data) - 1}]]), pa.array([[{"from": 5, "end": 9}]])], ["_row", "data", "a", "b"])]))[0].column(1).to_pylist() == [b""]
