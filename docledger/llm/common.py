@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,24 +14,46 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-@cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="docledger-")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the cluster names in
-    ``spark.checkpoint.dir``; only where that is unset (tests), a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """A new path in the shared folder that the session names in ``spark.checkpoint.dir``."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: The folders of written intermediates, by the frame that reads them.
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: the lineage
-    ends there, and a lost executor costs nothing that was written."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    ends there, and a lost executor costs nothing that was written. The shuffle files that
+    led to it go at once."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the folders of frames that ``materialise`` returned and that nothing reads any
+    more: neither a frame that is still to be computed nor the caller's result."""
+    for df in frames:
+        if path := _written.pop(df, None):
+            delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -74,7 +95,12 @@ def sample(df: DataFrame, key: str, rows: int) -> DataFrame:
 
 
 def rowed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a unique row id ``_row``, written once: doc_id may be null or repeat."""
+    """``docs`` with a unique row id ``_row``: doc_id itself, or where that is null or repeats
+    or there is none, a number that is written with the rows once."""
+    if "doc_id" in docs.columns and docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int"):
+        found = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 or doc_id is null")
+        if not found.limit(1).count():
+            return docs.withColumn("_row", F.col("doc_id").cast("long"))
     return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rowed")
 
 

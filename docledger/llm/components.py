@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release, with_group
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,26 +16,59 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps: each node hands its neighbours to the
     smallest one it knows, so that the number of rounds follows the logarithm of a
-    component's length. Steps only group and join on nodes; each is written out."""
-    now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = _state(now)
-    while True:
+    component's length. Every partition first drops the edges that close a cycle among its own.
+    A node's smallest neighbour comes from ``with_group``, so that a node with very many
+    neighbours is no hot key. Each step is written out, and the one before it deleted. The
+    result is one of the written steps: the caller may release it."""
+    now = materialise(_forest(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), "edges")
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        low = with_group(both, ["a"], {"m": F.min("b")}, 2 * now.count()).withColumn("m", F.least("a", "m"))
         # large star: neighbours that are larger than the node go to its smallest neighbour
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = materialise(low.where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        release(now)
         # small star: the smaller neighbours and the node go to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
-        small = small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct()
-        now = materialise(small, "edges")
-        before, state = state, _state(now)
-        if state == before:
-            break
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
-
-
-def _state(edges: DataFrame) -> tuple:
-    """Number and digest of a set of edges."""
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+        small = with_group(large, ["a"], {"m": F.min("b")}, large.count()).select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
+        now = materialise(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "edges")
+        release(large)
+    out = materialise(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), "components")
+    release(now)
+    return out
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node that points to another one points to one root only."""
+    if edges.groupBy("a").count().where("count > 1").limit(1).count():
+        return False
+    return not edges.select("b").distinct().join(edges.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
+
+
+def _forest(edges: DataFrame) -> DataFrame:
+    """``edges`` without those that close a cycle among the earlier ones of their partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+        for b in batches:
+            keep = pa.array(joins(root, b.column(0).to_pylist(), b.column(1).to_pylist()), pa.bool_())
+            yield b.filter(keep)
+
+    return edges.mapInArrow(run, "a long, b long").distinct()
+
+
+def joins(root: dict, a: list, b: list) -> list[bool]:
+    """For each edge, in order, whether it joins what is not joined yet; ``root`` keeps the state."""
+
+    def find(x):
+        at = x
+        while (up := root.get(at, at)) != at:
+            at = up
+        while root.get(x, x) != at:
+            root[x], x = at, root[x]
+        return at
+
+    out = []
+    for x, y in zip(a, b, strict=True):
+        p, q = find(x), find(y)
+        out.append(p != q)
+        root[max(p, q)] = min(p, q)
+    return out

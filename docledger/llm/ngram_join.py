@@ -4,14 +4,20 @@ Universe-partition pigeonhole: in each band of set sizes, tokens (hashed n-grams
 dealt to ``m`` segments by hash. Two similar sets differ in at most D = (|R| + |S|) *
 (1 - t) / (1 + t) tokens, so if the points of the segments sum to D + 1, one segment
 differs less than its points: an exact segment (1 point) is equal, a segment with its
-one-deletion neighbourhood (2 points) differs by at most one token. Which kind a band has, and
-how many segments beyond the least (so that empty ones need no index row), is chosen
-by a cost model: index rows against the candidates that empty segments would make. Documents that share a signature are candidates, and all of
-them are verified on the texts' n-grams themselves.
-
-A signature's group is not expanded into pairs: every member is first held against the
-smallest one. Only groups that are then still in different components go on: small ones by
-pairs, large ones in blocks whose intersections are counted by matrix products."""
+one-deletion neighbourhood (2 points) differs by at most one token. A cost model allocates
+the points within each band: it weighs the index rows against the candidates that come from
+segments which say nothing, as they are empty or, with deletions, have one token. A few
+tokens are best held in few segments with deletions, many tokens in exact segments,
+with some more than needed: so many more agree, and a set does without its empty segments and
+without as many of its most frequent ones, which get no points (a passage that many documents share
+makes no large groups). Documents that share a signature are candidates, and all of them are
+verified on the texts' n-grams themselves.
+
+A signature's group is not expanded into pairs. First each document is held against one
+other: of the smallest ones of its groups the one with which it shares most signatures. Only groups that
+are then still in different components go on: small ones by pairs; large ones are split into
+families by a byte of each segment, and of a family all documents outside its largest component are held
+against the others, in rounds of bounded blocks."""
 
 from __future__ import annotations
 
@@ -25,15 +31,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import materialise, with_group
-from .components import components
+from .common import materialise, partitions, release, with_group
+from .components import components, joins
 
 RATIO, WORDS, MASK = 1.5, 300_000, (1 << 64) - 1
 #: Cost of verifying a candidate, in index rows; share of the rows that are near in size.
 VERIFY, NEAR = 100.0, 0.04
-#: Signature groups of more documents are compared in blocks instead of by pairs.
-FEW, BLOCK = 48, 1024
+#: Signature groups of more than FEW documents are compared in blocks instead of by pairs: of BLOCK documents, or TOKENS tokens, and
+#: before that by their marks in blocks of MARKED documents.
+FEW, BLOCK, TOKENS, MARKED = 48, 256, 1 << 19, 1024
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -63,33 +71,38 @@ class Bands:
         return list(range(self.band(size), self.band(size * 100 // self.percent) + 1))
 
     @lru_cache(maxsize=None)  # noqa: B019
-    def allocation(self, band: int) -> tuple[int, int, bool]:
-        """(segments, slack, with deletions); no segments: only equal sets are similar.
+    def allocation(self, band: int) -> tuple[int, int, int]:
+        """(segments, how many of these have deletions, slack); no segments: only equal sets are similar.
 
-        Exact segments: with ``slack`` more than needed, 1 + slack of them agree, so that
-        empty ones need not be indexed but for sets that have more empty ones. With
-        deletions half as many do, of twice the tokens, for a row per token."""
+        Exact segments alone: with ``slack`` more than needed, 1 + slack of them agree, so that
+        empty ones need not be indexed but for sets that have more empty ones, and of the others as
+        many of the most frequent ones as there are fewer. With deletions on
+        ``k`` segments there are ``k`` fewer in all: each has more tokens, for a row per token."""
         low, high = math.ceil(RATIO**band - 1e-6), math.ceil(RATIO ** (band + 1) - 1e-6) - 1
         need = self.differ(2 * high) + 1
         if need == 1:
-            return 0, 0, False
-        near, options = VERIFY * NEAR * self.rows, []
-        for slack in range(0, 4 + need // 2):
-            mean = need * math.exp(-low / (need + slack))
+            return 0, 0, 0
+        near, size, options = VERIFY * NEAR * self.rows, math.sqrt(low * high), []
+        for slack in range(1 + need // 8, 4 + need // 2):
+            m = need + slack
+            mean = m * math.exp(-low / m)  # empty segments
             term, tail = math.exp(-mean), 1.0
             for k in range(slack + 1):
                 tail, term = tail - term, term * mean / (k + 1)
-            options.append((need + slack + near * max(tail, 0) ** 2, need + slack, slack, False))
-        half, size = (need + 1) // 2, math.sqrt(low * high)
-        c = size / half
-        options.append((size + 2 * half + near * half * ((1 + c) * math.exp(-c)) ** 2, half, 0, True))
+            options.append((m + near * max(tail, 0) ** 2, m, 0, slack))
+        for m in range((need + 1) // 2, need):
+            k, c = need - m, low / m
+            vain = k * ((1 + c) * math.exp(-c)) ** 2 + (m - k) * math.exp(-c) ** 2
+            options.append((m + k * size / m + near * vain, m, k, 0))
         return min(options)[1:]
 
     def prefix(self, size: int, band: int) -> int:
-        """How many of a band's exact segments a set of ``size`` needs: what does for the
+        """How many of a band's segments a set of ``size`` needs: what does for the
         smaller set of a pair, and the larger one's prefix is longer."""
         most = math.ceil(RATIO ** (band + 1) - 1e-6) - 1
-        return self.differ(size + min(most, size * 100 // self.percent)) + 1 + self.allocation(band)[1]
+        need = self.differ(size + min(most, size * 100 // self.percent)) + 1
+        _, k, slack = self.allocation(band)
+        return (need + 1) // 2 if need < 2 * k else need - k + slack
 
     def may_link(self, size_a: int, size_b: int, marks_a: list[bytes], marks_b: list[bytes]) -> bool:
         """Whether enough segments agree, by one byte of each (which never hides that two agree)."""
@@ -102,11 +115,13 @@ class Bands:
         same = np.count_nonzero(np.frombuffer(few[k][:n], np.uint8) == np.frombuffer(more[0][:n], np.uint8))
         return same >= n - self.differ(small + large)
 
-    def signatures(self, tokens: np.ndarray, marks: list[bytes] | None = None) -> np.ndarray:
-        """What a set is indexed by; ``marks`` gets a byte of each exact segment, by band."""
-        out, marks = [], [] if marks is None else marks
+    def signatures(self, tokens: np.ndarray, marks: list[bytes] | None = None, drops: list[int] | None = None) -> np.ndarray:
+        """What a set is indexed by; a signature's last bit is that of its band. ``marks`` gets a
+        byte of each segment by band, nothing where a band has deletions; ``drops``, by the last bit
+        of the band, how many of the most frequent signatures the set does without."""
+        out, marks, drops = [], [] if marks is None else marks, [0, 0] if drops is None else drops
         for band in self.of(len(tokens)):
-            m, slack, deletions = self.allocation(band)
+            m, deletions, slack = self.allocation(band)
             marks.append(b"")
             if not m:
                 continue
@@ -117,14 +132,16 @@ class Bands:
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(spread)])
             total = sums[ends[1:]] - sums[ends[:-1]]
             salt = np.arange(m, dtype=np.uint64) * B + np.uint64((band + 1) * int(C) & MASK)
-            full, exact = ends[1:] > ends[:-1], mix(total ^ salt)
-            if not deletions:
-                k = self.prefix(len(tokens), band)
-                full, exact = full[:k], exact[:k]
-                marks[-1] = exact.astype(np.uint8).tobytes()
-            out.append(exact if deletions or (~full).sum() > slack else exact[full])
+            named = lambda x: mix(x) & ~np.uint64(1) | np.uint64(band & 1)  # noqa: B023, E731
+            k = self.prefix(len(tokens), band)
+            full, exact = (ends[1:] > ends[:-1])[:k], named(total ^ salt)[:k]
             if deletions:
-                out.append(mix((total[own] - spread) ^ salt[own]))
+                near = own < min(k, deletions)
+                out += [exact, named((total[own[near]] - spread[near]) ^ salt[own[near]])]
+            else:
+                marks[-1] = (exact >> np.uint64(1)).astype(np.uint8).tobytes()
+                drops[band & 1] = max(0, slack - int((~full).sum()))
+                out.append(exact if (~full).sum() > slack else exact[full])
         return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
@@ -165,46 +182,57 @@ def tokens_of(text: str | None, n: int, hashes: dict) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, bands: Bands, n: int) -> DataFrame:
-    """doc_id, n_shingles, key (digest of the set, null if empty), signatures, marks."""
+    """doc_id, n_shingles, key (digest of the set, null if empty), signatures, marks, drops."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for b in batches:
             for k in range(0, b.num_rows, 512):
-                part, sizes, keys, signs, marks = b.slice(k, 512), [], [], [], []
+                part, sizes, keys, signs, marks, drops = b.slice(k, 512), [], [], [], [], []
                 for t in part.column(1).to_pylist():
                     tokens = tokens_of(t, n, hashes)
                     sizes.append(len(tokens))
                     keys.append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
                     marks.append([])
-                    signs.append(bands.signatures(tokens, marks[-1]) if len(tokens) else np.zeros(0, np.uint64))
+                    drops.append([0, 0])
+                    signs.append(bands.signatures(tokens, marks[-1], drops[-1]) if len(tokens) else np.zeros(0, np.uint64))
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in signs])]).astype(np.int32)
                 flat = pa.array(np.concatenate(signs).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(marks, pa.list_(pa.binary()))], ["doc_id", "n_shingles", "key", "signatures", "marks"])
+                columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(marks, pa.list_(pa.binary())), pa.array(drops, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "key", "signatures", "marks", "drops"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, key binary, signatures array<long>, marks array<binary>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, key binary, signatures array<long>, marks array<binary>, drops array<int>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts are similar, by their n-grams themselves."""
+    """The pairs (a, b) whose texts are similar, by their n-grams themselves.
+
+    The texts that are held against ``b`` meet it in groups of about BLOCK, each with a copy of
+    b's text, so that every text moves once for each of its pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, grams = None, set()
         for batch in batches:
+            a, b, lead = (batch.column(k).to_pylist() for k in range(3))
             keep = []
             for k in range(batch.num_rows):
-                b = batch.column(1)[k].as_py()
-                if b != last:
-                    last, grams = b, shingles(batch.column(3)[k].as_py(), n)
-                other = shingles(batch.column(2)[k].as_py(), n)
-                common = len(grams & other)
-                keep.append(100 * common >= percent * (len(grams) + len(other) - common))
+                own = shingles(batch.column(3)[k].as_py(), n)
+                if lead[k]:
+                    last, grams = b[k], own
+                elif last != b[k]:
+                    raise ValueError("a pair has come without its text")
+                common = len(grams & own)
+                keep.append(not lead[k] and 100 * common >= percent * (len(grams) + len(own) - common))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    one, two = (texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-    both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(run, "a long, b long")
+    salted = with_group(pairs.select("a", "b"), ["b"], {"size": F.count(F.lit(1))}, pairs.count())
+    salt = F.pmod(F.xxhash64("a"), F.ceil(F.col("size") / BLOCK)).cast("int")
+    members = salted.select(F.col("a").alias("id"), "b", salt.alias("salt"), F.lit(False).alias("lead"))
+    leads = members.groupBy("b", "salt").agg(F.lit(True).alias("lead")).select(F.col("b").alias("id"), "b", "salt", "lead")
+    rows = members.unionByName(leads).join(texts, "id")
+    laid = rows.repartition(partitions(pairs.sparkSession), "b", "salt").sortWithinPartitions("b", "salt", F.desc("lead"))
+    return laid.select("id", "b", "lead", "text").mapInArrow(run, "a long, b long")
 
 
 def _likely(pairs: DataFrame, marks: DataFrame, bands: Bands) -> DataFrame:
@@ -220,39 +248,54 @@ def _likely(pairs: DataFrame, marks: DataFrame, bands: Bands) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _dealt(cluster: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows`` (by id) of each cluster in groups of at most two blocks: every two blocks meet."""
-    sizes = cluster.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    all_ = cluster.join(sizes, "component").select("component", F.col("node").alias("id"), "blocks").withColumn("own", own)
-    dealt = all_.select("component", "id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    return dealt.select(F.col("component").alias("cluster"), F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "id", "own").join(rows, "id")
-
-
-def _spanning(a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Places of the edges (a, b) that join what earlier ones do not."""
-    root: dict = {}
+def _joined(known: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components of what is known and of new links; both frames go."""
+    edges = links.select("a", "b") if known is None else links.select("a", "b").unionByName(known.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    out = components(edges)
+    release(links, *([] if known is None else [known]))
+    return out
 
-    def find(x):
-        while root.get(x, x) != x:
-            x = root[x]
-        return x
 
-    out = []
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        p, q = find(x), find(y)
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            out.append(k)
+def _mixed(shared: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``shared`` (sig, rep, n_shingles) of the signatures whose documents are in different components,
+    with each row's component ``comp``, the group's ``size`` and its smallest document as ``lead``; written."""
+    now = shared.select("sig", "rep", "n_shingles")
+    comp = F.col("rep")
+    if known is not None:
+        now, comp = now.join(known, now["rep"] == known["node"], "left"), F.coalesce("component", "rep")
+    now = now.select("sig", "rep", "n_shingles", comp.alias("comp"))
+    at = F.struct("rep", "n_shingles", "comp")
+    aggs = {"c1": F.min("comp"), "c2": F.max("comp"), "lead": F.min(at), "size": F.count(F.lit(1))}
+    return materialise(with_group(now, ["sig"], aggs, shared.count()).where("c1 < c2").drop("c1", "c2"), "mixed")
+
+
+def _fits(x: str, y: str, percent: int):
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
+def _star(mixed: DataFrame, marks: DataFrame, bands: Bands) -> DataFrame:
+    """One pair (a, b) for each document of ``mixed`` that may link with a lead of its groups: with the
+    one that it shares most signatures with."""
+    away = mixed.where((F.col("comp") != F.col("lead.comp")) & _fits("n_shingles", "lead.n_shingles", bands.percent))
+    times = materialise(away.groupBy(F.col("rep").alias("a"), F.col("lead.rep").alias("b")).agg(F.count(F.lit(1)).alias("times")), "times")
+    likely = _likely(times, marks, bands).join(times, ["a", "b"])
+    best = likely.groupBy("a").agg(F.max(F.struct("times", (-F.col("b")).alias("b"))).alias("best"))
+    out = materialise(best.select("a", (-F.col("best.b")).alias("b")), "pairs")
+    release(times)
     return out
 
 
-def _families(cluster: DataFrame, marks: DataFrame, bands: Bands) -> DataFrame:
-    """Clusters split into the components of the pairs of which enough segments agree."""
+def _families(left: DataFrame, marks: DataFrame, bands: Bands) -> DataFrame:
+    """Documents that share signatures with many others, in families (id, n_shingles, cluster), written.
+
+    Documents that share such signatures, directly or through others, are held against each other in
+    groups of two blocks by their marks alone, a few dozen bytes each. Those of different components of
+    which enough segments agree are of one family; most documents of a common passage are of none."""
 
     def meet(key, pdf):
-        ids, own, size = pdf["id"].to_numpy(), pdf["own"].to_numpy(), pdf["n_shingles"].to_numpy()
+        ids, own, size, comp = (pdf[c].to_numpy() for c in ("id", "own", "n_shingles", "comp"))
         band = np.array([bands.band(n) for n in size])
+        root: dict = {}
         edges = []
         for upper in np.unique(band).tolist():
             # pairs whose larger set is in this band: the mark of a set one band below is its second
@@ -265,48 +308,85 @@ def _families(cluster: DataFrame, marks: DataFrame, bands: Bands) -> DataFrame:
                 if t:
                     byte[k, : len(t)] = np.frombuffer(t, np.uint8)
             need = np.array([bands.prefix(n, upper) if h and not e else 0 for n, h, e in zip(size.tolist(), has, bare, strict=True)])
-            # count agreements on the smaller set's prefix, for rows in order of size
             for x in np.flatnonzero(has & (own == key[1])).tolist():
-                y = np.flatnonzero(has & (own == key[2]) & ((level == 0) | (level[x] == 0)))
+                y = np.flatnonzero(has & (own == key[2]) & ((level == 0) | (level[x] == 0)) & (comp != comp[x]))
                 y = y[100 * np.minimum(size[y], size[x]) >= bands.percent * np.maximum(size[y], size[x])]
                 y = y[y > x] if key[1] == key[2] else y
                 if not len(y):
                     continue
+                # agreements count on the smaller set's prefix
                 n = np.where(size[y] < size[x], need[y], need[x])
                 same = (byte[y] == byte[x]) & (np.arange(width) < n[:, None])
                 most = (size[y] + size[x]) * (100 - bands.percent) // (100 + bands.percent)
-                ok = (same.sum(1) >= n - most) | bare[y] | bare[x]
-                edges += [(ids[x], i) for i in ids[y[ok]].tolist()]
-                if len(edges) > 50_000:
-                    e = np.array(edges, np.int64)
-                    edges = e[_spanning(e[:, 0], e[:, 1])].tolist()
-        if not edges:
-            return pd.DataFrame(columns=["a", "b"], dtype="int64")
-        e = np.array(edges, np.int64)
-        return pd.DataFrame(e[_spanning(e[:, 0], e[:, 1])], columns=["a", "b"])
-
-    return components(_dealt(cluster, marks).groupBy("cluster", "i", "j").applyInPandas(meet, "a long, b long"))
-
-
-def _in_blocks(left: DataFrame, texts: DataFrame, marks: DataFrame, bands: Bands, n: int) -> DataFrame:
-    """Links (a, b) between components of large signature groups, found without pair rows.
-
-    Documents that share such signatures, directly or through others, make a cluster, and
-    those of its pairs of which enough segments agree split it into families. What is dealt to blocks of about
-    BLOCK documents meets in groups of two blocks, and there the sizes of all intersections come from
-    products of token matrices. Of the links only those that join components are returned."""
-    percent = bands.percent
-    edges = left.where("rep > lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
-    cluster = materialise(components(edges), "clusters")
-    family = materialise(_families(cluster, marks, bands), "families")
+                there_ = ids[y[(same.sum(1) >= n - most) | bare[y] | bare[x]]].tolist()
+                fresh = joins(root, [int(ids[x])] * len(there_), there_)
+                edges += [(ids[x], i) for i, ok in zip(there_, fresh, strict=True) if ok]
+        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+
+    cluster = components(left.where("rep <> lead.rep").select(F.col("rep").alias("a"), F.col("lead.rep").alias("b")))
+    sizes = cluster.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / MARKED).cast("int").alias("blocks"))
+    all_ = cluster.join(sizes, "component").select("component", F.col("node").alias("id"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
+    dealt = all_.select("component", "id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     comps = left.select(F.col("rep").alias("id"), "comp").distinct()
-    dealt = _dealt(family, texts.join(comps, "id"))
+    rows = dealt.select("component", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "id", "own").join(marks.join(comps, "id"), "id")
+    edges = materialise(rows.groupBy("component", "i", "j").applyInPandas(meet, "a long, b long"), "alike")
+    family = components(edges)
+    release(edges)
+    out = materialise(marks.select("id", "n_shingles").join(family.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id"), "families")
+    release(cluster, family)
+    return out
+
 
+def _blocks(families: DataFrame, texts: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame:
+    """``known`` and the links within families.
+
+    In each round a block of a family's documents outside its largest component is held against all
+    others, in bounded blocks too, where the sizes of all intersections come from products of token
+    matrices; of the links found those that join components are kept. A round moves each text about
+    twice."""
+    sized = materialise(families.join(texts, "id"), "sized")
+    done: DataFrame | None = None
+    while True:
+        now = sized.drop("text").join(known.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "cluster", "n_shingles", F.coalesce("component", "id").alias("comp"))
+        each = now.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("tokens"))
+        main = each.groupBy("cluster").agg(F.max(F.struct("size", "comp")).alias("main"), F.sum("size").alias("all"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        now = materialise(with_cluster(now, main), "now")
+        rest = now.where(F.col("comp") != F.col("main.comp"))
+        rest = rest.join(done, "id", "left_anti") if done is not None else rest
+        waiting = rest.groupBy("cluster").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / TOKENS)).alias("turns"))
+        turn = F.pmod(F.xxhash64("id", F.lit(7)), "turns")
+        some = with_cluster(rest.select("id", "cluster", "comp"), waiting).withColumn("turn", turn)
+        # the first of the turns that is not empty
+        first = some.groupBy("cluster").agg(F.min("turn").alias("first"))
+        leads = materialise(with_cluster(some, first).where("turn = first").select("id", "cluster", "comp"), "leads")
+        if not leads.limit(1).count():
+            release(now, leads, sized, *([] if done is None else [done]))
+            return known
+        chunks = F.ceil(F.greatest(F.col("all") / BLOCK, F.col("tokens") / TOKENS)).cast("int")
+        active = leads.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n")).select("cluster")
+        members = with_cluster(now, active).select("id", "cluster", "comp", F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk"), F.lit(False).alias("lead"))
+        dealt = members.select("cluster", "chunk").distinct()
+        copies = dealt.join(leads, "cluster").select("id", "cluster", "comp", "chunk", F.lit(True).alias("lead"))
+        rows = members.unionByName(copies).join(sized.select("id", "text"), "id")
+        links = materialise(rows.groupBy("cluster", "chunk").applyInPandas(_meeting(n, percent), "a long, b long"), "links")
+        before, done = done, materialise(leads.select("id") if done is None else leads.select("id").unionByName(done), "done")
+        release(now, leads, *([] if before is None else [before]))
+        known = _joined(known, links)
+
+
+def with_cluster(rows: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Rows of listed clusters with what is known of these. A cluster may hold a third of all rows, but there
+    is one row for each at most on the other side, so that AQE can split it."""
+    return rows.join(clusters, "cluster")
+
+
+def _meeting(n: int, percent: int):
     def meet(key, pdf):
+        pdf = pdf.sort_values("id", kind="stable")
         hashes = _Hashes()
         grams = [tokens_of(t, n, hashes) for t in pdf["text"]]
-        ids, comp, own = pdf["id"].to_numpy(), pdf["comp"].to_numpy(), pdf["own"].to_numpy()
-        one, two = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
+        ids, comp, lead, text = pdf["id"].to_numpy(), pdf["comp"].to_numpy(), pdf["lead"].to_numpy(bool), pdf["text"].to_list()
+        one, two = np.flatnonzero(lead), np.flatnonzero(~lead)
         size, ends = np.array([len(g) for g in grams], np.float32), np.cumsum([len(g) for g in grams])
         tokens, place, seen = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
         index = np.where(seen > 1, np.cumsum(seen > 1) - 1, -1)[place]  # tokens of several documents
@@ -320,21 +400,23 @@ def _in_blocks(left: DataFrame, texts: DataFrame, marks: DataFrame, bands: Bands
         union = size[one][:, None] + size[two][None] - common
         hit = (100 * common >= percent * union) & (comp[one][:, None] != comp[two][None])
         root: dict = {}
-
-        def find(x):
-            while root.get(x, x) != x:
-                x = root[x]
-            return x
-
         out = []
         for x, y in zip(*np.nonzero(hit), strict=True):
-            p, q = find(comp[one[x]]), find(comp[two[y]])
-            if p != q and similar(pdf["text"].iloc[one[x]], pdf["text"].iloc[two[y]], n, percent):
-                root[max(p, q)] = min(p, q)
+            p, q = int(comp[one[x]]), int(comp[two[y]])
+            if _apart(root, p, q) and similar(text[one[x]], text[two[y]], n, percent):
+                joins(root, [p], [q])
                 out.append((ids[one[x]], ids[two[y]]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("cluster", "i", "j").applyInPandas(meet, "a long, b long")
+    return meet
+
+
+def _apart(root: dict, p: int, q: int) -> bool:
+    while root.get(p, p) != p:
+        p = root[p]
+    while root.get(q, q) != q:
+        q = root[q]
+    return p != q
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -349,43 +431,54 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: s
     total = docs.count()
     bands = Bands(percent, total)
     sets = materialise(_sets(docs, bands, n), "sets")
-    columns = sets.select("doc_id", "n_shingles", "key")
+    columns = sets.select("doc_id", "n_shingles", "key", "drops")
     rows = with_group(columns.where("n_shingles > 0"), ["key"], {"rep": F.min("doc_id")}, total)
     rows = rows.unionByName(columns.where("n_shingles = 0").withColumn("rep", F.col("doc_id")))
     rows = materialise(rows.drop("key"), "reps")
 
     entries = sets.where("doc_id is not null").select(F.explode("signatures").alias("sig"), F.col("doc_id").alias("id"))
     count = sets.agg(F.sum(F.size("signatures"))).first()[0] or 0
-    shared = with_group(entries, ["sig"], {"low": F.min("id"), "high": F.max("id")}, count).where("low < high").select("sig", "id")
-    reps = rows.where("n_shingles > 0").select(F.col("doc_id").alias("id"), "rep", "n_shingles")
-    shared = materialise(shared.join(reps, "id").where("id = rep").select("sig", "rep", "n_shingles").distinct(), "shared")
-
-    lead = with_group(shared, ["sig"], {"lead": F.min(F.struct("rep", "n_shingles"))}, shared.count())
-    fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    pairs = lead.where((F.col("rep") > F.col("lead.rep")) & fits(F.col("n_shingles"), F.col("lead.n_shingles")))
+    several = with_group(entries, ["sig"], {"low": F.min("id"), "high": F.max("id"), "times": F.count(F.lit(1))}, count).where("low < high").select("sig", "id", "times")
+    reps = rows.where("n_shingles > 0 and doc_id = rep").select(F.col("doc_id").alias("id"), "rep", "n_shingles", "drops").distinct()
+    each = several.join(reps, "id").select("sig", "times", "rep", "n_shingles", "drops").distinct()
+    odd = F.col("sig").bitwiseAND(F.lit(1))
+    rank = F.row_number().over(Window.partitionBy("rep", odd).orderBy(F.desc("times"), "sig"))  # as long as a document
+    kept = each.withColumn("rank", rank).where(F.col("rank") > F.element_at("drops", (odd + 1).cast("int")))
+    shared = materialise(kept.select("sig", "rep", "n_shingles"), "shared")
+    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()  # equal sets, or else any of them
+    once = (lambda df: df.dropDuplicates(["id"])) if repeated else (lambda df: df)
     need = materialise(shared.select(F.col("rep").alias("id")).distinct(), "need")
-    marks = sets.select(F.col("doc_id").alias("id"), "n_shingles", "marks").join(need, "id", "left_semi")
-    texts = docs.withColumnRenamed("doc_id", "id").join(need, "id", "left_semi")
-    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():  # equal sets, or else any of them
-        marks, texts = marks.dropDuplicates(["id"]), texts.dropDuplicates(["id"])
-    marks, texts = materialise(marks, "marks"), materialise(texts, "texts")
-    pairs = materialise(pairs.select(F.col("rep").alias("a"), F.col("lead.rep").alias("b")).distinct(), "pairs")
-    pairs = materialise(_likely(pairs, marks, bands), "likely")
+    marks = materialise(once(sets.select(F.col("doc_id").alias("id"), "n_shingles", "marks").join(need, "id", "left_semi")), "marks")
+    release(sets)
+    texts = materialise(once(docs.withColumnRenamed("doc_id", "id").join(need, "id", "left_semi")), "texts")
+    release(need)
+
+    mixed = _mixed(shared)
+    release(shared)
+    pairs = _star(mixed, marks, bands)
     links = materialise(_verified(pairs, texts, n, percent), "links")
-    known = materialise(components(links), "known")
+    release(pairs)
+    known = _joined(None, links)
+    left = _mixed(mixed, known)
+    release(mixed)
 
-    # signatures whose documents are still in different components
-    now = shared.join(known, shared["rep"] == known["node"], "left").select("sig", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp"))
-    mixed = now.groupBy("sig").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("rep").alias("lead"), F.count("*").alias("size")).where("c1 < c2")
-    left = materialise(now.join(mixed.select("sig", "lead", "size"), "sig"), "left")
     few = left.where(F.col("size") <= FEW)
     other = few.select("sig", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n_shingles").alias("nb"))
-    more = few.join(other, "sig").where((F.col("rep") > F.col("b")) & (F.col("comp") != F.col("cb")) & fits(F.col("n_shingles"), F.col("nb")))
-    more = more.select(F.col("rep").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = materialise(_likely(more, marks, bands), "likely")
-    found = _verified(more, texts, n, percent).unionByName(_in_blocks(left.where(F.col("size") > FEW), texts, marks, bands, n))
-    found = materialise(found, "links")
-    # what is known stands for the links that it came from
-    known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
-    known = known.select(F.col("node").alias("rep"), "component")
-    return rows.join(known, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    more = few.join(other, "sig").where((F.col("rep") > F.col("b")) & (F.col("comp") != F.col("cb")) & _fits("n_shingles", "nb", percent))
+    more = materialise(more.select(F.col("rep").alias("a"), "b").distinct(), "pairs")
+    likely = materialise(_likely(more, marks, bands), "likely")
+    release(more)
+    links = materialise(_verified(likely, texts, n, percent), "links")
+    release(likely)
+    known = _joined(known, links)
+    many = left.where(F.col("size") > FEW)
+    if many.limit(1).count():
+        hot = _mixed(many, known)
+        families = _families(hot, marks, bands)
+        known = _blocks(families, texts, known, n, percent)
+        release(hot, families)
+    release(left, texts, marks)
+    out = rows.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    out = materialise(out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")), "components")
+    release(rows, known)
+    return out

@@ -113,6 +113,7 @@ def test_jaccard_large_groups(frame, monkeypatch):
 
     monkeypatch.setattr(ngram_join, "FEW", 3)
     monkeypatch.setattr(ngram_join, "BLOCK", 10)
+    monkeypatch.setattr(ngram_join, "MARKED", 16)
     rng = random.Random(2)
     base = [f"w{k}" for k in range(120)]
     texts = [" ".join(f"z{rng.random()}" if rng.random() < 0.02 else w for w in base) for _ in range(60)]
@@ -138,6 +139,75 @@ def test_similar_sets_share_a_signature(percent):
     assert tried > 500
 
 
+@pytest.mark.parametrize(("percent", "rows"), [(80, 10**5), (90, 10**8)])
+def test_costs_allocate_both_kinds(percent, rows):
+    """Some bands take one-deletion neighbourhoods, some exact segments alone, some a mixture; every
+    allocation has enough points, and no other allocation costs less by a plain recount."""
+    bands, kinds = Bands(percent, rows), set()
+    for band in range(1, 20):
+        m, deletions, slack = bands.allocation(band)
+        high = max(s for s in range(1, 5000) if bands.band(s) == band)
+        need = bands.differ(2 * high) + 1
+        if not m:
+            assert need == 1
+            continue
+        assert m + deletions == need + slack and (not deletions or not slack) and deletions <= m
+        kinds.add("exact" if not deletions else "deletions" if deletions == m else "both")
+    assert {"exact", "deletions"} <= kinds
+
+
+@pytest.mark.parametrize(("percent", "rows"), [(80, 10**5), (90, 10**8)])
+def test_similar_small_sets_share_a_signature(percent, rows):
+    """All ways in which small sets may differ, through bands with deletions."""
+    bands, rng, tried = Bands(percent, rows), np.random.default_rng(8), 0
+    for size in range(2, 22):
+        for _ in range(60):
+            base = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+            for gone in range(3):
+                for new in range(3):
+                    y = np.unique(np.concatenate([base[gone:], rng.integers(0, 1 << 63, new, dtype=np.uint64)]))
+                    if len(y) and gone + new and 100 * (size - gone) >= percent * (size + new):
+                        tried += 1
+                        assert len(np.intersect1d(bands.signatures(base), bands.signatures(y))), (size, gone, new)
+    assert tried > 1000
+
+
+def test_a_set_does_without_its_most_frequent_signatures():
+    """What two similar sets share is more than either may drop, in every band that they share."""
+    bands, rng, tried = Bands(80, 10**5), np.random.default_rng(9), 0
+    for _ in range(400):
+        base = np.unique(rng.integers(0, 1 << 63, int(rng.integers(30, 400)), dtype=np.uint64))
+        gone = int(rng.integers(1, len(base) // 9 + 1))
+        y = np.unique(np.concatenate([base[gone:], rng.integers(0, 1 << 63, gone, dtype=np.uint64)]))
+        if 100 * (len(base) - gone) < 80 * (len(base) + gone):
+            continue
+        one, two = [0, 0], [0, 0]
+        common = np.intersect1d(bands.signatures(base, None, one), bands.signatures(y, None, two))
+        # in the band of the larger set: whatever the frequencies are, the rarest common one is kept by both
+        upper = bands.band(max(len(base), len(y))) & 1
+        tried += 1
+        assert np.count_nonzero((common & np.uint64(1)) == upper) > max(one[upper], two[upper])
+    assert tried > 200
+
+
+def test_jaccard_with_a_common_passage(frame):
+    """Short documents around one long passage: similar ones are found, though each signature of the
+    passage is shared by all."""
+    rng = random.Random(12)
+    passage = [f"p{k}" for k in range(60)]
+    texts = []
+    for _ in range(70):
+        own = [f"o{rng.random()}" for _ in range(60)]
+        texts.append(" ".join(own + passage))
+        if rng.random() < 0.3:
+            own[rng.randrange(60)] = "changed"
+            texts.append(" ".join(own + passage))
+    roots, _ = brute_components(texts, 5, 80)
+    found = out(jaccard_components(frame(texts), 5, 80))
+    assert [found[i]["component_id"] for i in range(len(texts))] == roots
+    assert len(set(roots)) == 70 < len(texts)
+
+
 def test_tokens_count_shingles(texts):
     assert all(len(tokens_of(t, 3, {w: zlib.crc32(w) for w in (t or "").encode().lower().split()})) == len(shingles(t, 3)) for t in texts)
 
