@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, partitions
+from .common import materialise, partitions, release
 
 #: State = role of the last turn; START has none.
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -122,7 +122,9 @@ def _places(df: DataFrame) -> DataFrame:
     shift = F.broadcast(spark.createDataFrame(shifts, "_p int, _c long, _shift long"))
     own = F.row_number().over(Window.partitionBy("_pid", "conv_id").orderBy("_i")) - 1
     placed = laid.withColumn("_own", own).join(shift, (F.col("_pid") == F.col("_p")) & F.col("conv_id").eqNullSafe(F.col("_c")), "left")
-    return materialise(placed.withColumn("pos", F.col("_own") + F.coalesce("_shift", F.lit(0))).drop("_own", "_p", "_c", "_shift", "_pid"), "placed")
+    out = materialise(placed.withColumn("pos", F.col("_own") + F.coalesce("_shift", F.lit(0))).drop("_own", "_p", "_c", "_shift", "_pid"), "placed")
+    release(laid)
+    return out
 
 
 def _grouped(level: DataFrame, value: str) -> DataFrame:

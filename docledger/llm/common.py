@@ -94,19 +94,23 @@ def sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df if n <= rows else df.where(below)
 
 
-def rowed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a unique row id ``_row``: doc_id itself, or where that is null or repeats
-    or there is none, a number that is written with the rows once."""
+def rowed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a unique row id, and that column's name, which no column of ``docs`` has. The id
+    is doc_id itself, or where that is null or repeats or there is none, a number that is written
+    with the rows once."""
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
     if "doc_id" in docs.columns and docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int"):
         found = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 or doc_id is null")
         if not found.limit(1).count():
-            return docs.withColumn("_row", F.col("doc_id").cast("long"))
-    return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rowed")
+            return docs.withColumn(row, F.col("doc_id").cast("long")), row
+    return materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rowed"), row
 
 
-def only(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``_row`` is in ``rows``, without that column."""
-    return docs.join(rows.select("_row"), "_row", "left_semi").drop("_row")
+def only(docs: DataFrame, rows: DataFrame, row: str) -> DataFrame:
+    """The rows of ``docs`` whose ``row`` is in ``rows``, without that column."""
+    return docs.join(rows.select(row), row, "left_semi").drop(row)
 
 
 def dense_slots(df: DataFrame, classes: list[str], order: list[str], out: str) -> DataFrame:

@@ -12,16 +12,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, with_group
+from .common import materialise, release, with_group
 
 
-def block_names(docs: DataFrame, text: str = "text", keep: dict | None = None, block_bytes: int = 4096) -> DataFrame:
+def block_names(docs: DataFrame, text: str = "text", keep: dict | None = None, block_bytes: int = 4096, used: list | None = None) -> DataFrame:
     """One row per row of ``docs``: a row id ``row``, the columns of ``keep`` (name ->
     expression), and its identity ``n_blocks, name``.
 
     A null text counts as empty and has one empty block; an empty table gives an empty
-    result; repeated rows each keep a row; other columns of ``docs`` are not read."""
-    keep = keep or {}
+    result; repeated rows each keep a row; other columns of ``docs`` are not read. ``used`` gets what
+    may be released once the result has been read."""
+    keep, used = keep or {}, [] if used is None else used
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
     blocks = F.greatest(F.lit(1), F.ceil(F.octet_length(F.col("_data")) / block_bytes)).cast("int")
     rows = docs.select(data.alias("_data"), *[v.alias(k) for k, v in keep.items()])
@@ -36,6 +37,7 @@ def block_names(docs: DataFrame, text: str = "text", keep: dict | None = None, b
     )
     named = with_group(cut, ["_block"], {"name": F.min("id")}, total or 0).drop("_block")
     named = materialise(named, "blocks")
+    used.append(named)
     heads = named.where("pos = 0").select("row", "n_blocks", "name", *keep)
     if (longest or 1) == 1:
         return heads
@@ -48,9 +50,11 @@ def block_names(docs: DataFrame, text: str = "text", keep: dict | None = None, b
             F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(-1)).alias("right"),
         )
         pairs = materialise(pairs, "pairs")
-        level = with_group(pairs, ["left", "right"], {"name": F.min("id")}, pairs.count()).select("row", "pos", "id", "name")
+        before, level = level, with_group(pairs, ["left", "right"], {"name": F.min("id")}, pairs.count()).select("row", "pos", "id", "name")
         level = materialise(level, "level")
+        release(pairs, before)
         width = (width + 1) // 2
+    used.append(level)
     long = heads.where("n_blocks > 1").drop("name").join(level.select("row", "name"), "row")
     return done.unionByName(long.select(*done.columns))
 
@@ -62,7 +66,9 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     several rows have that doc_id, one of them. A null doc_id is the smallest. Null texts count as
     empty; an empty table gives an empty result; other columns are not read."""
     sha = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
-    named = materialise(block_names(docs, text, {"doc_id": F.col(doc_id), "sha": sha, **{c: F.col(c) for c in more}}, block_bytes), "named")
+    used: list[DataFrame] = []
+    named = materialise(block_names(docs, text, {"doc_id": F.col(doc_id), "sha": sha, **{c: F.col(c) for c in more}}, block_bytes, used), "named")
+    release(*used)
     at = F.struct("doc_id", "row")
     out = with_group(named, ["n_blocks", "name"], {"keep": F.max(at), "group_size": F.count(F.lit(1))}, named.count())
     return out.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("keep") == at).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), *more)

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, sample, with_group
+from .common import materialise, release, sample, with_group
 
 UNIT, HEADER, RATE = 64, 44, 8000
 LEAST, MOST, MASK_BITS = 4096, 65536, 13  # bytes of a chunk; 8 KB between cuts beyond LEAST on average
@@ -138,7 +138,9 @@ def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
     stored = both.select("media", owned.alias("owned"), refs.alias("refs")).withColumn("whole", F.size("refs") == 0)
     rows = listed.select(F.nullif("doc_id", nobody).alias("doc_id"), "n_bytes", "media")
     kept = docs.sparkSession.createDataFrame([(bytearray(words),)], "dictionary binary")
-    return rows, materialise(stored, "stored"), materialise(kept, "dictionary")
+    stored, kept = materialise(stored, "stored"), materialise(kept, "dictionary")
+    release(media)
+    return rows, stored, kept
 
 
 def read_back(stored: DataFrame, kept: DataFrame) -> DataFrame:
@@ -194,6 +196,7 @@ def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     schema = "media binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, feature string"
     seen = materialise(read_back(stored, words).mapInArrow(run, schema), "features")
+    release(stored, words)
     hexed = {"media_sha256": F.lower(F.hex("media")), "payload_sha256": F.lower(F.hex("payload_sha256"))}
     out = rows.join(seen, "media").withColumns(hexed)
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

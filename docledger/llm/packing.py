@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import batches_of, tokenizer
-from .common import dense_slots, materialise
+from .common import dense_slots, materialise, release
 
 END = 1
 
@@ -102,6 +102,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, doc_id: str = "doc_id",
         base += times
     table = spark.createDataFrame(places, "_len long, _from long, _to long, _n long, _base long, _offset long")
     ranked = dense_slots(cut, ["length"], ["doc_id", "start"], "_rank")
+    release(cut)
     here = (F.col("length") == F.col("_len")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
     inside = F.col("_rank") - F.col("_from")
     return ranked.join(F.broadcast(table), here).select(

@@ -12,7 +12,7 @@ from .exact_dedup import exact_duplicates
 from .media import media_columns
 from .ngram_join import jaccard_components
 from .packing import pack
-from .repeats import remove_repeats
+from .repeats import repeats_and_passages
 from .sharding import kd_shards
 
 
@@ -49,7 +49,7 @@ def op5_packing(spark, sf_dir):
 
 
 def op6_repeats(spark, sf_dir):
-    return remove_repeats(documents(spark, sf_dir), length=400).drop("kept")
+    return repeats_and_passages(documents(spark, sf_dir), length=400, passage=51).drop("kept")
 
 
 def op9_media(spark, sf_dir):

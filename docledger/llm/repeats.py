@@ -1,25 +1,30 @@
-"""Removal of long repeated strings across a corpus, by content-defined parsing.
+"""Removal of long repeated strings across a corpus, by prefix-free parsing.
 
 Texts are sequences of units: their bytes, or their words (with what stands between them).
 A rolling-hash trigger cuts every text: for each window of ``length`` units the trigger is
 the position of the smallest hash among the window's first ``span_of(length)`` positions, so
 equal windows have their trigger at the same place, wherever they stand. All windows of one
-trigger form a run, whose text around the trigger is its phrase context. The
-dictionary of contexts is named by digests and counted by Spark:
-
-1. a run whose core (the bytes that all its windows share) is unique has no repeated window;
-2. a run whose whole context occurs again is repeated as a whole;
-3. what is left, at the ends of repeated passages, is split into cells of CELL windows,
-   which go through the same two tests, and the rest into single windows.
-
-Only distinct contexts go on, with their number of copies, so that large groups of copies cost
-no more than one. Full suffix arrays of dictionary and parse would order all suffixes of a
-corpus that is mostly not repeated; the README says why they are not built."""
+trigger form a run, whose text around the trigger is its phrase. The dictionary of
+phrases is named by digests and counted by Spark:
+
+1. a run whose core (what all its windows share) is unique has no repeated window;
+2. a run whose whole phrase occurs again is repeated as a whole;
+3. the other phrases, at the ends of repeated passages, are sorted within tasks that each hold
+   all phrases of some cores: the suffix array of what follows the triggers (the parse) and that
+   of what precedes them, read backwards (the dictionary's phrase suffixes), with their common
+   prefixes. A window that starts ``a`` units before its trigger is named by its class of
+   preceding strings at depth a and its class of following ones at depth length - a; windows
+   of equal names are neighbours in the corpus order of suffixes, and repeat.
+
+Only distinct phrases go on, with their number of copies, so that large groups of copies cost
+no more than one. A core that has more than MANY distinct phrases does not fit a task: these are split
+into cells of CELL windows, which go through tests 1 and 2 again, and the rest into single windows."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, with_group
+from .common import materialise, partitions, release, rowed, with_group
 
 LEAST, CELL = 24, 16
+#: Distinct phrases of one core that a task may hold; phrases that a task should hold.
+MANY, TASK = 20_000, 20_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,6 +68,15 @@ class Units:
         a, b = self.place(part.start, part.stop)
         return self.view[a:b]
 
+    def names(self, a: int, b: int, after: bool) -> bytes:
+        """WIDTH bytes for each of the units [a, b): the byte itself, or a digest of the word with the
+        white space before it or, with ``after``, behind it; backwards then."""
+        if not self.words:
+            return self.data[a:b][::-1] if after else self.data[a:b]
+        if after:
+            return b"".join(xxhash.xxh3_64_digest(self.view[self.starts[k] : self.starts[k + 1]]) for k in range(b - 1, a - 1, -1))
+        return b"".join(xxhash.xxh3_64_digest(self.view[self.starts[k] if k == a else self.ends[k - 1] : self.ends[k]]) for k in range(a, b))
+
     def grams(self, count: int) -> np.ndarray:
         """The eight bytes from each of the first ``count`` units' starts on."""
         if not self.words:
@@ -141,6 +157,89 @@ def _batch(rows: list[tuple], kinds: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], [n for n, _ in kinds])
 
 
+def _phrases(texts: DataFrame, length: int, words: bool) -> DataFrame:
+    """rid, t, from, to, core, copies, left, right for the listed runs: the names of the units
+    before the trigger, backwards, and from it on, within the phrase."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 128):
+                out: list[tuple] = []
+                for rid, data, listed in zip(*(c.to_pylist() for c in b.slice(k, 128).columns), strict=True):
+                    view = Units(data, words)
+                    first, last, ts = runs_of(view, length)
+                    for x in listed:
+                        p, q, t = int(first[x["run"]]), int(last[x["run"]]), int(ts[x["run"]])
+                        out.append((rid, t, p, q, x["core"], x["copies"], view.names(p, t, True), view.names(t, q + length, False)))
+                yield _batch(out, kinds)
+
+    kinds = [("rid", pa.int64()), ("t", pa.int64()), ("from", pa.int64()), ("to", pa.int64()), ("core", pa.int64()), ("copies", pa.int64()), ("left", pa.binary()), ("right", pa.binary())]
+    return texts.select("rid", "data", "runs").mapInArrow(run, "rid long, t long, from long, to long, core long, copies long, left binary, right binary")
+
+
+def suffix_order(rows: list[bytes], heads: np.ndarray, width: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, shared): ``rows`` sorted by head, then content; for each place of the order the number of
+    units (of ``size`` bytes) in common with the place before, -1 where the head differs."""
+    n = len(rows)
+    table = np.zeros((n, 8 + width + 4), np.uint8)  # what is equal but for zero bytes at its end goes by its length
+    ends = np.array([len(r) for r in rows], np.int64)
+    table[:, :8] = heads.astype(">i8").view(np.uint8).reshape(n, 8)
+    table[:, 8:-4][np.arange(width) < ends[:, None]] = np.frombuffer(b"".join(rows), np.uint8)
+    table[:, -4:] = ends.astype(">u4").view(np.uint8).reshape(n, 4)
+    order = np.argsort(table.view(f"S{table.shape[1]}").ravel(), kind="stable")
+    table, ends = table[order], ends[order]
+    differ = np.ones((n, 8 + width + 1), bool)
+    differ[1:, :-1] = table[1:, :-4] != table[:-1, :-4]
+    shared = differ.argmax(1) - 8
+    shared[1:] = np.minimum(shared[1:], np.minimum(ends[1:], ends[:-1]))
+    return order, np.where(shared < 0, -1, shared // size)
+
+
+def repeated_windows(t: np.ndarray, first: np.ndarray, last: np.ndarray, core: np.ndarray, copies: np.ndarray, left: list[bytes], right: list[bytes], length: int, size: int) -> list[tuple[int, int, int]]:
+    """(phrase, from, end): the windows of phrases, which have all those of their cores beside them, that occur
+    more than once, as intervals of units. The phrases are distinct and ``copies`` says how often each occurs."""
+    n, span = len(t), span_of(length)
+    by_right, next_ = suffix_order(right, core, size * length, size)
+    by_left, before = suffix_order(left, core, size * span, size)
+    at_right, at_left = np.empty(n, np.int64), np.empty(n, np.int64)
+    least, most = t - last, t - first  # of the units between a window's start and the trigger
+    hits: list[tuple[np.ndarray, int]] = []
+    for a in range(int(least.min()), int(most.max()) + 1):
+        here = np.flatnonzero((least <= a) & (a <= most))
+        if not len(here):
+            continue
+        at_left[by_left] = np.cumsum((before < a) | (before < 0))
+        at_right[by_right] = np.cumsum((next_ < length - a) | (next_ < 0))
+        name, place = np.unique(at_left[here] * (n + 1) + at_right[here], return_inverse=True)
+        hits.append((here[np.bincount(place, copies[here], len(name))[place] > 1], a))
+    who = np.concatenate([h for h, _ in hits]) if hits else np.zeros(0, np.int64)
+    when = np.concatenate([np.full(len(h), a) for h, a in hits]) if hits else np.zeros(0, np.int64)
+    order = np.lexsort((when, who))
+    who, when = who[order], when[order]
+    cut = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (when[1:] != when[:-1] + 1))) if len(who) else np.zeros(0, np.int64)
+    stop = np.append(cut[1:], len(who)) - 1
+    return [(int(who[i]), int(t[who[i]] - when[j]), int(t[who[i]] - when[i]) + length) for i, j in zip(cut.tolist(), stop.tolist(), strict=True)] if len(who) else []
+
+
+def _sorted(phrases: DataFrame, length: int, words: bool) -> DataFrame:
+    """rid, from, end: the repeated windows of phrases, from suffix arrays within tasks."""
+    size = 8 if words else 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        all_ = pa.Table.from_batches(parts)
+        rid, t, first, last, core, copies = (all_.column(k).to_numpy() for k in range(6))
+        found = repeated_windows(t, first, last, core, copies, all_.column(6).to_pylist(), all_.column(7).to_pylist(), length, size)
+        for k in range(0, len(found), 100_000):
+            yield _batch([(int(rid[x]), p, q) for x, p, q in found[k : k + 100_000]], kinds)
+
+    kinds = [("rid", pa.int64()), ("from", pa.int64()), ("end", pa.int64())]
+    n = max(partitions(phrases.sparkSession), -(-phrases.count() // TASK))
+    return phrases.repartition(n, "core").mapInArrow(run, "rid long, from long, end long")
+
+
 def _cells(texts: DataFrame, length: int, words: bool) -> DataFrame:
     """The same for the cells of the listed runs; ``from`` and ``to``: their windows."""
 
@@ -245,8 +344,9 @@ def _mixed(named: DataFrame) -> DataFrame:
     return with_group(lead, ["core"], aggs, lead.count()).where("several > 1 and once = 1")
 
 
-def _found(docs: DataFrame, length: int, words: bool, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(rows: rid, doc_id, n_bytes, sha, gone; marked: rid, data, marks), all written up to the marks.
+def _found(docs: DataFrame, length: int, words: bool, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(rows: rid, doc_id, n_bytes, sha, gone; marked: rid, data, marks; what may go once ``marked`` has
+    been read).
 
     ``gone``: the whole text goes, as it occurs again; ``marks``: the units [from, end) of each
     other text that go, overlapping ones too."""
@@ -271,26 +371,36 @@ def _found(docs: DataFrame, length: int, words: bool, doc_id: str, text: str) ->
     texts = materialise(texts, "texts")
 
     named = materialise(_named(_contexts(texts, length, words), ["run"]), "contexts")
-    todo = _mixed(named).groupBy("rid").agg(F.collect_list(F.struct("run", "copies")).alias("runs"))
-    cells = materialise(_cells(texts.drop("runs", "copies").join(todo, "rid"), length, words), "cells")
-    cells_named = materialise(_named(cells, ["from"]), "cells-named")
-    todo = _mixed(cells_named).groupBy("rid").agg(F.collect_list(F.struct("from", "to", "copies")).alias("runs"))
-    singles = materialise(_singles(texts.drop("runs", "copies").join(todo, "rid"), length, words), "singles")
-    single_marks = _named(singles, ["from"]).where("times > 1").select("rid", "from", (F.col("from") + length).alias("end"))
-    cell_marks = cells_named.where("times > 1").select("rid", "from", (F.col("to") + length).alias("end"))
-    run_marks = named.where("times > 1").select("rid", "from", (F.col("to") + length).alias("end"))
-    marks = run_marks.unionByName(cell_marks).unionByName(single_marks)
+    ends = materialise(_mixed(named), "ends")
+    listed = lambda df, *columns: texts.drop("runs", "copies").join(df.groupBy("rid").agg(F.collect_list(F.struct(*columns)).alias("runs")), "rid")
+    phrases = materialise(_phrases(listed(ends.where(F.col("several") <= MANY), "run", "core", "copies"), length, words), "phrases")
+    marks = materialise(_sorted(phrases, length, words), "sorted")
+    release(phrases)
+    marks = [named.where("times > 1").select("rid", "from", (F.col("to") + length).alias("end")), marks]
+    used = [parsed, texts, named, marks[1]]
+    wide = ends.where(F.col("several") > MANY)
+    if wide.limit(1).count():
+        cells = materialise(_cells(listed(wide, "run", "copies"), length, words), "cells")
+        cells_named = materialise(_named(cells, ["from"]), "cells-named")
+        singles = materialise(_singles(listed(_mixed(cells_named), "from", "to", "copies"), length, words), "singles")
+        release(cells)
+        marks.append(cells_named.where("times > 1").select("rid", "from", (F.col("to") + length).alias("end")))
+        marks.append(_named(singles, ["from"]).where("times > 1").select("rid", "from", (F.col("from") + length).alias("end")))
+        used += [cells_named, singles]
+    release(ends)
+    marks = reduce(DataFrame.unionByName, marks)
     marks = marks.join(rows.where("copies = 1").select("rid"), "rid", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("from", "end")).alias("marks"))
     gone = (F.col("copies") > 1) & (F.col("n_units") >= length)
-    return rows.select("rid", "doc_id", "n_bytes", "sha", gone.alias("gone")), texts.select("rid", "data").join(marks, "rid")
+    return rows.select("rid", "doc_id", "n_bytes", "sha", gone.alias("gone")), texts.select("rid", "data").join(marks, "rid"), used
 
 
 def repeat_spans(docs: DataFrame, length: int, words: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, spans: the bytes (from, end) that ``remove_repeats`` removes, for rows that lose any.
     With ``words``, ``length`` counts words: what goes are words, and the white space between them,
     of passages of ``length`` whole words that also start elsewhere with the same bytes."""
-    rows, marked = _found(docs, length, words, doc_id, text)
+    rows, marked, used = _found(docs, length, words, doc_id, text)
     out = rows.join(materialise(_spans(marked, words), "spans"), "rid", "left")
+    release(*used)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("n_bytes").alias("end")))
     return out.select("doc_id", F.when(F.col("gone"), whole).otherwise(F.col("spans")).alias("spans")).where("spans is not null")
 
@@ -302,8 +412,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
     same or another row, goes; overlapping occurrences count, matches never cross rows. Null
     texts count as empty; texts shorter than ``length`` keep all; of repeated rows each is an
     occurrence; an empty table gives an empty result; other columns are not read."""
-    rows, marked = _found(docs, length, False, doc_id, text)
+    rows, marked, used = _found(docs, length, False, doc_id, text)
     cut = materialise(_kept(marked), "kept")
+    release(*used)
 
     gone, sha, nothing = F.col("gone"), F.lower(F.hex("sha")), F.lit(b"")
     out = rows.join(cut, "rid", "left")
@@ -314,3 +425,17 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
         F.when(gone, F.sha2(nothing, 256)).when(F.col("kept").isNotNull(), F.sha2("kept", 256)).otherwise(sha).alias("kept_sha256"),
         F.when(gone, nothing).otherwise(F.col("kept")).alias("kept"),
     )
+
+
+def repeats_and_passages(docs: DataFrame, length: int = 400, passage: int = 51, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The columns of ``remove_repeats``, and n_passages and passage_bytes: the maximal spans, and their
+    bytes, of passages of ``passage`` whole words that also start elsewhere (these stay in the text).
+    Rows that repeat an id, and rows without one, each keep their own figures."""
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows, _ = rowed(docs)
+    strings = remove_repeats(rows, length, "_row").withColumnRenamed("doc_id", "_row")
+    spans = repeat_spans(rows, passage, True, "_row").select(F.col("doc_id").alias("_row"), "spans")
+    size = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["from"])
+    more = spans.select("_row", F.size("spans").cast("long").alias("n_passages"), size.alias("passage_bytes"))
+    out = strings.join(more, "_row", "left").na.fill(0, ["n_passages", "passage_bytes"])
+    return out.join(rows.select("_row", "doc_id"), "_row").drop("_row")

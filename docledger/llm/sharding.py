@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dense_slots, materialise
+from .common import dense_slots, materialise, release
 
 BITS, TIE, BINS = 20, 42, 1024
 DIMS = ("d_size", "d_wide", "d_lines")

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from docledger.llm import chat, language, toxicity
+from docledger.llm import chat, language, repeats, toxicity
 from docledger.llm.bpe import ByteBPE, round_trip_digests
 from docledger.llm.components import components
 from docledger.llm.exact_dedup import exact_duplicates
@@ -235,14 +235,36 @@ def brute_repeats(texts, length):
     return res
 
 
-@pytest.mark.parametrize("length", [264, 400])
-def test_repeats(frame, texts, length):
+@pytest.mark.parametrize(("length", "many"), [(264, 20_000), (400, 20_000), (400, 2)])
+def test_repeats(frame, texts, length, many, monkeypatch):
+    """Through suffix arrays within tasks, and through cells where a core has too many phrases."""
+    monkeypatch.setattr(repeats, "MANY", many)
     found = out(remove_repeats(frame(texts), length))
     for i, expected in enumerate(brute_repeats(texts, length)):
         r = found[i]
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == expected, i
 
 
+def test_suffix_order():
+    rng = random.Random(5)
+    rows = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(0, 6))) for _ in range(300)]
+    heads = np.array([rng.randint(-2, 2) for _ in rows])
+    order, shared = repeats.suffix_order(rows, heads, 6, 1)
+    assert sorted(order.tolist()) == list(range(300)) and shared[0] == -1
+    for one, two in itertools.combinations(range(0, 300, 7), 2):
+        x, y = order[one], order[two]
+        common = next((k for k, (p, q) in enumerate(zip(rows[x], rows[y])) if p != q), min(len(rows[x]), len(rows[y])))
+        assert shared[one + 1 : two + 1].min() == (common if heads[x] == heads[y] else -1)
+
+
+def test_repeated_passages(frame):
+    rng = random.Random(23)
+    passage = " ".join("".join(rng.choice("abc") for _ in range(3)) for _ in range(60))
+    rows = repeats.repeats_and_passages(frame([f"x {passage} y", f"{passage} z", passage[:150], "", None, f"x {passage} y"], [1, None, 1, 2, 3, 1])).collect()
+    size = len(passage)
+    assert sorted((r["n_passages"], r["passage_bytes"], r["n_removed"]) for r in rows) == [(0, 0, 0)] * 3 + [(1, size, 0)] + [(1, size + 4, 0)] * 2
+
+
 def test_repeats_between_repeated_rows(frame):
     rng = random.Random(1)
     t = prose(rng, 200)
