@@ -9,13 +9,15 @@ repeat, and only orders the copies of a group."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docledger.llm import toxicity
-from docledger.llm.common import documents, only, rowed, scratch
+from docledger.llm.common import delete, documents, only, rowed, scratch
 from docledger.llm.exact_dedup import exact_duplicates
 from docledger.llm.ngram_join import jaccard_components
 from docledger.llm.packing import pack
@@ -35,47 +37,57 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the one with the largest doc_id."""
-    rows = rowed(docs)
-    return only(rows, exact_duplicates(rows, more=("_row",)).where("kept")).select(docs.columns)
+    rows, row = rowed(docs)
+    return only(rows, exact_duplicates(rows, more=(row,)).where("kept"), row).select(docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id."""
-    rows = rowed(docs)
-    found = jaccard_components(rows, n=WORDS, percent=PERCENT, doc_id="_row").select(F.col("doc_id").alias("_row"), "component_id")
-    named = found.join(rows.select("_row", "doc_id"), "_row")
-    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("first"))
-    return only(rows, first.select("first._row")).select(docs.columns)
+    rows, row = rowed(docs)
+    found = jaccard_components(rows, n=WORDS, percent=PERCENT, doc_id=row).select(F.col("doc_id").alias(row), "component_id")
+    named = found.join(rows.select(row, "doc_id"), row)
+    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", row)).alias("first"))
+    return only(rows, first.select(f"first.{row}"), row).select(docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of PASSAGE words and strings of REPEAT bytes that occur
     elsewhere; a character that loses some of its bytes goes. n_chars is counted anew where a text
     changed."""
-    rows = rowed(docs)
-    passages = repeat_spans(rows, PASSAGE, words=True, doc_id="_row").select(F.col("doc_id").alias("_row"), F.col("spans").alias("_passages"))
-    strings = repeat_spans(rows, REPEAT, doc_id="_row").select(F.col("doc_id").alias("_row"), F.col("spans").alias("_strings"))
-    spans = passages.join(strings, "_row", "full_outer")
-    cut = rows.select("_row", "text").join(spans, "_row").select("_row", F.coalesce("text", F.lit("")).cast("binary").alias("data"), "_passages", "_strings")
-    kept = cut.mapInArrow(_cut, "_row long, kept binary")
-    joined = rows.join(kept.select("_row", F.col("kept").cast("string").alias("_text")), "_row", "left")
-    changed = F.col("_text").isNotNull()
-    new = {"text": F.when(changed, F.col("_text")).otherwise(F.col("text")), "n_chars": F.when(changed, F.char_length("_text")).otherwise(F.col("n_chars"))}
-    return joined.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col(c)).alias(c) for c in docs.columns])
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_row, kept: bytes without two lists of spans, each widened to whole characters."""
+    rows, row = rowed(docs)
+    passages = repeat_spans(rows, PASSAGE, words=True, doc_id=row).select(F.col("doc_id").alias("row"), F.col("spans").alias("passages"))
+    strings = repeat_spans(rows, REPEAT, doc_id=row).select(F.col("doc_id").alias("row"), F.col("spans").alias("strings"))
+    given = [F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns)]
+    spans = passages.join(strings, "row", "full_outer")
+    both = rows.select(F.col(row).alias("row"), *given).join(spans, "row", "left").drop("row")
+    at = {c: k for k, c in enumerate(docs.columns) if c in ("text", "n_chars")}
+    schema = T.StructType([T.StructField(f"_{k}", f.dataType) for k, f in enumerate(docs.schema)])
+    cut = both.mapInArrow(partial(_cut, at["text"], at.get("n_chars")), schema)
+    return cut.select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
+def _cut(text: int, count: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches without their last two columns, lists of spans: texts lose these, each widened to whole
+    characters, and their number of characters is counted anew."""
     for b in batches:
         for k in range(0, b.num_rows, 128):
-            part, out = b.slice(k, 128), []
-            for data, *lists in zip(*(c.to_pylist() for c in part.columns[1:]), strict=True):
-                at, kept = 0, []
-                for p, q in merged([_whole(data, x["from"], x["end"]) for spans in lists for x in spans or []]):
-                    kept.append(data[at:p])
-                    at = q
-                out.append(b"".join([*kept, data[at:]]))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], ["_row", "kept"])
+            part = b.slice(k, 128)
+            columns = part.columns[:-2]
+            texts = part.column(text).to_pylist()
+            sizes = None if count is None else part.column(count).to_pylist()
+            for i, lists in enumerate(zip(*(c.to_pylist() for c in part.columns[-2:]), strict=True)):
+                if any(lists):
+                    at, kept, data = 0, [], (texts[i] or "").encode()
+                    for p, q in merged([_whole(data, x["from"], x["end"]) for spans in lists for x in spans or []]):
+                        kept.append(data[at:p])
+                        at = q
+                    texts[i] = b"".join([*kept, data[at:]]).decode()
+                    if sizes is not None:
+                        sizes[i] = len(texts[i])
+            columns[text] = pa.array(texts, part.column(text).type)
+            if sizes is not None:
+                columns[count] = pa.array(sizes, part.column(count).type)
+            yield pa.RecordBatch.from_arrays(columns, part.schema.names[:-2])
 
 
 def _whole(data: bytes, p: int, q: int) -> tuple[int, int]:
@@ -106,9 +118,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
         path = scratch(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
