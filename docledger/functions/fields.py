@@ -88,8 +88,11 @@ def confidence(total: Column, n_items: Column) -> Column:
 
 
 def all_fields(c: Column) -> Column:
-    """struct of all fields; blank text has none and confidence 0."""
+    """struct of all fields; blank text has none and confidence 0. Every field is found once: the
+    confidence is taken from the struct of the others."""
     blank = F.coalesce(F.regexp_replace(c, r"\s", "") == "", F.lit(True))
     lines = F.when(blank, F.array().cast("array<struct<description:string,price:double,quantity:double,unit_price:double>>")).otherwise(items(c))
-    conf = F.when(blank, F.lit(0.0)).otherwise(confidence(total_amount(c), F.size(items(c))))
-    return F.struct(total_amount(c).alias("total"), lines.alias("items"), merchant(c).alias("merchant"), date_string(c).alias("date"), conf.alias("confidence"))
+    found_ = F.struct(total_amount(c).alias("total"), lines.alias("items"), merchant(c).alias("merchant"), date_string(c).alias("date"), blank.alias("blank"))
+    sure = lambda x: F.when(x["blank"], F.lit(0.0)).otherwise(confidence(x["total"], F.size(x["items"])))
+    whole = lambda x: F.struct(x["total"].alias("total"), x["items"].alias("items"), x["merchant"].alias("merchant"), x["date"].alias("date"), sure(x).alias("confidence"))
+    return F.get(F.transform(F.array(found_), whole), F.lit(0))

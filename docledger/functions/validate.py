@@ -44,9 +44,8 @@ def mismatch(total: Column, sums: Column, tolerance: str = "0.01") -> Column:
     return F.when(off, F.concat(F.lit("Total "), text(total), F.lit(" does not match sum of items "), text(sums)))
 
 
-def errors(c: Column) -> Column:
-    """Messages about a payload: none if it is valid. What was parsed is kept anyway."""
-    p = typed(c)
+def problems(p: Column) -> Column:
+    """Messages about a typed payload: none if it is valid. What was parsed is kept anyway."""
     price = F.when(~prices_ok(p["items"]), F.lit("Invalid price"))
     total = F.when(prices_ok(p["items"]), mismatch(p["total"], item_sum(p["items"])))
     return F.when(p.isNull(), F.array(F.lit(UNPARSED))).otherwise(F.array_compact(F.array(price, total)))

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def of_user(receipts: DataFrame, user_id: int, status: str | None = None) -> DataFrame:
-    out = receipts.where(F.col("user_id") == user_id)
+def of_user(purchases: DataFrame, user_id: int, status: str | None = None) -> DataFrame:
+    out = purchases.where(F.col("user_id") == user_id)
     return out if status is None else out.where(F.col("status") == status)
 
 

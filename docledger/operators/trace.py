@@ -30,22 +30,29 @@ def over_budget(trace: DataFrame) -> DataFrame:
     return stage_counts(trace).withColumn("retries", F.col("attempts") - 1).where(F.col("retries") > F.try_element_at(most, F.col("stage")))
 
 
+def broken_writes(runs: DataFrame) -> DataFrame:
+    """Runs (attempts, writes, duplicates) that break the write invariant."""
+    return runs.where("writes > attempts or duplicates < attempts - writes")
+
+
 def after_terminal(trace: DataFrame) -> DataFrame:
-    first = F.min(F.when(F.col("terminal"), F.col("seq"))).over(Window.partitionBy("run_id"))
-    return trace.withColumn("end", first).where("seq > end").drop("end")
+    """Events after a run's first terminal one: an aggregate and a join, so that a hot run is summed up
+    map-side."""
+    ends = trace.where("terminal").groupBy(F.col("run_id").alias("_run")).agg(F.min("seq").alias("_end"))
+    return trace.join(ends, (F.col("run_id") == F.col("_run")) & (F.col("seq") > F.col("_end"))).drop("_run", "_end")
 
 
 def persist_without_validate(trace: DataFrame) -> DataFrame:
-    passed = (F.col("stage") == "VALIDATE") & F.col("success")
-    seen = F.max(passed).over(by_run().rowsBetween(Window.unboundedPreceding, 0))
-    return trace.withColumn("seen", seen).where("stage = 'PERSIST' and not seen").drop("seen")
+    """PERSIST events before the run's first VALIDATE that passed, or in a run without one."""
+    passed = trace.where("stage = 'VALIDATE' and success").groupBy(F.col("run_id").alias("_run")).agg(F.min("seq").alias("_seen"))
+    late = trace.where("stage = 'PERSIST'").join(passed, F.col("run_id") == F.col("_run"), "left")
+    return late.where("_seen is null or _seen > seq").drop("_run", "_seen")
 
 
 def retry_pattern(trace: DataFrame) -> DataFrame:
     """Per run and stage: whether all attempts but the last failed and the last succeeded."""
-    key = Window.partitionBy("run_id", "stage").orderBy(F.col("seq").desc())
-    ranked = trace.withColumn("back", F.row_number().over(key))
-    return ranked.groupBy("run_id", "stage").agg(F.bool_and(F.when(F.col("back") == 1, F.col("success")).otherwise(~F.col("success"))).alias("retried_to_success"))
+    last = F.max_by("success", "seq") & (F.count_if("success") == 1)
+    return trace.groupBy("run_id", "stage").agg(last.alias("retried_to_success"))
 
 
 def collapsed(trace: DataFrame) -> DataFrame:

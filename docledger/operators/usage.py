@@ -13,11 +13,12 @@ def priced(usage: DataFrame, pricing: DataFrame) -> DataFrame:
     is not found (a name with a dot, for one) is priced as the default. ``pricing`` is a fixed
     table of a few rows, so it is broadcast."""
     p = F.broadcast(pricing.select("key", "rate_in", "rate_out"))
-    base = F.broadcast(pricing.where(F.col("key") == DEFAULT).select(F.col("rate_in").alias("d_in"), F.col("rate_out").alias("d_out")))
+    base = pricing.where(F.col("key") == DEFAULT).first()
     key = F.replace(F.upper("model"), F.lit("-"), F.lit("_"))
-    joined = usage.withColumn("_key", key).join(p, F.col("_key") == F.col("key"), "left").join(base, F.lit(True), "left")
-    cost = F.col("input_tokens") / F.lit(1000.0) * F.coalesce("rate_in", "d_in") + F.col("output_tokens") / F.lit(1000.0) * F.coalesce("rate_out", "d_out")
-    return joined.withColumn("cost", cost).drop("_key", "key", "rate_in", "rate_out", "d_in", "d_out")
+    joined = usage.withColumn("_key", key).join(p, F.col("_key") == F.col("key"), "left")
+    rate = lambda c: F.coalesce(c, F.lit(base[c]))
+    cost = F.col("input_tokens") / F.lit(1000.0) * rate("rate_in") + F.col("output_tokens") / F.lit(1000.0) * rate("rate_out")
+    return joined.withColumn("cost", cost).drop("_key", "key", "rate_in", "rate_out")
 
 
 def totals() -> list:

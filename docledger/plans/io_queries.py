@@ -14,8 +14,13 @@ from .registry import query
 
 
 def _shared(v, name: str) -> str:
-    """A new path in the cluster's shared folder; only where it is unset, a temporary one."""
-    base = v.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docledger-")
+    """A new path in the cluster's shared folder. Only where it is unset and all runs on one machine, a
+    temporary one."""
+    base = v.spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not v.spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="docledger-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -27,7 +32,9 @@ def file_scan(v):
 
 @query("SRC2")
 def strict_scan(v):
-    return files.scan(v.spark, f"{v.sf_dir}/documents.parquet", ("parquet",), recursive=False).select("name", "length")
+    """Of several given paths those that exist."""
+    paths = [f"{v.sf_dir}/{name}.parquet" for name in ("documents", "not_there", "labels")]
+    return files.scan(v.spark, paths, ("parquet",), recursive=False).select("name", "length")
 
 
 @query("SRC3")
@@ -61,6 +68,6 @@ def suppression(v):
 
 @query("UDF1")
 def model_stage(v):
-    r = stage.run(v.slips)
+    r = stage.by_rules(v.slips)
     total = F.get_json_object("payload", "$.total").try_cast("double")
     return r.select("doc_id", total.alias("total"), "input_tokens", "output_tokens", F.col("error").isNull().alias("success"))

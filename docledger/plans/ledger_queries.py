@@ -13,9 +13,9 @@ USER = 1
 D = "CAST({0} AS DOUBLE) AS {0}".format
 
 
-@query("SRC5", "SELECT id, user_id, status, CAST(total_amount AS DOUBLE) AS total_amount, merchant_name FROM receipts")
+@query("SRC5", "SELECT id, user_id, status, CAST(total_amount AS DOUBLE) AS total_amount, merchant_name FROM purchases")
 def scan(v):
-    return v.receipts.select("id", "user_id", "status", *as_double("total_amount"), "merchant_name")
+    return v.purchases.select("id", "user_id", "status", *as_double("total_amount"), "merchant_name")
 
 
 @query("SRC6", "SELECT p.key, p.name, p.rate_in, p.rate_out, count(a.model) AS n_attempts FROM pricing p LEFT JOIN attempts a ON p.name = a.model GROUP BY ALL")
@@ -24,14 +24,14 @@ def pricing_source(v):
     return v.pricing.join(used, F.col("name") == F.col("model"), "left").select("key", "name", "rate_in", "rate_out", F.coalesce("count", F.lit(0)).alias("n_attempts"))
 
 
-@query("FLT1", f"SELECT id, status FROM receipts WHERE user_id = {USER} AND status = 'success'")
+@query("FLT1", f"SELECT id, status FROM purchases WHERE user_id = {USER} AND status = 'success'")
 def by_status(v):
-    return of_user(v.receipts, USER, "success").select("id", "status")
+    return of_user(v.headers, USER, "success").select("id", "status")
 
 
-@query("FLT2", f"SELECT id, CAST(receipt_date AS VARCHAR) AS receipt_date FROM receipts WHERE user_id = {USER} AND receipt_date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'")
+@query("FLT2", f"SELECT id, CAST(receipt_date AS VARCHAR) AS receipt_date FROM purchases WHERE user_id = {USER} AND receipt_date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'")
 def by_date(v):
-    return of_user(v.receipts, USER).where(F.col("receipt_date").between("1996-01-01", "1997-12-31")).select("id", F.col("receipt_date").cast("string").alias("receipt_date"))
+    return of_user(v.headers, USER).where(F.col("receipt_date").between("1996-01-01", "1997-12-31")).select("id", F.col("receipt_date").cast("string").alias("receipt_date"))
 
 
 @query("FLT3", "SELECT receipt_id, line_number, description FROM items WHERE category = 'ECONOMY'")
@@ -44,42 +44,42 @@ def by_price(v):
     return v.items.where(F.col("unit_price").between(1000, 2000)).select("receipt_id", "line_number", *as_double("unit_price"))
 
 
-@query("FLT5", "SELECT * FROM (SELECT id, image_hash FROM receipts WHERE image_hash = sha256('42') ORDER BY id LIMIT 1)")
+@query("FLT5", "SELECT * FROM (SELECT id, image_hash FROM purchases WHERE image_hash = sha256('42') ORDER BY id LIMIT 1)")
 def by_hash(v):
-    return first_by(v.receipts.where(F.col("image_hash") == F.sha2(F.lit("42"), 256)), ["id"]).select("id", "image_hash")
+    return first_by(v.headers.where(F.col("image_hash") == F.sha2(F.lit("42"), 256)), ["id"]).select("id", "image_hash")
 
 
-@query("TOP1", f"SELECT id, CAST(total_amount AS DOUBLE) AS total_amount FROM (SELECT * FROM receipts WHERE user_id = {USER} ORDER BY total_amount DESC NULLS LAST, id LIMIT 50 OFFSET 2)")
+@query("TOP1", f"SELECT id, CAST(total_amount AS DOUBLE) AS total_amount FROM (SELECT * FROM purchases WHERE user_id = {USER} ORDER BY total_amount DESC NULLS LAST, id LIMIT 50 OFFSET 2)")
 def listing(v):
-    return page(of_user(v.receipts, USER), "total_amount", "started_at", offset=2).select("id", *as_double("total_amount"))
+    return page(of_user(v.purchases, USER), "total_amount", "started_at", offset=2).select("id", *as_double("total_amount"))
 
 
-@query("TOP2", "SELECT id, CAST(total_amount AS DOUBLE) AS total_amount FROM (SELECT * FROM receipts WHERE status = 'success' AND total_amount > 50 AND retry_count = 0 ORDER BY total_amount DESC, id LIMIT 20)")
+@query("TOP2", "SELECT id, CAST(total_amount AS DOUBLE) AS total_amount FROM (SELECT * FROM purchases WHERE status = 'success' AND total_amount > 50 AND retry_count = 0 ORDER BY total_amount DESC, id LIMIT 20)")
 def largest(v):
-    r = v.receipts.where("status = 'success' and total_amount > 50 and retry_count = 0")
+    r = v.purchases.where("status = 'success' and total_amount > 50 and retry_count = 0")
     return page(r, "total_amount", "id", limit=20).select("id", *as_double("total_amount"))
 
 
-@query("TOP3", f"SELECT id FROM (SELECT * FROM receipts WHERE user_id = {USER} ORDER BY started_at DESC, id LIMIT 50)")
+@query("TOP3", f"SELECT id FROM (SELECT * FROM purchases WHERE user_id = {USER} ORDER BY started_at DESC, id LIMIT 50)")
 def newest(v):
-    return page(of_user(v.receipts, USER), "started_at", "id").select("id")
+    return page(of_user(v.headers, USER), "started_at", "id").select("id")
 
 
-@query("JN1", "SELECT id, user_id FROM receipts WHERE id IN (SELECT receipt_id FROM items WHERE category = 'PROMO')")
+@query("JN1", "SELECT id, user_id FROM purchases WHERE id IN (SELECT receipt_id FROM items WHERE category = 'PROMO')")
 def with_category(v):
     some = v.items.where("category = 'PROMO'").select(F.col("receipt_id").alias("id"))
-    return v.receipts.join(some, "id", "left_semi").select("id", "user_id")
+    return v.headers.join(some, "id", "left_semi").select("id", "user_id")
 
 
-@query("JN2", "SELECT receipt_id, line_number, CAST(total_price AS DOUBLE) AS total_price FROM items JOIN receipts ON receipt_id = id WHERE is_taxable AND status = 'success'")
+@query("JN2", "SELECT receipt_id, line_number, CAST(total_price AS DOUBLE) AS total_price FROM items JOIN purchases ON receipt_id = id WHERE is_taxable AND status = 'success'")
 def taxable(v):
-    good = v.receipts.where("status = 'success'").select("id")
+    good = v.headers.where("status = 'success'").select("id")
     return v.items.where("is_taxable").join(good, F.col("receipt_id") == F.col("id")).select("receipt_id", "line_number", *as_double("total_price"))
 
 
-@query("JN3", "SELECT receipt_id, line_number FROM items WHERE receipt_id NOT IN (SELECT id FROM receipts WHERE id % 97 <> 0)")
+@query("JN3", "SELECT receipt_id, line_number FROM items WHERE receipt_id NOT IN (SELECT id FROM purchases WHERE id % 97 <> 0)")
 def orphans(v):
-    kept = v.receipts.where("id % 97 <> 0").select(F.col("id").alias("receipt_id"))
+    kept = v.headers.where("id % 97 <> 0").select(F.col("id").alias("receipt_id"))
     return v.items.join(kept, "receipt_id", "left_anti").select("receipt_id", "line_number")
 
 
@@ -91,13 +91,13 @@ def _snapshot(r):
 @query(
     "JN6",
     """SELECT coalesce(a.id, e.id) AS id, f.field, CASE WHEN a.id IS NULL THEN 'missing' WHEN e.id IS NULL THEN 'unexpected' ELSE 'value' END AS kind, f.actual, f.expected
-    FROM (SELECT * FROM receipts WHERE id % 11 <> 0) a FULL JOIN (SELECT id, CASE WHEN id % 5 = 0 THEN 'other' ELSE merchant_name END AS merchant_name, CASE WHEN id % 7 = 0 THEN NULL ELSE retry_count END AS retry_count FROM receipts WHERE id % 13 <> 0) e ON a.id = e.id,
+    FROM (SELECT * FROM purchases WHERE id % 11 <> 0) a FULL JOIN (SELECT id, CASE WHEN id % 5 = 0 THEN 'other' ELSE merchant_name END AS merchant_name, CASE WHEN id % 7 = 0 THEN NULL ELSE retry_count END AS retry_count FROM purchases WHERE id % 13 <> 0) e ON a.id = e.id,
     LATERAL (VALUES ('merchant_name', a.merchant_name, e.merchant_name), ('retry_count', CAST(a.retry_count AS VARCHAR), CAST(e.retry_count AS VARCHAR))) AS f(field, actual, expected)
     WHERE a.id IS NULL OR e.id IS NULL OR f.actual IS DISTINCT FROM f.expected""",
 )
 def differences(v):
-    expected = v.receipts.where("id % 13 <> 0").withColumns({"merchant_name": F.when(F.col("id") % 5 == 0, "other").otherwise(F.col("merchant_name")), "retry_count": F.when(F.col("id") % 7 != 0, F.col("retry_count"))})
-    return diff(v.receipts.where("id % 11 <> 0"), expected, "id", ["merchant_name", "retry_count"])
+    expected = v.purchases.where("id % 13 <> 0").withColumns({"merchant_name": F.when(F.col("id") % 5 == 0, "other").otherwise(F.col("merchant_name")), "retry_count": F.when(F.col("id") % 7 != 0, F.col("retry_count"))})
+    return diff(v.purchases.where("id % 11 <> 0"), expected, "id", ["merchant_name", "retry_count"])
 
 
 @query("JN7", "SELECT receipt_id, string_agg(description || '=' || printf('%.2f', CAST(total_price AS DOUBLE)), ',' ORDER BY description, total_price) AS items FROM items GROUP BY 1")
@@ -107,43 +107,43 @@ def normalised(v):
     return v.items.groupBy("receipt_id").agg(F.array_join(text, ",").alias("items"))
 
 
-@query("AGG1", "SELECT user_id, count(*) AS n, count(*) FILTER (status = 'success') AS n_success, CAST(coalesce(sum(estimated_cost), 0) AS DOUBLE) AS cost FROM receipts GROUP BY 1")
+@query("AGG1", "SELECT user_id, count(*) AS n, count(*) FILTER (status = 'success') AS n_success, CAST(coalesce(sum(estimated_cost), 0) AS DOUBLE) AS cost FROM purchases GROUP BY 1")
 def user_stats(v):
     cost = F.coalesce(F.sum("estimated_cost"), F.lit(0)).cast("double")
-    return v.receipts.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "success").alias("n_success"), cost.alias("cost"))
+    return v.headers.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "success").alias("n_success"), cost.alias("cost"))
 
 
-@query("AGG2", "SELECT user_id, merchant_name, count(*) AS n, CAST(sum(total_amount) AS DOUBLE) AS spent FROM receipts WHERE status = 'success' GROUP BY ALL")
+@query("AGG2", "SELECT user_id, merchant_name, count(*) AS n, CAST(sum(total_amount) AS DOUBLE) AS spent FROM purchases WHERE status = 'success' GROUP BY ALL")
 def merchant_spend(v):
-    return v.receipts.where("status = 'success'").groupBy("user_id", "merchant_name").agg(F.count(F.lit(1)).alias("n"), F.sum("total_amount").cast("double").alias("spent"))
+    return v.purchases.where("status = 'success'").groupBy("user_id", "merchant_name").agg(F.count(F.lit(1)).alias("n"), F.sum("total_amount").cast("double").alias("spent"))
 
 
-@query("AGG5", "SELECT count(*) AS total, count(*) FILTER (status = 'success') AS n_success, count(*) FILTER (status = 'pending') AS n_partial, count(*) FILTER (status = 'failed') AS n_failure FROM receipts")
+@query("AGG5", "SELECT count(*) AS total, count(*) FILTER (status = 'success') AS n_success, count(*) FILTER (status = 'pending') AS n_partial, count(*) FILTER (status = 'failed') AS n_failure FROM purchases")
 def status_summary(v):
     s = F.col("status")
-    return v.receipts.agg(F.count(F.lit(1)).alias("total"), F.count_if(s == "success").alias("n_success"), F.count_if(s == "pending").alias("n_partial"), F.count_if(s == "failed").alias("n_failure"))
+    return v.headers.agg(F.count(F.lit(1)).alias("total"), F.count_if(s == "success").alias("n_success"), F.count_if(s == "pending").alias("n_partial"), F.count_if(s == "failed").alias("n_failure"))
 
 
 @query(
     "AGG10",
-    "SELECT id, CAST(total_amount AS DOUBLE) AS total, CAST(coalesce(s, 0) AS DOUBLE) AS items_sum, abs(total_amount - coalesce(s, 0)) > 0.01 AS mismatch FROM receipts LEFT JOIN (SELECT receipt_id, sum(total_price) AS s FROM items GROUP BY 1) ON id = receipt_id WHERE total_amount IS NOT NULL",
+    "SELECT id, CAST(total_amount AS DOUBLE) AS total, CAST(coalesce(s, 0) AS DOUBLE) AS items_sum, abs(total_amount - coalesce(s, 0)) > 0.01 AS mismatch FROM purchases LEFT JOIN (SELECT receipt_id, sum(total_price) AS s FROM items GROUP BY 1) ON id = receipt_id WHERE total_amount IS NOT NULL",
 )
 def item_sums(v):
     s = v.items.groupBy("receipt_id").agg(F.sum("total_price").alias("s"))
     sums = F.coalesce("s", F.lit(0).cast("decimal(28,2)"))
-    r = v.receipts.where("total_amount is not null").join(s, F.col("id") == F.col("receipt_id"), "left")
+    r = v.purchases.where("total_amount is not null").join(s, F.col("id") == F.col("receipt_id"), "left")
     return r.select("id", F.col("total_amount").cast("double").alias("total"), sums.cast("double").alias("items_sum"), (F.abs(F.col("total_amount") - sums) > 0.01).alias("mismatch"))
 
 
-@query("AGG11", "SELECT image_hash, count(*) AS n FROM receipts GROUP BY 1 HAVING count(*) > 1")
+@query("AGG11", "SELECT image_hash, count(*) AS n FROM purchases GROUP BY 1 HAVING count(*) > 1")
 def repeated_hashes(v):
-    return v.receipts.groupBy("image_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return v.headers.groupBy("image_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@query("AGG12", "SELECT count(*) FILTER (h IS NULL OR h = '') AS missing FROM (SELECT CASE id % 10 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE image_hash END AS h FROM receipts)")
+@query("AGG12", "SELECT count(*) FILTER (h IS NULL OR h = '') AS missing FROM (SELECT CASE id % 10 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE image_hash END AS h FROM purchases)")
 def missing_hashes(v):
     h = F.when(F.col("id") % 10 == 0, None).when(F.col("id") % 10 == 1, "").otherwise(F.col("image_hash"))
-    return v.receipts.select(h.alias("h")).agg(F.count_if(F.col("h").isNull() | (F.col("h") == "")).alias("missing"))
+    return v.headers.select(h.alias("h")).agg(F.count_if(F.col("h").isNull() | (F.col("h") == "")).alias("missing"))
 
 
 @query(
@@ -155,9 +155,9 @@ def profiles(v):
     return union([profile(v.users, "users", "id", ["id", "email", "updated_at"]), profile(v.items, "items", "receipt_id", ["receipt_id", "description"])])
 
 
-@query("AGG14", "SELECT 'users' AS table_name, count(*) AS n FROM users UNION ALL SELECT 'receipts', count(*) FROM receipts UNION ALL SELECT 'items', count(*) FROM items")
+@query("AGG14", "SELECT 'users' AS table_name, count(*) AS n FROM users UNION ALL SELECT 'purchases', count(*) FROM purchases UNION ALL SELECT 'items', count(*) FROM items")
 def row_counts(v):
-    return union([df.agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("n")) for n, df in (("users", v.users), ("receipts", v.receipts), ("items", v.items))])
+    return union([df.agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("n")) for n, df in (("users", v.users), ("purchases", v.headers), ("items", v.items))])
 
 
 @query("WIN1", "SELECT receipt_id, line_number, description FROM items")
@@ -165,10 +165,10 @@ def line_numbers(v):
     return v.items.select("receipt_id", "line_number", "description")
 
 
-@query("SET1", "SELECT id, 'ok' AS outcome, CAST(total_amount AS DOUBLE) AS total FROM receipts WHERE status = 'success' UNION ALL SELECT id, 'error', NULL FROM receipts WHERE status = 'failed'")
+@query("SET1", "SELECT id, 'ok' AS outcome, CAST(total_amount AS DOUBLE) AS total FROM purchases WHERE status = 'success' UNION ALL SELECT id, 'error', NULL FROM purchases WHERE status = 'failed'")
 def outcomes(v):
-    good = v.receipts.where("status = 'success'").select("id", F.lit("ok").alias("outcome"), F.col("total_amount").cast("double").alias("total"))
-    bad = v.receipts.where("status = 'failed'").select("id", F.lit("error").alias("outcome"), F.lit(None).cast("double").alias("total"))
+    good = v.purchases.where("status = 'success'").select("id", F.lit("ok").alias("outcome"), F.col("total_amount").cast("double").alias("total"))
+    bad = v.purchases.where("status = 'failed'").select("id", F.lit("error").alias("outcome"), F.lit(None).cast("double").alias("total"))
     return good.unionByName(bad)
 
 
@@ -242,31 +242,31 @@ def violation_report(v):
     return union([violations(v.hashed, "image_hash", ["user_id", "image_hash"]), violations(v.hashed, "receipt_hash", ["image_hash"]), missing])
 
 
-@query("DUP7", "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY image_hash ORDER BY id) AS r FROM receipts) WHERE r = 1")
+@query("DUP7", "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY image_hash ORDER BY id) AS r FROM purchases) WHERE r = 1")
 def rebuild(v):
-    return dedupe.keep_first(v.receipts.select("id", "image_hash"), ["image_hash"], "id").select("id")
+    return dedupe.keep_first(v.headers.select("id", "image_hash"), ["image_hash"], "id").select("id")
 
 
 # ---- sinks and projections
-@query("SNK2", "SELECT id, user_id, 'pending' AS status, CAST(started_at AS VARCHAR) AS started_at, CAST(NULL AS DOUBLE) AS input_tokens FROM receipts")
+@query("SNK2", "SELECT id, user_id, 'pending' AS status, CAST(started_at AS VARCHAR) AS started_at, CAST(NULL AS DOUBLE) AS input_tokens FROM purchases")
 def pending(v):
-    return v.receipts.select("id", "user_id", F.lit("pending").alias("status"), F.col("started_at").cast("string").alias("started_at"), F.lit(None).cast("double").alias("input_tokens"))
+    return v.headers.select("id", "user_id", F.lit("pending").alias("status"), F.col("started_at").cast("string").alias("started_at"), F.lit(None).cast("double").alias("input_tokens"))
 
 
-@query("SNK3", "SELECT id, CASE WHEN id % 9 = 0 THEN 'failed' ELSE status END AS status, CASE WHEN id % 9 = 0 THEN 'error ' || id END AS error FROM receipts")
+@query("SNK3", "SELECT id, CASE WHEN id % 9 = 0 THEN 'failed' ELSE status END AS status, CASE WHEN id % 9 = 0 THEN 'error ' || id END AS error FROM purchases")
 def mark_failed(v):
-    table = v.receipts.select("id", "status", F.lit(None).cast("string").alias("error"))
-    updates = v.receipts.where("id % 9 = 0").select("id", F.lit("failed").alias("status"), F.concat(F.lit("error "), F.col("id").cast("string")).alias("error"))
+    table = v.headers.select("id", "status", F.lit(None).cast("string").alias("error"))
+    updates = v.headers.where("id % 9 = 0").select("id", F.lit("failed").alias("status"), F.concat(F.lit("error "), F.col("id").cast("string")).alias("error"))
     return keyed_update(table, updates, ["id"], ["status", "error"])
 
 
 @query(
     "SNK4",
-    """SELECT id, CASE WHEN id % 8 = 0 AND user_id % 2 = 0 THEN 'success' ELSE status END AS status, CAST(CASE WHEN id % 8 = 0 AND user_id % 2 = 0 THEN items_sum ELSE total_amount END AS DOUBLE) AS total_amount, FALSE AS missing FROM receipts
-    UNION ALL SELECT -1 - id, 'success', CAST(items_sum AS DOUBLE), TRUE FROM receipts WHERE id % 1000 = 0""",
+    """SELECT id, CASE WHEN id % 8 = 0 AND user_id % 2 = 0 THEN 'success' ELSE status END AS status, CAST(CASE WHEN id % 8 = 0 AND user_id % 2 = 0 THEN items_sum ELSE total_amount END AS DOUBLE) AS total_amount, FALSE AS missing FROM purchases
+    UNION ALL SELECT -1 - id, 'success', CAST(items_sum AS DOUBLE), TRUE FROM purchases WHERE id % 1000 = 0""",
 )
 def mark_success(v):
-    r = v.receipts.select("id", "user_id", "status", "total_amount", "items_sum")
+    r = v.purchases.select("id", "user_id", "status", "total_amount", "items_sum")
     new = {"status": F.lit("success"), "total_amount": F.col("items_sum")}
     updates = r.where("id % 8 = 0 and user_id % 2 = 0").withColumns(new)
     lost = r.where("id % 1000 = 0").withColumns(new).withColumn("id", -1 - F.col("id"))
@@ -290,30 +290,30 @@ def reassemble(v):
     return nested.select("receipt_id", F.size("items").cast("long").alias("n_items"), F.array_join("items.description", "|").alias("descriptions"), total.cast("double").alias("total"))
 
 
-@query("SNK7", "SELECT id, user_id, status, strftime(receipt_date, '%Y-%m-%d') AS receipt_date, CAST(total_amount AS DOUBLE) AS total_amount, CAST(estimated_cost AS DOUBLE) AS estimated_cost, input_tokens + output_tokens AS total_tokens FROM receipts")
+@query("SNK7", "SELECT id, user_id, status, strftime(receipt_date, '%Y-%m-%d') AS receipt_date, CAST(total_amount AS DOUBLE) AS total_amount, CAST(estimated_cost AS DOUBLE) AS estimated_cost, input_tokens + output_tokens AS total_tokens FROM purchases")
 def projection(v):
-    return v.receipts.select("id", "user_id", "status", F.date_format("receipt_date", "yyyy-MM-dd").alias("receipt_date"), *as_double("total_amount", "estimated_cost"), (F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"))
+    return v.purchases.select("id", "user_id", "status", F.date_format("receipt_date", "yyyy-MM-dd").alias("receipt_date"), *as_double("total_amount", "estimated_cost"), (F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"))
 
 
 @query(
     "SNK8",
-    """SELECT 'user' AS kind, count(*) AS n FROM users WHERE id % 10 <> 3 UNION ALL SELECT 'receipt', count(*) FROM receipts WHERE user_id % 10 <> 3
-    UNION ALL SELECT 'item', count(*) FROM items JOIN receipts ON receipt_id = id WHERE user_id % 10 <> 3 UNION ALL SELECT 'new', count(*) FROM (SELECT DISTINCT email FROM users WHERE id % 10 = 3)""",
+    """SELECT 'user' AS kind, count(*) AS n FROM users WHERE id % 10 <> 3 UNION ALL SELECT 'receipt', count(*) FROM purchases WHERE user_id % 10 <> 3
+    UNION ALL SELECT 'item', count(*) FROM items JOIN purchases ON receipt_id = id WHERE user_id % 10 <> 3 UNION ALL SELECT 'new', count(*) FROM (SELECT DISTINCT email FROM users WHERE id % 10 = 3)""",
 )
 def users(v):
-    """Delete users with cascade through receipts and items, then get-or-create by email."""
+    """Delete users with cascade through purchases and items, then get-or-create by email."""
     gone = v.users.where("id % 10 = 3").select(F.col("id").alias("user_id"))
     kept = v.users.join(gone, F.col("id") == F.col("user_id"), "left_anti")
-    receipts = v.receipts.join(gone, "user_id", "left_anti")
-    items = v.items.join(receipts.select(F.col("id").alias("receipt_id")), "receipt_id", "left_semi")
+    purchases = v.headers.join(gone, "user_id", "left_anti")
+    items = v.items.join(purchases.select(F.col("id").alias("receipt_id")), "receipt_id", "left_semi")
     new = v.users.dropDuplicates(["email"]).join(kept.select("email"), "email", "left_anti")
-    return union([df.agg(F.lit(n).alias("kind"), F.count(F.lit(1)).alias("n")) for n, df in (("user", kept), ("receipt", receipts), ("item", items), ("new", new))])
+    return union([df.agg(F.lit(n).alias("kind"), F.count(F.lit(1)).alias("n")) for n, df in (("user", kept), ("receipt", purchases), ("item", items), ("new", new))])
 
 
-@query("SNK9", """SELECT id, '{"merchant":' || coalesce('"' || merchant_name || '"', 'null') || ',"retry_count":' || retry_count || ',"user_id":' || user_id || '}' AS json FROM receipts""")
+@query("SNK9", """SELECT id, '{"merchant":' || coalesce('"' || merchant_name || '"', 'null') || ',"retry_count":' || retry_count || ',"user_id":' || user_id || '}' AS json FROM purchases""")
 def plain(v):
     fields = F.struct(F.col("merchant_name").alias("merchant"), "retry_count", "user_id")
-    return v.receipts.select("id", F.to_json(fields, {"ignoreNullFields": "false"}).alias("json"))
+    return v.purchases.select("id", F.to_json(fields, {"ignoreNullFields": "false"}).alias("json"))
 
 
 @query("WIN2", "SELECT item_id, attempt, CAST(sum(input_tokens + output_tokens) OVER (PARTITION BY item_id ORDER BY attempt) AS BIGINT) AS tokens FROM attempts")

@@ -11,7 +11,7 @@ items AS (SELECT l_orderkey AS receipt_id, CAST(row_number() OVER (PARTITION BY
   CAST(round(l_extendedprice, 2) AS DECIMAL(18,2)) AS total_price, l_tax > 0 AS is_taxable, CAST(round(l_tax, 4) AS DECIMAL(5,4)) AS tax_rate
   FROM lineitem JOIN part ON l_partkey = p_partkey),
 sums AS (SELECT l_orderkey AS sum_id, CAST(sum(CAST(round(l_extendedprice, 2) AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS items_sum, min(l_suppkey) AS suppkey FROM lineitem GROUP BY 1),
-receipts AS (SELECT o_orderkey AS id, o_custkey AS user_id, 'img/' || o_orderkey || '.png' AS image_path, sha256(CAST(o_orderkey % 5000 AS VARCHAR)) AS image_hash,
+purchases AS (SELECT o_orderkey AS id, o_custkey AS user_id, 'img/' || o_orderkey || '.png' AS image_path, sha256(CAST(o_orderkey % 5000 AS VARCHAR)) AS image_hash,
   CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'pending' WHEN 'P' THEN 'failed' END AS status, CAST(o_orderdate AS DATE) AS receipt_date, s_name AS merchant_name,
   CAST(coalesce(items_sum, 0) + CASE o_orderkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 0.5 WHEN 2 THEN 3 WHEN 3 THEN 20 END AS DECIMAL(18,2)) AS total_amount, items_sum,
   CAST(o_orderkey % 3 AS INTEGER) AS retry_count, CAST((o_orderkey % 10 + 1) / 100.0 AS DECIMAL(10,6)) AS estimated_cost,
@@ -19,7 +19,7 @@ receipts AS (SELECT o_orderkey AS id, o_custkey AS user_id, 'img/' || o_orderkey
   o_orderdate AS started_at, CASE WHEN o_orderstatus = 'F' THEN o_orderdate + to_seconds(o_orderkey % 7 + 1) END AS completed_at
   FROM orders LEFT JOIN sums ON o_orderkey = sum_id LEFT JOIN supplier ON suppkey = s_suppkey),
 hashed AS (SELECT r.*, sha256(coalesce(CAST(receipt_date AS VARCHAR), '') || '|' || lower(trim(coalesce(merchant_name, ''))) || '|' || coalesce(CAST(total_amount AS VARCHAR), '') || '|' || coalesce(l, '')) AS data_hash
-  FROM receipts r LEFT JOIN (SELECT receipt_id, string_agg(lower(trim(description)) || '~' || total_price || '~' || quantity, ';' ORDER BY lower(trim(description)), total_price, quantity) AS l FROM items GROUP BY 1) ON id = receipt_id),
+  FROM purchases r LEFT JOIN (SELECT receipt_id, string_agg(lower(trim(description)) || '~' || total_price || '~' || quantity, ';' ORDER BY lower(trim(description)), total_price, quantity) AS l FROM items GROUP BY 1) ON id = receipt_id),
 bodies AS (SELECT receipt_id AS k, string_agg(description || ' ' || total_price, chr(10) ORDER BY line_number) AS body, CAST(CAST(sum(total_price) AS DECIMAL(18,2)) AS VARCHAR) AS total FROM items GROUP BY 1),
 slips AS (SELECT k AS doc_id, CASE k % 6 WHEN 0 THEN body || chr(10) || 'TOTAL ' || total WHEN 1 THEN body || chr(10) || 'T0TAL ' || total
   WHEN 2 THEN replace(body || chr(10) || 'TOTAL ' || total, '.', ',') WHEN 3 THEN body || chr(10) || 'TOTAL ($' || total || 'SO).'
@@ -28,7 +28,7 @@ slips AS (SELECT k AS doc_id, CASE k % 6 WHEN 0 THEN body || chr(10) || 'TOTAL '
 payloads AS (SELECT id AS doc_id, CASE id % 7 WHEN 0 THEN 'not valid json' WHEN 1 THEN '["not","a","dict"]' WHEN 2 THEN '  ' ELSE
   ' {{"date":"' || receipt_date || '","total":' || CASE WHEN id % 7 = 4 THEN 'null' ELSE coalesce(CAST(total_amount AS VARCHAR), 'null') END || ',"items":[' || coalesce(j, '') || ']' ||
   CASE WHEN id % 7 <> 6 THEN ',"_token_usage":{{"input_tokens":' || input_tokens || ',"output_tokens":' || output_tokens || '}}' ELSE '' END || '}}' || chr(10) END AS payload
-  FROM receipts LEFT JOIN (SELECT receipt_id, string_agg('{{"description":"' || description || '","price":' || CASE WHEN receipt_id % 7 = 3 THEN -total_price ELSE total_price END || '}}', ',' ORDER BY line_number) AS j FROM items GROUP BY 1) ON id = receipt_id),
+  FROM purchases LEFT JOIN (SELECT receipt_id, string_agg('{{"description":"' || description || '","price":' || CASE WHEN receipt_id % 7 = 3 THEN -total_price ELSE total_price END || '}}', ',' ORDER BY line_number) AS j FROM items GROUP BY 1) ON id = receipt_id),
 attempts AS (SELECT conv_id AS item_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS INTEGER) AS attempt, (conv_id + turn) % 3 = 2 AS success, (conv_id + turn) % 4 <> 0 AS parsed,
   CASE WHEN (conv_id + turn) % 3 <> 2 THEN CASE (conv_id + turn) % 6 WHEN 0 THEN 'Total 7.50 does not match sum of items 7.00' WHEN 1 THEN 'Total 12.00 does not match sum of items 8.00' WHEN 2 THEN 'Total 30.00 does not match sum of items 8.00'
     WHEN 3 THEN 'Validation failed: Missing date' WHEN 4 THEN 'RAG validation failed: Invalid price' ELSE 'Could not parse' END END AS error,

@@ -21,8 +21,8 @@ messages AS (SELECT *, CASE WHEN NOT is_object THEN 'Failed to parse JSON' WHEN
 
 
 def _judged(v):
-    p = v.payloads.select("doc_id", "payload", validate.typed(P()).alias("p"), validate.errors(P()).alias("errors"))
-    return p.withColumn("error", F.get("errors", F.lit(0)))
+    p = v.payloads.select("doc_id", "payload", validate.typed(P()).alias("p"))
+    return p.withColumn("errors", validate.problems(F.col("p"))).withColumn("error", F.get("errors", F.lit(0)))
 
 
 @query("VAL1", "SELECT doc_id, is_object AS valid, CASE WHEN NOT is_object THEN 'Failed to parse JSON' END AS error FROM parsed", PARSED)
@@ -43,13 +43,13 @@ def prices(v):
 
 
 MISMATCHED = """SELECT id, CASE WHEN abs(total_amount - s) > 0.01 THEN 'Total ' || total_amount || ' does not match sum of items ' || CAST(s AS DECIMAL(18,2)) END AS error, {0}
-    FROM (SELECT id, total_amount, coalesce(s, 0) AS s FROM receipts LEFT JOIN (SELECT receipt_id, sum(total_price) AS s FROM items GROUP BY 1) ON id = receipt_id WHERE total_amount IS NOT NULL)"""
+    FROM (SELECT id, total_amount, coalesce(s, 0) AS s FROM purchases LEFT JOIN (SELECT receipt_id, sum(total_price) AS s FROM items GROUP BY 1) ON id = receipt_id WHERE total_amount IS NOT NULL)"""
 
 
 def reconciled(v):
-    """id, total_amount, error: receipts whose total is off the sum of their items."""
+    """id, total_amount, error: purchases whose total is off the sum of their items."""
     s = v.items.groupBy("receipt_id").agg(F.sum("total_price").alias("s"))
-    joined = v.receipts.where("total_amount is not null").join(s, F.col("id") == F.col("receipt_id"), "left")
+    joined = v.purchases.where("total_amount is not null").join(s, F.col("id") == F.col("receipt_id"), "left")
     return joined.select("id", "total_amount", validate.mismatch(F.col("total_amount"), F.coalesce("s", F.lit(0).cast("decimal(28,2)"))).alias("error"))
 
 
@@ -82,11 +82,11 @@ def severity(v):
 @query(
     "VAL8",
     """SELECT id, len(e) = 0 AS valid, array_to_string(e, '; ') AS errors FROM (SELECT id, list_filter([CASE WHEN merchant_name IS NULL THEN 'merchant: missing' END, CASE WHEN receipt_date < DATE '1996-01-01' THEN 'date: too old' END,
-    CASE WHEN total_amount IS NULL THEN 'total: missing' END], lambda x: x IS NOT NULL) AS e FROM receipts)""",
+    CASE WHEN total_amount IS NULL THEN 'total: missing' END], lambda x: x IS NOT NULL) AS e FROM purchases)""",
 )
 def field_validation(v):
     checks = {"merchant": F.when(F.col("merchant_name").isNull(), "missing"), "date": F.when(F.col("receipt_date") < "1996-01-01", "too old"), "total": F.when(F.col("total_amount").isNull(), "missing")}
-    r = v.receipts.select("id", validate.field_results(checks).alias("f"))
+    r = v.purchases.select("id", validate.field_results(checks).alias("f"))
     return r.select("id", "f.valid", F.array_join("f.errors", "; ").alias("errors"))
 
 
@@ -102,7 +102,7 @@ def reasons(v):
 
 @query("entry", f"SELECT {SEVERITY} AS severity, count(*) AS n, CAST(sum(total_amount) AS DOUBLE) AS amount FROM ({AMOUNTS} FROM ({MISMATCHED.format('total_amount')}) WHERE error IS NOT NULL) GROUP BY 1")
 def flagship(v):
-    """Receipts whose total disagrees with their items, by severity."""
+    """Purchases whose total disagrees with their items, by severity."""
     bad = reconciled(v).where("error is not null")
     return bad.groupBy(validate.severity(F.col("error")).alias("severity")).agg(F.count(F.lit(1)).alias("n"), F.sum("total_amount").cast("double").alias("amount"))
 
@@ -192,16 +192,16 @@ def by_model(v):
     return v.attempts.groupBy("model").agg(*usage.totals())
 
 
-@query("AGG9", f"SELECT user_id, count(*) AS sessions, {SUMS}, CAST(sum(estimated_cost) AS DOUBLE) AS cost FROM receipts GROUP BY 1")
+@query("AGG9", f"SELECT user_id, count(*) AS sessions, {SUMS}, CAST(sum(estimated_cost) AS DOUBLE) AS cost FROM purchases GROUP BY 1")
 def usage_summary(v):
-    return v.receipts.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), *usage.totals(), F.sum("estimated_cost").cast("double").alias("cost"))
+    return v.headers.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), *usage.totals(), F.sum("estimated_cost").cast("double").alias("cost"))
 
 
-@query("AGG3", f"SELECT count(*) AS total, count(*) FILTER (status = 'success') AS successful, count(*) FILTER (status <> 'success') AS failed, avg(epoch_ms(completed_at) - epoch_ms(started_at)) AS average_ms, {SUMS}, count(*) FILTER (status = 'success') * CAST(100 AS DOUBLE) / count(*) AS success_rate FROM receipts")
+@query("AGG3", f"SELECT count(*) AS total, count(*) FILTER (status = 'success') AS successful, count(*) FILTER (status <> 'success') AS failed, avg(epoch_ms(completed_at) - epoch_ms(started_at)) AS average_ms, {SUMS}, count(*) FILTER (status = 'success') * CAST(100 AS DOUBLE) / count(*) AS success_rate FROM purchases")
 def batch_summary(v):
     n, ok = F.count(F.lit(1)), F.count_if(F.col("status") == "success")
     ms = F.avg(F.unix_millis("completed_at") - F.unix_millis("started_at"))
-    return v.receipts.agg(n.alias("total"), ok.alias("successful"), (n - ok).alias("failed"), ms.alias("average_ms"), *usage.totals(), F.coalesce(F.try_divide(ok * F.lit(100.0), n), F.lit(0.0)).alias("success_rate"))
+    return v.headers.agg(n.alias("total"), ok.alias("successful"), (n - ok).alias("failed"), ms.alias("average_ms"), *usage.totals(), F.coalesce(F.try_divide(ok * F.lit(100.0), n), F.lit(0.0)).alias("success_rate"))
 
 
 @query("AGG4", "SELECT coalesce(strategy, CASE WHEN success THEN 'primary' ELSE 'error' END) AS method, count(*) AS n FROM attempts GROUP BY 1")
@@ -248,13 +248,13 @@ def durations(v):
     return trace.durations(v.trace).select("run_id", "seq", *as_double("duration_us"))
 
 
-@query("TRC3", "SELECT user_id AS run_id, count(*) AS attempts, count(DISTINCT image_hash) AS writes, count(*) - count(DISTINCT image_hash) AS duplicates FROM receipts GROUP BY 1 HAVING count(DISTINCT image_hash) > count(*) OR count(*) - count(DISTINCT image_hash) < 0 OR count(*) > 15")
+@query("TRC3", "SELECT user_id AS run_id, count(*) AS attempts, count(DISTINCT image_hash) AS writes, count(*) - count(DISTINCT image_hash) AS duplicates FROM purchases GROUP BY 1 HAVING count(DISTINCT image_hash) > count(*) OR count(*) - count(DISTINCT image_hash) < 0")
 def write_invariant(v):
-    """Runs that write more than they try; those with many attempts are shown as well."""
-    firsts = dedupe.first_write_wins(v.receipts.select("id", "user_id", "image_hash"), ["user_id", "image_hash"])
+    """Runs that write more than they try, or count fewer duplicates than were not written."""
+    firsts = dedupe.first_write_wins(v.headers.select("id", "user_id", "image_hash"), ["user_id", "image_hash"])
     n, w = F.count(F.lit(1)), F.count_if(F.col("id") == F.col("first_id"))
     runs = firsts.groupBy(F.col("user_id").alias("run_id")).agg(n.alias("attempts"), w.alias("writes"), (n - w).alias("duplicates"))
-    return runs.where("writes > attempts or duplicates < attempts - writes or attempts > 15")
+    return trace.broken_writes(runs)
 
 
 @query("TRC4", "SELECT run_id, stage, count(*) - 1 AS retries FROM trace WHERE stage IN ('OCR', 'PARSE', 'PERSIST') GROUP BY 1, 2 HAVING count(*) - 1 > CASE stage WHEN 'PARSE' THEN 2 ELSE 3 END")
@@ -299,12 +299,12 @@ def enrichment(v):
 
 
 STATUS = """SELECT m.doc_id, CASE WHEN r.id <> f.first_id THEN 'DUPLICATED' WHEN s.text IS NULL THEN 'FAILURE' WHEN NOT is_object THEN 'FAILURE' WHEN error IS NOT NULL THEN 'PARTIAL' ELSE 'SUCCESS' END AS status
-  FROM messages m JOIN receipts r ON m.doc_id = r.id JOIN (SELECT image_hash, min(id) AS first_id FROM receipts GROUP BY 1) f USING (image_hash) LEFT JOIN slips s ON s.doc_id = m.doc_id"""
+  FROM messages m JOIN purchases r ON m.doc_id = r.id JOIN (SELECT image_hash, min(id) AS first_id FROM purchases GROUP BY 1) f USING (image_hash) LEFT JOIN slips s ON s.doc_id = m.doc_id"""
 
 
 def statuses(v):
     """Final status of each document, and its parsed payload."""
-    firsts = dedupe.first_write_wins(v.receipts.select("id", "image_hash"), ["image_hash"]).select(F.col("id").alias("doc_id"), (F.col("id") != F.col("first_id")).alias("repeated"))
+    firsts = dedupe.first_write_wins(v.purchases.select("id", "image_hash"), ["image_hash"]).select(F.col("id").alias("doc_id"), (F.col("id") != F.col("first_id")).alias("repeated"))
     texts = v.slips.select("doc_id", F.lit(True).alias("has_text"))
     all_ = _judged(v).join(firsts, "doc_id").join(texts, "doc_id", "left")
     status = F.when(F.col("repeated"), "DUPLICATED").when(F.col("has_text").isNull(), "FAILURE").when(F.col("p").isNull(), "FAILURE").when(F.col("error").isNotNull(), "PARTIAL").otherwise("SUCCESS")
@@ -327,4 +327,4 @@ def generic_digest(v):
     the digest is over Spark's JSON."""
     words = F.sort_array(F.array_distinct(F.split("merchant_name", " ")))
     record = hashing.canonical_json(("total", F.col("total_amount").cast("double")), ("merchant", words), ("date", F.col("receipt_date").cast("string")), ("retries", F.col("retry_count")))
-    return v.receipts.select("id", F.sha2(record, 256).alias("digest"))
+    return v.purchases.select("id", F.sha2(record, 256).alias("digest"))

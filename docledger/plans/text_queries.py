@@ -147,14 +147,14 @@ def merchant_fallback(v):
 
 D = [r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}", r"\d{2,4}[/-]\d{1,2}[/-]\d{1,2}", r"\w{3,9}\s+\d{1,2},?\s+\d{4}", r"\d{1,2}\s+\w{3,9}\s+\d{4}"]
 WRITTEN = """written AS (SELECT id AS doc_id, CASE id % 6 WHEN 0 THEN strftime(receipt_date, '%Y-%m-%d') WHEN 1 THEN strftime(receipt_date, '%m/%d/%Y') WHEN 2 THEN strftime(receipt_date, '%d/%m/%Y')
-  WHEN 3 THEN strftime(receipt_date, '%Y-%m-%d') || 'T10:00:00Z' WHEN 4 THEN 'bought ' || strftime(receipt_date, '%B %d, %Y') ELSE 'no date' END AS text FROM receipts)"""
+  WHEN 3 THEN strftime(receipt_date, '%Y-%m-%d') || 'T10:00:00Z' WHEN 4 THEN 'bought ' || strftime(receipt_date, '%B %d, %Y') ELSE 'no date' END AS text FROM purchases)"""
 
 
 def _written(v):
     k, d = F.col("id") % 6, F.col("receipt_date")
     f = lambda p: F.date_format(d, p)
     t = F.when(k == 0, f("yyyy-MM-dd")).when(k == 1, f("MM/dd/yyyy")).when(k == 2, f("dd/MM/yyyy")).when(k == 3, F.concat(f("yyyy-MM-dd"), F.lit("T10:00:00Z"))).when(k == 4, F.concat(F.lit("bought "), f("MMMM dd, yyyy"))).otherwise("no date")
-    return v.receipts.select(F.col("id").alias("doc_id"), t.alias("text"))
+    return v.purchases.select(F.col("id").alias("doc_id"), t.alias("text"))
 
 
 @query("EXT6", "SELECT doc_id, coalesce(" + ", ".join(f"nullif(regexp_extract(text, '{p}'), '')" for p in D) + ") AS date FROM written", WRITTEN)
@@ -229,11 +229,11 @@ def source_resolution(v):
     return both.select("doc_id", method.alias("method"), F.char_length(chosen).cast("long").alias("n"), F.size(tried).alias("n_attempted"))
 
 
-@query("QLT12", "SELECT r.id AS doc_id, CAST(epoch_ms(completed_at) - epoch_ms(started_at) AS DOUBLE) AS duration_ms, round(score, 3) AS quality, length(text) AS text_length FROM receipts r JOIN scored s ON r.id = s.doc_id", SCORED)
+@query("QLT12", "SELECT r.id AS doc_id, CAST(epoch_ms(completed_at) - epoch_ms(started_at) AS DOUBLE) AS duration_ms, round(score, 3) AS quality, length(text) AS text_length FROM purchases r JOIN scored s ON r.id = s.doc_id", SCORED)
 def run_record(v):
     ms = F.unix_millis("completed_at") - F.unix_millis("started_at")
     s = v.slips.select("doc_id", F.round(quality.score(T()), 3).alias("quality"), F.char_length("text").cast("long").alias("text_length"))
-    return v.receipts.select(F.col("id").alias("doc_id"), ms.cast("double").alias("duration_ms")).join(s, "doc_id")
+    return v.purchases.select(F.col("id").alias("doc_id"), ms.cast("double").alias("duration_ms")).join(s, "doc_id")
 
 
 @query("SET2", "SELECT doc_id, CAST(len(list_intersect(['red', 'blue', 'gear', 'TOTAL'], string_split(text, ' '))) AS BIGINT) AS common, CAST(len(list_distinct(list_concat(['red', 'blue', 'gear', 'TOTAL'], string_split(text, ' ')))) AS BIGINT) AS n_union FROM slips")

@@ -10,15 +10,25 @@ IMAGES = ("jpg", "jpeg", "png", "bmp", "tiff", "webp", "gif")
 STRICT = ("png", "jpg", "jpeg", "webp")
 
 
-def scan(spark: SparkSession, path: str, extensions: tuple[str, ...] = IMAGES, recursive: bool = True) -> DataFrame:
+def scan(spark: SparkSession, path: str | list[str], extensions: tuple[str, ...] = IMAGES, recursive: bool = True) -> DataFrame:
     """path, name, extension, length, modificationTime, content of files by extension in any case, in
-    the order of their paths. What is not selected is not read: without ``content`` only the listing is."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
+    the order of their paths. Paths that do not exist are skipped: if none does, there are no rows. What is
+    not selected is not read: without ``content`` only the listing is."""
+    there = [p for p in ([path] if isinstance(path, str) else path) if _exists(spark, p)]
+    if there:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(there)
+    else:
+        found = spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
     name = F.element_at(F.split("path", "/"), -1)
     extension = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
     return found.select("path", name.alias("name"), extension.alias("extension"), "length", "modificationTime", "content").where(F.col("extension").isin(*extensions)).orderBy("path")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def digests(files: DataFrame) -> DataFrame:
     """name, digest: SHA-256 of the content, or of the path where there is none."""
     return files.select("name", F.sha2(F.coalesce("content", F.col("path").cast("binary")), 256).alias("digest"))

@@ -1,8 +1,8 @@
 """The ledger's tables, bound to the given purchase tables.
 
-Customers are users, orders are receipts, line items with their parts are receipt items;
-slips are receipts rendered as scanned text (with typical reading errors by key),
-payloads are receipts as model output (with typical faults by key), attempts are
+Customers are users, orders are purchases, line items with their parts are receipt items;
+slips are purchases rendered as scanned text (with typical reading errors by key),
+payloads are purchases as model output (with typical faults by key), attempts are
 conversation turns and traces are event streams. Every view is a lazy DataFrame."""
 
 from __future__ import annotations
@@ -81,23 +81,18 @@ class Ledger:
         return lines.groupBy(F.col("l_orderkey").alias("sum_id")).agg(F.sum(money(F.col("l_extendedprice"))).cast("decimal(18,2)").alias("items_sum"), F.min("l_suppkey").alias("suppkey"))
 
     @cached_property
-    def receipts(self) -> DataFrame:
+    def headers(self) -> DataFrame:
+        """Purchases without what derives from their items: a scan of one table."""
         o, k = self.table("orders"), F.col("o_orderkey")
-        s = F.coalesce("items_sum", F.lit(0).cast("decimal(18,2)"))
-        add = F.when(k % 5 == 0, 0).when(k % 5 == 1, 0.5).when(k % 5 == 2, 3).when(k % 5 == 3, 20).cast("decimal(18,2)")
-        joined = o.join(self.sums, k == F.col("sum_id"), "left").join(self.table("supplier").select("s_suppkey", "s_name"), F.col("suppkey") == F.col("s_suppkey"), "left")
         status = case(F.col("o_orderstatus"), STATUS)
         started = F.col("o_orderdate").cast("timestamp")
-        return joined.select(
+        return o.select(
             k.alias("id"),
             F.col("o_custkey").alias("user_id"),
             F.concat(F.lit("img/"), k.cast("string"), F.lit(".png")).alias("image_path"),
             F.sha2((k % 5000).cast("string"), 256).alias("image_hash"),
             status.alias("status"),
             F.col("o_orderdate").cast("date").alias("receipt_date"),
-            F.col("s_name").alias("merchant_name"),
-            (s + add).cast("decimal(18,2)").alias("total_amount"),
-            F.col("items_sum"),
             (k % 3).cast("int").alias("retry_count"),
             ((k % 10 + 1) / 100.0).cast("decimal(10,6)").alias("estimated_cost"),
             (k % 900 + 100).cast("int").alias("input_tokens"),
@@ -106,13 +101,21 @@ class Ledger:
             F.when(status == "success", F.timestamp_seconds(F.unix_seconds(started) + k % 7 + 1)).alias("completed_at"),
         )
 
+    @cached_property
+    def purchases(self) -> DataFrame:
+        """Headers with the total, the sum of the items and the merchant."""
+        k, s = F.col("id"), F.coalesce("items_sum", F.lit(0).cast("decimal(18,2)"))
+        add = F.when(k % 5 == 0, 0).when(k % 5 == 1, 0.5).when(k % 5 == 2, 3).when(k % 5 == 3, 20).cast("decimal(18,2)")
+        joined = self.headers.join(self.sums, k == F.col("sum_id"), "left").join(self.table("supplier").select("s_suppkey", "s_name"), F.col("suppkey") == F.col("s_suppkey"), "left")
+        return joined.withColumns({"total_amount": (s + add).cast("decimal(18,2)"), "merchant_name": F.col("s_name")}).drop("sum_id", "suppkey", "s_suppkey", "s_name")
+
     @cached_property
     def hashed(self) -> DataFrame:
-        """Receipts with the digest of their content, from totals, merchants and items."""
+        """Purchases with the digest of their content, from totals, merchants and items."""
         from ..functions.hashing import content_string
 
         lines = self.items.groupBy(F.col("receipt_id").alias("hid")).agg(F.sort_array(F.collect_list(F.struct(F.lower(F.trim("description")).alias("d"), F.col("total_price").alias("p"), F.col("quantity").alias("q")))).alias("lines"))
-        r = self.receipts.join(lines, F.col("id") == F.col("hid"), "left").drop("hid")
+        r = self.purchases.join(lines, F.col("id") == F.col("hid"), "left").drop("hid")
         return r.withColumn("data_hash", F.sha2(content_string(F.col("receipt_date"), F.col("merchant_name"), F.col("total_amount"), F.col("lines")), 256)).drop("lines")
 
     @cached_property
@@ -138,7 +141,7 @@ class Ledger:
         price = F.when(F.col("receipt_id") % 7 == 3, -F.col("total_price")).otherwise(F.col("total_price")).cast("string")
         item = F.concat(F.lit('{"description":"'), "description", F.lit('","price":'), price, F.lit("}"))
         body = self.items.groupBy("receipt_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_number", item.alias("j")))), lambda x: x["j"]), ",").alias("body"))
-        r = self.receipts.join(body, F.col("id") == F.col("receipt_id"), "left")
+        r = self.purchases.join(body, F.col("id") == F.col("receipt_id"), "left")
         total = F.when(k == 4, F.lit("null")).otherwise(F.coalesce(F.col("total_amount").cast("string"), F.lit("null")))
         usage = F.when(k != 6, F.concat(F.lit(',"_token_usage":{"input_tokens":'), F.col("input_tokens").cast("string"), F.lit(',"output_tokens":'), F.col("output_tokens").cast("string"), F.lit("}"))).otherwise("")
         good = F.concat(F.lit(' {"date":"'), F.col("receipt_date").cast("string"), F.lit('","total":'), total, F.lit(',"items":['), F.coalesce("body", F.lit("")), F.lit("]"), usage, F.lit("}\n"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from docledger.functions import fields, quality, text, validate
 from docledger.operators import attempts, stage, trace, usage
+from docledger.sources import files
 
 
 def value(spark, column, **row):
@@ -22,7 +23,7 @@ SLIP = "GROCERY\nAPPLES 3.99\nBREAD 2.50\nMILK 4.49\nEGGS 3.00\nJAM 2.00\nTEA 1.
 
 @pytest.mark.parametrize(
     ("t", "low", "high"),
-    [(SLIP, 0.6, 1.0), ("", 0.0, 0.0), ("@@@ ### !!! 123 456 789 *** &&& %%% ###", 0.0, 0.3), ("TOTAL $5.99", 0.2, 0.7), ("STORE\nITEM $4.99\nTOTAL $4.99", 0.4, 0.9)],
+    [(SLIP, 0.6, 1.0), ("", 0.0, 0.0), ("%% ~~ 77 {{ 0 0 }} ;; ^^ 31", 0.0, 0.3), ("TOTAL $5.99", 0.2, 0.7), ("STORE\nITEM $4.99\nTOTAL $4.99", 0.4, 0.9)],
 )
 def test_quality(spark, t, low, high):
     assert low <= value(spark, quality.score(T), t=t) <= high
@@ -31,7 +32,7 @@ def test_quality(spark, t, low, high):
 def test_quality_never_reaches_one(spark):
     assert value(spark, quality.falls_back(T, 1.0), t=SLIP)
     assert not value(spark, quality.falls_back(T, 0.0), t=SLIP)
-    assert value(spark, quality.falls_back(T, 0.5), t="@@@ ### 123")
+    assert value(spark, quality.falls_back(T, 0.5), t="~~ ^^ 77")
 
 
 @pytest.mark.parametrize(
@@ -84,7 +85,7 @@ def test_severity(spark, t, severity):
     ],
 )
 def test_payload(spark, t, errors):
-    assert value(spark, validate.errors(T), t=t) == errors
+    assert value(spark, validate.problems(validate.typed(T)), t=t) == errors
 
 
 def test_word_correction(spark):
@@ -147,4 +148,26 @@ def test_stage_keeps_failures_as_rows(spark):
 
     texts = spark.createDataFrame([(1, "TOTAL 5.00"), (2, None)], "doc_id long, text string")
     assert {r["error"] for r in stage.run(texts, broken).collect()} == {"no"}
-    assert {r["doc_id"]: r["error"] for r in stage.run(texts).collect()} == {1: None, 2: None}
+    assert {r["doc_id"]: r["error"] for r in stage.by_rules(texts).collect()} == {1: None, 2: None}
+
+
+def test_write_invariant(spark):
+    runs = spark.createDataFrame([(1, 5, 5, 0), (2, 5, 6, 0), (3, 5, 3, 1), (4, 20, 18, 2)], "run_id long, attempts long, writes long, duplicates long")
+    assert sorted(r["run_id"] for r in trace.broken_writes(runs).collect()) == [2, 3]
+
+
+def test_scan_of_missing_paths(spark, tmp_path):
+    (tmp_path / "a.PNG").write_bytes(b"x")
+    (tmp_path / "b.txt").write_bytes(b"y")
+    assert files.scan(spark, str(tmp_path / "none")).count() == 0
+    found = files.scan(spark, [str(tmp_path), str(tmp_path / "none")])
+    assert [(r["name"], r["extension"], r["length"]) for r in found.collect()] == [("a.PNG", "png", 1)]
+    digest = "2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881"
+    assert [r["digest"] for r in files.digests(found).collect()] == [digest]
+
+
+def test_ordered_events(spark):
+    rows = [(1, 1, "VALIDATE", False, False), (1, 2, "PERSIST", True, False), (1, 3, "VALIDATE", True, False), (1, 4, "PERSIST", True, True), (1, 5, "OCR", True, False), (2, 1, "PERSIST", True, False)]
+    t = spark.createDataFrame(rows, "run_id long, seq long, stage string, success boolean, terminal boolean")
+    assert sorted((r["run_id"], r["seq"]) for r in trace.persist_without_validate(t).collect()) == [(1, 2), (2, 1)]
+    assert [(r["run_id"], r["seq"]) for r in trace.after_terminal(t).collect()] == [(1, 5)]
