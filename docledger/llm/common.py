@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from functools import cache
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,11 +16,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="docledger-")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the session names in ``spark.checkpoint.dir``."""
+    """A new path in the shared folder that the session names in ``spark.checkpoint.dir``. Only where that
+    is unset and all runs on one machine (tests), a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -370,7 +370,9 @@ def _found(docs: DataFrame, length: int, words: bool, doc_id: str, text: str) ->
         texts = texts.dropDuplicates(["rid"])  # rows that repeat id and text
     texts = materialise(texts, "texts")
 
-    named = materialise(_named(_contexts(texts, length, words), ["run"]), "contexts")
+    contexts = materialise(_contexts(texts, length, words), "contexts")
+    named = materialise(_named(contexts, ["run"]), "named")
+    release(contexts)
     ends = materialise(_mixed(named), "ends")
     listed = lambda df, *columns: texts.drop("runs", "copies").join(df.groupBy("rid").agg(F.collect_list(F.struct(*columns)).alias("runs")), "rid")
     phrases = materialise(_phrases(listed(ends.where(F.col("several") <= MANY), "run", "core", "copies"), length, words), "phrases")
