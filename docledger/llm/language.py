@@ -3,9 +3,10 @@
 Words give character n-grams with word ends and the word itself, hashed to buckets. A
 text's vector is the mean of its buckets' embeddings; a softmax layer on it is trained
 together with the embeddings by stochastic gradient descent in numpy, on a bounded
-sample (``sample_rows``) of labelled rows. A temperature calibrates the scores on rows
-left out of the descent, and a threshold on the calibrated score decides what is
-``accepted``. Scoring runs on the executors over whole texts."""
+sample (``sample_rows``) of labelled rows. A temperature calibrates the scores on documents
+left out of the descent; what is ``accepted`` has a calibrated score from which on PRECISION
+of these are right, and that all but ODD of the right ones reach. Scoring runs on the executors over
+whole texts."""
 
 from __future__ import annotations
 
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import sample
 
 BUCKETS = 1 << 16
-GRAMS = (1, 2, 3, 4, 5)  # bytes of a subword of a word between < and >
+GRAMS = (1, 2, 3, 4)  # characters of a subword of a word between < and >
+PRECISION, ODD = 0.98, 0.01
 BATCH_BYTES = 1 << 23
 
 
@@ -38,11 +40,10 @@ class Words:
         self.ends = cut.offsets.to_numpy().astype(np.int64)
         marked = pc.binary_join_element_wise("<", column.dictionary, ">", "")
         empty = pc.equal(column.dictionary, "").to_numpy(zero_copy_only=False)
-        offsets = np.frombuffer(marked.buffers()[1], np.int32)[marked.offset : marked.offset + len(marked) + 1].astype(np.int64)
-        data = np.frombuffer(marked.buffers()[2] or b"", np.uint8)[offsets[0] if len(offsets) else 0 :].astype(np.uint64)
-        offsets = offsets - (offsets[0] if len(offsets) else 0)
+        offsets = np.concatenate([[0], np.cumsum(pc.utf8_length(marked).to_numpy(zero_copy_only=False), dtype=np.int64)])
+        data = np.frombuffer("".join(marked.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.uint64)
         owner = np.repeat(np.arange(len(marked)), np.diff(offsets))
-        left = offsets[owner + 1] - np.arange(len(owner))  # bytes from here to the end of the word
+        left = offsets[owner + 1] - np.arange(len(owner))  # characters from here to the end of the word
         rolling, found, words = np.zeros(len(owner), np.uint64), [], []
         for n in GRAMS:
             fits = np.flatnonzero((left >= n) & ~empty[owner])
@@ -53,6 +54,13 @@ class Words:
             whole = np.zeros(len(owner), np.uint64)
             whole[fits] = rolling
             rolling = whole
+        place = (np.arange(len(owner)) - offsets[owner]).astype(np.uint64)
+        each = (data + np.uint64(1) + (place << np.uint64(21))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(each ^ (each >> np.uint64(31)))])
+        some = np.flatnonzero(~empty)
+        total = (sums[offsets[some + 1]] - sums[offsets[some]]) * np.uint64(0x9E3779B97F4A7C15)
+        found.append((total >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64))  # the word itself
+        words.append(some)
         words, found = np.concatenate(words), np.concatenate(found)
         order = np.argsort(words, kind="stable")
         self.buckets = found[order]
@@ -104,15 +112,16 @@ def train(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 5, r
         for span in spans:
             ids = words.bag(span)
             if len(ids):
-                bags.append((*np.unique(ids, return_counts=True), langs.index(label)))
+                bags.append((*np.unique(ids, return_counts=True), langs.index(label), k))
     if not bags:
         return None
-    held, fit = bags[::6], [b for k, b in enumerate(bags) if k % 6] or bags
+    # every sixth document, with all its spans, is left out of the descent
+    held, fit = [b for b in bags if b[3] % 6 == 0] or bags, [b for b in bags if b[3] % 6] or bags
     e, w, bias = rng.normal(0, 0.1, (BUCKETS, dim)), np.zeros((dim, len(langs))), np.zeros(len(langs))
     steps, step = epochs * len(fit), 0
     for _ in range(epochs):
         for k in rng.permutation(len(fit)):
-            ids, n, y = fit[k]
+            ids, n, y, _ = fit[k]
             lr, share = rate * (1 - step / steps), (n / n.sum())[:, None]
             h = (e[ids] * share).sum(0)
             z = h @ w + bias
@@ -125,7 +134,7 @@ def train(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 5, r
             e[ids] -= lr * 20 * share * g
             step += 1
     table = e @ w
-    z = np.array([(table[i] * (n / n.sum())[:, None]).sum(0) + bias for i, n, _ in held])
+    z = np.array([(table[i] * (n / n.sum())[:, None]).sum(0) + bias for i, n, _, _ in held])
     y = np.array([b[2] for b in held])
 
     def soft(t: float) -> np.ndarray:
@@ -136,9 +145,9 @@ def train(texts: list[str], labels: list[str], dim: int = 16, epochs: int = 5, r
     p = soft(best)
     top, right = p.max(1), p.argmax(1) == y
     order = np.argsort(-top)
-    good = np.cumsum(right[order]) / np.arange(1, len(y) + 1) >= 0.98
-    accept = float(top[order][np.flatnonzero(good)[-1]]) if good.any() else 1.0
-    return LanguageModel(langs, table, bias, float(best), min(accept, 0.5))
+    good = np.cumsum(right[order]) / np.arange(1, len(y) + 1) >= PRECISION
+    accept = max(float(top[order][np.flatnonzero(good)[-1]]), float(np.quantile(top[right], ODD))) if good.any() else 1.0
+    return LanguageModel(langs, table, bias, float(best), accept)
 
 
 def fit(docs: DataFrame, learn: Column, sample_rows: int = 3000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel | None:

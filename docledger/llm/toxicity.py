@@ -1,8 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are lower-cased words and their prefixes of four and five letters, hashed to buckets. The
-buckets that go with the label (a G-test on a bounded sample of labelled rows,
-``sample_rows``) are the machine's features; it learns a weight for each and a factor
+buckets that go with the label, alone or as pairs (G-tests on a bounded sample of labelled rows,
+``sample_rows``), are the machine's features: a pair's terms may each be as frequent in clean texts. It learns a weight for each and a factor
 vector whose dot products are the weights of pairs, so that, say, an insult next to the
 mention of a group counts for more than both alone. Training is stochastic gradient
 descent in numpy; scoring runs on the executors over whole texts."""
@@ -24,6 +24,8 @@ from .common import sample
 LETTERS = regex.compile(r"\p{L}+")
 BUCKETS = 1 << 20
 CACHE = 150_000
+#: Terms whose pairs are tested: the most frequent ones of toxic texts; pairs that are taken, and their least G.
+PAIRED, PAIRS, PAIR_G = 1024, 256, 60.0
 
 
 def terms(chunk: str) -> list[int]:
@@ -53,6 +55,42 @@ def _sets(texts: list[str]) -> list[np.ndarray]:
     return [np.array(sorted({b for c in set(t.split()) for b in (known.get(c) or known.setdefault(c, terms(c)))}), np.int64) for t in texts]
 
 
+def paired(bags: list[np.ndarray], y: np.ndarray, count: list[np.ndarray]) -> set[int]:
+    """Terms of the pairs that go with the label much more than their terms do: at least four times as
+    frequent among toxic texts as among others, and twice as much so as either term."""
+    n1, n0 = int(y.sum()), int(len(y) - y.sum())
+    terms_ = np.argsort(-count[1], kind="stable")[:PAIRED]
+    terms_ = np.sort(terms_[count[1][terms_] >= 3])
+    if len(terms_) < 2:
+        return set()
+    both = []
+    for side in (0, 1):
+        rows = [b for b, k in zip(bags, y, strict=True) if k == side]
+        total = np.zeros((len(terms_), len(terms_)), np.float32)
+        for at in range(0, len(rows), 2048):
+            has = np.zeros((min(2048, len(rows) - at), len(terms_)), np.float32)
+            for i, b in enumerate(rows[at : at + 2048]):
+                spot = np.searchsorted(terms_, b)
+                ok = (spot < len(terms_)) & (terms_[np.minimum(spot, len(terms_) - 1)] == b)
+                has[i, spot[ok]] = 1
+            total += has.T @ has
+        both.append(total.astype(np.float64))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        share1, share0 = both[1] / n1, both[0] / n0
+        alone = (count[1][terms_] / n1) / np.maximum(count[0][terms_] / n0, 0.5 / n0)
+        ratio = share1 / np.maximum(share0, 0.5 / n0)
+        k = both[0] + both[1]
+        g = np.zeros_like(k)
+        for c, n in ((both[0], n0), (both[1], n1)):
+            for o, mean in ((c, k * n / len(y)), (n - c, (len(y) - k) * n / len(y))):
+                g += np.where(o > 0, 2 * o * np.log(o / mean), 0)
+    g[(ratio < 4) | (ratio < 2 * np.maximum(alone[:, None], alone[None])) | (both[1] < 5)] = 0
+    upper = np.triu(g, 1).ravel()
+    best = np.argsort(-upper, kind="stable")[:PAIRS]
+    best = best[upper[best] >= PAIR_G]
+    return {int(terms_[x]) for pair in best.tolist() for x in divmod(pair, len(terms_))}
+
+
 def train(texts: list[str], labels: list[int], least_g: float = 11.0, most: int = 4096, dim: int = 4, epochs: int = 30, rate: float = 0.1, seed: int = 1) -> ToxicityModel:
     bags, y = _sets(texts), np.array(labels, np.int64)
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
@@ -68,7 +106,8 @@ def train(texts: list[str], labels: list[int], least_g: float = 11.0, most: int
     # only what is rare among the other label, so that long texts do not add up frequent words
     g[(k < 3) | (count[1] / n1 < 2 * count[0] / n0)] = 0
     chosen = np.argsort(-g, kind="stable")[:most]
-    chosen = chosen[g[chosen] >= least_g]
+    chosen = chosen[g[chosen] >= least_g].tolist()
+    chosen += sorted(paired(bags, y, count) - set(chosen))
     index = {int(b): i for i, b in enumerate(chosen)}
     rng = np.random.default_rng(seed)
     w, v, bias = np.zeros(len(index)), rng.normal(0, 0.01, (len(index), dim)), float(np.log(n1 / n0))
@@ -117,6 +156,15 @@ class _Features(dict):
         return out
 
 
+def _scores(model: ToxicityModel, features: _Features, texts: pa.Array) -> list[float]:
+    out = []
+    for k in range(0, len(texts), 256):
+        for t in texts.slice(k, 256).to_pylist():
+            found = set().union(*filter(None, map(features.__getitem__, set((t or "").split()))))
+            out.append(model.score(sorted(found)))
+    return out
+
+
 def score(docs: DataFrame, model: ToxicityModel, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for every row, repeated ones too.
 
@@ -126,11 +174,7 @@ def score(docs: DataFrame, model: ToxicityModel, held_out: Column, doc_id: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = _Features(model)
         for b in batches:
-            out = []
-            for k in range(0, b.num_rows, 256):
-                for t in b.column(2).slice(k, 256).to_pylist():
-                    found = set().union(*filter(None, map(features.__getitem__, set((t or "").split()))))
-                    out.append(model.score(sorted(found)))
+            out = _scores(model, features, b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], ["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
@@ -146,10 +190,6 @@ def clean(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFram
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
-                keep = []
-                for t in part.column(at).to_pylist():
-                    found = set().union(*filter(None, map(features.__getitem__, set((t or "").split()))))
-                    keep.append(model.score(sorted(found)) < 0.5)
-                yield part.filter(pa.array(keep, pa.bool_()))
+                yield part.filter(pa.array([s < 0.5 for s in _scores(model, features, part.column(at))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

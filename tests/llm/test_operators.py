@@ -395,6 +395,59 @@ def test_toxicity_learns_pairs():
     assert right >= 0.95 * len(rows[900:])
 
 
+def test_toxicity_of_harmless_terms_together():
+    """Each of two terms is common in clean texts; only their pair, in 3 % of the rows, is toxic."""
+    rng = random.Random(16)
+    noise = [f"word{chr(97 + k // 20)}{chr(97 + k % 20)}" for k in range(300)]
+    make = lambda extra: " ".join([*rng.sample(noise, 15), *extra])
+    rows = [(make(e), y) for e, y, n in ((["silly"], 0, 900), (["tribe"], 0, 900), ([], 0, 1080), (["silly", "tribe"], 1, 90)) for _ in range(n)]
+    rng.shuffle(rows)
+    model = toxicity.train([t for t, _ in rows[:2200]], [y for _, y in rows[:2200]])
+    features = toxicity._Features(model)
+    scores = toxicity._scores(model, features, pa.array([t for t, _ in rows[2200:]]))
+    toxic = [s for s, (_, y) in zip(scores, rows[2200:], strict=True) if y]
+    clean = [s for s, (_, y) in zip(scores, rows[2200:], strict=True) if not y]
+    assert np.mean([s >= 0.5 for s in toxic]) >= 0.9 and np.mean([s < 0.5 for s in clean]) >= 0.99
+
+
+def test_scores_equal_a_plain_recount(frame):
+    """Both models through Spark against plain sums for each text, with null, empty, letterless and very long texts."""
+    rng = random.Random(17)
+    sounds = {"aa": ["tion", "the", "ing"], "bb": ["eau", "que", "ée"]}
+    make = lambda k: " ".join("".join(rng.choice(sounds[k]) for _ in range(rng.randint(1, 3))) for _ in range(30))
+    labels = [k for k in sounds for _ in range(40)]
+    learned = [make(k) for k in labels]
+    model = language.train(learned, labels)
+    texts = [make("aa"), make("bb"), None, "", "12345 !!", "é", make("aa") * 300, make("aa"), "Русский текст"]
+    found = language.predict(frame(texts), model, F.lit(True)).collect()
+    for r in found:
+        t = texts[r["doc_id"]] or ""
+        words = "".join(c if c.isalpha() else " " for c in t.lower()).split()
+        ids = [b for w in words for b in language.Words(pa.array([w])).buckets.tolist()]
+        if not ids:
+            assert (r["lang_pred"], r["score"], r["accepted"]) == ("und", 0.0, False)
+            continue
+        z = (model.table[ids].mean(0) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert r["lang_pred"] == model.langs[int(p.argmax())] and abs(r["score"] - p.max()) < 1e-9
+        assert r["accepted"] == bool(p.max() >= model.accept)
+    assert len({len(language.Words(pa.array([w])).buckets) for w in ("abc", "éée")}) == 1  # characters, not bytes
+    toxic = toxicity.train([f"{t} vilework" if k % 4 == 0 else t for k, t in enumerate(learned)], [int(k % 4 == 0) for k in range(80)])
+    for r in toxicity.score(frame([*texts, "a vilework b"]), toxic, F.lit(False)).collect():
+        t = [*texts, "a vilework b"][r["doc_id"]] or ""
+        x = sorted({toxic.index[b] for b in toxicity.terms(t) if b in toxic.index})
+        z = toxic.bias + toxic.weight[x].sum() + sum(float(toxic.factors[i] @ toxic.factors[j]) for i, j in itertools.combinations(x, 2))
+        assert abs(r["score"] - 1 / (1 + np.exp(-z))) < 1e-9 and r["predicted"] == (r["score"] >= 0.5)
+
+
+def test_no_threshold_is_accepted_without_precision():
+    """Labels that texts do not tell: nothing reaches the precision, so nothing is accepted for sure."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["one", "two", "three"]) for _ in range(12)) for _ in range(120)]
+    model = language.train(texts, [rng.choice(["aa", "bb"]) for _ in texts])
+    assert model.accept > 0.5
+
+
 # ---- chat
 def brute_cost(roles):
     """Least cost of a legal sequence, by all choices."""
