@@ -84,7 +84,7 @@ def kd_shards(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: s
     is within ``tolerance`` of a shard's target, or at the border of a group of equal
     texts, which stays whole. Null texts count as empty, repeated rows each get a
     slot, an empty table gives an empty result; other columns are not read."""
-    rows = materialise(_features(docs, doc_id, text), "features")
+    rows = written = materialise(_features(docs, doc_id, text), "features")
     lows = rows.agg(F.sum("size").alias("w"), *[f(d).alias(f"{f.__name__}_{d}") for d in DIMS for f in (F.min, F.max)]).first()
     scale = (1 << BITS) - 1
     for d in DIMS:
@@ -115,8 +115,11 @@ def kd_shards(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: s
             new = F.when(F.col("_node") == n, side).otherwise(new)
         rows = rows.withColumn("_node", old).withColumn("_node", F.coalesce(new, F.col("_node")))
         rows = materialise(rows, "nodes")
+        release(written)
+        written = rows
         node, open_ = F.col("_node"), nxt
     pick = _pick([(n, F.lit(s)) for n, s in leaf.items()], "_leaf")
     out = rows.withColumn("_leaf", node).select("doc_id", "size", "text_crc32", pick.cast("int").alias("shard"))
     out = dense_slots(out, ["shard"], ["doc_id"], "slot")
+    release(written)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
