@@ -1,8 +1,10 @@
 """The operators against brute force, exact round trips and held-out accuracy, with edge cases."""
 
 import hashlib
+import io
 import itertools
 import random
+import wave
 import zlib
 
 import numpy as np
@@ -346,6 +348,15 @@ def test_media(frame, texts):
         r = found[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
         assert (r["tail_crc32"], r["media_bytes"]) == (zlib.crc32(payload[-64:]), len(payload) + 44)
+        with io.BytesIO() as made:
+            with wave.open(made, "wb") as w:
+                w.setnchannels(1), w.setsampwidth(1), w.setframerate(8000)
+                w.writeframes(payload)
+            assert r["media_sha256"] == hashlib.sha256(made.getvalue()).hexdigest()
+        x = [b - 128 for b in payload]
+        turns = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
+        rms = (sum(v * v for v in x) / len(x)) ** 0.5
+        assert r["feature"] == f"samples={len(x)};mean={sum(x) / len(x):.6f};rms={rms:.6f};peak={max(map(abs, x))};crossings={turns}"
 
 
 def test_chunks_follow_the_content(spark, frame):
@@ -449,8 +460,39 @@ def test_no_threshold_is_accepted_without_precision():
 
 
 # ---- chat
+def plain_legal(roles):
+    """An optional system turn, then user and assistant in turns, the assistant last."""
+    rest = roles[1:] if roles[:1] == ["system"] else roles
+    return len(rest) % 2 == 0 and all(r == ("user", "assistant")[k % 2] for k, r in enumerate(rest)) and (bool(rest) or not roles)
+
+
 def brute_cost(roles):
-    """Least cost of a legal sequence, by all choices."""
+    """Least cost by trying every legal sequence and every way to lay the given turns on it: a merge costs
+    2, another role 5, an empty turn 4."""
+    most, best = 2 * len(roles) + 3, None
+    for head in ([], ["system"]):
+        for pairs in range(0 if not head else 1, most):
+            made = head + ["user", "assistant"] * pairs
+            assert plain_legal(made)
+            # each given turn has a place; places do not go back; a place's first turn opens it, others merge
+            for places in itertools.combinations_with_replacement(range(len(made)), len(roles)):
+                cost = 4 * (len(made) - len(set(places))) + 2 * (len(roles) - len(set(places)))
+                cost += sum(5 for p, r in zip(places, roles, strict=True) if made[p] != r)
+                best = cost if best is None else min(best, cost)
+    return best
+
+
+def test_costs_against_every_repair():
+    names = ["", "system", "user", "assistant"]
+    for n in range(1, 5):
+        for codes in itertools.product(range(4), repeat=n):
+            total = chat.block_costs(list(codes))[chat.START]
+            least = min(int(total[s]) + chat.close(s)[0] for s in range(4))
+            assert least == brute_cost([names[c] or None for c in codes]), codes
+
+
+def dynamic_cost(roles):
+    """Least cost of a legal sequence, turn by turn."""
     best = {chat.START: 0}
     for r in roles:
         nxt = {}
@@ -488,7 +530,7 @@ def test_repair(spark, monkeypatch):
             cost += (r.new_role != chat.ROLES[code]) * chat.RELABEL + r.merged * chat.MERGE + (len(r.fill) + len(r.after)) * chat.INSERT
             made += [*r.fill, *([] if r.merged else [r.new_role]), *r.after]
         assert legal(made)
-        assert cost == brute_cost([{"system": 1, "user": 2, "assistant": 3}.get((r or "").strip().lower(), 0) for r in roles])
+        assert cost == dynamic_cost([{"system": 1, "user": 2, "assistant": 3}.get((r or "").strip().lower(), 0) for r in roles])
     assert chat.render(chat.repair(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
 
