@@ -249,10 +249,19 @@ def _likely(pairs: DataFrame, marks: DataFrame, bands: Bands) -> DataFrame:
 
 
 def _joined(known: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Components of what is known and of new links; both frames go."""
-    edges = links.select("a", "b") if known is None else links.select("a", "b").unionByName(known.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    out = components(edges)
-    release(links, *([] if known is None else [known]))
+    """Components of what is known and of new links; both frames go. Links are taken between the components
+    that are known, so that what is known is only named anew."""
+    if known is None:
+        out = components(links)
+        release(links)
+        return out
+    one, two = (known.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    between = links.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    merged = components(between)
+    names = merged.select(F.col("node").alias("old"), F.col("component").alias("new"))
+    renamed = known.join(names, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    out = materialise(renamed.unionByName(merged.join(known, "node", "left_anti")), "known")
+    release(links, known, merged)
     return out
 
 
