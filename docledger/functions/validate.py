@@ -72,6 +72,11 @@ def severity(c: Column) -> Column:
     return F.when(F.regexp_like(c, F.lit(MISMATCH)), by_size).otherwise(by_word)
 
 
+def difference(c: Column) -> Column:
+    """By how much the two figures of a mismatch differ; null for other messages."""
+    return F.when(F.regexp_like(c, F.lit(MISMATCH)), F.abs(_amount(c, 1) - _amount(c, 2)))
+
+
 def reason(c: Column) -> Column:
     """A message for counting: a mismatch without its figures, else the message without
     known prefixes, at most 80 characters."""
@@ -82,9 +87,20 @@ def reason(c: Column) -> Column:
     return F.when(F.regexp_like(c, F.lit(MISMATCH)), "Total mismatch").otherwise(short)
 
 
-def field_results(checks: dict[str, Column]) -> Column:
-    """struct<valid, errors, fields>: ``checks`` has for a field its error message or null;
-    a field without a check is valid."""
-    given = {f: checks.get(f, F.lit(None).cast("string")) for f in FIELDS}
-    errors_ = F.array_compact(F.array(*[F.concat(F.lit(f"{f}: "), c) for f, c in given.items()]))
-    return F.struct((F.size(errors_) == 0).alias("valid"), errors_.alias("errors"), F.struct(*[c.isNull().alias(f) for f, c in given.items()]).alias("fields"))
+def field_results(checks: dict[str, Column], doubts: dict[str, Column] | None = None, attempts: Column | None = None, budget: int = 3) -> Column:
+    """struct<valid, errors, warnings, retryable, preserve_partial, fields>: ``checks`` has for a field its
+    error message or null, ``doubts`` what does not make it invalid; a field without a check is valid. A record that
+    is not valid may be tried again while ``attempts`` are below the budget, and what is valid of it is kept if
+    any checked field is."""
+    none = F.lit(None).cast("string")
+    named = lambda found: F.array_compact(F.array(*[F.concat(F.lit(f"{f}: "), found.get(f, none)) for f in FIELDS]))
+    errors_, tried = named(checks), F.lit(0) if attempts is None else attempts
+    valid = F.size(errors_) == 0
+    return F.struct(
+        valid.alias("valid"),
+        errors_.alias("errors"),
+        named(doubts or {}).alias("warnings"),
+        (~valid & (tried < budget)).alias("retryable"),
+        (~valid & (F.size(errors_) < len(checks))).alias("preserve_partial"),
+        F.struct(*[checks.get(f, none).isNull().alias(f) for f in FIELDS]).alias("fields"),
+    )

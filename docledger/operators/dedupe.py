@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.store import append, snapshot
+
 
 def first_per_key(ledger: DataFrame, key: str) -> DataFrame:
     """user_id, key, id of the ledger's first row of each (user, key); null keys have none."""
@@ -52,10 +54,29 @@ def save(batch: DataFrame, ledger: DataFrame) -> DataFrame:
     return created.unionByName(known)
 
 
-def write_metrics(saved: DataFrame) -> DataFrame:
-    n = F.count(F.lit(1))
+def insert(batch: DataFrame, path: str) -> DataFrame:
+    """``save`` against the ledger at ``path``, to which the created rows are added; the tags, written."""
+    saved = snapshot(save(batch, batch.sparkSession.read.schema(batch.schema).parquet(path)), "saved")
+    append(batch.join(saved.where("tag = 'created'").select("id"), "id", "left_semi"), path)
+    return saved
+
+
+def constraint_violations(created: DataFrame, ledger: DataFrame) -> DataFrame:
+    """violations: created rows whose image is already there under another user, in the ledger or by an
+    earlier row; one per user is allowed, one in all is not."""
+    known = ledger.where("image_hash is not null").select("image_hash").distinct().withColumn("_known", F.lit(1))
+    images = created.where("image_hash is not null").groupBy("image_hash").agg(F.count(F.lit(1)).alias("_n")).join(known, "image_hash", "left")
+    return images.agg(F.coalesce(F.sum(F.col("_n") - F.when(F.col("_known").isNull(), 1).otherwise(0)), F.lit(0)).alias("violations"))
+
+
+def write_metrics(saved: DataFrame, violations: DataFrame) -> DataFrame:
+    """One row: attempts, writes (attempts without duplicates), duplicates, constraint violations."""
+    n, none = F.count(F.lit(1)), F.lit(0).cast("long")
     dup = F.count_if(F.col("tag") == "duplicate")
-    return saved.agg(n.alias("attempts"), (n - dup).alias("writes"), dup.alias("duplicates"))
+    counts = saved.agg(n.alias("attempts"), (n - dup).alias("writes"), dup.alias("duplicates")).withColumn("violations", none)
+    names = counts.columns
+    both = counts.unionByName(violations.select(*[none.alias(c) for c in names[:-1]], "violations"))
+    return both.agg(*[F.sum(c).alias(c) for c in names])
 
 
 def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:

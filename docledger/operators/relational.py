@@ -31,6 +31,14 @@ def keyed_update(table: DataFrame, updates: DataFrame, key: list[str], columns:
     return joined.select(*[F.when(F.col("_hit"), F.col(f"_u_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in table.columns])
 
 
+def partial_update(table: DataFrame, updates: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """The same, but a null in an update leaves the row's value as it is."""
+    u = updates.select(*[F.col(k).alias(f"_k_{k}") for k in key], *[F.col(c).alias(f"_u_{c}") for c in columns])
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_k_{k}") for k in key])
+    joined = table.join(u, same, "left")
+    return joined.select(*[F.coalesce(f"_u_{c}", c).alias(c) if c in columns else F.col(c) for c in table.columns])
+
+
 def unmatched(updates: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
     """Updates whose key is not in ``table``: what a caller has to report as missing."""
     return updates.join(table.select(*key).distinct(), key, "left_anti")

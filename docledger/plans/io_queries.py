@@ -2,28 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import stage
 from ..sources import files
+from ..sources.store import shared
 from ..streaming import ingest
 from .registry import query
 
 
-def _shared(v, name: str) -> str:
-    """A new path in the cluster's shared folder. Only where it is unset and all runs on one machine, a
-    temporary one."""
-    base = v.spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not v.spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="docledger-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SRC1")
 def file_scan(v):
     """The given tables' own files stand for images, by their extension."""
@@ -51,7 +38,7 @@ def file_digest(v):
 @query("STR1", "SELECT sha256(CAST(o_orderkey % 5000 AS VARCHAR)) AS hash, min(o_orderkey) AS id FROM orders GROUP BY 1")
 def incremental(v):
     """Orders as they arrive, saved once per hash; the job runs twice and the second run adds nothing."""
-    ledger, checkpoint = _shared(v, "ledger"), _shared(v, "stream")
+    ledger, checkpoint = shared(v.spark, "ledger"), shared(v.spark, "stream")
     for _ in range(2):
         rows = ingest.read_stream(v.spark, f"{v.sf_dir}/orders.parquet").select(F.sha2((F.col("o_orderkey") % 5000).cast("string"), 256).alias("hash"), F.col("o_orderkey").alias("id"))
         ingest.ingest(rows, ledger, checkpoint, ["hash"], "id")
@@ -60,7 +47,7 @@ def incremental(v):
 
 @query("STR2", "SELECT DISTINCT user_id, event_type FROM events")
 def suppression(v):
-    out, checkpoint = _shared(v, "events"), _shared(v, "stream")
+    out, checkpoint = shared(v.spark, "events"), shared(v.spark, "stream")
     rows = ingest.read_stream(v.spark, f"{v.sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
     ingest.distinct_stream(rows, "ts", "400 days", ["user_id", "event_type"], out, checkpoint)
     return v.spark.read.parquet(out).select("user_id", "event_type")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.plain import floats
 from ..operators import dedupe
-from ..operators.relational import as_double, diff, first_by, keyed_update, of_user, page, profile, union, unmatched, violations
+from ..operators.relational import as_double, diff, first_by, keyed_update, of_user, page, partial_update, profile, union, unmatched, violations
+from ..sources.store import append, shared, snapshot
 from .registry import query
 
 USER = 1
@@ -223,23 +225,41 @@ saved AS (SELECT id, data_first AS result_id, CASE WHEN id = data_first THEN 'cr
 
 @query("SNK1", "SELECT * FROM saved", SAVE)
 def idempotent_insert(v):
-    return dedupe.save(*_split(v))
+    """The batch goes into a ledger that has every fifth row; the tags of its rows."""
+    batch, old = _split(v)
+    ledger = shared(v.spark, "ledger")
+    append(old, ledger)
+    return dedupe.insert(batch, ledger)
 
 
-@query("DUP5", "SELECT count(*) AS attempts, count(*) FILTER (tag = 'created') AS writes, count(*) FILTER (tag = 'duplicate') AS duplicates FROM saved", SAVE)
+@query(
+    "DUP5",
+    """SELECT count(*) AS attempts, count(*) FILTER (tag = 'created') AS writes, count(*) FILTER (tag = 'duplicate') AS duplicates,
+    count(*) FILTER (tag = 'created' AND (image_hash IN (SELECT image_hash FROM old) OR earlier > 0)) AS violations
+    FROM (SELECT tag, image_hash, count(*) FILTER (tag = 'created') OVER (PARTITION BY image_hash ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM saved JOIN batch USING (id))""",
+    SAVE,
+)
 def metrics(v):
-    return dedupe.write_metrics(dedupe.save(*_split(v)))
+    batch, old = _split(v)
+    saved = snapshot(dedupe.save(batch, old), "saved")
+    created = saved.where("tag = 'created'").join(v.headers.select("id", "image_hash"), "id")
+    return dedupe.write_metrics(saved, dedupe.constraint_violations(created, v.headers.where("id % 5 = 0")))
 
 
 @query(
     "DUP6",
-    """SELECT 'image_hash' AS kind, user_id || '/' || image_hash AS key, count(*) AS n FROM hashed GROUP BY user_id, image_hash HAVING count(*) > 1
-    UNION ALL SELECT 'receipt_hash', image_hash, count(*) FROM hashed GROUP BY image_hash HAVING count(*) > 1
-    UNION ALL SELECT 'missing_required_field', CAST(id AS VARCHAR), 1 FROM hashed WHERE total_amount IS NULL""",
+    """SELECT 'image_hash' AS kind, 'duplicate_receipt' AS class, user_id || '/' || image_hash AS key, count(*) AS n FROM hashed GROUP BY user_id, image_hash HAVING count(*) > 1
+    UNION ALL SELECT 'data_hash', 'integrity_error', user_id || '/' || data_hash, count(*) FROM hashed GROUP BY user_id, data_hash HAVING count(*) > 1
+    UNION ALL SELECT 'receipt_hash', 'duplicate_receipt', image_hash, count(*) FROM hashed GROUP BY image_hash HAVING count(*) > 1
+    UNION ALL SELECT 'total_amount', 'missing_required_field', CAST(id AS VARCHAR), 1 FROM hashed WHERE total_amount IS NULL""",
 )
 def violation_report(v):
-    missing = v.hashed.where("total_amount is null").select(F.lit("missing_required_field").alias("kind"), F.col("id").cast("string").alias("key"), F.lit(1).cast("long").alias("n"))
-    return union([violations(v.hashed, "image_hash", ["user_id", "image_hash"]), violations(v.hashed, "receipt_hash", ["image_hash"]), missing])
+    """What breaks a constraint, by the constraint and by the class that a writer reports."""
+    missing = v.hashed.where("total_amount is null").select(F.lit("total_amount").alias("kind"), F.col("id").cast("string").alias("key"), F.lit(1).cast("long").alias("n"))
+    found = union([violations(v.hashed, "image_hash", ["user_id", "image_hash"]), violations(v.hashed, "data_hash", ["user_id", "data_hash"]), violations(v.hashed, "receipt_hash", ["image_hash"]), missing])
+    kind = F.col("kind")
+    class_ = F.when(kind.isin("image_hash", "receipt_hash"), "duplicate_receipt").when(kind == "total_amount", "missing_required_field").otherwise("integrity_error")
+    return found.select("kind", class_.alias("class"), "key", "n")
 
 
 @query("DUP7", "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY image_hash ORDER BY id) AS r FROM purchases) WHERE r = 1")
@@ -250,28 +270,37 @@ def rebuild(v):
 # ---- sinks and projections
 @query("SNK2", "SELECT id, user_id, 'pending' AS status, CAST(started_at AS VARCHAR) AS started_at, CAST(NULL AS DOUBLE) AS input_tokens FROM purchases")
 def pending(v):
-    return v.headers.select("id", "user_id", F.lit("pending").alias("status"), F.col("started_at").cast("string").alias("started_at"), F.lit(None).cast("double").alias("input_tokens"))
+    rows = v.headers.select("id", "user_id", F.lit("pending").alias("status"), F.col("started_at").cast("string").alias("started_at"), F.lit(None).cast("double").alias("input_tokens"))
+    return append(rows, shared(v.spark, "pending"))
 
 
 @query("SNK3", "SELECT id, CASE WHEN id % 9 = 0 THEN 'failed' ELSE status END AS status, CASE WHEN id % 9 = 0 THEN 'error ' || id END AS error FROM purchases")
 def mark_failed(v):
     table = v.headers.select("id", "status", F.lit(None).cast("string").alias("error"))
     updates = v.headers.where("id % 9 = 0").select("id", F.lit("failed").alias("status"), F.concat(F.lit("error "), F.col("id").cast("string")).alias("error"))
-    return keyed_update(table, updates, ["id"], ["status", "error"])
+    return snapshot(keyed_update(table, updates, ["id"], ["status", "error"]), "failed")
 
 
-@query(
-    "SNK4",
-    """SELECT id, CASE WHEN id % 8 = 0 AND user_id % 2 = 0 THEN 'success' ELSE status END AS status, CAST(CASE WHEN id % 8 = 0 AND user_id % 2 = 0 THEN items_sum ELSE total_amount END AS DOUBLE) AS total_amount, FALSE AS missing FROM purchases
-    UNION ALL SELECT -1 - id, 'success', CAST(items_sum AS DOUBLE), TRUE FROM purchases WHERE id % 1000 = 0""",
-)
+CONTENT = ("total_amount", "receipt_date", "merchant_name", "input_tokens", "output_tokens", "estimated_cost", "data_hash")
+SHOWN = """{0} AS id, {1} AS status, CAST(CASE WHEN {2} THEN total_amount END AS DOUBLE) AS total_amount, CAST(CASE WHEN {2} THEN estimated_cost END AS DOUBLE) AS estimated_cost, CASE WHEN {2} THEN strftime(receipt_date, '%Y-%m-%d') END AS receipt_date,
+  CASE WHEN {2} THEN merchant_name END AS merchant_name, CAST(CASE WHEN {2} THEN input_tokens ELSE 0 END AS BIGINT) AS input_tokens, CAST(CASE WHEN {2} THEN output_tokens ELSE 0 END AS BIGINT) AS output_tokens, CASE WHEN {2} THEN data_hash END AS data_hash, {3} AS missing""".format
+DONE = "(status = 'success' OR id % 8 = 0 AND user_id % 2 = 0)"
+
+
+@query("SNK4", f"""SELECT {SHOWN('id', f"CASE WHEN {DONE} THEN 'success' ELSE status END", DONE, 'FALSE')} FROM hashed UNION ALL SELECT {SHOWN('-1 - id', "'success'", 'TRUE', 'TRUE')} FROM hashed WHERE id % 1000 = 0""")
 def mark_success(v):
-    r = v.purchases.select("id", "user_id", "status", "total_amount", "items_sum")
-    new = {"status": F.lit("success"), "total_amount": F.col("items_sum")}
-    updates = r.where("id % 8 = 0 and user_id % 2 = 0").withColumns(new)
-    lost = r.where("id % 1000 = 0").withColumns(new).withColumn("id", -1 - F.col("id"))
-    done = keyed_update(r, updates, ["id", "user_id"], ["status", "total_amount"]).select("id", "status", *as_double("total_amount"), F.lit(False).alias("missing"))
-    return done.unionByName(unmatched(updates.unionByName(lost), r, ["id", "user_id"]).select("id", "status", *as_double("total_amount"), F.lit(True).alias("missing")))
+    """What was parsed goes into rows of the same id and user; updates without such a row come out as missing."""
+    parsed = v.hashed.select("id", "user_id", "status", *CONTENT)
+    table = parsed.select("id", "user_id", "status", *[F.when(F.col("status") == "success", F.col(c)).alias(c) for c in CONTENT])
+    updates = parsed.where("id % 8 = 0 and user_id % 2 = 0").withColumn("status", F.lit("success"))
+    lost = parsed.where("id % 1000 = 0").withColumns({"id": -1 - F.col("id"), "status": F.lit("success")})
+
+    def shown(rows, missing):
+        counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("input_tokens", "output_tokens")]
+        return rows.select("id", "status", *as_double("total_amount", "estimated_cost"), F.date_format("receipt_date", "yyyy-MM-dd").alias("receipt_date"), "merchant_name", *counts, "data_hash", F.lit(missing).alias("missing"))
+
+    done = snapshot(keyed_update(table, updates, ["id", "user_id"], ["status", *CONTENT]), "success")
+    return shown(done, False).unionByName(shown(unmatched(updates.unionByName(lost), v.headers, ["id", "user_id"]), True))
 
 
 @query("SNK5", "SELECT receipt_id, line_number, description, CAST(1 AS DOUBLE) AS quantity, CAST(total_price AS DOUBLE) AS unit_price, CAST(total_price AS DOUBLE) AS total_price FROM items WHERE receipt_id % 4 = 0 UNION ALL SELECT receipt_id, line_number, description, CAST(quantity AS DOUBLE), CAST(unit_price AS DOUBLE), CAST(total_price AS DOUBLE) FROM items WHERE receipt_id % 4 <> 0")
@@ -280,7 +309,7 @@ def replace_items(v):
     price = F.col("i.total_price").cast("double")
     new = nested.select("receipt_id", F.posexplode("items").alias("pos", "i")).select("receipt_id", (F.col("pos") + 1).alias("line_number"), "i.description", F.lit(1.0).alias("quantity"), price.alias("unit_price"), price.alias("total_price"))
     old = v.items.join(nested.select("receipt_id"), "receipt_id", "left_anti").select("receipt_id", "line_number", "description", *as_double("quantity", "unit_price", "total_price"))
-    return old.unionByName(new)
+    return snapshot(old.unionByName(new), "items")
 
 
 @query("SNK6", "SELECT receipt_id, count(*) AS n_items, string_agg(description, '|' ORDER BY line_number) AS descriptions, CAST(sum(total_price) AS DOUBLE) AS total FROM items GROUP BY 1")
@@ -298,22 +327,37 @@ def projection(v):
 @query(
     "SNK8",
     """SELECT 'user' AS kind, count(*) AS n FROM users WHERE id % 10 <> 3 UNION ALL SELECT 'receipt', count(*) FROM purchases WHERE user_id % 10 <> 3
-    UNION ALL SELECT 'item', count(*) FROM items JOIN purchases ON receipt_id = id WHERE user_id % 10 <> 3 UNION ALL SELECT 'new', count(*) FROM (SELECT DISTINCT email FROM users WHERE id % 10 = 3)""",
+    UNION ALL SELECT 'item', count(*) FROM items JOIN purchases ON receipt_id = id WHERE user_id % 10 <> 3 UNION ALL SELECT 'new', count(*) FROM (SELECT DISTINCT email FROM users WHERE id % 10 = 3)
+    UNION ALL SELECT 'active', count(*) FROM users WHERE id % 10 <> 3 AND (id % 4 = 0 OR is_active) UNION ALL SELECT 'found', count(*) FROM users WHERE id % 10 <> 3 AND (id = 1 OR email = 'customer#000000002@example.com')""",
 )
 def users(v):
-    """Delete users with cascade through purchases and items, then get-or-create by email."""
+    """Delete users with cascade through purchases and items, then get-or-create by email, a partial update, and
+    lookups by id and email."""
     gone = v.users.where("id % 10 = 3").select(F.col("id").alias("user_id"))
     kept = v.users.join(gone, F.col("id") == F.col("user_id"), "left_anti")
     purchases = v.headers.join(gone, "user_id", "left_anti")
     items = v.items.join(purchases.select(F.col("id").alias("receipt_id")), "receipt_id", "left_semi")
     new = v.users.dropDuplicates(["email"]).join(kept.select("email"), "email", "left_anti")
-    return union([df.agg(F.lit(n).alias("kind"), F.count(F.lit(1)).alias("n")) for n, df in (("user", kept), ("receipt", purchases), ("item", items), ("new", new))])
+    updates = v.users.where("id % 4 < 2").select("id", F.when(F.col("id") % 4 == 0, True).alias("is_active"))
+    active = partial_update(kept, updates, ["id"], ["is_active"]).where("is_active")
+    found = kept.where("id = 1 or email = 'customer#000000002@example.com'")
+    return union([df.agg(F.lit(n).alias("kind"), F.count(F.lit(1)).alias("n")) for n, df in (("user", kept), ("receipt", purchases), ("item", items), ("new", new), ("active", active), ("found", found))])
 
 
-@query("SNK9", """SELECT id, '{"merchant":' || coalesce('"' || merchant_name || '"', 'null') || ',"retry_count":' || retry_count || ',"user_id":' || user_id || '}' AS json FROM purchases""")
+@query(
+    "SNK9",
+    """SELECT id, '{"merchant":' || coalesce('"' || merchant_name || '"', 'null') || ',"retry_count":' || retry_count || ',"total":' || coalesce(CAST(CAST(total_amount AS DOUBLE) AS VARCHAR), 'null') || ',"items":[' || coalesce(j, '') || ']}' AS json FROM purchases LEFT JOIN
+    (SELECT receipt_id, string_agg('{"description":"' || description || '","price":' || CAST(CAST(total_price AS DOUBLE) AS VARCHAR) || '}', ',' ORDER BY line_number) AS j FROM items GROUP BY 1) ON receipt_id = id""",
+)
 def plain(v):
-    fields = F.struct(F.col("merchant_name").alias("merchant"), "retry_count", "user_id")
-    return v.purchases.select("id", F.to_json(fields, {"ignoreNullFields": "false"}).alias("json"))
+    """Purchases with their items as JSON, decimals as plain numbers at every level."""
+    item = F.struct("line_number", "description", F.col("total_price").alias("price"))
+    listed = v.items.groupBy("receipt_id").agg(F.sort_array(F.collect_list(item)).alias("sorted"))
+    items = F.transform("sorted", lambda x: F.struct(x["description"].alias("description"), x["price"].alias("price")))
+    none = F.array().cast("array<struct<description:string,price:decimal(18,2)>>")
+    r = v.purchases.join(listed, F.col("id") == F.col("receipt_id"), "left")
+    r = r.select("id", F.struct(F.col("merchant_name").alias("merchant"), "retry_count", F.col("total_amount").alias("total"), F.coalesce(items, none).alias("items")).alias("r"))
+    return r.select("id", F.to_json(floats(F.col("r"), r.schema["r"].dataType), {"ignoreNullFields": "false"}).alias("json"))
 
 
 @query("WIN2", "SELECT item_id, attempt, CAST(sum(input_tokens + output_tokens) OVER (PARTITION BY item_id ORDER BY attempt) AS BIGINT) AS tokens FROM attempts")

@@ -81,13 +81,18 @@ def severity(v):
 
 @query(
     "VAL8",
-    """SELECT id, len(e) = 0 AS valid, array_to_string(e, '; ') AS errors FROM (SELECT id, list_filter([CASE WHEN merchant_name IS NULL THEN 'merchant: missing' END, CASE WHEN receipt_date < DATE '1996-01-01' THEN 'date: too old' END,
-    CASE WHEN total_amount IS NULL THEN 'total: missing' END], lambda x: x IS NOT NULL) AS e FROM purchases)""",
+    """SELECT id, len(e) = 0 AS valid, array_to_string(e, '; ') AS errors, array_to_string(w, '; ') AS warnings, len(e) > 0 AND retry_count < 2 AS retryable, len(e) > 0 AND len(e) < 5 AS preserve_partial
+    FROM (SELECT id, retry_count, list_filter([CASE WHEN merchant_name IS NULL THEN 'merchant: missing' END, CASE WHEN receipt_date < DATE '1996-01-01' THEN 'date: too old' END, CASE WHEN total_amount IS NULL THEN 'total: missing' END,
+      CASE WHEN items_sum IS NULL THEN 'items: missing' END, CASE WHEN id % 50 = 0 THEN 'currency: unknown' END], lambda x: x IS NOT NULL) AS e,
+      list_filter([CASE WHEN receipt_date < DATE '1997-01-01' THEN 'date: old' END, CASE WHEN total_amount > 300000 THEN 'total: large' END], lambda x: x IS NOT NULL) AS w FROM purchases)""",
 )
 def field_validation(v):
-    checks = {"merchant": F.when(F.col("merchant_name").isNull(), "missing"), "date": F.when(F.col("receipt_date") < "1996-01-01", "too old"), "total": F.when(F.col("total_amount").isNull(), "missing")}
-    r = v.purchases.select("id", validate.field_results(checks).alias("f"))
-    return r.select("id", "f.valid", F.array_join("f.errors", "; ").alias("errors"))
+    missing = lambda c: F.when(F.col(c).isNull(), "missing")
+    date, total = F.col("receipt_date"), F.col("total_amount")
+    checks = {"merchant": missing("merchant_name"), "date": F.when(date < "1996-01-01", "too old"), "total": missing("total_amount"), "items": missing("items_sum"), "currency": F.when(F.col("id") % 50 == 0, "unknown")}
+    doubts = {"date": F.when(date < "1997-01-01", "old"), "total": F.when(total > 300000, "large")}
+    r = v.purchases.select("id", validate.field_results(checks, doubts, F.col("retry_count"), 2).alias("f"))
+    return r.select("id", "f.valid", F.array_join("f.errors", "; ").alias("errors"), F.array_join("f.warnings", "; ").alias("warnings"), "f.retryable", "f.preserve_partial")
 
 
 CLEAN = "error"
@@ -95,9 +100,9 @@ for _p in validate.PREFIXES:
     CLEAN = f"replace({CLEAN}, '{_p}', '')"
 
 
-@query("VAL9", f"SELECT CASE WHEN mm THEN 'Total mismatch' WHEN length({CLEAN}) > 80 THEN left({CLEAN}, 77) || '...' ELSE {CLEAN} END AS reason, count(*) AS n FROM ({AMOUNTS} FROM attempts WHERE error IS NOT NULL) GROUP BY 1")
+@query("VAL9", f"SELECT CASE WHEN mm THEN 'Total mismatch' WHEN length({CLEAN}) > 80 THEN left({CLEAN}, 77) || '...' ELSE {CLEAN} END AS reason, count(*) AS n, CAST(sum(CASE WHEN mm THEN off END) AS DOUBLE) AS difference FROM ({AMOUNTS} FROM attempts WHERE error IS NOT NULL) GROUP BY 1")
 def reasons(v):
-    return v.attempts.where("error is not null").groupBy(validate.reason(F.col("error")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return v.attempts.where("error is not null").groupBy(validate.reason(F.col("error")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.sum(validate.difference(F.col("error"))).cast("double").alias("difference"))
 
 
 @query("entry", f"SELECT {SEVERITY} AS severity, count(*) AS n, CAST(sum(total_amount) AS DOUBLE) AS amount FROM ({AMOUNTS} FROM ({MISMATCHED.format('total_amount')}) WHERE error IS NOT NULL) GROUP BY 1")
@@ -145,10 +150,19 @@ def history(v):
     return tries.history(v.attempts)
 
 
-@query("RTY8", "SELECT doc_id, 'Read this receipt and answer with one JSON object.' || chr(10) || text AS prompt FROM slips WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'The totals did not add up; correct the JSON object.' || chr(10) || text FROM slips WHERE doc_id % 2 = 1")
+PROMPTS = (
+    "Read this receipt and answer with one JSON object.",
+    "The totals did not add up; correct the JSON object.",
+    "Look only at the lines with prices and the total, and answer with one JSON object.",
+    "Look at the picture again; this text was read from it before.",
+)
+
+
+@query("RTY8", f"SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '{PROMPTS[0]}' WHEN 1 THEN '{PROMPTS[1]}' WHEN 2 THEN '{PROMPTS[2]}' ELSE '{PROMPTS[3]}' END || chr(10) || text AS prompt FROM slips")
 def prompts(v):
-    """A prompt column for a batch inference stage, worded by what was tried before."""
-    head = F.when(F.col("doc_id") % 2 == 0, "Read this receipt and answer with one JSON object.").otherwise("The totals did not add up; correct the JSON object.")
+    """A prompt column for a batch inference stage, worded by what was tried before: first reading, correction,
+    focused context, reading again."""
+    head = F.element_at(F.array(*map(F.lit, PROMPTS)), (F.col("doc_id") % 4 + 1).cast("int"))
     return v.slips.select("doc_id", F.concat_ws("\n", head, "text").alias("prompt"))
 
 
@@ -279,11 +293,26 @@ def retry_pattern(v):
 
 @query(
     "TRC8",
-    "SELECT run_id, count(*) AS n_events, string_agg(DISTINCT stage, ',' ORDER BY stage) AS stages, count(*) FILTER (NOT success) AS failures, bool_or(terminal) AS finished, string_agg(DISTINCT CASE WHEN NOT success THEN stage END, ',') AS failed_stages FROM trace GROUP BY 1",
+    """SELECT t.*, coalesce(p.attempts, 0) AS save_attempts, coalesce(p.writes, 0) AS writes, coalesce(p.attempts - p.writes, 0) AS duplicates FROM (
+    SELECT run_id, count(*) AS n_events, string_agg(DISTINCT stage, ',' ORDER BY stage) AS stages, count(*) FILTER (NOT success) AS failures, bool_or(terminal) AS finished, string_agg(DISTINCT CASE WHEN NOT success THEN stage END, ',') AS failed_stages,
+    CASE WHEN bool_or(terminal) THEN 'SUCCESS' WHEN bool_or(stage = 'VALIDATE' AND success) THEN 'PARTIAL' ELSE 'FAILURE' END AS status, count(*) - count(DISTINCT stage) AS retries FROM trace GROUP BY 1) t
+    LEFT JOIN (SELECT user_id, count(*) AS attempts, count(DISTINCT image_hash) AS writes FROM purchases GROUP BY 1) p ON p.user_id = t.run_id""",
 )
 def run_report(v):
-    c = trace.stage_counts(v.trace).groupBy("run_id").agg(F.sum("attempts").alias("n_events"), F.array_join(F.sort_array(F.collect_list("stage")), ",").alias("stages"), F.sum("failed").alias("failures"), F.nullif(F.array_join(F.sort_array(F.collect_list(F.when(F.col("failed") > 0, F.col("stage")))), ","), F.lit("")).alias("failed_stages"))
-    return c.join(v.trace.groupBy("run_id").agg(F.bool_or("terminal").alias("finished")), "run_id")
+    """Per run: its stages, failures and retries, how it ended, and what it wrote."""
+    stages = F.sort_array(F.collect_list("stage"))
+    failed = F.array_join(F.sort_array(F.collect_list(F.when(F.col("failed") > 0, F.col("stage")))), ",")
+    passed = F.bool_or((F.col("stage") == "VALIDATE") & (F.col("attempts") > F.col("failed")))
+    c = trace.stage_counts(v.trace).groupBy("run_id").agg(
+        F.sum("attempts").alias("n_events"), F.array_join(stages, ",").alias("stages"), F.sum("failed").alias("failures"), F.nullif(failed, F.lit("")).alias("failed_stages"), F.sum(F.col("attempts") - 1).alias("retries"), passed.alias("passed")
+    )
+    ends = v.trace.groupBy("run_id").agg(F.bool_or("terminal").alias("finished"))
+    firsts = dedupe.first_write_wins(v.headers.select("id", "user_id", "image_hash"), ["user_id", "image_hash"])
+    n, w = F.count(F.lit(1)), F.count_if(F.col("id") == F.col("first_id"))
+    writes = firsts.groupBy(F.col("user_id").alias("run_id")).agg(n.alias("save_attempts"), w.alias("writes"), (n - w).alias("duplicates"))
+    status = F.when(F.col("finished"), "SUCCESS").when(F.col("passed"), "PARTIAL").otherwise("FAILURE")
+    counts = [F.coalesce(k, F.lit(0)).alias(k) for k in ("save_attempts", "writes", "duplicates")]
+    return c.join(ends, "run_id").join(writes, "run_id", "left").select("run_id", "n_events", "stages", "failures", "finished", "failed_stages", status.alias("status"), "retries", *counts)
 
 
 @query("WIN4", "SELECT run_id, seq, stage FROM (SELECT *, lag(stage) OVER (PARTITION BY run_id ORDER BY seq) AS b FROM trace) WHERE b IS NULL OR b <> stage")
