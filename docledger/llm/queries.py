@@ -10,10 +10,13 @@ from .bpe import round_trip_digests
 from .common import documents
 from .exact_dedup import exact_duplicates
 from .media import media_columns
+from .negatives import hard_negatives
 from .ngram_join import jaccard_components
 from .packing import pack
 from .repeats import remove_repeats
 from .sharding import kd_shards
+from .suffix_trees import remove_repeated_passages
+from .whitening import whiten
 
 
 def remainder(n, doc_id="doc_id"):
@@ -68,7 +71,20 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_ngram_jaccard, op4_chat_format, op5_packing, op6_repeats, op7_kd_tree_sharding, op8_exact_dedup, op9_media, op10_bpe)}
+def op11_suffix_trees(spark, sf_dir):
+    return remove_repeated_passages(documents(spark, sf_dir), length=35).drop("kept")
+
+
+def op12_whitening(spark, sf_dir):
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), label=label)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_ngram_jaccard, op4_chat_format, op5_packing, op6_repeats, op7_kd_tree_sharding, op8_exact_dedup, op9_media, op10_bpe, op11_suffix_trees, op12_whitening, op13_hard_negatives)}
 
 ORACLES = {
     "op3_ngram_jaccard": r"""
@@ -84,4 +100,21 @@ ORACLES = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size
               FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))""",
+    "op11_suffix_trees": r"""
+        WITH texts AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        windows AS (SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM texts WHERE len(w) >= 35)),
+        again AS (SELECT doc_id, i FROM windows WHERE g IN (SELECT g FROM windows GROUP BY g HAVING count(*) > 1)),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM again),
+        kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS k FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM texts) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(k, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256,
+               coalesce((SELECT count(*) FROM gone g WHERE g.doc_id = texts.doc_id AND NOT EXISTS (SELECT 1 FROM gone h WHERE h.doc_id = g.doc_id AND h.p = g.p - 1)), 0) AS n_spans
+        FROM texts LEFT JOIN kept USING (doc_id)""",
+    "op13_hard_negatives": """
+        WITH rows AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
+                      FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scores AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2]))::BIGINT AS score FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, row_number() OVER band::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN scores USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+        WINDOW band AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER band <= 5""",
 }
