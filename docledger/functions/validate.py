@@ -11,26 +11,104 @@ from .text import trimmed
 UNPARSED = "Failed to parse JSON"
 MISMATCH = r"Total ([\d.,]+) does not match sum of items ([\d.,]+)"
 PREFIXES = ("Validation failed: ", "Self-correction validation failed: ", "RAG validation failed: ", "OCR fallback validation failed: ", "Response content validation failed: ")
-SCHEMA = "struct<date:string,total:decimal(18,4),items:array<struct<description:string,price:decimal(18,4)>>>"
+#: Names of the kinds of faults, and ours for what is said about each.
+FAULTS = {
+    "missing": "missing", "string_type": "not a text", "decimal_type": "not a decimal", "decimal_parsing": "not readable as a decimal", "finite_number": "not finite",
+    "list_type": "not a list", "model_type": "not an object", "value_error": "Invalid price",
+}
+#: A decimal as text, once spaces around it and underscores are gone, and what is no finite one.
+DECIMAL, UNBOUNDED = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$", r"(?i)^[+-]?(inf|infinity|s?nan\d*)$"
+AMOUNT, SUM = "decimal(30,10)", "decimal(38,10)"
+ITEMS, FOUND = f"array<struct<description:string,price:{AMOUNT}>>", "array<struct<path:string,kind:string>>"
 FIELDS = ("merchant", "date", "total", "items", "currency")
 
 
+def let(c: Column, use) -> Column:
+    """``use(c)``, where ``c`` is computed once."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
+def kind(v: Column) -> Column:
+    """What a variant holds: absent, null, text, boolean, number, list or object."""
+    name = F.schema_of_variant(v)
+    known = F.when(v.isNull(), "absent").when(F.is_variant_null(v), "null").when(name == "STRING", "text").when(name == "BOOLEAN", "boolean")
+    return known.when(name.startswith("ARRAY"), "list").when(name.startswith("OBJECT"), "object").otherwise("number")
+
+
 def is_object(c: Column) -> Column:
     """Whether a text is a JSON object."""
-    kind = F.schema_of_variant(F.try_parse_json(trimmed(c)))
-    return F.coalesce(kind.startswith("OBJECT"), F.lit(False))
+    return F.coalesce(kind(F.try_parse_json(trimmed(c))) == "object", F.lit(False))
+
+
+def _text(v: Column, required: bool) -> Column:
+    """struct<value, kind>: a variant's text and its fault."""
+    fine = ("text",) if required else ("text", "null", "absent")
+    fault = F.when(kind(v).isin(*fine), None).when(v.isNull(), "missing").otherwise("string_type")
+    return F.struct(F.when(kind(v) == "text", F.try_variant_get(v, "$", "string")).alias("value"), fault.alias("kind"))
+
+
+def _decimal(v: Column, required: bool) -> Column:
+    """struct<value, kind>: a variant's decimal, from a number or a text, and its fault. A decimal of more than 20
+    digits before the point is not readable; digits beyond the tenth after it are rounded off."""
+    text = F.replace(trimmed(F.try_variant_get(v, "$", "string")), F.lit("_"), F.lit(""))
+    read = F.when(F.regexp_like(text, F.lit(DECIMAL)), text.try_cast(AMOUNT))
+    value = F.when(kind(v) == "number", F.try_variant_get(v, "$", AMOUNT)).when(kind(v) == "text", read)
+    fault = F.when(value.isNotNull(), None).when(kind(v) == "number", "decimal_parsing").when(kind(v) == "text", F.when(F.regexp_like(text, F.lit(UNBOUNDED)), "finite_number").otherwise("decimal_parsing"))
+    missing = fault.when(v.isNull(), "missing") if required else fault.when(kind(v).isin("absent", "null"), None)
+    return F.struct(value.alias("value"), missing.otherwise("decimal_type").alias("kind"))
+
+
+def _found(*faults: tuple[Column, Column]) -> Column:
+    """The faults (path, kind) whose kind is not null."""
+    return F.array_compact(F.array(*[F.when(k.isNotNull(), F.struct(p.alias("path"), k.alias("kind"))) for p, k in faults])).cast(FOUND)
+
+
+def _item(v: Column, i: Column) -> Column:
+    """struct<item, faults> of the i-th entry of a list of items."""
+    path = F.concat(F.lit("items["), i.cast("string"), F.lit("]"))
+
+    def judged(f: Column) -> Column:
+        d, p = f["d"], f["p"]
+        negative = F.when(p["value"] < 0, "value_error")
+        item = F.struct(d["value"].alias("description"), p["value"].alias("price"))
+        faults = _found((F.concat(path, F.lit(".description")), d["kind"]), (F.concat(path, F.lit(".price")), F.coalesce(p["kind"], negative)))
+        return F.struct(item.alias("item"), F.when(kind(v) == "object", faults).otherwise(_found((path, F.lit("model_type")))).alias("faults"))
+
+    get = lambda name: F.when(kind(v) == "object", F.try_variant_get(v, f"$.{name}", "variant"))
+    return let(F.struct(_text(get("description"), True).alias("d"), _decimal(get("price"), True).alias("p")), judged)
 
 
 def typed(c: Column) -> Column:
-    """The typed payload; null if the text is not an object; items default to none."""
-    parsed = F.from_json(trimmed(c), SCHEMA, {"mode": "PERMISSIVE"})
-    none = F.array().cast("array<struct<description:string,price:decimal(18,4)>>")
-    whole = F.struct(parsed["date"].alias("date"), parsed["total"].alias("total"), F.coalesce(parsed["items"], none).alias("items"))
-    return F.when(is_object(c), whole)
+    """struct<date, total, items, faults>: the typed payload; null if the text is not an object.
+
+    Absent items are none, an absent or null date or total is null. What has the wrong type is null (an entry
+    of items keeps its place), and ``faults`` lists the path and kind of each such value, in the order of the
+    fields. A text with a decimal in it counts as one; a boolean does not."""
+
+    def parts(v: Column) -> Column:
+        items = F.try_variant_get(v, "$.items", "variant")
+        entries = F.when(kind(items) == "list", F.try_variant_get(items, "$", "array<variant>"))
+        whole = F.struct(
+            _text(F.try_variant_get(v, "$.date", "variant"), False).alias("date"),
+            _decimal(F.try_variant_get(v, "$.total", "variant"), False).alias("total"),
+            F.transform(entries, _item).alias("items"),
+            F.when(~kind(items).isin("list", "absent"), "list_type").alias("wrong"),
+        )
+        return F.when(kind(v) == "object", let(whole, built))
+
+    def built(p: Column) -> Column:
+        none = F.array().cast(FOUND)
+        inner = F.coalesce(F.flatten(F.transform(p["items"], lambda x: x["faults"])), none)
+        faults = F.concat(_found((F.lit("date"), p["date"]["kind"])), _found((F.lit("items"), p["wrong"])), inner, _found((F.lit("total"), p["total"]["kind"])))
+        items = F.coalesce(F.transform(p["items"], lambda x: x["item"]), F.array().cast(ITEMS))
+        return F.struct(p["date"]["value"].alias("date"), p["total"]["value"].alias("total"), items.alias("items"), faults.alias("faults"))
+
+    return let(F.try_parse_json(trimmed(c)), parts)
 
 
 def item_sum(items: Column) -> Column:
-    return F.aggregate(items, F.lit(0).cast("decimal(28,4)"), lambda a, x: (a + F.coalesce(x["price"], F.lit(0).cast("decimal(18,4)"))).cast("decimal(28,4)"))
+    zero = F.lit(0).cast(SUM)
+    return F.aggregate(items, zero, lambda a, x: (a + F.coalesce(x["price"], F.lit(0).cast(AMOUNT))).cast(SUM))
 
 
 def prices_ok(items: Column) -> Column:
@@ -40,15 +118,23 @@ def prices_ok(items: Column) -> Column:
 def mismatch(total: Column, sums: Column, tolerance: str = "0.01") -> Column:
     """Message for a total that is further than ``tolerance`` from the sum, else null."""
     off = F.abs(total - sums) > F.lit(tolerance).cast("decimal(4,2)")
-    text = lambda c: c.cast("decimal(18,2)").cast("string")
+    text = lambda c: c.cast("decimal(38,2)").cast("string")
     return F.when(off, F.concat(F.lit("Total "), text(total), F.lit(" does not match sum of items "), text(sums)))
 
 
+def fault_list(p: Column) -> Column:
+    """A typed payload's faults as path:kind, in order."""
+    return F.transform(p["faults"], lambda x: F.concat_ws(":", x["path"], x["kind"]))
+
+
 def problems(p: Column) -> Column:
-    """Messages about a typed payload: none if it is valid. What was parsed is kept anyway."""
-    price = F.when(~prices_ok(p["items"]), F.lit("Invalid price"))
-    total = F.when(prices_ok(p["items"]), mismatch(p["total"], item_sum(p["items"])))
-    return F.when(p.isNull(), F.array(F.lit(UNPARSED))).otherwise(F.array_compact(F.array(price, total)))
+    """Messages about a typed payload: none if it is valid. What was parsed is kept anyway. Each fault has one, all
+    prices below zero one together; a total is held against its items only if these have no fault."""
+    said = F.create_map(*[F.lit(x) for pair in FAULTS.items() for x in pair])
+    about = lambda x: F.when(x["kind"] == "value_error", F.element_at(said, x["kind"])).otherwise(F.concat(x["path"], F.lit(": "), F.element_at(said, x["kind"])))
+    sound = ~F.exists(p["faults"], lambda x: F.startswith(x["path"], F.lit("items")))
+    messages = F.concat(F.array_distinct(F.transform(p["faults"], about)), F.array_compact(F.array(F.when(sound, mismatch(p["total"], item_sum(p["items"]))))))
+    return F.when(p.isNull(), F.array(F.lit(UNPARSED))).otherwise(messages)
 
 
 def meaningful(p: Column) -> Column:

@@ -1,7 +1,16 @@
 """The ledger's views in DuckDB SQL, put before every oracle query."""
 
+from ..sources.ledger import FAULTY
+
 LINE_ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate"
 
+
+def _part(n: int, given: str) -> str:
+    """A part of a payload: as it is given, or wrong by key."""
+    wrong = " ".join(f"WHEN {i} THEN '{parts[n]}'" for i, parts in enumerate(FAULTY) if parts[n])
+    return f"CASE CASE WHEN id % 7 = 5 THEN (id // 7) % {len(FAULTY)} ELSE -1 END {wrong} ELSE {given} END"
+
+
 VIEWS = rf"""
 users AS (SELECT c_custkey AS id, lower(c_name) || '@example.com' AS email, c_acctbal >= 0 AS is_active,
   DATE '2024-01-01' + CAST(c_custkey % 365 AS INTEGER) AS created_at FROM customer),
@@ -26,7 +35,7 @@ slips AS (SELECT k AS doc_id, CASE k % 6 WHEN 0 THEN body || chr(10) || 'TOTAL '
   WHEN 4 THEN ' ' || chr(10) || chr(10) || replace(body || chr(10) || 'TOTAL ' || total, ' ', ' ' || chr(9) || ' ') || chr(10) || ' ' || chr(10)
   ELSE 'GROCERY STORE' || chr(10) || 'CASHIER ANNA 7 X' || chr(10) || '03/15/2024' || chr(10) || body || chr(10) || 'AM0UNT: ' || total || chr(10) || 'Cust0mer copy' END AS text FROM bodies),
 payloads AS (SELECT id AS doc_id, CASE id % 7 WHEN 0 THEN 'not valid json' WHEN 1 THEN '["not","a","dict"]' WHEN 2 THEN '  ' ELSE
-  ' {{"date":"' || receipt_date || '","total":' || CASE WHEN id % 7 = 4 THEN 'null' ELSE coalesce(CAST(total_amount AS VARCHAR), 'null') END || ',"items":[' || coalesce(j, '') || ']' ||
+  ' {{"date":' || {_part(0, """'"' || receipt_date || '"'""")} || ',"total":' || {_part(1, "CASE WHEN id % 7 = 4 THEN 'null' ELSE coalesce(CAST(total_amount AS VARCHAR), 'null') END")} || ',"items":' || {_part(2, "'[' || coalesce(j, '') || ']'")} ||
   CASE WHEN id % 7 <> 6 THEN ',"_token_usage":{{"input_tokens":' || input_tokens || ',"output_tokens":' || output_tokens || '}}' ELSE '' END || '}}' || chr(10) END AS payload
   FROM purchases LEFT JOIN (SELECT receipt_id, string_agg('{{"description":"' || description || '","price":' || CASE WHEN receipt_id % 7 = 3 THEN -total_price ELSE total_price END || '}}', ',' ORDER BY line_number) AS j FROM items GROUP BY 1) ON id = receipt_id),
 attempts AS (SELECT conv_id AS item_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS INTEGER) AS attempt, (conv_id + turn) % 3 = 2 AS success, (conv_id + turn) % 4 <> 0 AS parsed,

@@ -12,12 +12,31 @@ from .registry import query
 
 def P():
     return F.col("payload")
-#: A payload is an object, its total and its item sum, in SQL.
-PARSED = r"""parsed AS (SELECT doc_id, payload, json_valid(payload) AND coalesce(json_type(CASE WHEN json_valid(payload) THEN payload END) = 'OBJECT', FALSE) AS is_object,
-  CASE WHEN json_valid(payload) THEN CAST(json_extract_string(payload, '$.total') AS DECIMAL(18,4)) END AS total,
-  CASE WHEN json_valid(payload) THEN from_json(json_extract(payload, '$.items'), '[{"description":"VARCHAR","price":"DECIMAL(18,4)"}]') END AS items FROM payloads),
-judged AS (SELECT *, coalesce(list_sum(list_transform(items, lambda x: x.price)), 0) AS sums, len(list_filter(coalesce(items, []), lambda x: x.price < 0)) = 0 AS prices_ok FROM parsed),
-messages AS (SELECT *, CASE WHEN NOT is_object THEN 'Failed to parse JSON' WHEN NOT prices_ok THEN 'Invalid price' WHEN abs(total - sums) > 0.01 THEN 'Total ' || CAST(total AS DECIMAL(18,2)) || ' does not match sum of items ' || CAST(sums AS DECIMAL(18,2)) END AS error FROM judged)"""
+
+def _decimal(kind: str, text: str, required: bool) -> tuple[str, str]:
+    """SQL for a JSON value's decimal and for the kind of its fault."""
+    clean = rf"replace(regexp_replace({text}, '^\s+|\s+$', '', 'g'), '_', '')"
+    value = rf"CASE WHEN {kind} = 'VARCHAR' AND NOT regexp_matches({clean}, '{validate.DECIMAL}') THEN NULL WHEN {kind} IN ('VARCHAR', 'BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE') THEN try_cast({clean} AS DECIMAL(30,10)) END"
+    absent = f"WHEN {kind} IS NULL THEN 'missing'" if required else f"WHEN {kind} IS NULL OR {kind} = 'NULL' THEN NULL"
+    return value, f"CASE WHEN {value} IS NOT NULL THEN NULL {absent} WHEN {kind} = 'VARCHAR' AND regexp_matches({clean}, '{validate.UNBOUNDED}') THEN 'finite_number' WHEN {kind} IN ('VARCHAR', 'BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE') THEN 'decimal_parsing' ELSE 'decimal_type' END"
+
+
+_PRICE, _PRICE_FAULT = _decimal("json_type(x, '$.price')", "json_extract_string(x, '$.price')", True)
+_TOTAL, _TOTAL_FAULT = _decimal("json_type(j, '$.total')", "json_extract_string(j, '$.total')", False)
+_SAID = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in validate.FAULTS.items())
+#: Payloads with typed values, faults by path and kind, and messages, in SQL.
+PARSED = rf"""parsed AS (SELECT doc_id, payload, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS j, json_valid(payload) AND coalesce(json_type(CASE WHEN json_valid(payload) THEN payload END) = 'OBJECT', FALSE) AS is_object FROM payloads),
+entries AS (SELECT doc_id, i, x, {_PRICE} AS price, json_extract_string(x, '$.description') AS description, json_type(x) = 'OBJECT' AS is_item, json_type(x, '$.description') AS d, {_PRICE_FAULT} AS p
+  FROM (SELECT doc_id, unnest(json_extract(j, '$.items[*]')) AS x, generate_subscripts(json_extract(j, '$.items[*]'), 1) - 1 AS i FROM parsed WHERE is_object)),
+marked AS (SELECT *, list_filter(CASE WHEN NOT is_item THEN [{{'path': 'items[' || i || ']', 'kind': 'model_type'}}] ELSE
+  [{{'path': 'items[' || i || '].description', 'kind': CASE WHEN d IS NULL THEN 'missing' WHEN d <> 'VARCHAR' THEN 'string_type' END}}, {{'path': 'items[' || i || '].price', 'kind': coalesce(p, CASE WHEN price < 0 THEN 'value_error' END)}}] END, lambda f: f.kind IS NOT NULL) AS faults FROM entries),
+listed AS (SELECT doc_id, count(*) AS n, sum(CASE WHEN is_item THEN price END) AS sums, bool_and(is_item AND coalesce(price >= 0, FALSE)) AS prices_ok, flatten(list(faults ORDER BY i)) AS faults FROM marked GROUP BY 1),
+judged AS (SELECT p.doc_id, payload, is_object, CASE WHEN is_object THEN {_TOTAL} END AS total, coalesce(n, 0) AS n, coalesce(sums, 0) AS sums, coalesce(prices_ok, TRUE) AS prices_ok, CASE WHEN is_object THEN list_concat(
+  list_filter([{{'path': 'date', 'kind': CASE WHEN json_type(j, '$.date') NOT IN ('NULL', 'VARCHAR') THEN 'string_type' END}}, {{'path': 'items', 'kind': CASE WHEN json_type(j, '$.items') <> 'ARRAY' THEN 'list_type' END}}], lambda f: f.kind IS NOT NULL),
+  coalesce(l.faults, []), list_filter([{{'path': 'total', 'kind': {_TOTAL_FAULT}}}], lambda f: f.kind IS NOT NULL)) END AS faults FROM parsed p LEFT JOIN listed l USING (doc_id)),
+said AS (SELECT *, list_transform(list_filter(list_transform(faults, lambda f, k: {{'f': f, 'first': f.kind <> 'value_error' OR k = list_position(list_transform(faults, lambda g: g.kind), 'value_error')}}), lambda y: y.first), lambda y: CASE WHEN y.f.kind = 'value_error' THEN '' ELSE y.f.path || ': ' END || CASE y.f.kind {_SAID} END) AS fault_messages,
+  CASE WHEN len(list_filter(faults, lambda f: starts_with(f.path, 'items'))) = 0 AND abs(total - sums) > 0.01 THEN ['Total ' || CAST(total AS DECIMAL(38,2)) || ' does not match sum of items ' || CAST(sums AS DECIMAL(38,2))] ELSE [] END AS off FROM judged),
+messages AS (SELECT *, errors[1] AS error FROM (SELECT *, CASE WHEN is_object THEN list_concat(fault_messages, off) ELSE ['Failed to parse JSON'] END AS errors FROM said))"""
 
 
 def _judged(v):
@@ -31,10 +50,11 @@ def content(v):
     return v.payloads.select("doc_id", ok.alias("valid"), F.when(~ok, validate.UNPARSED).alias("error"))
 
 
-@query("VAL2", "SELECT doc_id, CASE WHEN is_object THEN CAST(total AS DOUBLE) END AS total, CAST(CASE WHEN is_object THEN len(items) END AS DOUBLE) AS n_items FROM judged", PARSED)
+@query("VAL2", "SELECT doc_id, CAST(total AS DOUBLE) AS total, CAST(CASE WHEN is_object THEN n END AS DOUBLE) AS n_items, array_to_string(list_transform(faults, lambda f: f.path || ':' || f.kind), ',') AS faults FROM judged", PARSED)
 def typed(v):
+    """The typed values of payloads, and where and how they are not of the type they should have."""
     p = _judged(v)
-    return p.select("doc_id", F.col("p.total").cast("double").alias("total"), F.size("p.items").cast("double").alias("n_items"))
+    return p.select("doc_id", F.col("p.total").cast("double").alias("total"), F.size("p.items").cast("double").alias("n_items"), F.array_join(validate.fault_list(F.col("p")), ",").alias("faults"))
 
 
 @query("VAL3", "SELECT doc_id, prices_ok FROM judged WHERE is_object", PARSED)
@@ -58,12 +78,14 @@ def reconciliation(v):
     return reconciled(v).select("id", "error", *as_double("total_amount"))
 
 
-@query("VAL5", "SELECT doc_id, error IS NULL AS valid, error, is_object AS parsed FROM messages", PARSED)
+@query("VAL5", "SELECT doc_id, error IS NULL AS valid, error, array_to_string(errors, '; ') AS errors, is_object AS parsed, CAST(total AS DOUBLE) AS kept_total, CAST(CASE WHEN is_object THEN n END AS DOUBLE) AS kept_items FROM messages", PARSED)
 def partial(v):
-    return _judged(v).select("doc_id", F.col("error").isNull().alias("valid"), "error", F.col("p").isNotNull().alias("parsed"))
+    """Every payload with all that is wrong with it; what could be parsed of an invalid one is kept."""
+    kept = (F.col("p.total").cast("double").alias("kept_total"), F.size("p.items").cast("double").alias("kept_items"))
+    return _judged(v).select("doc_id", F.col("error").isNull().alias("valid"), "error", F.array_join("errors", "; ").alias("errors"), F.col("p").isNotNull().alias("parsed"), *kept)
 
 
-@query("VAL6", "SELECT doc_id, coalesce(is_object AND len(items) > 0 AND total IS NOT NULL, FALSE) AS meaningful FROM judged", PARSED)
+@query("VAL6", "SELECT doc_id, coalesce(is_object AND n > 0 AND total IS NOT NULL, FALSE) AS meaningful FROM judged", PARSED)
 def meaningful(v):
     return _judged(v).select("doc_id", validate.meaningful(F.col("p")).alias("meaningful"))
 
@@ -321,7 +343,7 @@ def collapsed(v):
 
 
 # ---- pipeline
-@query("ENR1", """SELECT doc_id, CASE WHEN error IS NULL AND is_object THEN '{"doc_id":' || doc_id || ',"n_items":' || len(items) || '}' END AS metadata FROM messages""", PARSED)
+@query("ENR1", """SELECT doc_id, CASE WHEN error IS NULL AND is_object THEN '{"doc_id":' || doc_id || ',"n_items":' || n || '}' END AS metadata FROM messages""", PARSED)
 def enrichment(v):
     meta = F.to_json(F.struct("doc_id", F.size("p.items").alias("n_items")))
     return _judged(v).select("doc_id", F.when(F.col("error").isNull() & F.col("p").isNotNull(), meta).alias("metadata"))
@@ -345,7 +367,7 @@ def status_resolution(v):
     return statuses(v).select("doc_id", "status")
 
 
-@query("PIP2", "SELECT doc_id, coalesce(error IS NULL AND is_object AND len(items) > 0 AND total IS NOT NULL, FALSE) AS success, error FROM messages", PARSED)
+@query("PIP2", "SELECT doc_id, coalesce(error IS NULL AND is_object AND n > 0 AND total IS NOT NULL, FALSE) AS success, error FROM messages", PARSED)
 def batch(v):
     return _judged(v).select("doc_id", (F.col("error").isNull() & validate.meaningful(F.col("p"))).alias("success"), "error")
 

@@ -26,11 +26,22 @@ MESSAGES = (
 )
 
 
+#: Parts of payloads with values of wrong types, by key: date, total and items in JSON, None for what is
+#: given. Some are right: a decimal as text, no items at all.
+FAULTY = (
+    (None, '"abc"', None), (None, "true", None), (None, '" 1_2.50 "', '[{"description":"tea","price":"12.5"}]'), (None, None, "5"), (None, None, "null"),
+    (None, None, '[{"price":1}]'), (None, None, '[{"description":5,"price":"1.50"},{"description":null,"price":1}]'),
+    (None, "1", '[{"description":"x","price":null},{"description":"y","price":true},7,null]'),
+    (None, '"Infinity"', '[{"description":"x","price":"1.x"},{"description":"y","price":"NaN"},{"description":"z","price":" 1_0.5 "}]'),
+    ("20240315", None, None), (None, "null", "[]"), ("null", "[1]", '[{"description":"x"},[],{"description":"y","price":-2}]'), ("{}", "1.23456", '[{"description":"x","price":1.2246}]'),
+)
+
+
 def money(c: Column) -> Column:
     return F.round(c, 2).cast("decimal(18,2)")
 
 
-def case(c: Column, table: dict[str, str]) -> Column:
+def case(c: Column, table: dict) -> Column:
     out = None
     for k, v in table.items():
         out = F.when(c == k, v) if out is None else out.when(c == k, v)
@@ -144,7 +155,10 @@ class Ledger:
         r = self.purchases.join(body, F.col("id") == F.col("receipt_id"), "left")
         total = F.when(k == 4, F.lit("null")).otherwise(F.coalesce(F.col("total_amount").cast("string"), F.lit("null")))
         usage = F.when(k != 6, F.concat(F.lit(',"_token_usage":{"input_tokens":'), F.col("input_tokens").cast("string"), F.lit(',"output_tokens":'), F.col("output_tokens").cast("string"), F.lit("}"))).otherwise("")
-        good = F.concat(F.lit(' {"date":"'), F.col("receipt_date").cast("string"), F.lit('","total":'), total, F.lit(',"items":['), F.coalesce("body", F.lit("")), F.lit("]"), usage, F.lit("}\n"))
+        given = (F.concat(F.lit('"'), F.col("receipt_date").cast("string"), F.lit('"')), total, F.concat(F.lit("["), F.coalesce("body", F.lit("")), F.lit("]")))
+        fault = F.when(k == 5, F.floor(F.col("id") / 7) % len(FAULTY))
+        date, total, items = (F.coalesce(case(fault, {i: parts[n] for i, parts in enumerate(FAULTY) if parts[n]}), g) for n, g in enumerate(given))
+        good = F.concat(F.lit(' {"date":'), date, F.lit(',"total":'), total, F.lit(',"items":'), items, usage, F.lit("}\n"))
         text = F.when(k == 0, "not valid json").when(k == 1, '["not","a","dict"]').when(k == 2, "  ").otherwise(good)
         return r.select(F.col("id").alias("doc_id"), text.alias("payload"))
 
