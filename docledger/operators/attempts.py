@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.quality import FALLBACK
+from .ordered import running_sum, scan
 
 #: Names of the rungs.
 SELF, FOCUSED, SECOND = "LLM_SELF_CORRECTION", "RAG_FOCUSED_CONTEXT", "OCR_FALLBACK"
@@ -47,5 +47,6 @@ def gate(attempts: DataFrame, least: float = 0.5, budget: int = 3) -> DataFrame:
     return attempts.groupBy("item_id").agg(F.min(F.when(fits, F.col("attempt"))).alias("attempt"))
 
 
-def numbered(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    return df.withColumn("attempt", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+def cumulative(attempts: DataFrame) -> DataFrame:
+    """Add ``tokens``: what an item has used up to and with each attempt."""
+    return scan(attempts, "item_id", ["attempt"], {"tokens": running_sum(F.col("input_tokens") + F.col("output_tokens"))})

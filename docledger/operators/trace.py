@@ -1,27 +1,24 @@
-"""Processing traces: counts, durations and invariants, as windows and aggregates."""
+"""Processing traces: counts, durations and invariants, as scans and aggregates."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ordered import following, previous, scan
 
 #: How many times a stage may run again.
 MOST = {"OCR": 3, "PARSE": 2, "PERSIST": 3}
 
 
-def by_run():
-    return Window.partitionBy("run_id").orderBy("seq")
-
-
 def stage_counts(trace: DataFrame) -> DataFrame:
     return trace.groupBy("run_id", "stage").agg(F.count(F.lit(1)).alias("attempts"), F.count_if(~F.col("success")).alias("failed"))
 
 
 def durations(trace: DataFrame) -> DataFrame:
-    """Milliseconds until the run's next event."""
-    ms = F.unix_micros(F.lead("ts").over(by_run())) - F.unix_micros("ts")
-    return trace.withColumn("duration_us", ms)
+    """Microseconds until the run's next event."""
+    after = scan(trace, "run_id", ["seq"], {"_after": following(F.col("ts"), ["seq"])})
+    return after.withColumn("duration_us", F.unix_micros("_after") - F.unix_micros("ts")).drop("_after")
 
 
 def over_budget(trace: DataFrame) -> DataFrame:
@@ -57,5 +54,5 @@ def retry_pattern(trace: DataFrame) -> DataFrame:
 
 def collapsed(trace: DataFrame) -> DataFrame:
     """Without events that repeat the stage before."""
-    before = F.lag("stage").over(by_run())
-    return trace.withColumn("_before", before).where("_before is null or _before <> stage").drop("_before")
+    before = scan(trace, "run_id", ["seq"], {"_before": previous(F.col("stage"), ["seq"])})
+    return before.where("_before is null or _before <> stage").drop("_before")

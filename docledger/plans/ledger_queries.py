@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.plain import floats
+from ..operators import attempts as tries
 from ..operators import dedupe
 from ..operators.relational import as_double, diff, first_by, keyed_update, of_user, page, partial_update, profile, union, unmatched, violations
 from ..sources.store import append, shared, snapshot
@@ -362,5 +362,4 @@ def plain(v):
 
 @query("WIN2", "SELECT item_id, attempt, CAST(sum(input_tokens + output_tokens) OVER (PARTITION BY item_id ORDER BY attempt) AS BIGINT) AS tokens FROM attempts")
 def cumulative(v):
-    over = Window.partitionBy("item_id").orderBy("attempt").rowsBetween(Window.unboundedPreceding, 0)
-    return v.attempts.select("item_id", "attempt", F.sum(F.col("input_tokens") + F.col("output_tokens")).over(over).alias("tokens"))
+    return tries.cumulative(v.attempts).select("item_id", "attempt", "tokens")

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.ordered import numbered, scan
+
 STATUS = {"F": "success", "O": "pending", "P": "failed"}
 STAGE = {"signup": "OCR", "view": "PARSE", "click": "VALIDATE", "purchase": "PERSIST", "error": "PARSE"}
 MODELS = ("gpt-4o-mini", "gpt-4o", "gpt-3.5-turbo", "mystery-1")
@@ -164,13 +166,13 @@ class Ledger:
 
     @cached_property
     def attempts(self) -> DataFrame:
-        c = self.table("conversations")
+        c = scan(self.table("conversations"), "conv_id", ["turn", "role", "text"], {"attempt": numbered()})
         n = F.col("conv_id") + F.col("turn")
         words = (F.char_length("text") - F.char_length(F.replace("text", F.lit(" "), F.lit(""))) + 1).cast("int")
         ok = n % 3 == 2
         return c.select(
             F.col("conv_id").alias("item_id"),
-            F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).alias("attempt"),
+            "attempt",
             ok.alias("success"),
             (n % 4 != 0).alias("parsed"),
             F.when(~ok, pick(n % 6, MESSAGES)).alias("error"),
@@ -184,14 +186,14 @@ class Ledger:
 
     @cached_property
     def trace(self) -> DataFrame:
-        e = self.table("events")
+        e = scan(self.table("events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", ["ts", "event_id"], {"seq": numbered()})
         return e.select(
             F.col("user_id").alias("run_id"),
-            F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("seq"),
+            "seq",
             case(F.col("event_type"), STAGE).alias("stage"),
             (F.col("event_type") != "error").alias("success"),
             (F.col("event_type") == "purchase").alias("terminal"),
-            F.col("ts").cast("timestamp").alias("ts"),
+            "ts",
         )
 
     @cached_property
