@@ -71,28 +71,3 @@ def comparison(a: Column, b: Column) -> dict[str, Column]:
         "common": common.cast("long"),
         "overlap": F.coalesce(F.try_divide(common * F.lit(100.0), most), F.lit(0.0)),
     }
-
-
-def joined_lines(fragments: Column) -> Column:
-    """Text of an array of struct<x, y, y_bottom, text>: fragments sorted by y belong to the current line
-    if they are within half an average height of the line's mean y; lines from top to bottom,
-    fragments of a line by x."""
-    tall = F.filter(F.transform(fragments, lambda f: f["y_bottom"] - f["y"]), lambda h: h > 0)
-    near = F.coalesce(F.try_divide(F.aggregate(tall, F.lit(0.0), lambda a, h: a + h), F.size(tall)), F.lit(20.0)) * 0.5
-    kind = "array<array<struct<x:double,text:string>>>"
-    start = F.struct(F.array().cast(kind).alias("done"), F.array().cast("array<struct<x:double,text:string>>").alias("line"), F.lit(0.0).alias("sum"))
-    ordered = F.array_sort(F.transform(fragments, lambda f: F.struct(f["y"].alias("y"), f["x"].alias("x"), f["text"].alias("text"))))
-
-    def step(acc, f):
-        n = F.size(acc["line"])
-        here = F.array(F.struct(f["x"].alias("x"), f["text"].alias("text")))
-        joins = (n > 0) & (F.abs(f["y"] - acc["sum"] / F.greatest(n, F.lit(1))) <= near)
-        first = n == 0
-        return F.struct(
-            F.when(joins | first, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["line"]))).alias("done"),
-            F.when(joins, F.concat(acc["line"], here)).otherwise(here).alias("line"),
-            F.when(joins, acc["sum"] + f["y"]).otherwise(f["y"]).alias("sum"),
-        )
-
-    lines = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["done"], F.array(acc["line"])))
-    return F.array_join(F.transform(lines, lambda line: F.array_join(F.transform(F.array_sort(line), lambda f: f["text"]), " ")), "\n")

@@ -56,4 +56,4 @@ pricing AS (SELECT * FROM (VALUES ('GPT_4O_MINI', 'gpt-4o-mini', CAST(0.15 AS DO
 
 def sql(query: str, more: str = "") -> str:
     """``query`` over the views; ``more``: further views that it needs."""
-    return f"WITH {VIEWS.strip()}{', ' + more if more else ''}\n{query}"
+    return f"WITH RECURSIVE {VIEWS.strip()}{', ' + more if more else ''}\n{query}"

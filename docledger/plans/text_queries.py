@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fields, quality, text
+from ..operators import layout
 from .registry import query
 
 TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')".format
@@ -57,14 +58,14 @@ def keyword_repairs(v):
 def _fragments(v):
     lines = v.slips.where("text is not null").select("doc_id", F.posexplode(F.split(T(), "\n")).alias("row", "line"))
     words = lines.select("doc_id", "row", F.posexplode(F.split("line", " ")).alias("col", "text"))
-    y = (F.col("row") * 24 + F.col("col") % 3 * 2).cast("double")
+    y = (F.col("row") * 10 + F.col("col") % 3 * 3 - F.col("row") % 2).cast("double")
     conf = (F.col("doc_id") * 7 + F.col("row") * 3 + F.col("col") * 5) % 10 / 10.0
-    return words.select("doc_id", "row", "col", (F.col("col") * 50.0).alias("x"), y.alias("y"), (y + 16).alias("y_bottom"), "text", conf.alias("confidence"))
+    return words.select("doc_id", "row", "col", (F.col("col") * 50.0).alias("x"), y.alias("y"), (y + 12 + F.col("doc_id") % 9).alias("y_bottom"), "text", conf.alias("confidence"))
 
 
 FRAGMENTS = r"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS "row" FROM slips),
 frags AS (SELECT doc_id, "row", unnest(string_split(line, ' ')) AS text, generate_subscripts(string_split(line, ' '), 1) - 1 AS col FROM lines),
-fragments AS (SELECT doc_id, "row", col, text, ((doc_id * 7 + "row" * 3 + col * 5) % 10) / CAST(10 AS DOUBLE) AS confidence FROM frags)"""
+fragments AS (SELECT doc_id, "row", col, text, col * CAST(50 AS DOUBLE) AS x, CAST("row" * 10 + col % 3 * 3 - "row" % 2 AS DOUBLE) AS y, CAST(12 + doc_id % 9 AS DOUBLE) AS height, ((doc_id * 7 + "row" * 3 + col * 5) % 10) / CAST(10 AS DOUBLE) AS confidence FROM frags)"""
 
 
 @query("TXT6", r"""SELECT doc_id, CAST("row" AS INTEGER) AS "row", CAST(col AS INTEGER) AS col, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM fragments WHERE confidence >= 0.7 AND regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''""", FRAGMENTS)
@@ -73,11 +74,17 @@ def fragment_filter(v):
     return f.where("confidence >= 0.7 and text <> ''").select("doc_id", "row", "col", "text")
 
 
-@query("TXT7")
+#: The fold over a page's fragments, all pages at once: the k-th fragment joins the line of the one before or starts another.
+FOLDED = FRAGMENTS + r""", sorted AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y, "row", col) AS k, avg(height) OVER (PARTITION BY doc_id) / 2 AS near FROM fragments WHERE text <> ''),
+folded AS (SELECT doc_id, k, 1 AS line, y AS total, 1 AS n FROM sorted WHERE k = 1 UNION ALL
+  SELECT s.doc_id, s.k, f.line + CASE WHEN abs(s.y - f.total / f.n) <= near THEN 0 ELSE 1 END, CASE WHEN abs(s.y - f.total / f.n) <= near THEN f.total + s.y ELSE s.y END, CASE WHEN abs(s.y - f.total / f.n) <= near THEN f.n + 1 ELSE 1 END
+  FROM folded f JOIN sorted s ON s.doc_id = f.doc_id AND s.k = f.k + 1),
+page_lines AS (SELECT doc_id, line, string_agg(text, ' ' ORDER BY x, k) AS text FROM folded JOIN sorted USING (doc_id, k) GROUP BY 1, 2)"""
+
+
+@query("TXT7", "SELECT s.doc_id, coalesce(string_agg(l.text, chr(10) ORDER BY line), '') AS text FROM slips s LEFT JOIN page_lines l USING (doc_id) WHERE s.text IS NOT NULL GROUP BY 1", FOLDED)
 def line_reconstruction(v):
-    """No SQL form: the fold over fragments depends on its own running mean."""
-    f = _fragments(v).where("confidence >= 0.2").groupBy("doc_id")
-    return f.agg(F.collect_list(F.struct("x", "y", "y_bottom", "text")).alias("f")).select("doc_id", text.joined_lines(F.col("f")).alias("text"))
+    return layout.reconstructed(_fragments(v), ["row", "col"])
 
 
 @query("TXT8", r"""SELECT doc_id, array_to_string(CASE WHEN len(hits) > 0 THEN hits WHEN len(l) > 6 THEN list_concat(l[1:3], l[-3:]) ELSE l END, chr(10)) AS context

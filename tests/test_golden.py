@@ -1,10 +1,12 @@
 """Golden rows for scores, extraction, validation, severity, costs and line reconstruction."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from docledger.functions import fields, quality, text, validate
-from docledger.operators import attempts, stage, trace, usage
+from docledger.operators import attempts, layout, stage, trace, usage
 from docledger.sources import files
 
 
@@ -23,7 +25,7 @@ SLIP = "GROCERY\nAPPLES 3.99\nBREAD 2.50\nMILK 4.49\nEGGS 3.00\nJAM 2.00\nTEA 1.
 
 @pytest.mark.parametrize(
     ("t", "low", "high"),
-    [(SLIP, 0.6, 1.0), ("", 0.0, 0.0), ("%% ~~ 77 {{ 0 0 }} ;; ^^ 31", 0.0, 0.3), ("TOTAL $5.99", 0.2, 0.7), ("STORE\nITEM $4.99\nTOTAL $4.99", 0.4, 0.9)],
+    [(SLIP, 0.6, 1.0), ("", 0.0, 0.0), ("%% ~~ 77 {{ 0 0 }} ;; ^^ 31", 0.0, 0.3), ("TOTAL $5.99", 0.2, 0.7), ("CORNER SHOP\nPLUMS $4.99\nTOTAL $4.99", 0.4, 0.9)],
 )
 def test_quality(spark, t, low, high):
     assert low <= value(spark, quality.score(T), t=t) <= high
@@ -37,7 +39,7 @@ def test_quality_never_reaches_one(spark):
 
 @pytest.mark.parametrize(
     ("t", "total"),
-    [("STORE\nItem $5.00\nTotal: $15.99", 15.99), ("", None), ("SUBTOTAL 15.72\nTOTAL 16.98", 15.72), ("TOTAL 37,83", 3783.0), ("1,234.56 TOTAL", 1234.56), ("12,50 TOTAL", 12.5), ("BALANCE: 7,10", 7.1)],
+    [("Corner shop\nPlums $5.00\nTotal: $15.99", 15.99), ("", None), ("SUBTOTAL 15.72\nTOTAL 16.98", 15.72), ("TOTAL 37,83", 3783.0), ("1,234.56 TOTAL", 1234.56), ("12,50 TOTAL", 12.5), ("BALANCE: 7,10", 7.1)],
 )
 def test_total(spark, t, total):
     assert value(spark, fields.total_amount(T), t=t) == total
@@ -93,10 +95,41 @@ def test_word_correction(spark):
     assert value(spark, text.corrected(T), t="$12.50SO") == "$12.5050"
 
 
+FRAGMENT = "doc_id long, x double, y double, y_bottom double, text string, n int"
+
+
 def test_lines(spark):
-    frags = spark.createDataFrame([([(60.0, 101.0, 117.0, "9.99"), (10.0, 130.0, 146.0, "end"), (5.0, 100.0, 116.0, "Milk")],)], "f array<struct<x:double,y:double,y_bottom:double,text:string>>")
-    assert frags.select(text.joined_lines(F.col("f")).alias("v")).first()["v"] == "Milk 9.99\nend"
-    assert frags.select(text.joined_lines(F.filter("f", lambda x: F.lit(False))).alias("v")).first()["v"] == ""
+    rows = [(60.0, 101.0, 117.0, "9.99"), (10.0, 130.0, 146.0, "end"), (5.0, 100.0, 116.0, "Milk")]
+    frags = spark.createDataFrame([(1, *r, k) for k, r in enumerate(rows)] + [(2, 1.0, 1.0, 2.0, "", 0), (2, 1.0, 1.0, 2.0, None, 1), (None, None, None, None, "b", 0), (None, -1.0, 9.0, None, "a", 0), (None, 0.0, 30.0, None, "c", 0)], FRAGMENT)
+    assert {r["doc_id"]: r["text"] for r in layout.reconstructed(frags, ["n"]).collect()} == {1: "Milk 9.99\nend", 2: "", None: "a b\nc"}
+    assert layout.reconstructed(frags.limit(0), ["n"]).collect() == []
+
+
+def folded(fragments):
+    """The lines of a page by a plain fold; fragments: x, y, height, text."""
+    fragments = [f for f in fragments if f[3]]
+    near = sum(f[2] for f in fragments) / max(1, len(fragments)) / 2
+    lines = []
+    for f in sorted(fragments, key=lambda f: f[1]):
+        if lines and abs(f[1] - sum(g[1] for g in lines[-1]) / len(lines[-1])) <= near:
+            lines[-1].append(f)
+        else:
+            lines.append([f])
+    return "\n".join(" ".join(f[3] for f in sorted(line, key=lambda f: f[0])) for line in lines)
+
+
+def test_lines_against_a_plain_fold(spark):
+    """Pages of many shapes, one of them with most fragments, over several batches."""
+    rng = random.Random(6)
+    pages = {d: [(float(rng.randint(0, 9)), float(rng.randint(0, 3 * d % 71 + 1)), float(rng.randint(1, 6)), rng.choice(["", *"abcdef"])) for _ in range(4000 if d == 3 else rng.randint(1, 60))] for d in range(120)}
+    rows = [(d, x, y, y + rng.choice([-1, 1]) * h, t, k) for d, page in pages.items() for k, (x, y, h, t) in enumerate(page)]
+    found = {}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        found = {r["doc_id"]: r["text"] for r in layout.reconstructed(spark.createDataFrame(rows, FRAGMENT), ["n"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == {d: folded(page) for d, page in pages.items()}
 
 
 @pytest.mark.parametrize(("model", "cost"), [("gpt-4o-mini", 0.45), ("gpt-4o", 7.5), ("gpt-3.5-turbo", 0.45), ("nothing", 0.45)])
