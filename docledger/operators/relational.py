@@ -69,17 +69,5 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def diff(actual: DataFrame, expected: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """key, field, kind (missing, unexpected, value), actual, expected: one row per difference,
-    null-safe; texts stand for values."""
-    a = actual.select(F.col(key).alias("ka"), *[F.col(c).cast("string").alias(f"a_{c}") for c in columns])
-    e = expected.select(F.col(key).alias("ke"), *[F.col(c).cast("string").alias(f"e_{c}") for c in columns])
-    both = a.join(e, F.col("ka") == F.col("ke"), "full_outer")
-    fields = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"a_{c}").alias("actual"), F.col(f"e_{c}").alias("expected")) for c in columns])
-    kind = F.when(F.col("ka").isNull(), "missing").when(F.col("ke").isNull(), "unexpected")
-    found = both.select(F.coalesce("ka", "ke").alias(key), kind.alias("whole"), F.explode(fields).alias("f"))
-    return found.where(F.col("whole").isNotNull() | ~F.col("f.actual").eqNullSafe(F.col("f.expected"))).select(key, "f.field", F.coalesce("whole", F.lit("value")).alias("kind"), "f.actual", "f.expected")
-
-
 def as_double(*names: str) -> list[Column]:
     return [F.col(n).cast("double").alias(n) for n in names]

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.plain import floats
 from ..operators import attempts as tries
 from ..operators import dedupe
-from ..operators.relational import as_double, diff, first_by, keyed_update, of_user, page, partial_update, profile, union, unmatched, violations
+from ..operators.differences import against
+from ..operators.relational import as_double, first_by, keyed_update, of_user, page, partial_update, profile, union, unmatched, violations
 from ..sources.store import append, shared, snapshot
 from .registry import query
 
@@ -85,21 +86,51 @@ def orphans(v):
     return v.items.join(kept, "receipt_id", "left_anti").select("receipt_id", "line_number")
 
 
-def _snapshot(r):
-    money = F.round(F.col("total_amount").cast("double"), 2)
-    return r.select("id", "merchant_name", F.date_format("receipt_date", "yyyy-MM-dd").alias("receipt_date"), money.alias("total_amount"), "retry_count")
+def _records(v):
+    """Purchases with their lines' numbers and quantities, as nested records."""
+    line = F.struct(F.col("l_linenumber").cast("int").alias("n"), F.col("l_quantity").cast("int").alias("quantity"))
+    lines = v.table("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    return v.headers.select("id", "status", "retry_count", "user_id", F.col("input_tokens").alias("tokens"), F.col("output_tokens").cast("string").alias("out")).join(lines, "id")
+
+
+#: Both sides of the comparison in SQL: changed by key, and compared by hand.
+RECORDS = """lines AS (SELECT l_orderkey AS id, list({'n': CAST(l_linenumber AS INTEGER), 'quantity': CAST(l_quantity AS INTEGER)} ORDER BY l_linenumber, l_quantity) AS lines FROM lineitem GROUP BY 1),
+records AS (SELECT p.id, status, retry_count, user_id, input_tokens AS tokens, CAST(output_tokens AS VARCHAR) AS out, lines FROM purchases p JOIN lines USING (id)),
+actual AS (SELECT * FROM records WHERE id % 11 <> 0),
+expected AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'other' ELSE status END AS status, CASE WHEN id % 7 <> 0 THEN retry_count END AS retry_count, user_id + 1 AS user_id, CASE WHEN id % 3 = 0 THEN output_tokens END AS out_number,
+  CASE id % 4 WHEN 0 THEN list_reverse(lines) WHEN 1 THEN lines[1:-2] WHEN 2 THEN list_transform(lines, lambda x: {'n': x.n, 'quantity': CASE WHEN x.n = 2 THEN x.quantity + 1 ELSE x.quantity END}) ELSE lines END AS lines FROM records r JOIN (SELECT id, output_tokens FROM purchases) USING (id) WHERE id % 13 <> 0),
+both_sides AS (SELECT a.*, e.status AS e_status, e.retry_count AS e_retry_count, e.out_number, e.lines AS e_lines FROM actual a JOIN expected e USING (id)),
+ordered_lines AS (SELECT id, lines AS a, e_lines AS e, 'lines' AS name FROM both_sides),
+unordered_lines AS (SELECT id, list_transform(list_sort(list_transform(lines, lambda x: {'k': '{"n":' || x.n || ',"quantity":' || x.quantity || '}', 'x': x})), lambda y: y.x) AS a, list_transform(list_sort(list_transform(e_lines, lambda x: {'k': '{"n":' || x.n || ',"quantity":' || x.quantity || '}', 'x': x})), lambda y: y.x) AS e, 'any' AS name FROM both_sides),
+listed AS (SELECT * FROM ordered_lines UNION ALL SELECT * FROM unordered_lines),
+entries AS (SELECT id, name, i - 1 AS i, a[i] AS a, e[i] AS e FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM listed WHERE len(a) = len(e)))"""
 
 
 @query(
     "JN6",
-    """SELECT coalesce(a.id, e.id) AS id, f.field, CASE WHEN a.id IS NULL THEN 'missing' WHEN e.id IS NULL THEN 'unexpected' ELSE 'value' END AS kind, f.actual, f.expected
-    FROM (SELECT * FROM purchases WHERE id % 11 <> 0) a FULL JOIN (SELECT id, CASE WHEN id % 5 = 0 THEN 'other' ELSE merchant_name END AS merchant_name, CASE WHEN id % 7 = 0 THEN NULL ELSE retry_count END AS retry_count FROM purchases WHERE id % 13 <> 0) e ON a.id = e.id,
-    LATERAL (VALUES ('merchant_name', a.merchant_name, e.merchant_name), ('retry_count', CAST(a.retry_count AS VARCHAR), CAST(e.retry_count AS VARCHAR))) AS f(field, actual, expected)
-    WHERE a.id IS NULL OR e.id IS NULL OR f.actual IS DISTINCT FROM f.expected""",
+    """SELECT id, '' AS field, 'missing' AS kind, NULL AS actual, NULL AS expected FROM expected WHERE id NOT IN (SELECT id FROM actual) UNION ALL SELECT id, '', 'unexpected', NULL, NULL FROM actual WHERE id NOT IN (SELECT id FROM expected)
+    UNION ALL SELECT id, 'status', CASE WHEN status IS NULL OR e_status IS NULL THEN 'type' ELSE 'value' END, CASE WHEN e_status IS NULL THEN 'text' WHEN status IS NULL THEN 'null' ELSE status END, CASE WHEN status IS NULL THEN 'text' WHEN e_status IS NULL THEN 'null' ELSE e_status END FROM both_sides WHERE status IS DISTINCT FROM e_status
+    UNION ALL SELECT id, 'retry_count', 'type', 'int', 'null' FROM both_sides WHERE e_retry_count IS NULL
+    UNION ALL SELECT id, 'tokens', 'unexpected', CAST(tokens AS VARCHAR), NULL FROM both_sides UNION ALL SELECT id, 'total', 'missing', NULL, CAST(tokens AS VARCHAR) FROM both_sides
+    UNION ALL SELECT id, 'out', 'type', 'text', CASE WHEN out_number IS NULL THEN 'null' ELSE 'int' END FROM both_sides
+    UNION ALL SELECT id, name, 'length', CAST(len(a) AS VARCHAR), CAST(len(e) AS VARCHAR) FROM listed WHERE len(a) <> len(e)
+    UNION ALL SELECT id, name || '[' || i || '].n', 'value', CAST(a.n AS VARCHAR), CAST(e.n AS VARCHAR) FROM entries WHERE a.n <> e.n
+    UNION ALL SELECT id, name || '[' || i || '].quantity', 'value', CAST(a.quantity AS VARCHAR), CAST(e.quantity AS VARCHAR) FROM entries WHERE a.quantity <> e.quantity""",
+    RECORDS,
 )
 def differences(v):
-    expected = v.purchases.where("id % 13 <> 0").withColumns({"merchant_name": F.when(F.col("id") % 5 == 0, "other").otherwise(F.col("merchant_name")), "retry_count": F.when(F.col("id") % 7 != 0, F.col("retry_count"))})
-    return diff(v.purchases.where("id % 11 <> 0"), expected, "id", ["merchant_name", "retry_count"])
+    """Records against a snapshot, which the first comparison writes: other, missing and extra values, types, lengths and
+    fields; one field is ignored, and the same list is taken with and without its order."""
+    k, lines = F.col("id"), F.col("lines")
+    second = F.transform(lines, lambda x: F.struct(x["n"].alias("n"), F.when(x["n"] == 2, x["quantity"] + 1).otherwise(x["quantity"]).alias("quantity")))
+    changed = F.when(k % 4 == 0, F.reverse(lines)).when(k % 4 == 1, F.slice(lines, 1, F.size(lines) - 1)).when(k % 4 == 2, second).otherwise(lines)
+    expected = _records(v).where("id % 13 <> 0").select(
+        "id", F.when(k % 5 == 0, "other").otherwise(F.col("status")).alias("status"), F.when(k % 7 != 0, F.col("retry_count")).alias("retry_count"), (F.col("user_id") + 1).alias("user_id"),
+        F.when(k % 3 == 0, F.col("out").cast("int")).alias("out"), changed.alias("lines"), changed.alias("any"), F.col("tokens").alias("total"),
+    )
+    path, actual = shared(v.spark, "expected"), _records(v).where("id % 11 <> 0").withColumn("any", lines)
+    against(expected, path, "id")
+    return against(actual, path, "id", ignored=("user_id",), unordered=("any",))
 
 
 @query("JN7", "SELECT receipt_id, string_agg(description || '=' || printf('%.2f', CAST(total_price AS DOUBLE)), ',' ORDER BY description, total_price) AS items FROM items GROUP BY 1")

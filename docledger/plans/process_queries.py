@@ -372,10 +372,18 @@ def batch(v):
     return _judged(v).select("doc_id", (F.col("error").isNull() & validate.meaningful(F.col("p"))).alias("success"), "error")
 
 
-@query("HSH4")
+@query(
+    "HSH4",
+    """SELECT id, sha256('{"date":' || coalesce('"' || receipt_date || '"', '"None"') || ',"lines":' || coalesce(lines, '"None"') || ',"merchant":' || coalesce('[' || array_to_string(list_sort(list_transform(string_split(merchant_name, ' '), lambda w: '"' || replace(w, '"', chr(92) || '"') || '"')), ',') || ']', '"None"')
+    || ',"run":{"late":' || CASE WHEN retry_count > 1 THEN 'true' ELSE 'false' END || ',"marks":[' || CASE WHEN retry_count > 1 THEN '"2","True"' WHEN retry_count = 1 THEN '"1","False"' ELSE '"0","False"' END || '],"paid":{"cost":"' || estimated_cost || '","tokens":' || input_tokens || '}},"total":' || coalesce('"' || total_amount || '"', '"None"') || '}') AS digest
+    FROM purchases LEFT JOIN (SELECT receipt_id, '[' || string_agg('{"n":' || line_number || ',"price":"' || total_price || '"}', ',' ORDER BY line_number) || ']' AS lines FROM items GROUP BY 1) ON receipt_id = id""",
+)
 def generic_digest(v):
-    """Digest of a record whose keys are ordered and whose scalar lists are sorted. No SQL form:
-    the digest is over Spark's JSON."""
-    words = F.sort_array(F.array_distinct(F.split("merchant_name", " ")))
-    record = hashing.canonical_json(("total", F.col("total_amount").cast("double")), ("merchant", words), ("date", F.col("receipt_date").cast("string")), ("retries", F.col("retry_count")))
-    return v.purchases.select("id", F.sha2(record, 256).alias("digest"))
+    """Digest of nested records: keys in order, lists of scalars sorted as texts, lists of records as they are."""
+    line = F.struct("line_number", F.struct(F.col("total_price").alias("price"), F.col("line_number").alias("n")).alias("line"))
+    lines = v.items.groupBy(F.col("receipt_id").alias("id")).agg(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["line"]).alias("lines"))
+    late = F.col("retry_count") > 1
+    run = F.struct(late.alias("late"), F.array(F.when(late, "True").otherwise("False"), F.col("retry_count").cast("string")).alias("marks"), F.struct(F.col("input_tokens").alias("tokens"), F.col("estimated_cost").alias("cost")).alias("paid"))
+    record = F.struct(F.col("total_amount").alias("total"), F.split("merchant_name", " ").alias("merchant"), F.col("receipt_date").alias("date"), "lines", run.alias("run"))
+    r = v.purchases.join(lines, "id", "left").select("id", record.alias("r"))
+    return r.select("id", hashing.generic_digest(F.col("r"), r.schema["r"].dataType).alias("digest"))

@@ -14,7 +14,7 @@ def scan(spark: SparkSession, path: str | list[str], extensions: tuple[str, ...]
     """path, name, extension, length, modificationTime, content of files by extension in any case, in
     the order of their paths. Paths that do not exist are skipped: if none does, there are no rows. What is
     not selected is not read: without ``content`` only the listing is."""
-    there = [p for p in ([path] if isinstance(path, str) else path) if _exists(spark, p)]
+    there = [p for p in ([path] if isinstance(path, str) else path) if exists(spark, p)]
     if there:
         found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(there)
     else:
@@ -24,7 +24,7 @@ def scan(spark: SparkSession, path: str | list[str], extensions: tuple[str, ...]
     return found.select("path", name.alias("name"), extension.alias("extension"), "length", "modificationTime", "content").where(F.col("extension").isin(*extensions)).orderBy("path")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
