@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..sources.store import append, snapshot
+from ..sources.store import Keyed, snapshot
 
 
 def first_per_key(ledger: DataFrame, key: str) -> DataFrame:
@@ -54,10 +53,11 @@ def save(batch: DataFrame, ledger: DataFrame) -> DataFrame:
     return created.unionByName(known)
 
 
-def insert(batch: DataFrame, path: str) -> DataFrame:
-    """``save`` against the ledger at ``path``, to which the created rows are added; the tags, written."""
-    saved = snapshot(save(batch, batch.sparkSession.read.schema(batch.schema).parquet(path)), "saved")
-    append(batch.join(saved.where("tag = 'created'").select("id"), "id", "left_semi"), path)
+def insert(batch: DataFrame, ledger: Keyed) -> DataFrame:
+    """``save`` against a ledger by user, of which only the users' buckets are read; the created rows are added. The tags,
+    written."""
+    saved = snapshot(save(batch, ledger.of(batch)), "saved")
+    ledger.append(batch.join(saved.where("tag = 'created'").select("id"), "id", "left_semi"))
     return saved
 
 
@@ -80,6 +80,7 @@ def write_metrics(saved: DataFrame, violations: DataFrame) -> DataFrame:
 
 
 def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The first row of each key: a rebuild that skips rows which collide."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    """The first row of each key: a rebuild that skips rows which collide. Sums up map-side, so a hot key is no
+    hot task."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_row")).select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fields
+from ..sources.store import Keyed
 
 SCHEMA = "doc_id long, payload string, input_tokens int, output_tokens int, error string"
 Extractor = Callable[[str], tuple[str, int, int]]
@@ -32,6 +36,49 @@ def run(texts: DataFrame, make: Callable[[], Extractor]) -> DataFrame:
     return texts.select("doc_id", "text").mapInPandas(each, SCHEMA)
 
 
+def results(spark: SparkSession, path: str) -> Keyed:
+    """The table of answers at ``path``, by text."""
+    return Keyed(spark, path, ("doc_id",), spark.createDataFrame([], SCHEMA).schema)
+
+
+def landed(texts: DataFrame, make: Callable[[], Extractor], table: Keyed) -> DataFrame:
+    """``run`` on the texts that have no answer in ``table`` yet; the answers to all of ``texts``.
+
+    Answers are written once, as one job: a run that breaks off writes none and may send its texts again; after that no
+    text is sent again, also none that failed (delete its answer to try it anew). Texts without an id have no
+    answer."""
+    asked = texts.where("doc_id is not null").dropDuplicates(["doc_id"])
+    table.append(run(table.missing(asked), make))
+    return table.of(asked).drop("bucket").join(asked.select("doc_id"), "doc_id", "left_semi")
+
+
+def patterns() -> Extractor:
+    """An extractor without a model: total and items by the patterns of ``fields``."""
+    flags = re.ASCII | re.IGNORECASE
+    plain, european, last = ([re.compile(p, flags) for p in group] for group in (fields.PLAIN_TOTALS, fields.EUROPEAN_TOTALS, fields.LAST_TOTALS))
+    lines = [(re.compile(fields.ITEM, re.ASCII), 2), (re.compile(fields.ITEM_DOLLAR, re.ASCII), 2), (re.compile(fields.ITEM_MARK, flags), 2), (re.compile(fields.ITEM_SPLIT, re.ASCII), 3)]
+
+    def total(text: str) -> float | None:
+        for p in (*plain, *european, *last):
+            if m := p.search(text):
+                x = m[1].replace(",", "") if p not in european else m[1] if "." in m[1] else m[1].replace(",", ".")
+                with suppress(ValueError):  # then the next pattern is tried
+                    return float(x)
+        return None
+
+    def extract(text: str) -> tuple[str, int, int]:
+        items = []
+        for line in text.split("\n"):
+            for p, price in lines:
+                if m := p.search(line.strip()):
+                    items.append({"description": m[1], "price": float(m[price])})
+                    break
+        payload = json.dumps({"total": total(text), "items": items}, ensure_ascii=False)
+        return payload, len(text.split()), len(payload.split())
+
+    return extract
+
+
 def by_rules(texts: DataFrame) -> DataFrame:
     """The columns of ``run`` from the field expressions alone: a payload without a model."""
     words = lambda c: F.size(F.array_remove(F.split(c, r"\s+"), ""))

@@ -9,6 +9,7 @@ from ..sources import files
 from ..sources.store import shared
 from ..streaming import ingest
 from .registry import query
+from .text_queries import LINES, TOTAL
 
 
 @query("SRC1")
@@ -38,23 +39,29 @@ def file_digest(v):
 @query("STR1", "SELECT sha256(CAST(o_orderkey % 5000 AS VARCHAR)) AS hash, min(o_orderkey) AS id FROM orders GROUP BY 1")
 def incremental(v):
     """Orders as they arrive, saved once per hash; the job runs twice and the second run adds nothing."""
-    ledger, checkpoint = shared(v.spark, "ledger"), shared(v.spark, "stream")
+    rows = lambda: ingest.read_stream(v.spark, f"{v.sf_dir}/orders.parquet").select(F.sha2((F.col("o_orderkey") % 5000).cast("string"), 256).alias("hash"), F.col("o_orderkey").alias("id"))
+    table, checkpoint = ingest.ledger(v.spark, shared(v.spark, "ledger"), ("hash",), rows().schema), shared(v.spark, "stream")
     for _ in range(2):
-        rows = ingest.read_stream(v.spark, f"{v.sf_dir}/orders.parquet").select(F.sha2((F.col("o_orderkey") % 5000).cast("string"), 256).alias("hash"), F.col("o_orderkey").alias("id"))
-        ingest.ingest(rows, ledger, checkpoint, ["hash"], "id")
-    return v.spark.read.parquet(ledger).select("hash", "id")
+        ingest.ingest(rows(), table, checkpoint, "id")
+    return table.rows().select("hash", "id")
 
 
 @query("STR2", "SELECT DISTINCT user_id, event_type FROM events")
 def suppression(v):
-    out, checkpoint = shared(v.spark, "events"), shared(v.spark, "stream")
+    """Kinds of events by user, once: within an hour by state, for good by the ledger."""
     rows = ingest.read_stream(v.spark, f"{v.sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
-    ingest.distinct_stream(rows, "ts", "400 days", ["user_id", "event_type"], out, checkpoint)
-    return v.spark.read.parquet(out).select("user_id", "event_type")
+    table = ingest.ledger(v.spark, shared(v.spark, "events"), ("user_id", "event_type"), rows.schema)
+    ingest.ingest(ingest.suppressed(rows, "ts", "1 hour", ["user_id", "event_type"]), table, shared(v.spark, "stream"), "ts")
+    return table.rows().select("user_id", "event_type")
 
 
-@query("UDF1")
+@query("UDF1", f"SELECT s.doc_id, {TOTAL} AS total, n AS n_items, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS input_tokens, CAST(1 AS BIGINT) AS sent, TRUE AS success FROM slips s JOIN (SELECT doc_id, count(description) AS n FROM found GROUP BY 1) USING (doc_id)", LINES)
 def model_stage(v):
-    r = stage.by_rules(v.slips)
-    total = F.get_json_object("payload", "$.total").try_cast("double")
-    return r.select("doc_id", total.alias("total"), "input_tokens", "output_tokens", F.col("error").isNull().alias("success"))
+    """The stage with an extractor of patterns; it runs twice, and the second run finds all texts answered."""
+    table = stage.results(v.spark, shared(v.spark, "answers"))
+    for _ in range(2):
+        r = stage.landed(v.slips, stage.patterns, table)
+    total, items = F.get_json_object("payload", "$.total").try_cast("double"), F.from_json(F.get_json_object("payload", "$.items"), "array<string>")
+    counts = r.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sent"))
+    shown = r.select("doc_id", total.alias("total"), F.size(items).cast("long").alias("n_items"), F.col("input_tokens").cast("long").alias("input_tokens"), F.col("error").isNull().alias("success"))
+    return shown.join(counts, "doc_id")

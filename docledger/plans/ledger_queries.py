@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.plain import floats
 from ..operators import attempts as tries
-from ..operators import dedupe
+from ..operators import dedupe, updates
 from ..operators.differences import against
-from ..operators.relational import as_double, first_by, keyed_update, of_user, page, partial_update, profile, union, unmatched, violations
-from ..sources.store import append, shared, snapshot
+from ..operators.relational import as_double, first_by, of_user, page, profile, union, unmatched, violations
+from ..sources.store import Keyed, append, shared, snapshot
 from .registry import query
 
 USER = 1
@@ -258,8 +258,8 @@ saved AS (SELECT id, data_first AS result_id, CASE WHEN id = data_first THEN 'cr
 def idempotent_insert(v):
     """The batch goes into a ledger that has every fifth row; the tags of its rows."""
     batch, old = _split(v)
-    ledger = shared(v.spark, "ledger")
-    append(old, ledger)
+    ledger = Keyed(v.spark, shared(v.spark, "ledger"), ("user_id",), old.schema)
+    ledger.append(old)
     return dedupe.insert(batch, ledger)
 
 
@@ -305,11 +305,19 @@ def pending(v):
     return append(rows, shared(v.spark, "pending"))
 
 
-@query("SNK3", "SELECT id, CASE WHEN id % 9 = 0 THEN 'failed' ELSE status END AS status, CASE WHEN id % 9 = 0 THEN 'error ' || id END AS error FROM purchases")
+def _table(v, name, keys, rows):
+    """``rows``, written as a keyed table."""
+    table = Keyed(v.spark, shared(v.spark, name), keys, rows.schema)
+    table.append(rows)
+    return table
+
+
+@query("SNK3", "SELECT id, CASE WHEN id % 9 = 0 THEN 'failed' ELSE status END AS status, CASE WHEN id % 9 = 0 THEN 'error ' || id END AS error, CAST(CASE WHEN id % 9 = 0 THEN epoch_ms(started_at + INTERVAL 5 SECOND) ELSE epoch_ms(completed_at) END AS DOUBLE) AS completed_ms FROM purchases")
 def mark_failed(v):
-    table = v.headers.select("id", "status", F.lit(None).cast("string").alias("error"))
-    updates = v.headers.where("id % 9 = 0").select("id", F.lit("failed").alias("status"), F.concat(F.lit("error "), F.col("id").cast("string")).alias("error"))
-    return snapshot(keyed_update(table, updates, ["id"], ["status", "error"]), "failed")
+    table = _table(v, "failed", ("id",), v.headers.select("id", "status", F.lit(None).cast("string").alias("error"), "completed_at"))
+    late = F.timestamp_seconds(F.unix_seconds("started_at") + 5)
+    updates.fail(table, v.headers.where("id % 9 = 0").select("id", F.concat(F.lit("error "), F.col("id").cast("string")).alias("error"), late.alias("completed_at")))
+    return table.rows().select("id", "status", "error", F.unix_millis("completed_at").cast("double").alias("completed_ms"))
 
 
 CONTENT = ("total_amount", "receipt_date", "merchant_name", "input_tokens", "output_tokens", "estimated_cost", "data_hash")
@@ -323,15 +331,16 @@ def mark_success(v):
     """What was parsed goes into rows of the same id and user; updates without such a row come out as missing."""
     parsed = v.hashed.select("id", "user_id", "status", *CONTENT)
     table = parsed.select("id", "user_id", "status", *[F.when(F.col("status") == "success", F.col(c)).alias(c) for c in CONTENT])
-    updates = parsed.where("id % 8 = 0 and user_id % 2 = 0").withColumn("status", F.lit("success"))
+    good = parsed.where("id % 8 = 0 and user_id % 2 = 0").withColumn("status", F.lit("success"))
     lost = parsed.where("id % 1000 = 0").withColumns({"id": -1 - F.col("id"), "status": F.lit("success")})
 
     def shown(rows, missing):
         counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("input_tokens", "output_tokens")]
         return rows.select("id", "status", *as_double("total_amount", "estimated_cost"), F.date_format("receipt_date", "yyyy-MM-dd").alias("receipt_date"), "merchant_name", *counts, "data_hash", F.lit(missing).alias("missing"))
 
-    done = snapshot(keyed_update(table, updates, ["id", "user_id"], ["status", *CONTENT]), "success")
-    return shown(done, False).unionByName(shown(unmatched(updates.unionByName(lost), v.headers, ["id", "user_id"]), True))
+    done = _table(v, "success", ("id",), table)
+    updates.update(done, good.unionByName(lost), ["status", *CONTENT], ("id", "user_id"))
+    return shown(done.rows(), False).unionByName(shown(unmatched(good.unionByName(lost), v.headers, ["id", "user_id"]), True))
 
 
 @query("SNK5", "SELECT receipt_id, line_number, description, CAST(1 AS DOUBLE) AS quantity, CAST(total_price AS DOUBLE) AS unit_price, CAST(total_price AS DOUBLE) AS total_price FROM items WHERE receipt_id % 4 = 0 UNION ALL SELECT receipt_id, line_number, description, CAST(quantity AS DOUBLE), CAST(unit_price AS DOUBLE), CAST(total_price AS DOUBLE) FROM items WHERE receipt_id % 4 <> 0")
@@ -339,8 +348,9 @@ def replace_items(v):
     nested = v.items.where("receipt_id % 4 = 0").groupBy("receipt_id").agg(F.sort_array(F.collect_list(F.struct("line_number", "description", "total_price"))).alias("items"))
     price = F.col("i.total_price").cast("double")
     new = nested.select("receipt_id", F.posexplode("items").alias("pos", "i")).select("receipt_id", (F.col("pos") + 1).alias("line_number"), "i.description", F.lit(1.0).alias("quantity"), price.alias("unit_price"), price.alias("total_price"))
-    old = v.items.join(nested.select("receipt_id"), "receipt_id", "left_anti").select("receipt_id", "line_number", "description", *as_double("quantity", "unit_price", "total_price"))
-    return snapshot(old.unionByName(new), "items")
+    table = _table(v, "items", ("receipt_id",), v.items.select("receipt_id", "line_number", "description", *as_double("quantity", "unit_price", "total_price")))
+    table.replace(new)
+    return table.rows()
 
 
 @query("SNK6", "SELECT receipt_id, count(*) AS n_items, string_agg(description, '|' ORDER BY line_number) AS descriptions, CAST(sum(total_price) AS DOUBLE) AS total FROM items GROUP BY 1")
@@ -357,22 +367,26 @@ def projection(v):
 
 @query(
     "SNK8",
-    """SELECT 'user' AS kind, count(*) AS n FROM users WHERE id % 10 <> 3 UNION ALL SELECT 'receipt', count(*) FROM purchases WHERE user_id % 10 <> 3
-    UNION ALL SELECT 'item', count(*) FROM items JOIN purchases ON receipt_id = id WHERE user_id % 10 <> 3 UNION ALL SELECT 'new', count(*) FROM (SELECT DISTINCT email FROM users WHERE id % 10 = 3)
-    UNION ALL SELECT 'active', count(*) FROM users WHERE id % 10 <> 3 AND (id % 4 = 0 OR is_active) UNION ALL SELECT 'found', count(*) FROM users WHERE id % 10 <> 3 AND (id = 1 OR email = 'customer#000000002@example.com')""",
+    """SELECT u.id, email, id % 4 = 0 OR is_active AS is_active, coalesce(r.n, 0) AS receipts, coalesce(r.k, 0) AS items, u.id = 1 OR email = 'customer#000000002@example.com' AS looked_up FROM users u
+    LEFT JOIN (SELECT user_id, count(*) AS n, CAST(sum(k) AS BIGINT) AS k FROM purchases LEFT JOIN (SELECT receipt_id, count(*) AS k FROM items GROUP BY 1) ON receipt_id = id GROUP BY 1) r ON r.user_id = u.id WHERE u.id % 10 <> 3
+    UNION ALL SELECT CAST('0x' || sha256(email)[:15] AS BIGINT), email, TRUE, 0, 0, email = 'customer#000000002@example.com' FROM users WHERE id % 10 = 3""",
 )
 def users(v):
-    """Delete users with cascade through purchases and items, then get-or-create by email, a partial update, and
-    lookups by id and email."""
-    gone = v.users.where("id % 10 = 3").select(F.col("id").alias("user_id"))
-    kept = v.users.join(gone, F.col("id") == F.col("user_id"), "left_anti")
-    purchases = v.headers.join(gone, "user_id", "left_anti")
-    items = v.items.join(purchases.select(F.col("id").alias("receipt_id")), "receipt_id", "left_semi")
-    new = v.users.dropDuplicates(["email"]).join(kept.select("email"), "email", "left_anti")
-    updates = v.users.where("id % 4 < 2").select("id", F.when(F.col("id") % 4 == 0, True).alias("is_active"))
-    active = partial_update(kept, updates, ["id"], ["is_active"]).where("is_active")
-    found = kept.where("id = 1 or email = 'customer#000000002@example.com'")
-    return union([df.agg(F.lit(n).alias("kind"), F.count(F.lit(1)).alias("n")) for n, df in (("user", kept), ("receipt", purchases), ("item", items), ("new", new), ("active", active), ("found", found))])
+    """Users who are written: deleted with their purchases and these with their items, created again by email (twice, which
+    adds nobody the second time), partly updated, looked up by id and email."""
+    people = _table(v, "users", ("id",), v.users.select("id", "email", "is_active"))
+    purchases = _table(v, "purchases", ("user_id",), v.headers.select("id", "user_id"))
+    items = _table(v, "items", ("receipt_id",), v.items.select("receipt_id", "line_number"))
+    updates.delete(people, purchases, items, v.users.where("id % 10 = 3"))
+    for _ in range(2):
+        updates.get_or_create(people, v.users.where("id % 10 = 3 or id % 10 = 4"))
+    updates.update(people, v.users.where("id % 4 < 2").select("id", F.when(F.col("id") % 4 == 0, True).alias("is_active")), ["is_active"], partial=True)
+    wanted = v.spark.createDataFrame([(1, "customer#000000002@example.com")], "id long, email string")
+    found = updates.by_id(people, wanted).select("id").unionByName(updates.by_email(people, wanted).select("id")).distinct().withColumn("looked_up", F.lit(True))
+    lines = items.rows().groupBy("receipt_id").agg(F.count(F.lit(1)).alias("k"))
+    theirs = purchases.rows().join(lines, F.col("id") == F.col("receipt_id"), "left").groupBy(F.col("user_id").alias("id")).agg(F.count(F.lit(1)).alias("receipts"), F.sum("k").alias("items"))
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("receipts", "items")]
+    return people.rows().join(theirs, "id", "left").join(found, "id", "left").select("id", "email", "is_active", *counts, F.coalesce("looked_up", F.lit(False)).alias("looked_up"))
 
 
 @query(

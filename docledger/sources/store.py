@@ -1,11 +1,20 @@
-"""Ledger tables as folders of Parquet: appended rows, and snapshots that take the place of earlier ones."""
+"""Ledger tables as folders of Parquet: plain ones, and keyed ones whose rows lie in buckets, so that a lookup
+reads the buckets of its keys only and a change rewrites no others."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .files import exists
+
+#: Folders of a keyed table; a parameter of the table, in step with its size.
+BUCKETS = 32
 
 
 def shared(spark: SparkSession, name: str) -> str:
@@ -26,6 +35,77 @@ def append(rows: DataFrame, path: str) -> DataFrame:
 
 
 def snapshot(table: DataFrame, name: str) -> DataFrame:
-    """A new version of a table, written beside the one that it was made from: Parquet files are not
-    changed in place, and a reader of the old version is not disturbed."""
+    """A table written at a new path."""
     return append(table, shared(table.sparkSession, name))
+
+
+@dataclass(frozen=True)
+class Keyed:
+    """A table at ``path`` whose rows lie in folders by a hash of ``keys``, and within these by ``parts``, if there are any.
+
+    Changes overwrite the folders that they touch, as whole folders: files of others stay as they are. Two
+    writers at once are not held apart. A frame that was read before a change must not be read after it."""
+
+    spark: SparkSession
+    path: str
+    keys: tuple[str, ...]
+    schema: T.StructType
+    parts: tuple[str, ...] = ()
+    buckets: int = BUCKETS
+
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """The table's columns of ``rows``, in its types, and their bucket."""
+        typed = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema])
+        return typed.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+
+    def read(self) -> DataFrame:
+        whole = T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType())])
+        return self.spark.read.schema(whole).parquet(self.path) if exists(self.spark, self.path) else self.spark.createDataFrame([], whole)
+
+    def rows(self) -> DataFrame:
+        return self.read().drop("bucket")
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        """All rows in the buckets of the keys of ``rows``; other buckets are not read."""
+        return self.read().where(F.col("bucket").isin(self._buckets(rows)))
+
+    def _buckets(self, rows: DataFrame) -> list[int]:
+        keyed = rows.select(*[F.col(k).cast(self.schema[k].dataType).alias(k) for k in self.keys])
+        return [r[0] for r in keyed.select(F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")).distinct().collect()]  # at most ``buckets``
+
+    def _write(self, dealt: DataFrame, mode: str) -> None:
+        out = dealt.hint("rebalance", "bucket")  # one file or few for a bucket; a large bucket is split among tasks
+        out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("bucket", *self.parts).parquet(self.path)
+
+    def append(self, rows: DataFrame) -> None:
+        self._write(self.dealt(rows), "append")
+
+    def put(self, rows: DataFrame) -> None:
+        """Write ``rows`` in place of all that is in their folders."""
+        self._write(self.dealt(rows), "overwrite")
+
+    def missing(self, rows: DataFrame, where: Column | None = None) -> DataFrame:
+        """The rows whose keys the table (of it, what is ``where``) does not have."""
+        known = self.of(rows)
+        return rows.join((known if where is None else known.where(where)).select(*self.keys), list(self.keys), "left_anti")
+
+    def change(self, touched: DataFrame, new: DataFrame) -> None:
+        """Put ``new`` (made from ``of(touched)``) in place of the buckets of the keys of ``touched``."""
+        buckets = self._buckets(touched)
+        left = {r[0] for r in new.select("bucket").distinct().collect()}
+        if left:
+            self._write(new, "overwrite")
+        for b in set(buckets) - left:  # an overwrite leaves a folder alone for which it has no rows
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/bucket={b}")
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def replace(self, rows: DataFrame) -> None:
+        """All rows of the keys of ``rows`` go, and ``rows`` take their place."""
+        rest = self.of(rows).join(rows.select(*self.keys).distinct(), list(self.keys), "left_anti")
+        new = self.dealt(rows)
+        self.change(rows, rest.select(*new.columns).unionByName(new))
+
+    def delete(self, keys: DataFrame) -> None:
+        """Rows of these keys go."""
+        rest = self.of(keys).join(keys.select(*self.keys).distinct(), list(self.keys), "left_anti")
+        self.change(keys, rest.select(*self.schema.names, "bucket"))
