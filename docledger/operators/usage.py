@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT = "GPT_4O_MINI"
+#: Cost of 1000 tokens, in and out, of the model that others are priced as.
+DEFAULT = {"rate_in": 0.15, "rate_out": 0.60}
 
 
 def priced(usage: DataFrame, pricing: DataFrame) -> DataFrame:
@@ -13,14 +14,21 @@ def priced(usage: DataFrame, pricing: DataFrame) -> DataFrame:
     is not found (a name with a dot, for one) is priced as the default. ``pricing`` is a fixed
     table of a few rows, so it is broadcast."""
     p = F.broadcast(pricing.select("key", "rate_in", "rate_out"))
-    base = pricing.where(F.col("key") == DEFAULT).first()
     key = F.replace(F.upper("model"), F.lit("-"), F.lit("_"))
     joined = usage.withColumn("_key", key).join(p, F.col("_key") == F.col("key"), "left")
-    rate = lambda c: F.coalesce(c, F.lit(base[c]))
+    rate = lambda c: F.coalesce(c, F.lit(DEFAULT[c]))
     cost = F.col("input_tokens") / F.lit(1000.0) * rate("rate_in") + F.col("output_tokens") / F.lit(1000.0) * rate("rate_out")
     return joined.withColumn("cost", cost).drop("_key", "key", "rate_in", "rate_out")
 
 
+def operations(usage: DataFrame, pricing: DataFrame, name: Column, at: Column, metadata: dict[str, Column]) -> DataFrame:
+    """The log of operations: name, model, tokens in, out and in all, cost, timestamp, and a map of what else is known
+    about each; entries without a value are left out of it."""
+    entries = F.map_from_entries(F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(k), v.cast("string"))) for k, v in sorted(metadata.items())])))
+    total = F.col("input_tokens") + F.col("output_tokens")
+    return priced(usage, pricing).select(name.alias("op_name"), "model", "input_tokens", "output_tokens", total.alias("total_tokens"), "cost", at.alias("timestamp"), entries.alias("metadata"))
+
+
 def totals() -> list:
     """Aggregates: tokens in, out and in all; missing ones count as 0."""
     i, o = F.coalesce(F.sum("input_tokens"), F.lit(0)), F.coalesce(F.sum("output_tokens"), F.lit(0))

@@ -33,7 +33,9 @@ def metadata(v):
 
 @query("HSH1")
 def file_digest(v):
-    return files.digests(files.scan(v.spark, v.sf_dir, ("parquet",)))
+    """Digests of the given tables' files, and of a path where there is none."""
+    lost = files.digests_of(v.spark, [f"{v.sf_dir}/not_there.png"])
+    return files.digests(files.scan(v.spark, v.sf_dir, ("parquet",))).unionByName(lost)
 
 
 @query("STR1", "SELECT sha256(CAST(o_orderkey % 5000 AS VARCHAR)) AS hash, min(o_orderkey) AS id FROM orders GROUP BY 1")

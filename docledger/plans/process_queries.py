@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import hashing, validate
 from ..operators import attempts as tries
 from ..operators import dedupe, trace, usage
+from ..operators.prompts import PROMPTS, prompt
 from ..operators.relational import as_double
 from .registry import query
+from .text_queries import FOCUS
 
 def P():
     return F.col("payload")
@@ -172,20 +174,31 @@ def history(v):
     return tries.history(v.attempts)
 
 
-PROMPTS = (
-    "Read this receipt and answer with one JSON object.",
-    "The totals did not add up; correct the JSON object.",
-    "Look only at the lines with prices and the total, and answer with one JSON object.",
-    "Look at the picture again; this text was read from it before.",
-)
+def _words(name, **parts):
+    """A prompt in SQL, its parts filled in."""
+    out = "'" + PROMPTS[name].replace("\n", "' || chr(10) || '") + "'"
+    for k, v in parts.items():
+        out = out.replace("{" + k + "}", f"' || coalesce({v}, '') || '")
+    return out
+
 
+RUNGS = f"""rungs AS (SELECT doc_id, payload, error, m.text, CASE s WHEN 'small' THEN 'LLM_SELF_CORRECTION' WHEN 'medium' THEN 'LLM_SELF_CORRECTION' WHEN 'large' THEN 'RAG_FOCUSED_CONTEXT' ELSE CASE WHEN error IS NOT NULL AND doc_id % 2 = 0 THEN 'OCR_FALLBACK' END END AS rung, context
+  FROM (SELECT *, {SEVERITY} AS s FROM ({AMOUNTS} FROM (SELECT doc_id, payload, errors[1] AS error, text FROM messages JOIN slips USING (doc_id)))) m JOIN ({FOCUS}) USING (doc_id))"""
 
-@query("RTY8", f"SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '{PROMPTS[0]}' WHEN 1 THEN '{PROMPTS[1]}' WHEN 2 THEN '{PROMPTS[2]}' ELSE '{PROMPTS[3]}' END || chr(10) || text AS prompt FROM slips")
+
+@query(
+    "RTY8",
+    f"""SELECT doc_id, rung, CASE rung WHEN 'LLM_SELF_CORRECTION' THEN {_words(tries.SELF, error='error', output='payload', text='text')} WHEN 'RAG_FOCUSED_CONTEXT' THEN {_words(tries.FOCUSED, focus='context', text='text')}
+    WHEN 'OCR_FALLBACK' THEN {_words(tries.SECOND, text='text')} ELSE {_words(None, text='text')} END AS prompt FROM rungs""",
+    PARSED + ", " + RUNGS,
+)
 def prompts(v):
-    """A prompt column for a batch inference stage, worded by what was tried before: first reading, correction,
-    focused context, reading again."""
-    head = F.element_at(F.array(*map(F.lit, PROMPTS)), (F.col("doc_id") % 4 + 1).cast("int"))
-    return v.slips.select("doc_id", F.concat_ws("\n", head, "text").alias("prompt"))
+    """The next prompt for each text: by the first rung that its answer's error leads to; without an error the first
+    reading. A second reading is there for every other text."""
+    judged = _judged(v).select("doc_id", "payload", "error").join(v.slips, "doc_id")
+    rung = F.when(F.col("error").isNotNull(), F.get(tries.ladder(validate.severity(F.col("error")), F.lit(0.0), F.col("doc_id") % 2 == 0), F.lit(0)))
+    r = judged.withColumn("rung", rung)
+    return r.select("doc_id", "rung", prompt(F.col("rung"), F.col("text"), F.col("error"), F.col("payload")).alias("prompt"))
 
 
 @query("PIP4", "SELECT item_id, CAST(min(attempt) FILTER (attempt <= 3 AND quality >= 0.5) AS DOUBLE) AS attempt FROM attempts GROUP BY 1")
@@ -262,10 +275,19 @@ def metadata_usage(v):
     return u.select("doc_id", i.alias("input_tokens"), o.alias("output_tokens"), (i + o).alias("total_tokens"))
 
 
-@query("USE3", "SELECT item_id || '/' || attempt AS op_name, model, input_tokens, output_tokens, round(cost, 6) AS cost FROM priced", PRICED)
+@query(
+    "USE3",
+    """SELECT item_id || '/' || attempt AS op_name, model, input_tokens, output_tokens, input_tokens + output_tokens AS total_tokens, round(cost, 6) AS cost, epoch_ms(TIMESTAMP '2024-01-01' + to_seconds(item_id * 60 + attempt)) AS at_ms,
+    array_to_string(list_filter(['attempt=' || attempt, 'error=' || error, 'strategy=' || strategy], lambda x: x IS NOT NULL), ';') AS metadata FROM priced""",
+    PRICED,
+)
 def operation_log(v):
+    """Attempts have no time of their own: it is made up from the item and the attempt."""
     name = F.concat_ws("/", F.col("item_id").cast("string"), F.col("attempt").cast("string"))
-    return usage.priced(v.attempts, v.pricing).select(name.alias("op_name"), "model", "input_tokens", "output_tokens", F.round("cost", 6).alias("cost"))
+    at = F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01").cast("timestamp")) + F.col("item_id") * 60 + F.col("attempt"))
+    log = usage.operations(v.attempts, v.pricing, name, at, {"attempt": F.col("attempt"), "strategy": F.col("strategy"), "error": F.col("error")})
+    pairs = F.transform(F.map_entries("metadata"), lambda x: F.concat_ws("=", x["key"], x["value"]))
+    return log.select("op_name", "model", "input_tokens", "output_tokens", "total_tokens", F.round("cost", 6).alias("cost"), F.unix_millis("timestamp").alias("at_ms"), F.array_join(pairs, ";").alias("metadata"))
 
 
 @query("TOP4", "SELECT item_id, attempt, round(cost, 6) AS cost FROM (SELECT * FROM priced ORDER BY cost DESC, item_id, attempt LIMIT 5)", PRICED)
@@ -315,13 +337,15 @@ def retry_pattern(v):
 
 @query(
     "TRC8",
-    """SELECT t.*, coalesce(p.attempts, 0) AS save_attempts, coalesce(p.writes, 0) AS writes, coalesce(p.attempts - p.writes, 0) AS duplicates FROM (
+    """SELECT t.*, coalesce(p.attempts, 0) AS save_attempts, coalesce(p.writes, 0) AS writes, coalesce(p.attempts - p.writes, 0) AS duplicates, method, failed_fields FROM (
     SELECT run_id, count(*) AS n_events, string_agg(DISTINCT stage, ',' ORDER BY stage) AS stages, count(*) FILTER (NOT success) AS failures, bool_or(terminal) AS finished, string_agg(DISTINCT CASE WHEN NOT success THEN stage END, ',') AS failed_stages,
     CASE WHEN bool_or(terminal) THEN 'SUCCESS' WHEN bool_or(stage = 'VALIDATE' AND success) THEN 'PARTIAL' ELSE 'FAILURE' END AS status, count(*) - count(DISTINCT stage) AS retries FROM trace GROUP BY 1) t
-    LEFT JOIN (SELECT user_id, count(*) AS attempts, count(DISTINCT image_hash) AS writes FROM purchases GROUP BY 1) p ON p.user_id = t.run_id""",
+    LEFT JOIN (SELECT user_id, count(*) AS attempts, count(DISTINCT image_hash) AS writes, CASE max(retry_count) WHEN 0 THEN 'primary' WHEN 1 THEN 'LLM_SELF_CORRECTION' ELSE 'OCR_FALLBACK' END AS method,
+      concat_ws(',', CASE WHEN bool_or(receipt_date < DATE '1996-01-01') THEN 'date' END, CASE WHEN bool_or(total_amount IS NULL) THEN 'total' END) AS failed_fields FROM purchases GROUP BY 1) p ON p.user_id = t.run_id""",
 )
 def run_report(v):
-    """Per run: its stages, failures and retries, how it ended, and what it wrote."""
+    """Per run: its stages, failures and retries, how it ended, what it wrote, by what method its hardest document
+    was read, and which fields failed validation."""
     stages = F.sort_array(F.collect_list("stage"))
     failed = F.array_join(F.sort_array(F.collect_list(F.when(F.col("failed") > 0, F.col("stage")))), ",")
     passed = F.bool_or((F.col("stage") == "VALIDATE") & (F.col("attempts") > F.col("failed")))
@@ -334,7 +358,14 @@ def run_report(v):
     writes = firsts.groupBy(F.col("user_id").alias("run_id")).agg(n.alias("save_attempts"), w.alias("writes"), (n - w).alias("duplicates"))
     status = F.when(F.col("finished"), "SUCCESS").when(F.col("passed"), "PARTIAL").otherwise("FAILURE")
     counts = [F.coalesce(k, F.lit(0)).alias(k) for k in ("save_attempts", "writes", "duplicates")]
-    return c.join(ends, "run_id").join(writes, "run_id", "left").select("run_id", "n_events", "stages", "failures", "finished", "failed_stages", status.alias("status"), "retries", *counts)
+    read = validate.field_results({"date": F.when(F.col("receipt_date") < "1996-01-01", "too old"), "total": F.when(F.col("total_amount").isNull(), "missing")})
+    hardest = F.max("retry_count")
+    judged = v.purchases.groupBy(F.col("user_id").alias("run_id")).agg(
+        F.when(hardest == 0, "primary").when(hardest == 1, tries.SELF).otherwise(tries.SECOND).alias("method"),
+        F.array_join(F.array_compact(F.array(*[F.when(F.bool_or(~read["fields"][f]), f) for f in ("date", "total")])), ",").alias("failed_fields"),
+    )
+    out = c.join(ends, "run_id").join(writes, "run_id", "left").join(judged, "run_id", "left")
+    return out.select("run_id", "n_events", "stages", "failures", "finished", "failed_stages", status.alias("status"), "retries", *counts, "method", "failed_fields")
 
 
 @query("WIN4", "SELECT run_id, seq, stage FROM (SELECT *, lag(stage) OVER (PARTITION BY run_id ORDER BY seq) AS b FROM trace) WHERE b IS NULL OR b <> stage")

@@ -87,9 +87,12 @@ def line_reconstruction(v):
     return layout.reconstructed(_fragments(v), ["row", "col"])
 
 
-@query("TXT8", r"""SELECT doc_id, array_to_string(CASE WHEN len(hits) > 0 THEN hits WHEN len(l) > 6 THEN list_concat(l[1:3], l[-3:]) ELSE l END, chr(10)) AS context
+FOCUS = r"""SELECT doc_id, array_to_string(CASE WHEN len(hits) > 0 THEN hits WHEN len(l) > 6 THEN list_concat(l[1:3], l[-3:]) ELSE l END, chr(10)) AS context
     FROM (SELECT doc_id, l, list_filter(l, lambda x: regexp_matches(x, '(?i)TOTAL|AMOUNT|BALANCE|\d+\.\d{2}')) AS hits
-    FROM (SELECT doc_id, list_transform(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS l FROM slips))""")
+    FROM (SELECT doc_id, list_transform(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS l FROM slips))"""
+
+
+@query("TXT8", FOCUS)
 def focused_context(v):
     return _slips(v, context=text.focused(T()))
 
@@ -102,7 +105,7 @@ def text_comparison(v):
     return _slips(v, **text.comparison(T(), F.replace(T(), F.lit("."), F.lit(","))))
 
 
-# ---- fields
+# ---- fields; fixed values: the patterns of each field, as ``functions.fields`` has them
 NUM = r"(\d+(?:,\d{3})*(?:[,.]\d{2})?)"
 _WHOLE = r"try_cast(replace(nullif(regexp_extract(text, '(?i){0}', 1), ''), ',', '') AS DOUBLE)"
 _EURO = r"CASE WHEN contains(regexp_extract(text, '(?i){0}', 1), '.') THEN try_cast(regexp_extract(text, '(?i){0}', 1) AS DOUBLE) ELSE try_cast(replace(nullif(regexp_extract(text, '(?i){0}', 1), ''), ',', '.') AS DOUBLE) END"
@@ -179,10 +182,18 @@ def confidence(v):
     return _slips(v, confidence=fields.confidence(fields.total_amount(T()), F.size(fields.items(T()))))
 
 
-@query("EXT9", f"SELECT s.doc_id, {TOTAL} AS total, n AS n_items, {MERCHANT} AS merchant FROM slips s JOIN (SELECT doc_id, count(description) AS n FROM found GROUP BY 1) USING (doc_id)", LINES)
+DATE = "coalesce(" + ", ".join(f"nullif(regexp_extract(text, '{p}'), '')" for p in D) + ")"
+
+
+@query(
+    "EXT9",
+    f"""SELECT s.doc_id, {TOTAL} AS total, n AS n_items, {MERCHANT} AS merchant, {DATE} AS date, least(CAST(1 AS DOUBLE), CAST(0.3 AS DOUBLE) + CASE WHEN {TOTAL} > 0 THEN CAST(0.3 AS DOUBLE) ELSE 0 END + least(CAST(0.4 AS DOUBLE), n * CAST(0.1 AS DOUBLE))) AS confidence
+    FROM slips s JOIN (SELECT doc_id, count(description) AS n FROM found GROUP BY 1) USING (doc_id)""",
+    LINES,
+)
 def all_fields(v):
     f = v.slips.select("doc_id", fields.all_fields(T()).alias("f"))
-    return f.select("doc_id", "f.total", F.size("f.items").cast("long").alias("n_items"), "f.merchant")
+    return f.select("doc_id", "f.total", F.size("f.items").cast("long").alias("n_items"), "f.merchant", "f.date", "f.confidence")
 
 
 # ---- quality; slips hold no prices with a space, so that the SQL needs no look-behind

@@ -32,3 +32,12 @@ def exists(spark: SparkSession, path: str) -> bool:
 def digests(files: DataFrame) -> DataFrame:
     """name, digest: SHA-256 of the content, or of the path where there is none."""
     return files.select("name", F.sha2(F.coalesce("content", F.col("path").cast("binary")), 256).alias("digest"))
+
+
+def digests_of(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """name, digest for each of the given paths of files: of the content, or where there is no such file, of the path
+    as it was given."""
+    there = [p for p in paths if exists(spark, p)]
+    found = digests(spark.read.format("binaryFile").load(there).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "content")) if there else None
+    lost = spark.createDataFrame([(p,) for p in paths if p not in set(there)], "path string").select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("path", 256).alias("digest"))
+    return found.unionByName(lost) if found else lost

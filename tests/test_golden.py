@@ -1,12 +1,13 @@
 """Golden rows for scores, extraction, validation, severity, costs and line reconstruction."""
 
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from docledger.functions import fields, quality, text, validate
-from docledger.operators import attempts, layout, stage, trace, usage
+from docledger.operators import attempts, layout, prompts, stage, trace, usage
 from docledger.sources import files
 
 
@@ -199,6 +200,29 @@ def test_scan_of_missing_paths(spark, tmp_path):
     assert [r["digest"] for r in files.digests(found).collect()] == [digest]
 
 
+def test_digests_of_given_paths(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(b"x" * 100_000)
+    there, lost = str(tmp_path / "a.png"), str(tmp_path / "b.png")
+    expected = {"a.png": hashlib.sha256(b"x" * 100_000).hexdigest(), "b.png": hashlib.sha256(lost.encode()).hexdigest()}
+    assert {r["name"]: r["digest"] for r in files.digests_of(spark, [there, lost]).collect()} == expected
+    assert [r["name"] for r in files.digests_of(spark, [lost]).collect()] == ["b.png"] and files.digests_of(spark, []).collect() == []
+
+
+def test_prompts(spark):
+    rows = [(None, "TEA 2.50\nhello", None, None), (attempts.SELF, "t", "off by 1", "{}"), (attempts.FOCUSED, "TEA 2.50\nhello", "e", "o"), (attempts.SECOND, None, None, None)]
+    df = spark.createDataFrame(rows, "rung string, slip string, error string, output string")
+    found = [r["p"] for r in df.select(prompts.prompt(*map(F.col, df.columns)).alias("p")).collect()]
+    assert found[0].endswith("Text:\nTEA 2.50\nhello") and "off by 1" in found[1] and "It was: {}" in found[1]
+    assert found[2].index("TEA 2.50\n\nWhole text:\nTEA 2.50\nhello") > 0 and "before:\n\nAnswer" in found[3]
+
+
+def test_operations(spark):
+    pricing = spark.createDataFrame([("GPT_4O", 2.50, 10.00)], "key string, rate_in double, rate_out double")
+    u = spark.createDataFrame([("gpt-4o", 1000, 500, "x", None)], "model string, input_tokens int, output_tokens int, a string, b string")
+    r = usage.operations(u, pricing, F.lit("op"), F.lit("2024-01-01").cast("timestamp"), {"b": F.col("b"), "a": F.col("a")}).first()
+    assert (r["op_name"], r["total_tokens"], r["cost"], r["metadata"]) == ("op", 1500, 7.5, {"a": "x"})
+
+
 def test_ordered_events(spark):
     rows = [(1, 1, "VALIDATE", False, False), (1, 2, "PERSIST", True, False), (1, 3, "VALIDATE", True, False), (1, 4, "PERSIST", True, True), (1, 5, "OCR", True, False), (2, 1, "PERSIST", True, False)]
     t = spark.createDataFrame(rows, "run_id long, seq long, stage string, success boolean, terminal boolean")
