@@ -105,11 +105,11 @@ def sample(df: DataFrame, key: str, rows: int) -> DataFrame:
 
 
 def rowed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a unique row id, and that column's name, which no column of ``docs`` has. The id
+    """``docs`` with a unique row id, and that column's name, which no column of ``docs`` has in any case. The id
     is doc_id itself, or where that is null or repeats or there is none, a number that is written
     with the rows once."""
-    row = "_row"
-    while row in docs.columns:
+    row, taken = "_row", {c.lower() for c in docs.columns}
+    while row in taken:
         row += "_"
     if "doc_id" in docs.columns and docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int"):
         found = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 or doc_id is null")

@@ -127,3 +127,38 @@ def test_cuts_whole_characters(frame, spark):
     batch = pa.record_batch([pa.array([data.decode()]), pa.array([9]), pa.array([[{"from": 1, "end": len(data) - 1}]]), pa.array([[{"from": 5, "end": 9}]])], ["_0", "_1", "a", "b"])
     made = next(iter(cp._cut(0, 1, [batch])))
     assert made.to_pydict() == {"_0": [""], "_1": [0]}
+
+
+def clashing(docs):
+    """Documents with columns whose names are the stages' own, in another case too."""
+    return docs.withColumns({"_ROW": F.lit("r"), "_Row_": F.lit(1), "kept": F.lit(True), "spans": F.lit("s"), "_0": F.lit(0)})
+
+
+def test_clashing_names(frame, spark):
+    rng = random.Random(51)
+    base, passage = [plain(rng, 60) for _ in range(4)], plain(rng, 60)
+    docs = clashing(frame([base[0], base[0], base[1], base[1] + " end", f"{base[2]} {passage}", f"{passage} {base[3]}"]))
+    for stage, ids in ((cp.without_copies, {1, 2, 3, 4, 5}), (cp.without_near_copies, {0, 2, 4, 5}), (cp.without_repeats, {0, 1, 2, 3, 4, 5})):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
+        rows = out.collect()
+        assert {r["doc_id"] for r in rows} == ids and all(r["_ROW"] == "r" and r["kept"] and r["spans"] == "s" for r in rows)
+
+
+def test_empty_tables(frame, spark):
+    docs = clashing(frame([]))
+    for stage in (cp.without_copies, cp.without_near_copies, cp.without_repeats):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.collect() == []
+    assert cp.packed(spark, docs, "").collect() == []
+
+
+def test_very_long_texts(frame, spark):
+    rng = random.Random(61)
+    long, other, passage = plain(rng, 40_000), plain(rng, 30_000), plain(rng, 80)
+    texts = [long, f"{long} end", f"{other} {passage}", f"{passage} {plain(rng, 50)}", plain(rng, 20)]
+    assert set(texts_of(cp.without_copies(spark, frame(texts), ""))) == {0, 1, 2, 3, 4}
+    near = cp.without_near_copies(spark, frame(texts), "")
+    assert set(texts_of(near)) == {0, 2, 3, 4}
+    left = texts_of(cp.without_repeats(spark, near, ""))
+    assert left[0] == long and left[2] == f"{other} " and left[3] == texts[3][len(passage) :] and left[4] == texts[4]
