@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,17 +39,30 @@ _written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def _shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of actions in here go as soon as these are done; none of their frames is used again."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def collected(df: DataFrame) -> list[Row]:
+    """``df``, of bounded size and not used again, on the driver."""
+    with _shuffles_go(df.sparkSession):
+        return df.collect()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: the lineage
     ends there, and a lost executor costs nothing that was written. The shuffle files that
     led to it go at once."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _shuffles_go(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     _written[out] = path
     return out
@@ -82,11 +97,11 @@ def with_group(df: DataFrame, keys: list[str], aggs: dict[str, Column], total: i
     digest = F.xxhash64(*keys)
     # a hot key's bucket is hot; counts of buckets take one short row from each task
     bucket = F.pmod(digest, F.lit(1 << 16))
-    heavy = [r[0] for r in df.groupBy(bucket.alias("_b")).count().where(F.col("count") > most).collect()]
+    heavy = [r[0] for r in collected(df.groupBy(bucket.alias("_b")).count().where(F.col("count") > most))]
     hot = []
     if heavy:
         some = df if len(heavy) > 1 << 12 else df.where(bucket.isin(heavy))
-        hot = [r[0] for r in some.groupBy(digest.alias("_h")).count().where(F.col("count") > most).collect()]
+        hot = [r[0] for r in collected(some.groupBy(digest.alias("_h")).count().where(F.col("count") > most))]
     over = Window.partitionBy(*keys)
     if not hot:
         return df.withColumns({k: v.over(over) for k, v in aggs.items()})

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release, with_group
+from .common import collected, materialise, release, with_group
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -38,9 +38,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _stars(edges: DataFrame) -> bool:
     """Whether every node that points to another one points to one root only."""
-    if edges.groupBy("a").count().where("count > 1").limit(1).count():
+    if collected(edges.groupBy("a").count().where("count > 1").limit(1)):
         return False
-    return not edges.select("b").distinct().join(edges.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
+    return not collected(edges.select("b").distinct().join(edges.select(F.col("a").alias("b")), "b", "left_semi").limit(1))
 
 
 def _forest(edges: DataFrame) -> DataFrame:
