@@ -209,7 +209,10 @@ def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
         levels.append(materialise(_grouped(levels[-1], "cost").mapInPandas(_combine, cost), "costs"))
     states = levels[-1].mapInPandas(_roots, state)
     for level in levels[-2::-1]:
-        states = materialise(_joined(_grouped(level, "cost"), states, "up").mapInPandas(_down, state), "states")
+        before, states = states, materialise(_joined(_grouped(level, "cost"), states, "up").mapInPandas(_down, state), "states")
+        release(before, level)
+    if len(levels) > 1:
+        release(levels[-1])  # what is left is read with the result
     steps = _joined(members, states, "up").select("items", "first", "last", "end")
     made = steps.mapInPandas(_steps, "_i long, new_role string, fill array<string>, merged boolean, final boolean, after array<string>")
     return placed.join(made, "_i").select("conv_id", "pos", "turn", "role", "text", "new_role", "fill", "merged", "final", "after")
