@@ -72,14 +72,19 @@ def falls_back(c: Column, threshold: float = FALLBACK) -> Column:
     return score(c) < threshold
 
 
+#: Wording of the reasons, in the order of their tests; the first has the length between its parts, the last
+#: stands for none.
+REASONS = (
+    ("Text too short (", " chars)"), "Insufficient price patterns detected", "Missing TOTAL/AMOUNT keywords", "Low word quality (many noisy tokens)", "Excessive special characters/noise", "General quality concerns",
+)
+
+
 def reasoning(c: Column) -> Column:
     """Why a text scores low, in words."""
+    short = F.concat(F.lit(REASONS[0][0]), F.char_length(c).cast("string"), F.lit(REASONS[0][1]))
     tests = [
-        (length_points(c) / 20.0 < 0.5, F.concat(F.lit("Text too short ("), F.char_length(c).cast("string"), F.lit(" chars)"))),
-        (price_points(c) / 25.0 < 0.6, F.lit("Insufficient price patterns detected")),
-        (keyword_points(c) / 20.0 < 0.5, F.lit("Missing TOTAL/AMOUNT keywords")),
-        (word_points(c) / 25.0 < 0.6, F.lit("Low word quality (many noisy tokens)")),
-        (noise_points(c) / 10.0 > 0.5, F.lit("Excessive special characters/noise")),
-    ]
+        (length_points(c) / 20.0 < 0.5, short), (price_points(c) / 25.0 < 0.6, F.lit(REASONS[1])), (keyword_points(c) / 20.0 < 0.5, F.lit(REASONS[2])),
+        (word_points(c) / 25.0 < 0.6, F.lit(REASONS[3])), (noise_points(c) / 10.0 > 0.5, F.lit(REASONS[4])),
+    ]
     text = F.array_join(F.array_compact(F.array(*[F.when(t, m) for t, m in tests])), "; ")
-    return F.when(text == "", "General quality concerns").otherwise(text)
+    return F.when(text == "", REASONS[5]).otherwise(text)
