@@ -29,33 +29,43 @@ def let(c: Column, use) -> Column:
 
 
 def kind(v: Column) -> Column:
-    """What a variant holds: absent, null, text, boolean, number, list or object."""
-    name = F.schema_of_variant(v)
-    known = F.when(v.isNull(), "absent").when(F.is_variant_null(v), "null").when(name == "STRING", "text").when(name == "BOOLEAN", "boolean")
-    return known.when(name.startswith("ARRAY"), "list").when(name.startswith("OBJECT"), "object").otherwise("number")
+    """What a variant holds: absent, null, text, boolean, number, list or object. Only a scalar's type is looked up by
+    name: that of a list or an object would be put together from all that is in it."""
+    scalar = let(F.schema_of_variant(v), lambda name: F.when(name == "STRING", "text").when(name == "BOOLEAN", "boolean").otherwise("number"))
+    nested = F.when(F.try_variant_get(v, "$", "array<variant>").isNotNull(), "list").when(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), "object")
+    return F.when(v.isNull(), "absent").when(F.is_variant_null(v), "null").otherwise(F.coalesce(nested, scalar))
+
+
+def tagged(v: Column) -> Column:
+    """struct<v, kind> of a variant."""
+    return F.struct(v.alias("v"), kind(v).alias("kind"))
 
 
 def is_object(c: Column) -> Column:
     """Whether a text is a JSON object."""
-    return F.coalesce(kind(F.try_parse_json(trimmed(c))) == "object", F.lit(False))
+    return F.coalesce(let(F.try_parse_json(trimmed(c)), kind) == "object", F.lit(False))
 
 
-def _text(v: Column, required: bool) -> Column:
-    """struct<value, kind>: a variant's text and its fault."""
+def _text(t: Column, required: bool) -> Column:
+    """struct<value, kind>: a tagged variant's text and its fault."""
     fine = ("text",) if required else ("text", "null", "absent")
-    fault = F.when(kind(v).isin(*fine), None).when(v.isNull(), "missing").otherwise("string_type")
-    return F.struct(F.when(kind(v) == "text", F.try_variant_get(v, "$", "string")).alias("value"), fault.alias("kind"))
+    fault = F.when(t["kind"].isin(*fine), None).when(t["kind"] == "absent", "missing").otherwise("string_type")
+    return F.struct(F.when(t["kind"] == "text", F.try_variant_get(t["v"], "$", "string")).alias("value"), fault.alias("kind"))
 
 
-def _decimal(v: Column, required: bool) -> Column:
-    """struct<value, kind>: a variant's decimal, from a number or a text, and its fault. A decimal of more than 20
+def _decimal(t: Column, required: bool) -> Column:
+    """struct<value, kind>: a tagged variant's decimal, from a number or a text, and its fault. A decimal of more than 20
     digits before the point is not readable; digits beyond the tenth after it are rounded off."""
-    text = F.replace(trimmed(F.try_variant_get(v, "$", "string")), F.lit("_"), F.lit(""))
-    read = F.when(F.regexp_like(text, F.lit(DECIMAL)), text.try_cast(AMOUNT))
-    value = F.when(kind(v) == "number", F.try_variant_get(v, "$", AMOUNT)).when(kind(v) == "text", read)
-    fault = F.when(value.isNotNull(), None).when(kind(v) == "number", "decimal_parsing").when(kind(v) == "text", F.when(F.regexp_like(text, F.lit(UNBOUNDED)), "finite_number").otherwise("decimal_parsing"))
-    missing = fault.when(v.isNull(), "missing") if required else fault.when(kind(v).isin("absent", "null"), None)
-    return F.struct(value.alias("value"), missing.otherwise("decimal_type").alias("kind"))
+    said, absent = t["kind"], F.lit("missing") if required else F.lit(None)
+
+    def read(text: Column) -> Column:
+        value = F.when(F.regexp_like(text, F.lit(DECIMAL)), text.try_cast(AMOUNT))
+        return F.struct(value.alias("value"), F.when(value.isNotNull(), None).when(F.regexp_like(text, F.lit(UNBOUNDED)), "finite_number").otherwise("decimal_parsing").alias("kind"))
+
+    number = let(F.try_variant_get(t["v"], "$", AMOUNT), lambda x: F.struct(x.alias("value"), F.when(x.isNull(), "decimal_parsing").alias("kind")))
+    text = let(F.replace(trimmed(F.try_variant_get(t["v"], "$", "string")), F.lit("_"), F.lit("")), read)
+    other = F.struct(F.lit(None).cast(AMOUNT).alias("value"), F.when(said == "absent", absent).when((said == "null") & F.lit(not required), None).otherwise("decimal_type").alias("kind"))
+    return F.when(said == "number", number).when(said == "text", text).otherwise(other)
 
 
 def _found(*faults: tuple[Column, Column]) -> Column:
@@ -66,16 +76,18 @@ def _found(*faults: tuple[Column, Column]) -> Column:
 def _item(v: Column, i: Column) -> Column:
     """struct<item, faults> of the i-th entry of a list of items."""
     path = F.concat(F.lit("items["), i.cast("string"), F.lit("]"))
+    get = lambda name: let(F.try_variant_get(v, f"$.{name}", "variant"), tagged)
 
     def judged(f: Column) -> Column:
         d, p = f["d"], f["p"]
         negative = F.when(p["value"] < 0, "value_error")
         item = F.struct(d["value"].alias("description"), p["value"].alias("price"))
         faults = _found((F.concat(path, F.lit(".description")), d["kind"]), (F.concat(path, F.lit(".price")), F.coalesce(p["kind"], negative)))
-        return F.struct(item.alias("item"), F.when(kind(v) == "object", faults).otherwise(_found((path, F.lit("model_type")))).alias("faults"))
+        return F.struct(item.alias("item"), faults.alias("faults"))
 
-    get = lambda name: F.when(kind(v) == "object", F.try_variant_get(v, f"$.{name}", "variant"))
-    return let(F.struct(_text(get("description"), True).alias("d"), _decimal(get("price"), True).alias("p")), judged)
+    fields = F.struct(let(get("description"), lambda t: _text(t, True)).alias("d"), let(get("price"), lambda t: _decimal(t, True)).alias("p"))
+    nothing = F.struct(F.lit(None).cast("string").alias("description"), F.lit(None).cast(AMOUNT).alias("price"))
+    return F.when(kind(v) == "object", let(fields, judged)).otherwise(F.struct(nothing.alias("item"), _found((path, F.lit("model_type"))).alias("faults")))
 
 
 def typed(c: Column) -> Column:
@@ -86,21 +98,21 @@ def typed(c: Column) -> Column:
     fields. A text with a decimal in it counts as one; a boolean does not."""
 
     def parts(v: Column) -> Column:
-        items = F.try_variant_get(v, "$.items", "variant")
-        entries = F.when(kind(items) == "list", F.try_variant_get(items, "$", "array<variant>"))
-        whole = F.struct(
-            _text(F.try_variant_get(v, "$.date", "variant"), False).alias("date"),
-            _decimal(F.try_variant_get(v, "$.total", "variant"), False).alias("total"),
-            F.transform(entries, _item).alias("items"),
-            F.when(~kind(items).isin("list", "absent"), "list_type").alias("wrong"),
-        )
+        get = lambda name: let(F.try_variant_get(v, f"$.{name}", "variant"), tagged)
+
+        def listed(t: Column) -> Column:
+            entries = F.when(t["kind"] == "list", F.try_variant_get(t["v"], "$", "array<variant>"))
+            return F.struct(F.transform(entries, _item).alias("entries"), F.when(~t["kind"].isin("list", "absent"), "list_type").alias("wrong"))
+
+        whole = F.struct(let(get("date"), lambda t: _text(t, False)).alias("date"), let(get("total"), lambda t: _decimal(t, False)).alias("total"), let(get("items"), listed).alias("items"))
         return F.when(kind(v) == "object", let(whole, built))
 
     def built(p: Column) -> Column:
         none = F.array().cast(FOUND)
-        inner = F.coalesce(F.flatten(F.transform(p["items"], lambda x: x["faults"])), none)
-        faults = F.concat(_found((F.lit("date"), p["date"]["kind"])), _found((F.lit("items"), p["wrong"])), inner, _found((F.lit("total"), p["total"]["kind"])))
-        items = F.coalesce(F.transform(p["items"], lambda x: x["item"]), F.array().cast(ITEMS))
+        entries = p["items"]["entries"]
+        inner = F.coalesce(F.flatten(F.transform(entries, lambda x: x["faults"])), none)
+        faults = F.concat(_found((F.lit("date"), p["date"]["kind"]), (F.lit("items"), p["items"]["wrong"])), inner, _found((F.lit("total"), p["total"]["kind"])))
+        items = F.coalesce(F.transform(entries, lambda x: x["item"]), F.array().cast(ITEMS))
         return F.struct(p["date"]["value"].alias("date"), p["total"]["value"].alias("total"), items.alias("items"), faults.alias("faults"))
 
     return let(F.try_parse_json(trimmed(c)), parts)
