@@ -91,6 +91,27 @@ def test_payload(spark, t, errors):
     assert value(spark, validate.problems(validate.typed(T)), t=t) == errors
 
 
+FAULTS = {
+    '{"items":[],"total":"abc"}': ["total:decimal_parsing"], '{"items":[{"price":1}],"total":1}': ["items[0].description:missing"], '{"items":[{"description":5,"price":1}],"total":1}': ["items[0].description:string_type"],
+    '{"items":5}': ["items:list_type"], '{"items":null,"total":true,"date":3}': ["date:string_type", "items:list_type", "total:decimal_type"], '{"items":{"description":"a","price":1}}': ["items:list_type"],
+    '{"items":[{"description":"a","price":" 1_0.5 "},7,null,{"description":null,"price":null},{"description":"x","price":"NaN"},[]],"total":[1]}':
+        ["items[1]:model_type", "items[2]:model_type", "items[3].description:string_type", "items[3].price:decimal_type", "items[4].price:finite_number", "items[5]:model_type", "total:decimal_type"],
+    '{"items":[{"description":"a","price":-1},{"price":"-0.5"}],"total":null}': ["items[0].price:value_error", "items[1].description:missing", "items[1].price:value_error"],
+    '{"total":"1e2","items":[{"description":"","price":100.00000001}],"date":null,"more":{}}': [], "{}": [], '{"total":1e40}': ["total:decimal_parsing"], "[1]": None, "x": None, "": None,
+}
+
+
+def test_faults_by_path(spark):
+    df = spark.createDataFrame([(t,) for t in FAULTS], "t string").withColumn("p", validate.typed(T))
+    rows = df.select("t", validate.fault_list(F.col("p")).alias("f"), validate.problems(F.col("p")).alias("m"), "p").collect()
+    assert {r["t"]: r["f"] for r in rows} == FAULTS
+    said = {r["t"]: r["m"] for r in rows}
+    assert said['{"items":[{"description":"a","price":-1},{"price":"-0.5"}],"total":null}'] == ["Invalid price", "items[1].description: missing"]
+    assert said['{"items":[{"price":1}],"total":1}'] == ["items[0].description: missing"] and said["[1]"] == ["Failed to parse JSON"]
+    kept = {r["t"]: r["p"] for r in rows}['{"items":[{"price":1}],"total":1}']
+    assert kept["total"] == 1 and kept["items"][0]["price"] == 1 and kept["items"][0]["description"] is None
+
+
 def test_word_correction(spark):
     assert value(spark, text.corrected(T), t="a  ($1O.50S),\n 3,99 1,234,56 SIO") == "a ($1O.50S), 3.99 1.234.56 SIO"
     assert value(spark, text.corrected(T), t="$12.50SO") == "$12.5050"
