@@ -36,6 +36,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 #: The folders of written intermediates, by the frame that reads them.
 _written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: Short rows (ids, edges) for one task.
+ROWS = 100_000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -81,6 +83,17 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def fitted(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df``, short rows that are written, in no more partitions than these fill: a task gets at most about ROWS.
+    A plan over few rows then takes few tasks, however many partitions a shuffle has."""
+    return df.coalesce(tasks(df.count() if rows is None else rows))
+
+
+def tasks(rows: int) -> int:
+    """How many tasks short rows fill, at least one."""
+    return max(1, -(-rows // ROWS))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

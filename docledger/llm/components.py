@@ -8,20 +8,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import collected, materialise, release, with_group
+from .common import ROWS, collected, fitted, materialise, release, tasks, with_group
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node that it reaches) for the nodes of ``edges(a, b)``.
 
-    Alternating large-star and small-star steps: each node hands its neighbours to the
-    smallest one it knows, so that the number of rounds follows the logarithm of a
-    component's length. Every partition first drops the edges that close a cycle among its own.
-    A node's smallest neighbour comes from ``with_group``, so that a node with very many
-    neighbours is no hot key. Each step is written out, and the one before it deleted. The
-    result is one of the written steps: the caller may release it."""
-    now = materialise(_forest(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), "edges")
-    while not _stars(now):
+    Every partition first draws its own edges together to stars, and after these are written, and laid in
+    as few partitions as they fill, once more. If they fill one, that is all; else large-star and
+    small-star steps alternate: each node hands its neighbours to the smallest one it knows, so that the
+    number of rounds follows the logarithm of a component's length. A node's smallest neighbour comes
+    from ``with_group``, so that a node with very many neighbours is no hot key. Each step is written
+    out, and the one before it deleted. The result is one of the written steps: the caller may
+    release it."""
+    apart = materialise(_drawn(edges.where("a <> b").select("a", "b")), "edges")
+    n = apart.count()
+    now = materialise(_drawn(fitted(apart, n)), "edges")
+    release(apart)
+    while tasks(n) > 1 and not _stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = with_group(both, ["a"], {"m": F.min("b")}, 2 * now.count()).withColumn("m", F.least("a", "m"))
         # large star: neighbours that are larger than the node go to its smallest neighbour
@@ -31,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = with_group(large, ["a"], {"m": F.min("b")}, large.count()).select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         now = materialise(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "edges")
         release(large)
-    out = materialise(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), "components")
+    stars = fitted(now)
+    out = materialise(stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), "components")
     release(now)
     return out
 
@@ -43,16 +48,25 @@ def _stars(edges: DataFrame) -> bool:
     return not collected(edges.select("b").distinct().join(edges.select(F.col("a").alias("b")), "b", "left_semi").limit(1))
 
 
-def _forest(edges: DataFrame) -> DataFrame:
-    """``edges`` without those that close a cycle among the earlier ones of their partition."""
+def _drawn(edges: DataFrame) -> DataFrame:
+    """Each partition's edges as stars: (a, b) for each of its nodes a and the smallest one, b, that it
+    reaches by them, if that is another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root: dict[int, int] = {}
         for b in batches:
-            keep = pa.array(joins(root, b.column(0).to_pylist(), b.column(1).to_pylist()), pa.bool_())
-            yield b.filter(keep)
-
-    return edges.mapInArrow(run, "a long, b long").distinct()
+            joins(root, b.column(0).to_pylist(), b.column(1).to_pylist())
+        for x in root:
+            up = x
+            while root.get(up, up) != up:
+                up = root[up]
+            root[x] = up
+        nodes = [x for x, up in root.items() if x != up]
+        for k in range(0, len(nodes), ROWS):
+            part = nodes[k : k + ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root[x] for x in part], pa.int64())], ["a", "b"])
+
+    return edges.mapInArrow(run, "a long, b long")
 
 
 def joins(root: dict, a: list, b: list) -> list[bool]:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, partitions, release, with_group
+from .common import fitted, materialise, partitions, release, with_group
 from .components import components, joins
 
 RATIO, WORDS, MASK = 1.5, 300_000, (1 << 64) - 1
@@ -255,12 +255,14 @@ def _joined(known: DataFrame | None, links: DataFrame) -> DataFrame:
         out = components(links)
         release(links)
         return out
-    one, two = (known.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    between = links.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    there = fitted(known)
+    one, two = (there.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    between = fitted(links).join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     merged = components(between)
-    names = merged.select(F.col("node").alias("old"), F.col("component").alias("new"))
-    renamed = known.join(names, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
-    out = materialise(renamed.unionByName(merged.join(known, "node", "left_anti")), "known")
+    fresh = fitted(merged)
+    names = fresh.select(F.col("node").alias("old"), F.col("component").alias("new"))
+    renamed = there.join(names, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    out = materialise(renamed.unionByName(fresh.join(there, "node", "left_anti")), "known")
     release(links, known, merged)
     return out
 
@@ -354,14 +356,18 @@ def _blocks(families: DataFrame, texts: DataFrame, known: DataFrame, n: int, per
     matrices; of the links found those that join components are kept. A round moves each text about
     twice."""
     sized = materialise(families.join(texts, "id"), "sized")
-    done: DataFrame | None = None
+    total = families.count()
+    few = lambda df: fitted(df, total)
+    written: DataFrame | None = None
     while True:
-        now = sized.drop("text").join(known.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "cluster", "n_shingles", F.coalesce("component", "id").alias("comp"))
+        there = fitted(known).select(F.col("node").alias("id"), "component")
+        now = few(families).join(there, "id", "left").select("id", "cluster", "n_shingles", F.coalesce("component", "id").alias("comp"))
         each = now.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("tokens"))
         main = each.groupBy("cluster").agg(F.max(F.struct("size", "comp")).alias("main"), F.sum("size").alias("all"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        now = materialise(with_cluster(now, main), "now")
+        state = materialise(with_cluster(now, main), "now")
+        now = few(state)
         rest = now.where(F.col("comp") != F.col("main.comp"))
-        rest = rest.join(done, "id", "left_anti") if done is not None else rest
+        rest = rest.join(few(written), "id", "left_anti") if written is not None else rest
         waiting = rest.groupBy("cluster").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / TOKENS)).alias("turns"))
         turn = F.pmod(F.xxhash64("id", F.lit(7)), "turns")
         some = with_cluster(rest.select("id", "cluster", "comp"), waiting).withColumn("turn", turn)
@@ -369,17 +375,18 @@ def _blocks(families: DataFrame, texts: DataFrame, known: DataFrame, n: int, per
         first = some.groupBy("cluster").agg(F.min("turn").alias("first"))
         leads = materialise(with_cluster(some, first).where("turn = first").select("id", "cluster", "comp"), "leads")
         if not leads.limit(1).count():
-            release(now, leads, sized, *([] if done is None else [done]))
+            release(state, leads, sized, *([] if written is None else [written]))
             return known
         chunks = F.ceil(F.greatest(F.col("all") / BLOCK, F.col("tokens") / TOKENS)).cast("int")
-        active = leads.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n")).select("cluster")
+        active = few(leads).groupBy("cluster").agg(F.count(F.lit(1)).alias("_n")).select("cluster")
         members = with_cluster(now, active).select("id", "cluster", "comp", F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk"), F.lit(False).alias("lead"))
         dealt = members.select("cluster", "chunk").distinct()
-        copies = dealt.join(leads, "cluster").select("id", "cluster", "comp", "chunk", F.lit(True).alias("lead"))
+        copies = dealt.join(few(leads), "cluster").select("id", "cluster", "comp", "chunk", F.lit(True).alias("lead"))
         rows = members.unionByName(copies).join(sized.select("id", "text"), "id")
         links = materialise(rows.groupBy("cluster", "chunk").applyInPandas(_meeting(n, percent), "a long, b long"), "links")
-        before, done = done, materialise(leads.select("id") if done is None else leads.select("id").unionByName(done), "done")
-        release(now, leads, *([] if before is None else [before]))
+        heard = few(leads).select("id")
+        before, written = written, materialise(heard if written is None else heard.unionByName(few(written)), "done")
+        release(state, leads, *([] if before is None else [before]))
         known = _joined(known, links)
 
 

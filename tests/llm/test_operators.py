@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from docledger.llm import chat, language, repeats, toxicity
+from docledger.llm import chat, common, language, repeats, toxicity
 from docledger.llm.bpe import ByteBPE, round_trip_digests
 from docledger.llm.components import components
 from docledger.llm.exact_dedup import exact_duplicates
@@ -214,9 +214,11 @@ def test_tokens_count_shingles(texts):
     assert all(len(tokens_of(t, 3, {w: zlib.crc32(w) for w in (t or "").encode().lower().split()})) == len(shingles(t, 3)) for t in texts)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("rows", [100_000, 5])
+def test_components(spark, rows, monkeypatch):
+    monkeypatch.setattr(common, "ROWS", rows)  # the same from one task and from several
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (7, 3), (9, 9)]
-    found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
     assert found == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 102: 100}
 
 
