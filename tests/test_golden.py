@@ -229,6 +229,15 @@ def test_digests_of_given_paths(spark, tmp_path):
     assert [r["name"] for r in files.digests_of(spark, [lost]).collect()] == ["b.png"] and files.digests_of(spark, []).collect() == []
 
 
+def test_digests_by_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "WHOLE", 1000)
+    some = {"a b.png": b"x" * 999, "c%20d.png": b"y" * 1000, "e.png": bytes(range(256)) * 80_000}
+    for name, data in some.items():
+        (tmp_path / name).write_bytes(data)
+    expected = {name: hashlib.sha256(data).hexdigest() for name, data in some.items()}
+    assert {r["name"]: r["digest"] for r in files.digests(files.scan(spark, str(tmp_path))).collect()} == expected
+
+
 def test_prompts(spark):
     rows = [(None, "TEA 2.50\nhello", None, None), (attempts.SELF, "t", "off by 1", "{}"), (attempts.FOCUSED, "TEA 2.50\nhello", "e", "o"), (attempts.SECOND, None, None, None)]
     df = spark.createDataFrame(rows, "rung string, slip string, error string, output string")
