@@ -5,7 +5,7 @@ buckets that go with the label, alone or as pairs (G-tests on a bounded sample o
 ``sample_rows``), are the machine's features: a pair's terms may each be as frequent in clean texts. It learns a weight for each and a factor
 vector whose dot products are the weights of pairs, so that, say, an insult next to the
 mention of a group counts for more than both alone. Training is stochastic gradient
-descent in numpy; scoring runs on the executors over whole texts."""
+descent in numpy, in one task over the sample's buckets; scoring runs on the executors over whole texts."""
 
 from __future__ import annotations
 
@@ -91,8 +91,12 @@ def paired(bags: list[np.ndarray], y: np.ndarray, count: list[np.ndarray]) -> se
     return {int(terms_[x]) for pair in best.tolist() for x in divmod(pair, len(terms_))}
 
 
-def train(texts: list[str], labels: list[int], least_g: float = 11.0, most: int = 4096, dim: int = 4, epochs: int = 30, rate: float = 0.1, seed: int = 1) -> ToxicityModel:
-    bags, y = _sets(texts), np.array(labels, np.int64)
+def train(texts: list[str], labels: list[int], **more) -> ToxicityModel:
+    return learned(_sets(texts), np.array(labels, np.int64), **more)
+
+
+def learned(bags: list[np.ndarray], y: np.ndarray, least_g: float = 11.0, most: int = 4096, dim: int = 4, epochs: int = 30, rate: float = 0.1, seed: int = 1) -> ToxicityModel:
+    """The machine of texts' distinct buckets, in order, and their labels."""
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     if not n1 or not n0:
         return ToxicityModel({}, 10.0 if n1 else -10.0, np.zeros(0), np.zeros((0, dim)))
@@ -111,7 +115,9 @@ def train(texts: list[str], labels: list[int], least_g: float = 11.0, most: int
     index = {int(b): i for i, b in enumerate(chosen)}
     rng = np.random.default_rng(seed)
     w, v, bias = np.zeros(len(index)), rng.normal(0, 0.01, (len(index), dim)), float(np.log(n1 / n0))
-    sets = [np.array([index[b] for b in bag.tolist() if b in index], np.int64) for bag in bags]
+    feature = np.full(BUCKETS, -1, np.int64)
+    feature[chosen] = np.arange(len(chosen))
+    sets = [x[x >= 0] for x in (feature[bag] for bag in bags)]
     gw, gv, gb = np.full(len(index), 1e-6), np.full(v.shape, 1e-6), 1e-6
     for _ in range(epochs):
         for r in rng.permutation(len(sets)):
@@ -134,13 +140,41 @@ def train(texts: list[str], labels: list[int], least_g: float = 11.0, most: int
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int = 8000, doc_id: str = "doc_id", text: str = "text") -> ToxicityModel:
     """Train on about ``sample_rows`` labelled rows, chosen by a hash of doc_id, of those that
     ``learn`` (on ``doc_id``) allows. The sample's ids are what is broadcast; of labels that
-    repeat an id the largest counts."""
+    repeat an id the largest counts. Texts become buckets in their own tasks, one task learns from
+    these, and only the model reaches the driver."""
     some = labels.where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = sample(some, "doc_id", sample_rows).withColumnRenamed("doc_id", "_id")
     texts = docs.select(F.col(doc_id).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = texts.join(F.broadcast(some), F.col("_doc") == F.col("_id")).select("_doc", "t", "toxic").collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r["_doc"]).encode()), r["_doc"]))
-    return train([r["t"] for r in rows], [int(r["toxic"]) for r in rows])
+    rows = texts.join(F.broadcast(some), F.col("_doc") == F.col("_id")).select(F.col("_doc").cast("string").alias("doc"), F.col("toxic").cast("int").alias("toxic"), "t")
+    bags = rows.mapInArrow(_bagged, "doc string, toxic int, bag array<int>")
+    found = bags.repartition(1).mapInArrow(_taught, "buckets array<int>, bias double, weight array<double>, factors array<array<double>>").collect()
+    if not found:
+        return train([], [])
+    buckets, bias, weight, factors = found[0]
+    return ToxicityModel({b: i for i, b in enumerate(buckets)}, bias, np.array(weight), np.array(factors) if factors else np.zeros((0, 1)))
+
+
+def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(0, b.num_rows, 256):
+            part = b.slice(k, 256)
+            bags = pa.array(_sets(part.column(2).to_pylist()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), bags], ["doc", "toxic", "bag"])
+
+
+def _taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row, the model, of all ``batches``, if these have rows."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    rows = pa.Table.from_batches(parts)
+    ids, y = rows.column(0).to_pylist(), rows.column(1).to_numpy()
+    bags = [x for b in parts for x in np.split(b.column(2).flatten().to_numpy(), np.cumsum(b.column(2).value_lengths().to_numpy())[:-1])]
+    order = sorted(range(len(ids)), key=lambda k: (zlib.crc32(ids[k].encode()), len(ids[k]), ids[k]))
+    model = learned([bags[k] for k in order], y[order].astype(np.int64))
+    kinds = pa.list_(pa.int32()), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.list_(pa.float64()))
+    row = list(model.index), model.bias, model.weight.tolist(), model.factors.tolist()
+    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], ["buckets", "bias", "weight", "factors"])
 
 
 class _Features(dict):

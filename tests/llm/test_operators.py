@@ -423,6 +423,20 @@ def test_toxicity_of_harmless_terms_together():
     assert np.mean([s >= 0.5 for s in toxic]) >= 0.9 and np.mean([s < 0.5 for s in clean]) >= 0.99
 
 
+def test_toxicity_learns_within_a_task(spark, frame, monkeypatch):
+    """Neither texts nor training touch the driver; the model is that of the same rows trained at once."""
+    rng = random.Random(9)
+    texts = [f"{prose(rng, 30)} {'vilework' if k % 4 == 0 else ''}" for k in range(120)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(120)], "doc_id long, toxic int")
+    order = sorted(range(120), key=lambda k: zlib.crc32(str(k).encode()))
+    plain = toxicity.train([texts[k] for k in order], [int(k % 4 == 0) for k in order])
+    for name in ("train", "_sets", "paired"):
+        monkeypatch.setattr(toxicity, name, None)
+    model = toxicity.fit(frame(texts), labels, F.lit(True))
+    assert model.index == plain.index and len(model.index) and model.bias == plain.bias
+    assert (model.weight == plain.weight).all() and (model.factors == plain.factors).all()
+
+
 def test_scores_equal_a_plain_recount(frame):
     """Both models through Spark against plain sums for each text, with null, empty, letterless and very long texts."""
     rng = random.Random(17)
