@@ -32,12 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, release, rowed, with_group
+from .common import materialise, partitions, release, with_group
 
 LEAST, CELL = 24, 16
 #: Distinct phrases of one core that a task may hold; phrases that a task should hold.
 MANY, TASK = 20_000, 20_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Searches that share one pass over the texts: the length of a window, and whether it counts words. A run's
+#: number is its place among the runs of its search, times the number of searches, plus the search's.
+Searches = list[tuple[int, bool]]
 
 
 def span_of(length: int) -> int:
@@ -115,9 +118,22 @@ def runs_of(data: Units, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return first, np.append(first[1:] - 1, windows - 1), trigger[first]
 
 
-def core(data: Units, t: int, length: int) -> int:
-    """Digest of what all windows with trigger t share, as a signed 64-bit integer."""
-    return signed(xxhash.xxh3_64_intdigest(data[t : t + length - span_of(length) + 1]))
+class Views(dict):
+    """By search: a text's units, and the first windows, last windows and triggers of its runs."""
+
+    def __init__(self, data: bytes, searches: Searches):
+        self.data, self.searches = data, searches
+
+    def __missing__(self, kind: int) -> tuple[Units, np.ndarray, np.ndarray, np.ndarray]:
+        length, words = self.searches[kind]
+        view = Units(self.data, words)
+        self[kind] = view, *runs_of(view, length)
+        return self[kind]
+
+
+def core(data: Units, t: int, length: int, kind: int = 0) -> int:
+    """Digest of what all windows with trigger t share, as a signed 64-bit integer; searches share none."""
+    return signed(xxhash.xxh3_64_intdigest(data[t : t + length - span_of(length) + 1], seed=kind))
 
 
 def signed(x: int) -> int:
@@ -130,24 +146,30 @@ def around(data: Units, a: int, b: int, t: int) -> bytes:
     return xxhash.xxh3_128_digest(data[a:b], seed=(t - a) << 32 | (b - t))
 
 
-def _parse(docs: DataFrame, length: int, words: bool) -> DataFrame:
-    """doc_id, n_bytes, n_units, sha, cores: the digests of the runs' cores, in order."""
+def _parse(docs: DataFrame, searches: Searches) -> DataFrame:
+    """doc_id, n_bytes, n_units of each search, sha, cores: the runs with the digests of their cores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 256):
-                part, size, units, sha, cores = b.slice(k, 256), [], [], [], []
+                part, size, units, sha, runs, cores, ends = b.slice(k, 256), [], [], [], [], [], [0]
                 for data in part.column(1).to_pylist():
-                    view = Units(data, words)
-                    size.append(len(data)), units.append(len(view)), sha.append(hashlib.sha256(data).digest())
-                    cores.append([core(view, t, length) for t in runs_of(view, length)[2].tolist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(units, pa.int64()), pa.array(sha, pa.binary()), pa.array(cores, pa.list_(pa.int64()))], ["doc_id", "n_bytes", "n_units", "sha", "cores"])
-
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, n_units long, sha binary, cores array<long>")
-
-
-def _contexts(texts: DataFrame, length: int, words: bool) -> DataFrame:
-    """rid, run, from, to (its windows), core, context, copies for the runs listed with
+                    views = Views(data, searches)
+                    size.append(len(data)), units.append([len(views[x][0]) for x in range(len(searches))]), sha.append(hashlib.sha256(data).digest())
+                    for x, (length, _) in enumerate(searches):
+                        view, _, _, ts = views[x]
+                        runs.append(np.arange(len(ts), dtype=np.int32) * len(searches) + x)
+                        cores += [core(view, t, length, x) for t in ts.tolist()]
+                    ends.append(len(cores))
+                struct = pa.StructArray.from_arrays([pa.array(np.concatenate(runs)), pa.array(cores, pa.int64())], ["run", "core"])
+                listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(units, pa.list_(pa.int64())), pa.array(sha, pa.binary()), listed], ["doc_id", "n_bytes", "n_units", "sha", "cores"])
+
+    return docs.mapInArrow(run, "doc_id long, n_bytes long, n_units array<long>, sha binary, cores array<struct<run:int,core:long>>")
+
+
+def _contexts(texts: DataFrame, searches: Searches) -> DataFrame:
+    """rid, run, kind, from, end (of its windows), core, context, copies for the runs listed with
     each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,15 +177,16 @@ def _contexts(texts: DataFrame, length: int, words: bool) -> DataFrame:
             for k in range(0, b.num_rows, 128):
                 out: list[tuple] = []
                 for rid, copies, data, listed in zip(*(c.to_pylist() for c in b.slice(k, 128).columns), strict=True):
-                    view = Units(data, words)
-                    first, last, ts = runs_of(view, length)
-                    for r in listed:
-                        t = int(ts[r])
-                        out.append((rid, r, int(first[r]), int(last[r]), core(view, t, length), around(view, t - span_of(length) + 1, t + length, t), copies))
+                    views = Views(data, searches)
+                    for number in listed:
+                        r, kind = divmod(number, len(searches))
+                        view, first, last, ts = views[kind]
+                        t, length = int(ts[r]), searches[kind][0]
+                        out.append((rid, number, kind, int(first[r]), int(last[r]) + length, core(view, t, length, kind), around(view, t - span_of(length) + 1, t + length, t), copies))
                 yield _batch(out, kinds)
 
-    kinds = [("rid", pa.int64()), ("run", pa.int32()), ("from", pa.int64()), ("to", pa.int64()), ("core", pa.int64()), ("context", pa.binary()), ("copies", pa.int64())]
-    return texts.select("rid", "copies", "data", "runs").mapInArrow(run, "rid long, run int, from long, to long, core long, context binary, copies long")
+    kinds = [("rid", pa.int64()), ("run", pa.int32()), ("kind", pa.int32()), ("from", pa.int64()), ("end", pa.int64()), ("core", pa.int64()), ("context", pa.binary()), ("copies", pa.int64())]
+    return texts.select("rid", "copies", "data", "runs").mapInArrow(run, "rid long, run int, kind int, from long, end long, core long, context binary, copies long")
 
 
 def _batch(rows: list[tuple], kinds: list[tuple]) -> pa.RecordBatch:
@@ -171,8 +194,8 @@ def _batch(rows: list[tuple], kinds: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], [n for n, _ in kinds])
 
 
-def _phrases(texts: DataFrame, length: int, words: bool) -> DataFrame:
-    """rid, t, from, to, core, copies, left, right for the listed runs: the names of the units
+def _phrases(texts: DataFrame, searches: Searches) -> DataFrame:
+    """rid, t, from, to, core, copies, left, right, kind for the listed runs: the names of the units
     before the trigger, backwards, and from it on, within the phrase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,15 +203,16 @@ def _phrases(texts: DataFrame, length: int, words: bool) -> DataFrame:
             for k in range(0, b.num_rows, 128):
                 out: list[tuple] = []
                 for rid, data, listed in zip(*(c.to_pylist() for c in b.slice(k, 128).columns), strict=True):
-                    view = Units(data, words)
-                    first, last, ts = runs_of(view, length)
+                    views = Views(data, searches)
                     for x in listed:
-                        p, q, t = int(first[x["run"]]), int(last[x["run"]]), int(ts[x["run"]])
-                        out.append((rid, t, p, q, x["core"], x["copies"], view.names(p, t, True), view.names(t, q + length, False)))
+                        r, kind = divmod(x["run"], len(searches))
+                        view, first, last, ts = views[kind]
+                        p, q, t = int(first[r]), int(last[r]), int(ts[r])
+                        out.append((rid, t, p, q, x["core"], x["copies"], view.names(p, t, True), view.names(t, q + searches[kind][0], False), kind))
                 yield _batch(out, kinds)
 
-    kinds = [("rid", pa.int64()), ("t", pa.int64()), ("from", pa.int64()), ("to", pa.int64()), ("core", pa.int64()), ("copies", pa.int64()), ("left", pa.binary()), ("right", pa.binary())]
-    return texts.select("rid", "data", "runs").mapInArrow(run, "rid long, t long, from long, to long, core long, copies long, left binary, right binary")
+    kinds = [("rid", pa.int64()), ("t", pa.int64()), ("from", pa.int64()), ("to", pa.int64()), ("core", pa.int64()), ("copies", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("kind", pa.int32())]
+    return texts.select("rid", "data", "runs").mapInArrow(run, "rid long, t long, from long, to long, core long, copies long, left binary, right binary, kind int")
 
 
 def suffix_order(rows: list[bytes], heads: np.ndarray, width: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -235,62 +259,68 @@ def repeated_windows(t: np.ndarray, first: np.ndarray, last: np.ndarray, core: n
     return [(int(who[i]), int(t[who[i]] - when[j]), int(t[who[i]] - when[i]) + length) for i, j in zip(cut.tolist(), stop.tolist(), strict=True)] if len(who) else []
 
 
-def _sorted(phrases: DataFrame, length: int, words: bool) -> DataFrame:
-    """rid, from, end: the repeated windows of phrases, from suffix arrays within tasks."""
-    size = 8 if words else 1
+def _sorted(phrases: DataFrame, searches: Searches) -> DataFrame:
+    """rid, kind, from, end: the repeated windows of phrases, from suffix arrays within tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
-        all_ = pa.Table.from_batches(parts)
-        rid, t, first, last, core, copies = (all_.column(k).to_numpy() for k in range(6))
-        found = repeated_windows(t, first, last, core, copies, all_.column(6).to_pylist(), all_.column(7).to_pylist(), length, size)
-        for k in range(0, len(found), 100_000):
-            yield _batch([(int(rid[x]), p, q) for x, p, q in found[k : k + 100_000]], kinds)
-
-    kinds = [("rid", pa.int64()), ("from", pa.int64()), ("end", pa.int64())]
+        both = pa.Table.from_batches(parts)
+        kinds_ = both.column(8).to_numpy()
+        for kind, (length, words) in enumerate(searches):
+            if not (kinds_ == kind).any():
+                continue
+            all_ = both.filter(pa.array(kinds_ == kind))
+            rid, t, first, last, core, copies = (all_.column(k).to_numpy() for k in range(6))
+            found = repeated_windows(t, first, last, core, copies, all_.column(6).to_pylist(), all_.column(7).to_pylist(), length, 8 if words else 1)
+            for k in range(0, len(found), 100_000):
+                yield _batch([(int(rid[x]), kind, p, q) for x, p, q in found[k : k + 100_000]], kinds)
+
+    kinds = [("rid", pa.int64()), ("kind", pa.int32()), ("from", pa.int64()), ("end", pa.int64())]
     n = max(partitions(phrases.sparkSession), -(-phrases.count() // TASK))
-    return phrases.repartition(n, "core").mapInArrow(run, "rid long, from long, end long")
+    return phrases.repartition(n, "core").mapInArrow(run, "rid long, kind int, from long, end long")
 
 
-def _cells(texts: DataFrame, length: int, words: bool) -> DataFrame:
-    """The same for the cells of the listed runs; ``from`` and ``to``: their windows."""
+def _cells(texts: DataFrame, searches: Searches) -> DataFrame:
+    """Contexts of the cells of the listed runs; ``from`` and ``to``: their windows, ``end``: of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 128):
                 out: list[tuple] = []
                 for rid, data, listed in zip(*(c.to_pylist() for c in b.slice(k, 128).columns), strict=True):
-                    view = Units(data, words)
-                    first, last, ts = runs_of(view, length)
+                    views = Views(data, searches)
                     for x in listed:
-                        p, q, t = int(first[x["run"]]), int(last[x["run"]]), int(ts[x["run"]])
+                        r, kind = divmod(x["run"], len(searches))
+                        view, first, last, ts = views[kind]
+                        p, q, t, length = int(first[r]), int(last[r]), int(ts[r]), searches[kind][0]
                         for j in range((t - q) // CELL, (t - p) // CELL + 1):
                             near, far = t - CELL * j, t - CELL * j - CELL + 1
-                            inner = signed(xxhash.xxh3_64_intdigest(view[near : far + length], seed=t - near))
-                            out.append((rid, max(p, far), min(q, near), t, inner, around(view, far, near + length, t), x["copies"]))
+                            inner = signed(xxhash.xxh3_64_intdigest(view[near : far + length], seed=kind << 32 | t - near))
+                            out.append((rid, kind, max(p, far), min(q, near), min(q, near) + length, t, inner, around(view, far, near + length, t), x["copies"]))
                 yield _batch(out, kinds)
 
-    kinds = [("rid", pa.int64()), ("from", pa.int64()), ("to", pa.int64()), ("t", pa.int64()), ("core", pa.int64()), ("context", pa.binary()), ("copies", pa.int64())]
-    return texts.select("rid", "data", "runs").mapInArrow(run, "rid long, from long, to long, t long, core long, context binary, copies long")
+    kinds = [("rid", pa.int64()), ("kind", pa.int32()), ("from", pa.int64()), ("to", pa.int64()), ("end", pa.int64()), ("t", pa.int64()), ("core", pa.int64()), ("context", pa.binary()), ("copies", pa.int64())]
+    return texts.select("rid", "data", "runs").mapInArrow(run, "rid long, kind int, from long, to long, end long, t long, core long, context binary, copies long")
 
 
-def _singles(texts: DataFrame, length: int, words: bool) -> DataFrame:
-    """rid, from, context, copies for every window of the listed cells."""
+def _singles(texts: DataFrame, searches: Searches) -> DataFrame:
+    """rid, kind, from, end, context, copies for every window of the listed cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 128):
                 out: list[tuple] = []
                 for rid, data, listed in zip(*(c.to_pylist() for c in b.slice(k, 128).columns), strict=True):
-                    view = Units(data, words)
+                    views = [Units(data, words) for _, words in searches]
                     for x in listed:
-                        out += [(rid, p, xxhash.xxh3_128_digest(view[p : p + length]), x["copies"]) for p in range(x["from"], x["to"] + 1)]
+                        kind, view, length = x["kind"], views[x["kind"]], searches[x["kind"]][0]
+                        out += [(rid, kind, p, p + length, xxhash.xxh3_128_digest(view[p : p + length], seed=kind), x["copies"]) for p in range(x["from"], x["to"] + 1)]
                 yield _batch(out, kinds)
 
-    kinds = [("rid", pa.int64()), ("from", pa.int64()), ("context", pa.binary()), ("copies", pa.int64())]
-    return texts.select("rid", "data", "runs").mapInArrow(run, "rid long, from long, context binary, copies long")
+    kinds = [("rid", pa.int64()), ("kind", pa.int32()), ("from", pa.int64()), ("end", pa.int64()), ("context", pa.binary()), ("copies", pa.int64())]
+    return texts.select("rid", "data", "runs").mapInArrow(run, "rid long, kind int, from long, end long, context binary, copies long")
 
 
 def _spans(texts: DataFrame, words: bool) -> DataFrame:
@@ -321,33 +351,35 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _kept(texts: DataFrame) -> DataFrame:
-    """rid, n_removed, n_spans, kept for texts with their marked intervals of bytes."""
+    """rid, n_removed, n_spans, kept for texts with their marked intervals of bytes, and n_passages and
+    passage_bytes for those of words, a second search's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 128):
                 out: list[tuple] = []
                 for rid, data, marks in zip(*(c.to_pylist() for c in b.slice(k, 128).columns), strict=True):
-                    kept, at, spans = [], 0, 0
-                    for x in sorted(marks, key=lambda x: x["from"]):
-                        if x["from"] > at or not spans:
-                            kept.append(data[at : x["from"]])
-                            spans += 1
-                        at = max(at, x["end"])
-                    kept.append(data[at:])
-                    rest = b"".join(kept)
-                    out.append((rid, len(data) - len(rest), spans, rest))
+                    kept, at, passages = [], 0, []
+                    spans = merged([(x["from"], x["end"]) for x in marks if x["kind"] == 0])
+                    for p, q in spans:
+                        kept.append(data[at:p])
+                        at = q
+                    if any(x["kind"] for x in marks):
+                        view = Units(data, True)
+                        passages = merged([view.place(x["from"], x["end"]) for x in marks if x["kind"]])
+                    rest = b"".join([*kept, data[at:]])
+                    out.append((rid, len(data) - len(rest), len(spans), rest if spans else None, len(passages), sum(q - p for p, q in passages)))
                 yield _batch(out, kinds)
 
-    kinds = [("rid", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]
-    return texts.select("rid", "data", "marks").mapInArrow(run, "rid long, n_removed long, n_spans long, kept binary")
+    kinds = [("rid", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("n_passages", pa.int64()), ("passage_bytes", pa.int64())]
+    return texts.select("rid", "data", "marks").mapInArrow(run, "rid long, n_removed long, n_spans long, kept binary, n_passages long, passage_bytes long")
 
 
 def _named(rows: DataFrame, more: list[str]) -> DataFrame:
     """Add ``times`` (how often the context occurs) and ``lead`` (one row per context)."""
     total = rows.count()
     at = F.struct("rid", *more)
-    return with_group(rows, ["context"], {"times": F.sum("copies"), "lead": F.min(at)}, total).withColumn("lead", F.col("lead") == at)
+    return with_group(rows, ["kind", "context"], {"times": F.sum("copies"), "lead": F.min(at)}, total).withColumn("lead", F.col("lead") == at)
 
 
 def _mixed(named: DataFrame) -> DataFrame:
@@ -358,22 +390,22 @@ def _mixed(named: DataFrame) -> DataFrame:
     return with_group(lead, ["core"], aggs, lead.count()).where("several > 1 and once = 1")
 
 
-def _found(docs: DataFrame, length: int, words: bool, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+def _found(docs: DataFrame, searches: Searches, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """(rows: rid, doc_id, n_bytes, sha, gone; marked: rid, data, marks; what may go once ``marked`` has
     been read).
 
-    ``gone``: the whole text goes, as it occurs again; ``marks``: the units [from, end) of each
-    other text that go, overlapping ones too."""
-    if length < LEAST:
+    ``gone``: by search, whether the whole text goes, as it occurs again; ``marks``: the units [from, end)
+    of each other text that go by a search (``kind``), overlapping ones too."""
+    if min(length for length, _ in searches) < LEAST:
         raise ValueError(f"length must be at least {LEAST}")
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), data.alias("data"))
-    parsed = materialise(_parse(docs, length, words).withColumn("rid", F.monotonically_increasing_id()), "parsed")
+    parsed = materialise(_parse(docs, searches).withColumn("rid", F.monotonically_increasing_id()), "parsed")
     total = parsed.count()
     rows = with_group(parsed.select("rid", "doc_id", "n_bytes", "n_units", "sha"), ["sha"], {"copies": F.count(F.lit(1)), "rep": F.min("rid")}, total)
     rows = materialise(rows, "rows")
 
-    runs = parsed.select("rid", F.posexplode("cores").alias("run", "core"))
+    runs = parsed.select("rid", F.inline("cores"))
     n_runs = parsed.agg(F.sum(F.size("cores"))).first()[0] or 0
     again = with_group(runs, ["core"], {"times": F.count(F.lit(1))}, n_runs).where("times > 1").groupBy("rid").agg(F.sort_array(F.collect_list("run")).alias("runs"))
     nobody = F.lit(-1 << 63)
@@ -384,29 +416,29 @@ def _found(docs: DataFrame, length: int, words: bool, doc_id: str, text: str) ->
         texts = texts.dropDuplicates(["rid"])  # rows that repeat id and text
     texts = materialise(texts, "texts")
 
-    contexts = materialise(_contexts(texts, length, words), "contexts")
+    contexts = materialise(_contexts(texts, searches), "contexts")
     named = materialise(_named(contexts, ["run"]), "named")
     release(contexts)
     ends = materialise(_mixed(named), "ends")
     listed = lambda df, *columns: texts.drop("runs", "copies").join(df.groupBy("rid").agg(F.collect_list(F.struct(*columns)).alias("runs")), "rid")
-    phrases = materialise(_phrases(listed(ends.where(F.col("several") <= MANY), "run", "core", "copies"), length, words), "phrases")
-    marks = materialise(_sorted(phrases, length, words), "sorted")
+    phrases = materialise(_phrases(listed(ends.where(F.col("several") <= MANY), "run", "core", "copies"), searches), "phrases")
+    marks = materialise(_sorted(phrases, searches), "sorted")
     release(phrases)
-    marks = [named.where("times > 1").select("rid", "from", (F.col("to") + length).alias("end")), marks]
+    marks = [named.where("times > 1").select("rid", "kind", "from", "end"), marks]
     used = [parsed, texts, named, marks[1]]
     wide = ends.where(F.col("several") > MANY)
     if wide.limit(1).count():
-        cells = materialise(_cells(listed(wide, "run", "copies"), length, words), "cells")
-        cells_named = materialise(_named(cells, ["from"]), "cells-named")
-        singles = materialise(_singles(listed(_mixed(cells_named), "from", "to", "copies"), length, words), "singles")
+        cells = materialise(_cells(listed(wide, "run", "copies"), searches), "cells")
+        cells_named = materialise(_named(cells, ["kind", "from"]), "cells-named")
+        singles = materialise(_singles(listed(_mixed(cells_named), "kind", "from", "to", "copies"), searches), "singles")
         release(cells)
-        marks.append(cells_named.where("times > 1").select("rid", "from", (F.col("to") + length).alias("end")))
-        marks.append(_named(singles, ["from"]).where("times > 1").select("rid", "from", (F.col("from") + length).alias("end")))
+        marks.append(cells_named.where("times > 1").select("rid", "kind", "from", "end"))
+        marks.append(_named(singles, ["kind", "from"]).where("times > 1").select("rid", "kind", "from", "end"))
         used += [cells_named, singles]
     release(ends)
     marks = reduce(DataFrame.unionByName, marks)
-    marks = marks.join(rows.where("copies = 1").select("rid"), "rid", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("from", "end")).alias("marks"))
-    gone = (F.col("copies") > 1) & (F.col("n_units") >= length)
+    marks = marks.join(rows.where("copies = 1").select("rid"), "rid", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("kind", "from", "end")).alias("marks"))
+    gone = F.array(*[(F.col("copies") > 1) & (F.col("n_units")[x] >= length) for x, (length, _) in enumerate(searches)])
     return rows.select("rid", "doc_id", "n_bytes", "sha", gone.alias("gone")), texts.select("rid", "data").join(marks, "rid"), used
 
 
@@ -414,11 +446,11 @@ def repeat_spans(docs: DataFrame, length: int, words: bool = False, doc_id: str
     """doc_id, spans: the bytes (from, end) that ``remove_repeats`` removes, for rows that lose any.
     With ``words``, ``length`` counts words: what goes are words, and the white space between them,
     of passages of ``length`` whole words that also start elsewhere with the same bytes."""
-    rows, marked, used = _found(docs, length, words, doc_id, text)
+    rows, marked, used = _found(docs, [(length, words)], doc_id, text)
     out = rows.join(materialise(_spans(marked, words), "spans"), "rid", "left")
     release(*used)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("n_bytes").alias("end")))
-    return out.select("doc_id", F.when(F.col("gone"), whole).otherwise(F.col("spans")).alias("spans")).where("spans is not null")
+    return out.select("doc_id", F.when(F.col("gone")[0], whole).otherwise(F.col("spans")).alias("spans")).where("spans is not null")
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -428,11 +460,15 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
     same or another row, goes; overlapping occurrences count, matches never cross rows. Null
     texts count as empty; texts shorter than ``length`` keep all; of repeated rows each is an
     occurrence; an empty table gives an empty result; other columns are not read."""
-    rows, marked, used = _found(docs, length, False, doc_id, text)
+    return _removed(docs, [(length, False)], doc_id, text).drop("n_passages", "passage_bytes")
+
+
+def _removed(docs: DataFrame, searches: Searches, doc_id: str, text: str) -> DataFrame:
+    rows, marked, used = _found(docs, searches, doc_id, text)
     cut = materialise(_kept(marked), "kept")
     release(*used)
 
-    gone, sha, nothing = F.col("gone"), F.lower(F.hex("sha")), F.lit(b"")
+    gone, again, sha, nothing = F.col("gone")[0], F.col("gone")[len(searches) - 1], F.lower(F.hex("sha")), F.lit(b"")
     out = rows.join(cut, "rid", "left")
     return out.select(
         "doc_id", "n_bytes",
@@ -440,18 +476,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
         F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, F.sha2(nothing, 256)).when(F.col("kept").isNotNull(), F.sha2("kept", 256)).otherwise(sha).alias("kept_sha256"),
         F.when(gone, nothing).otherwise(F.col("kept")).alias("kept"),
+        F.when(again, F.lit(1)).otherwise(F.coalesce("n_passages", F.lit(0))).cast("long").alias("n_passages"),
+        F.when(again, F.col("n_bytes")).otherwise(F.coalesce("passage_bytes", F.lit(0))).cast("long").alias("passage_bytes"),
     )
 
 
 def repeats_and_passages(docs: DataFrame, length: int = 400, passage: int = 51, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The columns of ``remove_repeats``, and n_passages and passage_bytes: the maximal spans, and their
     bytes, of passages of ``passage`` whole words that also start elsewhere (these stay in the text).
-    Rows that repeat an id, and rows without one, each keep their own figures."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows, _ = rowed(docs)
-    strings = remove_repeats(rows, length, "_row").withColumnRenamed("doc_id", "_row")
-    spans = repeat_spans(rows, passage, True, "_row").select(F.col("doc_id").alias("_row"), "spans")
-    size = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["from"])
-    more = spans.select("_row", F.size("spans").cast("long").alias("n_passages"), size.alias("passage_bytes"))
-    out = strings.join(more, "_row", "left").na.fill(0, ["n_passages", "passage_bytes"])
-    return out.join(rows.select("_row", "doc_id"), "_row").drop("_row")
+    Rows that repeat an id, and rows without one, each keep their own figures. Both searches go over
+    the texts together."""
+    return _removed(docs, [(length, False), (passage, True)], doc_id, text)
