@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.store import Keyed, snapshot
+from ..sources.store import Keyed, append, delete, shared, shuffles_go, staged
 
 
 def first_per_key(ledger: DataFrame, key: str) -> DataFrame:
@@ -42,7 +42,11 @@ def save(batch: DataFrame, ledger: DataFrame) -> DataFrame:
 
     A row of the batch counts as earlier only if it is itself created, which the first
     row of a content group among the image groups' first rows is."""
-    seen = two_level(batch, ledger)
+    return resolved(two_level(batch, ledger))
+
+
+def resolved(seen: DataFrame) -> DataFrame:
+    """``save`` from what ``two_level`` has found."""
     fresh = seen.where("existing_id is null").select("id", "user_id", "image_hash", "data_hash")
     by_image = first_write_wins(fresh, ["user_id", "image_hash"]).withColumnRenamed("first_id", "image_first")
     heads = by_image.where("id = image_first").drop("image_first")
@@ -53,12 +57,29 @@ def save(batch: DataFrame, ledger: DataFrame) -> DataFrame:
     return created.unionByName(known)
 
 
-def insert(batch: DataFrame, ledger: Keyed) -> DataFrame:
+def insert(batch: DataFrame, ledger: Keyed, passes: int = 1) -> DataFrame:
     """``save`` against a ledger by user, of which only the users' buckets are read; the created rows are added. The tags,
-    written."""
-    saved = snapshot(save(batch, ledger.of(batch)), "saved")
-    ledger.append(batch.join(saved.where("tag = 'created'").select("id"), "id", "left_semi"))
-    return saved
+    written.
+
+    The batch is computed once, into buckets of users (in ``passes``, as in ``Keyed.fill``). Groups of these are saved one
+    after the other, and what is staged of a group goes with it, as do its shuffle files: the batch is not there
+    twice. A run that breaks off has added the groups that ended, whose rows a second run finds as duplicates."""
+    spark, groups = ledger.spark, min(ledger.buckets, 2 * passes) if passes > 1 else 1
+    arrived = Keyed(spark, shared(spark, "batch"), ledger.keys, batch.schema, buckets=ledger.buckets)
+    arrived.fill(batch, passes, ("id",))
+    path, paths = shared(spark, "saved"), []
+    with shuffles_go(spark):
+        for i in range(groups):
+            group = range(i, ledger.buckets, groups)
+            rows = arrived.within(group).drop("bucket")
+            known = two_level(rows, ledger.of(rows)).select("id", "user_id", "image_hash", "data_hash", "existing_id")
+            with staged(known, "seen") as seen:
+                saved = append(resolved(seen), f"{path}/{i}")
+            ledger.append(rows.join(saved.where("tag = 'created'").select("id"), "id", "left_semi"))
+            arrived.drop(group)
+            paths.append(f"{path}/{i}")
+    delete(spark, arrived.path)
+    return spark.read.schema(saved.schema).parquet(*paths)
 
 
 def constraint_violations(created: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from ..operators import attempts as tries
 from ..operators import dedupe, updates
 from ..operators.differences import against
 from ..operators.relational import as_double, first_by, of_user, page, profile, union, unmatched, violations
-from ..sources.store import Keyed, append, shared, snapshot
+from ..sources.store import Keyed, append, passes, shared, snapshot
 from .registry import query
 
 USER = 1
@@ -258,9 +258,10 @@ saved AS (SELECT id, data_first AS result_id, CASE WHEN id = data_first THEN 'cr
 def idempotent_insert(v):
     """The batch goes into a ledger that has every fifth row; the tags of its rows."""
     batch, old = _split(v)
+    n = v.table("lineitem").count()
     ledger = Keyed(v.spark, shared(v.spark, "ledger"), ("user_id",), old.schema)
-    ledger.append(old)
-    return dedupe.insert(batch, ledger)
+    ledger.fill(old, passes(n // 5), ("id",))
+    return dedupe.insert(batch, ledger, passes(n))
 
 
 @query(

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +17,9 @@ from .files import exists
 
 #: Folders of a keyed table; a parameter of the table, in step with its size.
 BUCKETS = 32
+#: Rows for one pass of a large job, and how many passes it takes at most: each reads the input again.
+PASS_ROWS, PASSES = 5_000_000, 16
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared(spark: SparkSession, name: str) -> str:
@@ -28,9 +33,41 @@ def shared(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def passes(rows: int) -> int:
+    """In how many passes a job over so many rows goes, a power of two: the disk that its shuffles take at once is that of
+    PASS_ROWS rows, or a share of one in PASSES."""
+    return min(PASSES, 1 << (max(1, -(-rows // PASS_ROWS)) - 1).bit_length())
+
+
+@contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of actions in here go as soon as these are done; none of their frames is used again."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def staged(rows: DataFrame, name: str) -> Iterator[DataFrame]:
+    """``rows``, written, as they are read several times in here; their files go at the end."""
+    path = shared(rows.sparkSession, name)
+    try:
+        yield append(rows, path)
+    finally:
+        delete(rows.sparkSession, path)
+
+
 def append(rows: DataFrame, path: str) -> DataFrame:
     """The table at ``path`` with ``rows`` added."""
-    rows.write.mode("append").parquet(path)
+    rows.write.mode("append").option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
@@ -65,9 +102,13 @@ class Keyed:
     def rows(self) -> DataFrame:
         return self.read().drop("bucket")
 
+    def within(self, buckets: Iterable[int]) -> DataFrame:
+        """The rows in these buckets; others are not read."""
+        return self.read().where(F.col("bucket").isin(list(buckets)))
+
     def of(self, rows: DataFrame) -> DataFrame:
         """All rows in the buckets of the keys of ``rows``; other buckets are not read."""
-        return self.read().where(F.col("bucket").isin(self._buckets(rows)))
+        return self.within(self._buckets(rows))
 
     def _buckets(self, rows: DataFrame) -> list[int]:
         keyed = rows.select(*[F.col(k).cast(self.schema[k].dataType).alias(k) for k in self.keys])
@@ -75,11 +116,20 @@ class Keyed:
 
     def _write(self, dealt: DataFrame, mode: str) -> None:
         out = dealt.hint("rebalance", "bucket")  # one file or few for a bucket; a large bucket is split among tasks
-        out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("bucket", *self.parts).parquet(self.path)
+        out.write.mode(mode).option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", *self.parts).parquet(self.path)
 
     def append(self, rows: DataFrame) -> None:
         self._write(self.dealt(rows), "append")
 
+    def fill(self, rows: DataFrame, passes: int = 1, by: tuple[str, ...] = ()) -> None:
+        """Append ``rows`` in so many passes, dealt by a hash of ``by``, or else of the table's keys. Each pass computes only
+        its own share of ``rows``, as far as a condition on these columns can be pushed down to what is read, and its
+        shuffle files go before the next begins. A run that breaks off has added the passes that ended."""
+        number = F.pmod(F.xxhash64(*(by or self.keys)), F.lit(passes))
+        with shuffles_go(self.spark):
+            for i in range(passes):
+                self.append(rows.where(number == i) if passes > 1 else rows)
+
     def put(self, rows: DataFrame) -> None:
         """Write ``rows`` in place of all that is in their folders."""
         self._write(self.dealt(rows), "overwrite")
@@ -95,9 +145,12 @@ class Keyed:
         left = {r[0] for r in new.select("bucket").distinct().collect()}
         if left:
             self._write(new, "overwrite")
-        for b in set(buckets) - left:  # an overwrite leaves a folder alone for which it has no rows
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/bucket={b}")
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.drop(set(buckets) - left)  # an overwrite leaves a folder alone for which it has no rows
+
+    def drop(self, buckets: Iterable[int]) -> None:
+        """All rows in these buckets go."""
+        for b in buckets:
+            delete(self.spark, f"{self.path}/bucket={b}")
 
     def replace(self, rows: DataFrame) -> None:
         """All rows of the keys of ``rows`` go, and ``rows`` take their place."""
