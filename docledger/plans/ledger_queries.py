@@ -349,8 +349,10 @@ def replace_items(v):
     nested = v.items.where("receipt_id % 4 = 0").groupBy("receipt_id").agg(F.sort_array(F.collect_list(F.struct("line_number", "description", "total_price"))).alias("items"))
     price = F.col("i.total_price").cast("double")
     new = nested.select("receipt_id", F.posexplode("items").alias("pos", "i")).select("receipt_id", (F.col("pos") + 1).alias("line_number"), "i.description", F.lit(1.0).alias("quantity"), price.alias("unit_price"), price.alias("total_price"))
-    table = _table(v, "items", ("receipt_id",), v.items.select("receipt_id", "line_number", "description", *as_double("quantity", "unit_price", "total_price")))
-    table.replace(new)
+    rows, n = v.items.select("receipt_id", "line_number", "description", *as_double("quantity", "unit_price", "total_price")), passes(v.table("lineitem").count())
+    table = Keyed(v.spark, shared(v.spark, "items"), ("receipt_id",), rows.schema)
+    table.fill(rows, n)
+    table.replace(new, n)
     return table.rows()
 
 

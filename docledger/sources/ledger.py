@@ -74,11 +74,11 @@ class Ledger:
     @cached_property
     def items(self) -> DataFrame:
         order = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
-        lines = self.table("lineitem").join(self.table("part").select("p_partkey", "p_name", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+        lines = self.table("lineitem").withColumnRenamed("l_orderkey", "receipt_id").join(self.table("part").select("p_partkey", "p_name", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
         q, cents = F.col("l_quantity").cast("long"), F.round(F.col("l_extendedprice") * 100).cast("long")
         return lines.select(
-            F.col("l_orderkey").alias("receipt_id"),
-            F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)).alias("line_number"),
+            "receipt_id",
+            F.row_number().over(Window.partitionBy("receipt_id").orderBy(*order)).alias("line_number"),  # by the column itself, so that a condition on it goes below
             F.col("p_name").alias("description"),
             F.col("p_type").alias("category"),
             F.col("l_quantity").cast("decimal(8,2)").alias("quantity"),

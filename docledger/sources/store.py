@@ -152,11 +152,16 @@ class Keyed:
         for b in buckets:
             delete(self.spark, f"{self.path}/bucket={b}")
 
-    def replace(self, rows: DataFrame) -> None:
-        """All rows of the keys of ``rows`` go, and ``rows`` take their place."""
-        rest = self.of(rows).join(rows.select(*self.keys).distinct(), list(self.keys), "left_anti")
-        new = self.dealt(rows)
-        self.change(rows, rest.select(*new.columns).unionByName(new))
+    def replace(self, rows: DataFrame, passes: int = 1) -> None:
+        """All rows of the keys of ``rows`` go, and ``rows`` take their place, in so many passes over groups of buckets, as in
+        ``fill``: only one group is there twice at a time. With several, ``rows`` must not come from the table. A run
+        that breaks off has changed the groups that ended, and can be run again."""
+        dealt = self.dealt(rows)
+        with shuffles_go(self.spark):
+            for i in range(passes):
+                with staged(dealt.where(F.col("bucket") % passes == i) if passes > 1 else dealt, "new") as new:
+                    rest = self.of(new).join(new.select(*self.keys).distinct(), list(self.keys), "left_anti")
+                    self.change(new, rest.select(*new.columns).unionByName(new))
 
     def delete(self, keys: DataFrame) -> None:
         """Rows of these keys go."""

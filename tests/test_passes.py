@@ -13,6 +13,8 @@ from docledger.sources import store
 from docledger.sources.ledger import Ledger
 from docledger.sources.store import Keyed
 
+from .test_store import files
+
 DATA = "/root/testdata/sf0.001"
 
 
@@ -53,6 +55,17 @@ def test_insert_in_passes_leaves_no_shuffle_files(spark, monkeypatch):
     assert len(left) == 1 + 4 + 8 + 1 and max(left) < 5000 and folders == {"ledger", "saved"}
 
 
+def test_replace_in_passes_leaves_no_shuffle_files(spark, monkeypatch):
+    left, folders = written(spark, "SNK5", monkeypatch)
+    assert len(left) == 4 + 1 and max(left) < 5000 and folders == {"items"}
+
+
+def test_a_pass_reads_its_share_of_the_items(spark):
+    some = Ledger(spark, DATA).items.where(F.pmod(F.xxhash64("receipt_id"), F.lit(8)) == 3)
+    window, below = some._jdf.queryExecution().optimizedPlan().toString().split("Window [", 1)
+    assert "pmod" in below and "pmod" not in window
+
+
 def ledger_of(spark, path, old):
     table = Keyed(spark, path, ("user_id",), old.schema)
     table.append(old)
@@ -86,3 +99,16 @@ def test_fill_in_passes(spark, tmp_path):
         table = Keyed(spark, str(tmp_path / f"t{len(by)}"), ("id",), rows.schema)
         table.fill(rows, 4, by)
         assert shown(table.rows().collect()) == shown(rows.collect())
+
+
+def test_replace_in_passes(spark, tmp_path):
+    rows = spark.range(300).select("id", F.lit("old").alias("t"))
+    new = spark.createDataFrame([(5, "a"), (5, "b"), (77, "c"), (1000, "d")], "id int, t string")
+    for n in (1, 4):
+        table = Keyed(spark, str(tmp_path / f"t{n}"), ("id",), rows.schema)
+        table.fill(rows, n)
+        before = files(table.path)
+        for _ in range(2):
+            table.replace(new, n)
+            assert shown(tuple(r) for r in table.rows().collect()) == shown([*[(i, "old") for i in range(300) if i not in (5, 77)], (5, "a"), (5, "b"), (77, "c"), (1000, "d")])
+        assert len(set(before.items()) & set(files(table.path).items())) >= len(before) - 3
